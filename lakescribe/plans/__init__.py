@@ -1 +1,6 @@
 """Derived inputs and the registered queries with their SQL counterparts."""
+
+from lakescribe.plans import lake_queries  # noqa: F401
+from lakescribe.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

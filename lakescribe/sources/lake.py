@@ -47,13 +47,13 @@ def table_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def lake_tables(
-    profile: DataFrame,
+    counts: DataFrame,
     sizes: DataFrame | None = None,
     system_name: str = "lake",
     schema_name: str = "lake",
 ) -> DataFrame:
-    """Table rows from a profile (row counts) and the file sizes."""
-    counted = profile.groupBy("table_name").agg(F.max("row_count").alias("row_count"))
+    """Table rows from (table_name, row_count) and the file sizes."""
+    counted = counts.select("table_name", "row_count")
     if sizes is not None:
         counted = counted.join(sizes, "table_name", "left").withColumn(
             "size", scalars.format_size("size_bytes")
