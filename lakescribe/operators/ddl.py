@@ -13,6 +13,7 @@ from lakescribe import model
 from lakescribe.functions import ddl_text as D
 from lakescribe.operators.ordering import running
 from lakescribe.operators.skew import lookup
+from lakescribe.session import materialized
 
 SEQ = ["path", "stmt_idx"]
 TABLE = model.TABLE_KEY
@@ -52,6 +53,11 @@ def statements(scripts: DataFrame) -> DataFrame:
     )
 
 
+def written(stmts: DataFrame) -> DataFrame:
+    """The statements from a table in the shared folder instead of from the scripts."""
+    return materialized(stmts.select("system_name", *SEQ, "stmt", "bare", "kind", "is_ddl"), "statements")
+
+
 def reduction(scripts: DataFrame, stmts: DataFrame) -> DataFrame:
     """Per file: characters of the script and of its DDL, and the share saved."""
     # the kept statements are joined by ";\n\n" and end with ";"
@@ -207,13 +213,13 @@ def _alters(stmts: DataFrame, found: DataFrame, default_schema: str) -> DataFram
     placed = running(
         events, ["system_name", "table_name"], SEQ, {"_seen": ("min", F.col("_oldest"))}
     ).filter(F.col("rest").isNotNull() & F.col("_seen").isNotNull())
-    moved = lookup(
+    moved = (
         placed.select(
             "system_name", F.col("_seen.schema_name").alias("schema_name"), "table_name", *SEQ, "rest"
-        ),
-        spans,
-        TABLE,
-    ).filter(F.col("_last") < seq)
+        )
+        .join(spans, TABLE)
+        .filter(F.col("_last") < seq)
+    )
     return here.unionByName(moved.drop("_first", "_last"))
 
 
@@ -259,7 +265,11 @@ def key_rows(stmts: DataFrame, default_schema: str = "dbo") -> DataFrame:
 
 
 def catalog(stmts: DataFrame, default_schema: str = "dbo") -> tuple[DataFrame, DataFrame]:
-    """Tables and columns of a corpus, keys applied."""
+    """Tables and columns of a corpus, keys applied.
+
+    The statements are used several times: hand in ``written(statements(...))``
+    so that scripts are decoded and split once.
+    """
     found = creates(stmts, default_schema)
     latest = last_creates(found)
     tables = model.conform(latest, model.TABLES)

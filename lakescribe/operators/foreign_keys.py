@@ -121,7 +121,7 @@ def best_parents(columns: DataFrame) -> DataFrame:
 
     asked = _children(columns).withColumn("parent_schema", F.col("schema_name"))
     near = lookup(asked, two_first([*wide, "parent_schema"], "_near"), [*wide, "parent_schema"])
-    found = lookup(near.drop("parent_schema"), two_first(wide, "_far"), wide)
+    found = lookup(near.drop("parent_schema"), two_first(wide, "_far"), wide, keys_from=asked)
     options = F.filter(
         F.concat(
             F.coalesce("_near", F.array().cast(found.schema["_near"].dataType)),
@@ -173,27 +173,37 @@ def validate(answers: DataFrame, columns: DataFrame, default_schema: str = "dbo"
         "system_name", "schema_name", "table_name", F.lower("column_name").alias("_c")
     ).agg(F.min("column_name").alias("_name"), F.bool_or(final_keys()).alias("_pk"))
 
+    answers = complete(answers)
+
     def side(df: DataFrame, role: str) -> DataFrame:
-        found = lookup(
-            df.withColumn("_t", F.lower(f"{role}_table")),
-            tables.withColumnRenamed("_table", f"_{role}"),
-            ["system_name", "_t"],
-        ).drop("_t")
-        asked = found.withColumns(
-            {
-                "schema_name": F.col(f"_{role}.schema_name"),
-                "table_name": F.col(f"_{role}.table_name"),
-                "_c": F.lower(f"{role}_column"),
-            }
-        )
-        return lookup(asked, keys, ["system_name", "schema_name", "table_name", "_c"]).select(
-            *df.columns,
-            f"_{role}",
-            F.col("_name").alias(f"_{role}_column"),
-            F.col("_pk").alias(f"_{role}_pk"),
+        """Find table and column of one role, once per distinct pair of names."""
+        names = ["system_name", f"_{role}_t", f"_{role}_c"]
+        lowered = {
+            f"_{role}_t": F.lower(f"{role}_table"),
+            f"_{role}_c": F.lower(f"{role}_column"),
+        }
+        asked = answers.withColumns(lowered).select(*names)
+        found = (
+            asked.distinct()
+            .join(tables.toDF("system_name", f"_{role}_t", f"_{role}"), names[:2], "left")
+            .withColumns(
+                {
+                    "schema_name": F.col(f"_{role}.schema_name"),
+                    "table_name": F.col(f"_{role}.table_name"),
+                    "_c": F.col(f"_{role}_c"),
+                }
+            )
+            .join(keys, ["system_name", "schema_name", "table_name", "_c"], "left")
+            .select(
+                *names,
+                f"_{role}",
+                F.col("_name").alias(f"_{role}_column"),
+                F.col("_pk").alias(f"_{role}_pk"),
+            )
         )
+        return lookup(df.withColumns(lowered), found, names, keys_from=asked)
 
-    checked = side(side(complete(answers), "source"), "target")
+    checked = side(side(answers, "source"), "target")
     reason = (
         F.when(F.col("_source").isNull(), "source table not found")
         .when(F.col("_target").isNull(), "target table not found")

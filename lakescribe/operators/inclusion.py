@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from lakescribe.operators.profile import carrier, long_values
+from lakescribe.operators.profile import carrier, long_values, text_literal
 
 WORD = 63
 
@@ -23,36 +23,39 @@ def _words(n: int) -> int:
     return (n + WORD - 1) // WORD
 
 
-def _bit(index: Column, word: int) -> Column:
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (index % WORD).cast("int"))
-    return F.when(F.floor(index / WORD) == word, one).otherwise(F.lit(0).cast("bigint"))
+def _has(index: int) -> str:
+    """SQL test of one column's bit in the mask words m0, m1, ..."""
+    return f"(m{index // WORD} & {1 << (index % WORD)}L) != 0"
 
 
-def _has(words: list[Column], index: int) -> Column:
-    return words[index // WORD].bitwiseAND(F.lit(1 << (index % WORD))) != 0
+def _array(items: list[str]) -> str:
+    return f"array_compact(array({', '.join(items)}))"
+
+
+def _struct(**fields: str) -> str:
+    return "struct(" + ", ".join(f"{text_literal(v)} AS {n}" for n, v in fields.items()) + ")"
 
 
 def value_masks(values: DataFrame, columns: list[Named]) -> DataFrame:
     """One row per value with the words of its column mask, nulls left out."""
-    position = F.create_map(
-        *[x for i, (t, c) in enumerate(columns) for x in (F.lit(f"{t}\u0000{c}"), F.lit(i))]
-    )
-    placed = values.filter(F.col("value").isNotNull()).select(
-        "value",
-        F.element_at(position, F.concat("table_name", F.lit("\u0000"), "column_name")).alias("i"),
+    places = ", ".join(
+        f"{text_literal(t)}, map({', '.join(f'{text_literal(c)}, {i}' for i, (u, c) in enumerate(columns) if u == t)})"
+        for t in sorted({t for t, _ in columns})
     )
-    return placed.groupBy("value").agg(
-        *[F.bit_or(_bit(F.col("i"), w)).alias(f"m{w}") for w in range(_words(len(columns)))]
+    placed = values.filter("value IS NOT NULL").selectExpr(
+        "value", f"map({places})[table_name][column_name] AS i"
     )
+    words = [
+        f"bit_or(CASE WHEN i DIV {WORD} = {w} THEN shiftleft(1L, i % {WORD}) ELSE 0L END) AS m{w}"
+        for w in range(_words(len(columns)))
+    ]
+    return placed.groupBy("value").agg(*[F.expr(w) for w in words])
 
 
-def _per_child(masks: DataFrame, columns: list[Named]) -> DataFrame:
+def _per_child(masks: DataFrame, n: int) -> DataFrame:
     """(child, m0, m1, ...) with one row per value and column it occurs in."""
-    words = [F.col(f"m{w}") for w in range(_words(len(columns)))]
-    members = F.array_compact(
-        F.array(*[F.when(_has(words, i), F.lit(i)) for i in range(len(columns))])
-    )
-    return masks.select(F.explode(members).alias("child"), *words)
+    members = _array([f"CASE WHEN {_has(i)} THEN {i} END" for i in range(n)])
+    return masks.selectExpr(f"explode({members}) AS child", *[f"m{w}" for w in range(_words(n))])
 
 
 def _carriers(frames: dict[str, DataFrame], wanted: set[Named]) -> dict[str, list[Named]]:
@@ -85,32 +88,26 @@ def inclusions(
         wanted = _by_table(columns)
         values = long_values({t: frames[t] for t in wanted}, wanted)[kind]
         masks = value_masks(values, columns)
-        n_words = _words(len(columns))
         folded = (
-            _per_child(masks, columns)
+            _per_child(masks, len(columns))
             .groupBy("child")
             .agg(
                 F.count("*").alias("n_child"),
-                *[F.bit_and(f"m{w}").alias(f"m{w}") for w in range(n_words)],
+                *[F.expr(f"bit_and(m{w}) AS m{w}") for w in range(_words(len(columns)))],
             )
         )
-        words = [F.col(f"m{w}") for w in range(n_words)]
-        names = F.array(
-            *[F.struct(F.lit(t).alias("table"), F.lit(c).alias("column")) for t, c in columns]
-        )
+        names = "array(" + ", ".join(_struct(table=t, column=c) for t, c in columns) + ")"
         child_ids = [i for i, c in enumerate(columns) if c in set(children)]
         parent_ids = [i for i, c in enumerate(columns) if c in set(parents)]
         if not child_ids or not parent_ids:
             continue
         sizes = folded.select(F.col("child").alias("parent"), F.col("n_child").alias("n_parent"))
-        hits = F.array_compact(F.array(*[F.when(_has(words, i), F.lit(i)) for i in parent_ids]))
+        hits = _array([f"CASE WHEN {_has(i)} THEN {i} END" for i in parent_ids])
         pairs = (
             folded.filter(F.col("child").isin(child_ids))
-            .select("child", "n_child", F.explode(hits).alias("parent"))
+            .selectExpr("child", "n_child", f"explode({hits}) AS parent")
             .join(sizes, "parent")
-            .withColumns(
-                {"c": F.element_at(names, F.col("child") + 1), "p": F.element_at(names, F.col("parent") + 1)}
-            )
+            .selectExpr(f"{names}[child] AS c", f"{names}[parent] AS p", "n_child", "n_parent")
         )
         results.append(
             pairs.filter(F.col("c.table") != F.col("p.table")).select(
@@ -148,37 +145,24 @@ def missing_counts(frames: dict[str, DataFrame], pairs: list[tuple[Named, Named]
         wanted = _by_table(columns)
         values = long_values({t: frames[t] for t in wanted}, wanted)[kind]
         masks = value_masks(values, columns)
-        words = [F.col(f"m{w}") for w in range(_words(len(columns)))]
-        questions = F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        _has(words, c),
-                        F.struct(F.lit(n).alias("pair"), (~_has(words, p)).alias("missing")),
-                    )
-                    for n, (c, p, _, _) in enumerate(asked)
-                ]
-            )
+        questions = _array(
+            [
+                f"CASE WHEN {_has(c)} THEN struct({n} AS pair, NOT ({_has(p)}) AS missing) END"
+                for n, (c, p, _, _) in enumerate(asked)
+            ]
         )
         counted = (
-            masks.select(F.inline(questions))
+            masks.selectExpr(f"inline({questions})")
             .groupBy("pair")
             .agg(F.count("*").alias("n_child"), F.count_if("missing").alias("n_missing"))
         )
-        names = F.array(
-            *[
-                F.struct(
-                    F.lit(c[0]).alias("child_table"),
-                    F.lit(c[1]).alias("child_column"),
-                    F.lit(p[0]).alias("parent_table"),
-                    F.lit(p[1]).alias("parent_column"),
-                )
-                for _, _, c, p in asked
-            ]
+        names = ", ".join(
+            _struct(child_table=c[0], child_column=c[1], parent_table=p[0], parent_column=p[1])
+            for _, _, c, p in asked
         )
         results.append(
-            counted.select(F.element_at(names, F.col("pair") + 1).alias("n"), "n_child", "n_missing").select(
-                "n.*", "n_child", "n_missing"
+            counted.selectExpr(f"array({names})[pair] AS a", "n_child", "n_missing").select(
+                "a.*", "n_child", "n_missing"
             )
         )
     if not results:

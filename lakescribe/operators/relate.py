@@ -38,12 +38,21 @@ def _target(keyed: DataFrame) -> Column:
     )
 
 
-def given_targets(asked: DataFrame, keyed: DataFrame, column: str, schema: str, out: str) -> DataFrame:
+def given_targets(
+    asked: DataFrame,
+    keyed: DataFrame,
+    column: str,
+    schema: str,
+    out: str,
+    base: DataFrame | None = None,
+) -> DataFrame:
     """Look up the table a column names itself.
 
     Of tables with one name in several schemas the given schema wins, then the
     column's own one, then the lowest. Each step joins with one row per key.
+    ``base`` holds the candidates when ``asked`` is already the result of a look-up.
     """
+    base = asked if base is None else base
     exact = keyed.groupBy("system_name", "schema_name", "table_name").agg(
         F.min(_target(keyed)).alias("_t")
     )
@@ -54,11 +63,22 @@ def given_targets(asked: DataFrame, keyed: DataFrame, column: str, schema: str,
                             F.col("_t").alias(name))
 
     key = ["system_name", "_s", "_n"]
+    keys = base.select("system_name", "schema_name", F.col(schema).alias("_g"), F.col(column).alias("_n"))
     step = lookup(
-        asked.withColumns({"_s": F.col(schema), "_n": F.col(column)}), at("_given"), key
+        asked.withColumns({"_s": F.col(schema), "_n": F.col(column)}),
+        at("_given"),
+        key,
+        keys_from=keys.withColumnRenamed("_g", "_s"),
+    )
+    step = lookup(
+        step.withColumn("_s", F.col("schema_name")),
+        at("_near"),
+        key,
+        keys_from=keys.withColumnRenamed("schema_name", "_s"),
+    )
+    step = lookup(
+        step, lowest.withColumnRenamed("table_name", "_n"), ["system_name", "_n"], keys_from=keys
     )
-    step = lookup(step.withColumn("_s", F.col("schema_name")), at("_near"), key)
-    step = lookup(step, lowest.withColumnRenamed("table_name", "_n"), ["system_name", "_n"])
     return step.withColumn(out, F.coalesce("_given", "_near", "_low")).drop(
         "_s", "_n", "_given", "_near", "_low"
     )
@@ -72,7 +92,9 @@ def _named_tables(keyed: DataFrame) -> DataFrame:
     ).withColumn("_rank", F.when(F.col("_n") == name, 0).otherwise(scalars.prefix_rank(name)))
 
 
-def name_targets(asked: DataFrame, keyed: DataFrame, out: str) -> DataFrame:
+def name_targets(
+    asked: DataFrame, keyed: DataFrame, out: str, base: DataFrame | None = None
+) -> DataFrame:
     """Find the table a column name points to, never the column's own table.
 
     A table equal to the name wins, then one with a known prefix in the order
@@ -96,10 +118,15 @@ def name_targets(asked: DataFrame, keyed: DataFrame, out: str) -> DataFrame:
             *keys, F.array_compact(F.array("_a", "_b")).alias(name)
         )
 
-    wanted = asked.withColumn("_n", F.element_at(scalars.entity_names("column_name"), 1))
-    near = lookup(wanted, two_best(["system_name", "schema_name", "_n"], "_near"),
-                  ["system_name", "schema_name", "_n"])
-    far = lookup(near, two_best(["system_name", "_n"], "_far"), ["system_name", "_n"])
+    entity = F.element_at(scalars.entity_names("column_name"), 1)
+    keys = (asked if base is None else base).select("system_name", "schema_name", entity.alias("_n"))
+    near = lookup(
+        asked.withColumn("_n", entity),
+        two_best(["system_name", "schema_name", "_n"], "_near"),
+        ["system_name", "schema_name", "_n"],
+        keys_from=keys,
+    )
+    far = lookup(near, two_best(["system_name", "_n"], "_far"), ["system_name", "_n"], keys_from=keys)
     kind = far.schema["_far"].dataType
     options = F.filter(
         F.concat(
@@ -126,8 +153,8 @@ def resolved(tables: DataFrame, columns: DataFrame, pk_may_reference: bool = Fal
     keyed = _with_keys(tables, columns)
     asked = candidates(columns, pk_may_reference)
     step = given_targets(asked, keyed, "inf_ref_table", "inf_ref_schema", "_inf")
-    step = given_targets(step, keyed, "fk_ref_table", "fk_ref_schema", "_exp")
-    return name_targets(step, keyed, "_name")
+    step = given_targets(step, keyed, "fk_ref_table", "fk_ref_schema", "_exp", asked)
+    return name_targets(step, keyed, "_name", asked)
 
 
 def relate(tables: DataFrame, columns: DataFrame, pk_may_reference: bool = False) -> DataFrame:

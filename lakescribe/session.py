@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "8", name: str = "lakescribe") -> SparkSession:
@@ -38,3 +38,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="lakescribe-")
         spark.sparkContext.setCheckpointDir(base)
     return os.path.join(base, f"{purpose}-{uuid.uuid4().hex[:12]}")
+
+
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
