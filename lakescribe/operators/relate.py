@@ -1,4 +1,10 @@
-"""Foreign key edges between the tables of a catalogue."""
+"""Foreign key edges between the tables of a catalogue.
+
+Every way to find a target is a look-up by name in one dictionary of tables: the
+inferred reference, the explicit reference and the name rule, each in the given
+schema, the column's own one, or any. A column asks all of them at once, and the
+first answer in order of preference is its target.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +14,14 @@ from lakescribe.functions import scalars
 from lakescribe.operators.skew import lookup
 
 TABLE = ["system_name", "schema_name", "table_name"]
+WORD = ["system_name", "kind", "scope", "token"]
+
+ANY_SCHEMA = "*"
+WAYS = ("ai", "explicit", "name")
+
+
+def _in_schema(schema: Column | str) -> Column:
+    return F.concat(F.lit("="), schema)
 
 
 def first_keys(columns: DataFrame) -> DataFrame:
@@ -28,170 +42,148 @@ def candidates(columns: DataFrame, pk_may_reference: bool = False) -> DataFrame:
     return columns.filter(may)
 
 
-def _with_keys(tables: DataFrame, columns: DataFrame) -> DataFrame:
+def keyed_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Tables with their first key column."""
     return tables.select(*TABLE).join(first_keys(columns), TABLE, "left")
 
 
-def _target(keyed: DataFrame) -> Column:
-    return F.struct(
-        F.col("schema_name").alias("schema"), F.col("table_name").alias("table"), "pk_column"
-    )
+def dictionary(keyed: DataFrame) -> DataFrame:
+    """Best tables per word: (system_name, kind, scope, token, options).
 
+    A ``given`` word is a full table name, a ``name`` word the full or the bare
+    one. Of several tables the full name wins, then the prefixes in the order dim,
+    fact, vw, stg, int, lkp, then the lowest name and schema. Only the two best
+    are kept, the second for columns of the best table itself, so the look-up
+    adds no rows however many tables share a name.
+    """
+    name = F.col("table_name")
+    bare = scalars.bare_table_name(name)
 
-def given_targets(
-    asked: DataFrame,
-    keyed: DataFrame,
-    column: str,
-    schema: str,
-    out: str,
-    base: DataFrame | None = None,
-) -> DataFrame:
-    """Look up the table a column names itself.
+    def word(kind: str, token: Column, rank: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), token.alias("token"), rank.alias("rank"))
 
-    Of tables with one name in several schemas the given schema wins, then the
-    column's own one, then the lowest. Each step joins with one row per key.
-    ``base`` holds the candidates when ``asked`` is already the result of a look-up.
-    """
-    base = asked if base is None else base
-    exact = keyed.groupBy("system_name", "schema_name", "table_name").agg(
-        F.min(_target(keyed)).alias("_t")
-    )
-    lowest = keyed.groupBy("system_name", "table_name").agg(F.min(_target(keyed)).alias("_low"))
-
-    def at(name: str) -> DataFrame:
-        return exact.select("system_name", F.col("schema_name").alias("_s"), F.col("table_name").alias("_n"),
-                            F.col("_t").alias(name))
-
-    key = ["system_name", "_s", "_n"]
-    keys = base.select("system_name", "schema_name", F.col(schema).alias("_g"), F.col(column).alias("_n"))
-    step = lookup(
-        asked.withColumns({"_s": F.col(schema), "_n": F.col(column)}),
-        at("_given"),
-        key,
-        keys_from=keys.withColumnRenamed("_g", "_s"),
+    words = F.array_compact(
+        F.array(
+            word("given", name, F.lit(0)),
+            word("name", name, F.lit(0)),
+            F.when(bare != name, word("name", bare, scalars.prefix_rank(name))),
+        )
     )
-    step = lookup(
-        step.withColumn("_s", F.col("schema_name")),
-        at("_near"),
-        key,
-        keys_from=keys.withColumnRenamed("schema_name", "_s"),
+    rows = (
+        keyed.select("*", F.inline(words))
+        .withColumn("scope", F.explode(F.array(_in_schema("schema_name"), F.lit(ANY_SCHEMA))))
+        .select(
+            *WORD,
+            F.struct(
+                "rank", F.col("table_name").alias("table"), F.col("schema_name").alias("schema"), "pk_column"
+            ).alias("pick"),
+        )
     )
-    step = lookup(
-        step, lowest.withColumnRenamed("table_name", "_n"), ["system_name", "_n"], keys_from=keys
+    best = rows.groupBy(*WORD).agg(F.min("pick").alias("first"))
+    named = rows.filter(F.col("kind") == "name")
+    second = (
+        lookup(named, best, WORD, "inner")
+        .filter(F.col("pick") != F.col("first"))
+        .groupBy(*WORD)
+        .agg(F.min("pick").alias("second"))
     )
-    return step.withColumn(out, F.coalesce("_given", "_near", "_low")).drop(
-        "_s", "_n", "_given", "_near", "_low"
+    return best.join(second, WORD, "left").select(
+        *WORD, F.array_compact(F.array("first", "second")).alias("options")
     )
 
 
-def _named_tables(keyed: DataFrame) -> DataFrame:
-    """Tables under the names a column may use: the full and the bare one."""
-    name = F.col("table_name")
-    return keyed.withColumn(
-        "_n", F.explode(F.array_distinct(F.array(name, scalars.bare_table_name(name))))
-    ).withColumn("_rank", F.when(F.col("_n") == name, 0).otherwise(scalars.prefix_rank(name)))
-
-
-def name_targets(
-    asked: DataFrame, keyed: DataFrame, out: str, base: DataFrame | None = None
-) -> DataFrame:
-    """Find the table a column name points to, never the column's own table.
-
-    A table equal to the name wins, then one with a known prefix in the order
-    dim, fact, vw, stg, int, lkp, then the lowest name; the own schema goes
-    before others. Tables are folded to the two best per name beforehand, so the
-    join adds no rows however many tables share a name.
+def _asks(ways: tuple[str, ...]) -> Column:
+    """Words a column asks for, in order of preference."""
+    out = []
+    for way in ways:
+        if way == "name":
+            token = F.element_at(scalars.entity_names("column_name"), 1)
+            scopes, kind, column = [_in_schema("schema_name"), F.lit(ANY_SCHEMA)], "name", F.lit(None)
+        else:
+            prefix = "inf_ref" if way == "ai" else "fk_ref"
+            token, kind = F.col(f"{prefix}_table"), "given"
+            scopes = [
+                _in_schema(F.col(f"{prefix}_schema")),
+                _in_schema("schema_name"),
+                F.lit(ANY_SCHEMA),
+            ]
+            column = F.col(f"{prefix}_column")
+        for scope in scopes:
+            ask = F.struct(
+                F.lit(len(out)).alias("preference"),
+                F.lit(way).alias("way"),
+                F.lit(kind).alias("kind"),
+                scope.alias("scope"),
+                token.alias("token"),
+                column.cast("string").alias("given"),
+            )
+            out.append(F.when(token.isNotNull() & scope.isNotNull(), ask))
+    return F.array_compact(F.array(*out))
+
+
+def resolve(asked: DataFrame, keyed: DataFrame, ways: tuple[str, ...] = WAYS) -> DataFrame:
+    """Candidates with ``found``: (preference, way, schema, table, pk_column, given) or null.
+
+    The name rule never answers with the column's own table.
     """
-    named = _named_tables(keyed)
-    ranked = F.struct("_rank", "table_name", "schema_name", "pk_column")
-
-    def two_best(keys: list[str], name: str) -> DataFrame:
-        some = named.select(*keys, ranked.alias("_r"))
-        first = some.groupBy(*keys).agg(F.min("_r").alias("_a"))
-        second = (
-            lookup(some, first, keys)
-            .filter(F.col("_r") != F.col("_a"))
-            .groupBy(*keys)
-            .agg(F.min("_r").alias("_b"))
-        )
-        return first.join(second, keys, "left").select(
-            *keys, F.array_compact(F.array("_a", "_b")).alias(name)
-        )
-
-    entity = F.element_at(scalars.entity_names("column_name"), 1)
-    keys = (asked if base is None else base).select("system_name", "schema_name", entity.alias("_n"))
-    near = lookup(
-        asked.withColumn("_n", entity),
-        two_best(["system_name", "schema_name", "_n"], "_near"),
-        ["system_name", "schema_name", "_n"],
-        keys_from=keys,
+    own = asked.select(
+        *TABLE, "column_name", "ordinal", "is_foreign_key", "inferred_fk", F.explode_outer(_asks(ways)).alias("ask")
+    ).select(*TABLE, "column_name", "ordinal", "is_foreign_key", "inferred_fk", "ask.*")
+    answered = lookup(own, dictionary(keyed), WORD)
+    fit = F.filter(
+        "options",
+        lambda t: (F.col("kind") == "given")
+        | (t["table"] != F.col("table_name"))
+        | (t["schema"] != F.col("schema_name")),
     )
-    far = lookup(near, two_best(["system_name", "_n"], "_far"), ["system_name", "_n"], keys_from=keys)
-    kind = far.schema["_far"].dataType
-    options = F.filter(
-        F.concat(
-            F.coalesce("_near", F.array().cast(kind)), F.coalesce("_far", F.array().cast(kind))
+    pick = F.get(fit, 0)
+    found = F.when(
+        pick.isNotNull(),
+        F.struct(
+            "preference",
+            "way",
+            pick["schema"].alias("schema"),
+            pick["table"].alias("table"),
+            pick["pk_column"].alias("pk_column"),
+            "given",
         ),
-        lambda t: ~((t["table_name"] == F.col("table_name")) & (t["schema_name"] == F.col("schema_name"))),
     )
-    picked = F.get(options, 0)
-    return far.withColumn(
-        out,
-        F.when(
-            picked.isNotNull(),
-            F.struct(
-                picked["schema_name"].alias("schema"),
-                picked["table_name"].alias("table"),
-                picked["pk_column"].alias("pk_column"),
-            ),
-        ),
-    ).drop("_n", "_near", "_far")
-
-
-def resolved(tables: DataFrame, columns: DataFrame, pk_may_reference: bool = False) -> DataFrame:
-    """Candidates with the target each step finds: ``_inf``, ``_exp``, ``_name``."""
-    keyed = _with_keys(tables, columns)
-    asked = candidates(columns, pk_may_reference)
-    step = given_targets(asked, keyed, "inf_ref_table", "inf_ref_schema", "_inf")
-    step = given_targets(step, keyed, "fk_ref_table", "fk_ref_schema", "_exp", asked)
-    return name_targets(step, keyed, "_name", asked)
+    return (
+        answered.withColumn("found", found)
+        .groupBy(*TABLE, "column_name")
+        .agg(
+            F.min("ordinal").alias("ordinal"),
+            F.bool_or("is_foreign_key").alias("is_foreign_key"),
+            F.bool_or("inferred_fk").alias("inferred_fk"),
+            F.min("found").alias("found"),
+        )
+    )
 
 
 def relate(tables: DataFrame, columns: DataFrame, pk_may_reference: bool = False) -> DataFrame:
     """Edge list of a catalogue; ``columns`` in the normal form.
 
     An inferred target goes before an explicit one, and that before the name
-    rule. Flagged columns without a target are kept as unresolved self edges.
+    rule. Flagged columns without a target are kept as unresolved self edges. A
+    column gives one edge, so (source, target, source_column) tells edges apart.
     """
-    found = resolved(tables, columns, pk_may_reference)
-    target = F.coalesce("_inf", "_exp", "_name")
-    by = (
-        F.when(F.col("_inf").isNotNull(), "ai")
-        .when(F.col("_exp").isNotNull(), "explicit")
-        .when(F.col("_name").isNotNull(), "name")
-    )
-    given_column = F.when(F.col("_inf").isNotNull(), F.col("inf_ref_column")).when(
-        F.col("_exp").isNotNull(), F.col("fk_ref_column")
-    )
-    is_self = (F.col("t.schema") == F.col("schema_name")) & (F.col("t.table") == F.col("table_name"))
-    edges = found.withColumns({"t": target, "by": by, "given": given_column})
-    is_edge = F.col("t").isNotNull() & ~is_self
-    kept = edges.filter(is_edge | F.col("is_foreign_key") | F.col("inferred_fk"))
-    rows = kept.select(
+    edges = resolve(candidates(columns, pk_may_reference), keyed_tables(tables, columns))
+    target = F.col("found")
+    is_self = (target["schema"] == F.col("schema_name")) & (target["table"] == F.col("table_name"))
+    is_edge = F.coalesce(target.isNotNull() & ~is_self, F.lit(False))
+    return edges.filter(is_edge | F.col("is_foreign_key") | F.col("inferred_fk")).select(
         "system_name",
         F.col("schema_name").alias("source_schema"),
         F.col("table_name").alias("source"),
-        F.when(is_edge, F.col("t.schema")).otherwise(F.col("schema_name")).alias("target_schema"),
-        F.when(is_edge, F.col("t.table")).otherwise(F.col("table_name")).alias("target"),
+        F.when(is_edge, target["schema"]).otherwise(F.col("schema_name")).alias("target_schema"),
+        F.when(is_edge, target["table"]).otherwise(F.col("table_name")).alias("target"),
         F.lit("FK").alias("type"),
         F.col("column_name").alias("source_column"),
-        F.when(is_edge, F.coalesce(scalars.blank_to_null("given"), F.col("t.pk_column"))).alias("target_column"),
-        F.coalesce(~is_edge, F.lit(True)).alias("unresolved"),
-        (F.coalesce(is_edge & (F.col("by") == "ai"), F.lit(False)) | F.col("inferred_fk")).alias("is_inferred"),
-        F.when(is_edge, F.col("by")).when(is_self, "self").alias("method"),
+        F.when(
+            is_edge, F.coalesce(scalars.blank_to_null(target["given"]), target["pk_column"])
+        ).alias("target_column"),
+        (~is_edge).alias("unresolved"),
+        ((is_edge & F.coalesce(target["way"] == "ai", F.lit(False))) | F.col("inferred_fk")).alias("is_inferred"),
+        F.when(is_edge, target["way"]).when(is_self, "self").alias("method"),
         "ordinal",
     )
-    key = ["system_name", "source_schema", "source", "target_schema", "target", "source_column"]
-    rest = [c for c in rows.columns if c not in key]
-    first = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), "ordinal").alias("_r"))
-    return first.select(*key, "_r.*")

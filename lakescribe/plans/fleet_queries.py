@@ -356,34 +356,29 @@ def candidates(spark, sf_dir):
     return relate.candidates(norm(spark, sf_dir)[1]).select("table_name", "column_name")
 
 
-def _keyed(t, c):
-    return t.select(*KEY).join(relate.first_keys(c), KEY, "left")
+def _found(spark, sf_dir, way):
+    t, c = norm(spark, sf_dir)
+    return relate.resolve(relate.candidates(c), relate.keyed_tables(t, c), (way,))
 
 
 @query("r2_inferred_targets", rsql("SELECT table_name, column_name, i_schema AS schema_found, i_table AS table_found FROM res"))
 def inferred_targets(spark, sf_dir):
-    t, c = norm(spark, sf_dir)
-    found = relate.given_targets(relate.candidates(c), _keyed(t, c), "inf_ref_table", "inf_ref_schema", "x")
-    return found.select(
-        "table_name", "column_name", F.col("x.schema").alias("schema_found"), F.col("x.table").alias("table_found")
+    return _found(spark, sf_dir, "ai").select(
+        "table_name", "column_name", F.col("found.schema").alias("schema_found"), F.col("found.table").alias("table_found")
     )
 
 
 @query("r3_explicit_targets", rsql("SELECT table_name, column_name, g_schema AS schema_found, g_table AS table_found FROM res"))
 def explicit_targets(spark, sf_dir):
-    t, c = norm(spark, sf_dir)
-    found = relate.given_targets(relate.candidates(c), _keyed(t, c), "fk_ref_table", "fk_ref_schema", "x")
-    return found.select(
-        "table_name", "column_name", F.col("x.schema").alias("schema_found"), F.col("x.table").alias("table_found")
+    return _found(spark, sf_dir, "explicit").select(
+        "table_name", "column_name", F.col("found.schema").alias("schema_found"), F.col("found.table").alias("table_found")
     )
 
 
 @query("r4_name_targets", rsql("SELECT table_name, column_name, n_table AS table_found, n_pk AS key_found FROM res"))
 def name_targets(spark, sf_dir):
-    t, c = norm(spark, sf_dir)
-    found = relate.name_targets(relate.candidates(c), _keyed(t, c), "x")
-    return found.select(
-        "table_name", "column_name", F.col("x.table").alias("table_found"), F.col("x.pk_column").alias("key_found")
+    return _found(spark, sf_dir, "name").select(
+        "table_name", "column_name", F.col("found.table").alias("table_found"), F.col("found.pk_column").alias("key_found")
     )
 
 
@@ -511,10 +506,13 @@ def best_match(spark, sf_dir):
     asked = t.withColumn(
         "column_name",
         F.concat(F.lit("e"), F.floor(k / 12).cast("string"), fleet._pick(fleet.SUFFIXES, k % 3)),
-    ).drop("pk_column")
-    found = relate.name_targets(asked, t.drop("k"), "x").filter(F.col("x").isNotNull())
+    ).withColumns({"ordinal": F.lit(1), "is_foreign_key": F.lit(False), "inferred_fk": F.lit(False)})
+    found = relate.resolve(asked, t.drop("k"), ("name",)).filter(F.col("found").isNotNull())
     return found.select(
-        "table_name", "column_name", F.col("x.schema").alias("target_schema"), F.col("x.table").alias("target")
+        "table_name",
+        "column_name",
+        F.col("found.schema").alias("target_schema"),
+        F.col("found.table").alias("target"),
     )
 
 
