@@ -5,6 +5,7 @@ from lakescribe.plans import (  # noqa: F401
     fleet_queries,
     lake_queries,
     script_queries,
+    text_queries,
 )
 from lakescribe.plans.registry import ORACLES, QUERIES
 
