@@ -9,11 +9,20 @@ _ARRAY_JSON = r"(?s)(\[.*\])"
 _FENCES = r"(?s)^\s*```(?:json)?\s*|\s*```\s*$"
 
 
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else, else null.
+
+    The parser stops after the first value; inside brackets, anything that
+    follows it shows as an error or as a second element.
+    """
+    held = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.size(F.try_variant_get(held, "$", "array<variant>")) == 1
+    return F.when(alone, F.try_variant_get(held, "$[0]", "variant"))
+
+
 def noisy_json(text: Column) -> Column:
     """VARIANT of an answer: the whole text, else its outermost JSON part."""
-    whole = F.try_parse_json(text)
-    part = F.try_parse_json(F.regexp_extract(text, _ANY_JSON, 1))
-    return F.coalesce(whole, part)
+    return F.coalesce(strict_json(text), strict_json(F.regexp_extract(text, _ANY_JSON, 1)))
 
 
 def unfenced(text: Column) -> Column:
@@ -22,7 +31,7 @@ def unfenced(text: Column) -> Column:
 
 
 def _array_part(text: Column) -> Column:
-    return F.try_parse_json(unfenced(F.regexp_extract(text, _ARRAY_JSON, 1)))
+    return strict_json(unfenced(F.regexp_extract(text, _ARRAY_JSON, 1)))
 
 
 def string_array(text: Column) -> Column:

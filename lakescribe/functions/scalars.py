@@ -73,7 +73,9 @@ def minute_text(iso: Column | str) -> Column:
     """ISO time to ``YYYY-MM-DD HH:MM UTC`` on its own clock; else unchanged."""
     raw = _as_col(iso)
     clock = F.regexp_replace(raw, r"(?:Z|[+-]\d{2}:?\d{2})$", "")
-    parsed = clock.try_cast("timestamp_ntz").cast("string")
+    # words such as "yesterday" are times to the parser, but not ISO times
+    is_iso = clock.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ][\d:.,]+)?$")
+    parsed = F.when(is_iso, clock.try_cast("timestamp_ntz")).cast("string")
     return F.coalesce(F.concat(F.substring(parsed, 1, 16), F.lit(" UTC")), raw)
 
 
