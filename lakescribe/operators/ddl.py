@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lakescribe import model
 from lakescribe.functions import ddl_text as D
-from lakescribe.operators.ordering import running
+from lakescribe.operators.ordering import range_bounds, running
 from lakescribe.operators.skew import lookup
 from lakescribe.session import materialized
 
@@ -210,8 +210,13 @@ def _alters(stmts: DataFrame, found: DataFrame, default_schema: str) -> DataFram
             )
         )
     )
+    by_name = ["system_name", "table_name"]
     placed = running(
-        events, ["system_name", "table_name"], SEQ, {"_seen": ("min", F.col("_oldest"))}
+        events,
+        by_name,
+        SEQ,
+        {"_seen": ("min", F.col("_oldest"))},
+        bounds=range_bounds(found, [*by_name, *SEQ]),
     ).filter(F.col("rest").isNotNull() & F.col("_seen").isNotNull())
     moved = (
         placed.select(

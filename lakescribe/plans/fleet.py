@@ -30,13 +30,20 @@ def schema_of(k: Column) -> Column:
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, "part.parquet")).select(
+    """Part keys and what the formulas need of them.
+
+    A part becomes up to fifty columns or a whole script, so a table read in
+    fewer pieces than there are cores is spread out while its rows are small.
+    """
+    read = spark.read.parquet(os.path.join(sf_dir, "part.parquet")).select(
         F.col("p_partkey").alias("k"),
         F.floor(F.col("p_partkey") / 2).alias("parent"),
         "p_size",
         "p_name",
         "p_retailprice",
     )
+    cores = spark.sparkContext.defaultParallelism
+    return read.repartition(cores, "k") if read.rdd.getNumPartitions() < cores else read
 
 
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
