@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from lakescribe.functions import scalars
 from lakescribe.operators.ordering import ROWS_PER_RANGE, range_bounds, range_of, running
 from lakescribe.operators.search import first_columns
+from lakescribe.operators.skew import lookup
 
 TABLE = ["system_name", "schema_name", "table_name"]
 
@@ -51,7 +52,10 @@ def adaptive_batches(
         },
         rows_per_range,
     )
-    group = F.when(~wide, F.floor((F.col("_small") - 1) / SMALL_PER_BATCH))
+    # wide tables get group numbers that no small table has, and no two alike
+    group = F.when(~wide, F.floor((F.col("_small") - 1) / SMALL_PER_BATCH)).otherwise(
+        -F.col("_wide")
+    )
     grouped = counted.withColumns({"_wide_row": wide, "_group": group})
     full = (
         grouped.filter(~F.col("_wide_row"))
@@ -62,7 +66,9 @@ def adaptive_batches(
         F.max("_wide").alias("_all_wide"),
         F.floor(F.max("_small") / SMALL_PER_BATCH).alias("_all_full"),
     )
-    small_numbers = full.join(totals, "system_name").select(
+    small_numbers = lookup(
+        full, totals, ["system_name"], "inner", keys_from=sized.filter(~wide)
+    ).select(
         "system_name",
         "_group",
         F.when(F.col("_n") == SMALL_PER_BATCH, F.col("_before") + F.col("_group"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from lakescribe.operators.skew import lookup
+
 TABLE = ["system_name", "schema_name", "table_name"]
 
 
@@ -88,11 +90,10 @@ def _touching(edges: DataFrame, near: DataFrame) -> DataFrame:
     ends = near.select(*TABLE)
     source = ends.toDF("system_name", "source_schema", "source").withColumn("_src", F.lit(True))
     target = ends.toDF("system_name", "target_schema", "target").withColumn("_tgt", F.lit(True))
-    return (
-        shown.join(source, ["system_name", "source_schema", "source"], "left")
-        .join(target, ["system_name", "target_schema", "target"], "left")
-        .filter(F.col("_src") | F.col("_tgt"))
-    )
+    key = ["system_name", "target_schema", "target"]
+    # a table has few outgoing edges, but any number of incoming ones
+    from_near = shown.join(source, ["system_name", "source_schema", "source"], "left")
+    return lookup(from_near, target, key, keys_from=shown).filter(F.col("_src") | F.col("_tgt"))
 
 
 def _shown_columns(columns: DataFrame, near: DataFrame, tables: DataFrame) -> DataFrame:
@@ -159,10 +160,12 @@ def _flagged(touching: DataFrame, cols: DataFrame) -> DataFrame:
     own = cols.distinct()
     source = own.toDF("system_name", "source_schema", "source", "source_column").withColumn("_sc", F.lit(True))
     target = own.toDF("system_name", "target_schema", "target", "target_column").withColumn("_tc", F.lit(True))
-    return (
-        touching.join(source, ["system_name", "source_schema", "source", "source_column"], "left")
-        .join(target, ["system_name", "target_schema", "target", "target_column"], "left")
-        .withColumn("_both", F.coalesce(F.col("_sc") & F.col("_tc"), F.lit(False)))
+    with_source = touching.join(
+        source, ["system_name", "source_schema", "source", "source_column"], "left"
+    )
+    key = ["system_name", "target_schema", "target", "target_column"]
+    return lookup(with_source, target, key, keys_from=touching).withColumn(
+        "_both", F.coalesce(F.col("_sc") & F.col("_tc"), F.lit(False))
     )
 
 

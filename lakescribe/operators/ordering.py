@@ -9,17 +9,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 ROWS_PER_RANGE = 500_000
-MAX_RANGES = 4096
-SAMPLE_PER_RANGE = 20
+MAX_RANGES = 65_536
+SAMPLE_PER_RANGE = 8
 
 
 def range_bounds(
     df: DataFrame, keys: list[str], rows_per_range: int = ROWS_PER_RANGE
-) -> list[tuple]:
-    """Sorted key values that cut ``df`` into ranges of about equal size.
+) -> list[str]:
+    """Sorted key values, as JSON, that cut ``df`` into ranges of about equal size.
 
     They come from a bounded sample and only steer the balance; any bounds give
     the same results. Small inputs get none.
@@ -30,29 +30,35 @@ def range_bounds(
         return []
     share = min(1.0, ranges * SAMPLE_PER_RANGE / total)
     picked = (
-        df.select(*keys).sample(share, seed=11).orderBy(*keys).limit(2 * MAX_RANGES * SAMPLE_PER_RANGE)
-    ).collect()
+        df.select(*keys)
+        .sample(share, seed=11)
+        .orderBy(*keys)
+        .limit(2 * ranges * SAMPLE_PER_RANGE)
+        .select(F.to_json(F.struct(*keys)).alias("key"))
+        .collect()
+    )
     step = max(1, len(picked) // ranges)
-    bounds = [tuple(r) for r in picked[step::step]]
-    return sorted(set(bounds), key=bounds.index)
+    return list(dict.fromkeys(r.key for r in picked[step::step]))
 
 
-def range_of(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
+def range_of(df: DataFrame, keys: list[str], bounds: list[str]) -> Column:
     """Number of bounds not above the row's key, by a search on two levels."""
     if not bounds:
         return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-
-    def literal(values: tuple) -> Column:
-        return F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, values)])
-
+    key_type = T.StructType([df.schema[k] for k in keys])
     width = math.ceil(math.sqrt(len(bounds)))
     groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    heads = F.array(*[literal(g[0]) for g in groups])
-    bodies = F.array(*[F.array(*[literal(b) for b in g]) for g in groups])
+
+    def constant(items: list[str], kind: T.DataType) -> Column:
+        return F.from_json(F.lit(f"[{','.join(items)}]"), kind)
+
+    heads = constant([g[0] for g in groups], T.ArrayType(key_type))
+    bodies = constant(
+        [f"[{','.join(g)}]" for g in groups], T.ArrayType(T.ArrayType(key_type))
+    )
     key = F.struct(*[F.col(k).alias(k) for k in keys])
     group = F.size(F.filter(heads, lambda b: b <= key))
-    inside = F.size(F.filter(F.element_at(bodies, group), lambda b: b <= key))
+    inside = F.size(F.filter(F.get(bodies, group - 1), lambda b: b <= key))
     return F.when(group == 0, 0).otherwise((group - 1) * width + inside)
 
 
@@ -62,7 +68,7 @@ def running(
     order: list[str],
     totals: dict[str, tuple[str, Column]],
     rows_per_range: int = ROWS_PER_RANGE,
-    bounds: list[tuple] | None = None,
+    bounds: list[str] | None = None,
 ) -> DataFrame:
     """Add running totals from the start of each group up to the row itself.
 

@@ -11,6 +11,7 @@ from lakescribe.operators.ordering import row_numbers
 TABLE = ["system_name", "schema_name", "table_name"]
 ORDER = TABLE
 INLINE_NAMES = 1000
+DEEP_PAGE = 100_000
 
 
 def holds(c: Column | str, q: str) -> Column:
@@ -62,9 +63,16 @@ def one_table(tables: DataFrame, name: str) -> DataFrame:
 
 
 def page(df: DataFrame, number: int = 1, size: int = 20, order: list[str] = ORDER) -> DataFrame:
-    """Rows of one page in catalogue order."""
+    """Rows of one page in catalogue order.
+
+    Taking the first rows of a sort is cheap for the pages people look at; a deep
+    page is found by row numbers that are made range by range.
+    """
     if size < 1 or number < 1:
         raise ValueError("page number and page size must be at least 1")
+    if number * size > DEEP_PAGE:
+        found = numbered_pages(df, [], order, size).filter(F.col("page") == number)
+        return found.select(*df.columns)
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 

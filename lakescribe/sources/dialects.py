@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakescribe.functions.scalars import is_yes
+from lakescribe.operators.skew import lookup
 
 Dumps = dict[str, DataFrame]
 
@@ -71,7 +72,9 @@ def _paired(usage: DataFrame, links: DataFrame) -> DataFrame:
         F.col("table_name").alias("ref_table"),
         F.col("column_name").alias("ref_column"),
     )
-    return child.join(target, ["system_name", "target_name", "target_schema", "position"]).select(
+    # thousands of foreign keys may share one target key
+    key = ["system_name", "target_name", "target_schema", "position"]
+    return lookup(child, target, key, "inner").select(
         "system_name", "schema_name", "table_name", "column_name", "ref_schema", "ref_table", "ref_column"
     )
 
@@ -89,7 +92,7 @@ def postgres(d: Dumps, schema: str | None = None, tables=None, include_views=Fal
     )
     spaces = d["pg_namespace"].select("system_name", F.col("oid").alias("relnamespace"), "nspname")
     base = (
-        rel.join(spaces, ["system_name", "relnamespace"])
+        lookup(rel, spaces, ["system_name", "relnamespace"], "inner")
         .filter(_within("nspname", schema))
         .select(
             "system_name",
@@ -329,6 +332,17 @@ def snowflake(d: Dumps, schema: str | None = None, tables=None) -> Dumps:
     }
 
 
+def _named_objects(d: Dumps) -> DataFrame:
+    """(system_name, object_id, schema_name, table_name) of all tables."""
+    tables = d["sys_tables"].select(
+        "system_name", "object_id", "schema_id", F.col("name").alias("table_name")
+    )
+    schemas = d["sys_schemas"].select(
+        "system_name", "schema_id", F.col("name").alias("schema_name")
+    )
+    return lookup(tables, schemas, ["system_name", "schema_id"], "inner").drop("schema_id")
+
+
 def sqlserver_volumes(d: Dumps) -> DataFrame:
     """Rows and bytes per table from its heap or clustered index.
 
@@ -345,14 +359,7 @@ def sqlserver_volumes(d: Dumps) -> DataFrame:
         .groupBy("system_name", "object_id")
         .agg((F.sum("total_pages") * 8192).cast("bigint").alias("size_bytes"))
     )
-    named = (
-        d["sys_tables"]
-        .select("system_name", "object_id", "schema_id", F.col("name").alias("table_name"))
-        .join(
-            d["sys_schemas"].select("system_name", "schema_id", F.col("name").alias("schema_name")),
-            ["system_name", "schema_id"],
-        )
-    )
+    named = _named_objects(d)
     return (
         named.join(rows, ["system_name", "object_id"], "left")
         .join(pages, ["system_name", "object_id"], "left")
@@ -371,11 +378,7 @@ def sqlserver_leading_statistics(d: Dumps) -> DataFrame:
         .join(d["sys_columns"].select("system_name", "object_id", "column_id",
                                       F.col("name").alias("column_name")),
               ["system_name", "object_id", "column_id"])
-        .join(d["sys_tables"].select("system_name", "object_id", "schema_id",
-                                     F.col("name").alias("table_name")),
-              ["system_name", "object_id"])
-        .join(d["sys_schemas"].select("system_name", "schema_id", F.col("name").alias("schema_name")),
-              ["system_name", "schema_id"])
+        .join(_named_objects(d), ["system_name", "object_id"])
         .groupBy("system_name", "schema_name", "table_name", "column_name")
         .agg(F.max("rows").cast("bigint").alias("stat_rows"))
     )

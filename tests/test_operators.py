@@ -279,6 +279,8 @@ def test_paging_limits(spark):
     df = spark.range(45)
     assert search.page(df, 3, 20, ["id"]).count() == 5
     assert search.page(df, 9, 20, ["id"]).count() == 0
+    deep = spark.range(200_007).repartition(5)
+    assert sorted(r.id for r in search.page(deep, 10_001, 20, ["id"]).collect()) == list(range(200_000, 200_007))
     for number, size in ((0, 20), (1, 0)):
         with pytest.raises(ValueError):
             search.page(df, number, size, ["id"])
