@@ -32,6 +32,7 @@ _TOKEN = r"'[^']*+(?:'|\z)|/\*[\s\S]*?(?:\*/|\z)|--[^\n]*+(?:\n|\z)|[^'/\-]++|[/
 _STEERING = ";,()\n"
 _PRIVATE = "\ue000\ue001\ue002\ue003\ue004"
 
+# Patterns of the statements and keys that are read (fixed values).
 CREATE_TABLE = rf"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{DOTTED}\s*\("
 ALTER_TABLE = rf"(?i)^ALTER\s+TABLE\s+{DOTTED}"
 _CLUSTER = r"(?:CLUSTERED|NONCLUSTERED)?"

@@ -260,27 +260,37 @@ def _keys(rows: DataFrame, text: str, in_alter: bool, default_schema: str) -> Da
     return single.unionByName(paired)
 
 
-def key_rows(stmts: DataFrame, default_schema: str = "dbo") -> DataFrame:
+def written_items(stmts: DataFrame, default_schema: str = "dbo") -> DataFrame:
+    """Items of all table bodies, taken apart once and kept in the shared folder."""
+    return materialized(_items(last_creates(creates(stmts, default_schema))), "items")
+
+
+def key_rows(
+    stmts: DataFrame, default_schema: str = "dbo", items: DataFrame | None = None
+) -> DataFrame:
     """All table-level keys of a corpus, from CREATE bodies and later ALTERs."""
     found = creates(stmts, default_schema)
-    items = _items(last_creates(found))
+    items = _items(last_creates(found)) if items is None else items
     inside = _keys(items.filter(~_is_column()), "item", False, default_schema)
     alters = _alters(stmts, found, default_schema).withColumn("pos", F.lit(0))
     return inside.unionByName(_keys(alters, "rest", True, default_schema))
 
 
-def catalog(stmts: DataFrame, default_schema: str = "dbo") -> tuple[DataFrame, DataFrame]:
+def catalog(
+    stmts: DataFrame, default_schema: str = "dbo", items: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Tables and columns of a corpus, keys applied.
 
     The statements are used several times: hand in ``written(statements(...))``
-    so that scripts are decoded and split once.
+    so that scripts are decoded and split once, and ``written_items`` of them so
+    that table bodies are, too.
     """
-    found = creates(stmts, default_schema)
-    latest = last_creates(found)
+    latest = last_creates(creates(stmts, default_schema))
     tables = model.conform(latest, model.TABLES)
-    cols = _columns(_items(latest), default_schema).withColumn("_c", F.lower("column_name"))
+    items = _items(latest) if items is None else items
+    cols = _columns(items, default_schema).withColumn("_c", F.lower("column_name"))
     keys = (
-        key_rows(stmts, default_schema)
+        key_rows(stmts, default_schema, items)
         .groupBy(*TABLE, F.lower("column_name").alias("_c"))
         .agg(
             F.bool_or(F.col("kind") == "PK").alias("_pk"),

@@ -9,6 +9,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lakescribe.functions import json_text
 
 TABLE = ["system_name", "schema_name", "table_name"]
+
+# Texts of descriptions made without a service, and how many column names a table
+# text shows (fixed values).
+TABLE_TEXT = "Table %s with columns: %s.%s"
+KEYS_TEXT = " Primary key(s): %s."
+COLUMN_TEXT = "Column %s in table %s."
+COMBINED_TABLE_TEXT = "Table %s containing business data."
+COMBINED_COLUMN_TEXT = "Details for %s."
 NAMES_SHOWN = 10
 
 
@@ -87,21 +95,21 @@ def table_text(table: Column, names: Column, keys: Column) -> Column:
     """Plain description of a table from its first column names and its keys."""
     shown = F.array_join(F.slice(names, 1, NAMES_SHOWN), ", ")
     key_part = F.when(
-        F.size(keys) > 0, F.concat(F.lit(" Primary key(s): "), F.array_join(keys, ", "), F.lit("."))
+        F.size(keys) > 0, F.format_string(KEYS_TEXT, F.array_join(keys, ", "))
     ).otherwise("")
-    return F.concat(F.lit("Table "), table, F.lit(" with columns: "), shown, F.lit("."), key_part)
+    return F.format_string(TABLE_TEXT, table, shown, key_part)
 
 
 def column_text(table: Column, column: Column) -> Column:
-    return F.concat(F.lit("Column "), column, F.lit(" in table "), table, F.lit("."))
+    return F.format_string(COLUMN_TEXT, column, table)
 
 
 def combined_table_text(table: Column) -> Column:
-    return F.concat(F.lit("Table "), table, F.lit(" containing business data."))
+    return F.format_string(COMBINED_TABLE_TEXT, table)
 
 
 def combined_column_text(column: Column) -> Column:
-    return F.concat(F.lit("Details for "), column, F.lit("."))
+    return F.format_string(COMBINED_COLUMN_TEXT, column)
 
 
 def offline_answer(payload: str) -> str:
@@ -109,7 +117,7 @@ def offline_answer(payload: str) -> str:
     return json.dumps(
         {
             t["table_name"]: {
-                "table_description": f"Table {t['table_name']} containing business data.",
+                "table_description": COMBINED_TABLE_TEXT % t["table_name"],
                 "column_descriptions": [
                     {"columnName": c["name"], "description": ""} for c in t["columns"]
                 ],

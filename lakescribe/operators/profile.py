@@ -116,14 +116,21 @@ def long_values(
             if wanted is None or f.name in wanted.get(table, []):
                 groups.setdefault(carrier(f.dataType), []).append(f)
         for kind, fields in groups.items():
-            pairs = ", ".join(
-                f"struct({text_literal(f.name)} AS column_name, {_comparable(f)} AS value)"
-                for f in fields
-            )
-            rows = df.selectExpr(f"inline(array({pairs}))")
-            out.setdefault(kind, []).append(
-                rows.selectExpr(f"{text_literal(table)} AS table_name", "column_name", "value")
-            )
+            name = f"{text_literal(table)} AS table_name"
+            if len(fields) == 1:
+                only = fields[0]
+                rows = df.selectExpr(
+                    name, f"{text_literal(only.name)} AS column_name", f"{_comparable(only)} AS value"
+                )
+            else:
+                pairs = ", ".join(
+                    f"struct({text_literal(f.name)} AS column_name, {_comparable(f)} AS value)"
+                    for f in fields
+                )
+                rows = df.selectExpr(f"inline(array({pairs}))").selectExpr(
+                    name, "column_name", "value"
+                )
+            out.setdefault(kind, []).append(rows)
     return {k: reduce(lambda a, b: a.unionByName(b), v) for k, v in out.items()}
 
 

@@ -228,7 +228,8 @@ def paired_keys(spark, sf_dir):
     sql("SELECT schema_name, table_name, count(*) AS n_columns, count(*) FILTER (primary_key) AS n_pk, count(*) FILTER (foreign_key) AS n_fk FROM sc GROUP BY ALL"),
 )
 def catalogue(spark, sf_dir):
-    tables, columns = ddl.catalog(stored(spark, sf_dir), "dbo")
+    found = stored(spark, sf_dir)
+    tables, columns = ddl.catalog(found, "dbo", ddl.written_items(found))
     per_table = columns.groupBy("schema_name", "table_name").agg(
         F.count("*").alias("n_columns"), F.count_if("primary_key").alias("n_pk"), F.count_if("foreign_key").alias("n_fk")
     )
