@@ -16,6 +16,10 @@ from lakescribe.operators.profile import carrier, long_values, text_literal
 
 WORD = 63
 
+# Up to this many columns or pairs each has its own compiled test; beyond, only the
+# bits that are set are walked.
+COMPILED_TESTS = 252
+
 Named = tuple[str, str]
 
 
@@ -52,12 +56,47 @@ def value_masks(values: DataFrame, columns: list[Named]) -> DataFrame:
     return placed.groupBy("value").agg(*[F.expr(w) for w in words])
 
 
+def _set_bits(ids: list[int], n: int) -> str:
+    """SQL array of those of ``ids`` whose bit is set, out of ``n`` columns."""
+    if len(ids) <= COMPILED_TESTS:
+        return _array([f"CASE WHEN {_has(i)} THEN {i} END" for i in ids])
+    words = ", ".join(f"struct({w} AS w, m{w} AS m)" for w in range(_words(n)))
+    found = (
+        f"flatten(transform(filter(array({words}), x -> x.m != 0), "
+        f"x -> transform(filter(sequence(0, {WORD - 1}), b -> getbit(x.m, b) = 1), b -> x.w * {WORD} + b)))"
+    )
+    if len(ids) == n:
+        return found
+    return f"filter({found}, i -> array_contains(array({', '.join(map(str, ids))}), i))"
+
+
 def _per_child(masks: DataFrame, n: int) -> DataFrame:
     """(child, m0, m1, ...) with one row per value and column it occurs in."""
-    members = _array([f"CASE WHEN {_has(i)} THEN {i} END" for i in range(n)])
+    members = _set_bits(list(range(n)), n)
     return masks.selectExpr(f"explode({members}) AS child", *[f"m{w}" for w in range(_words(n))])
 
 
+def _answers(masks: DataFrame, n: int, asked: list[tuple[int, int]]) -> DataFrame:
+    """(pair, missing) with one row per value and asked pair whose child holds it."""
+    if len(asked) <= COMPILED_TESTS:
+        tests = [
+            f"CASE WHEN {_has(c)} THEN struct({i} AS pair, NOT ({_has(p)}) AS missing) END"
+            for i, (c, p) in enumerate(asked)
+        ]
+        return masks.selectExpr(f"inline({_array(tests)})")
+    by_child: dict[int, list[str]] = {}
+    for i, (c, p) in enumerate(asked):
+        by_child.setdefault(c, []).append(f"struct({i} AS pair, {p} AS parent)")
+    pairs = ", ".join(f"{c}, array({', '.join(ps)})" for c, ps in by_child.items())
+    words = ", ".join(f"m{w}" for w in range(_words(n)))
+    members = _set_bits(sorted(by_child), n)
+    return (
+        masks.selectExpr(f"explode({members}) AS child", f"array({words}) AS words")
+        .selectExpr("words", f"inline(map({pairs})[child])")
+        .selectExpr("pair", f"getbit(words[parent DIV {WORD}], CAST(parent % {WORD} AS INT)) = 0 AS missing")
+    )
+
+
 def _carriers(frames: dict[str, DataFrame], wanted: set[Named]) -> dict[str, list[Named]]:
     out: dict[str, list[Named]] = {}
     for table, df in frames.items():
@@ -102,7 +141,7 @@ def inclusions(
         if not child_ids or not parent_ids:
             continue
         sizes = folded.select(F.col("child").alias("parent"), F.col("n_child").alias("n_parent"))
-        hits = _array([f"CASE WHEN {_has(i)} THEN {i} END" for i in parent_ids])
+        hits = _set_bits(parent_ids, len(columns))
         pairs = (
             folded.filter(F.col("child").isin(child_ids))
             .selectExpr("child", "n_child", f"explode({hits}) AS parent")
@@ -145,14 +184,8 @@ def missing_counts(frames: dict[str, DataFrame], pairs: list[tuple[Named, Named]
         wanted = _by_table(columns)
         values = long_values({t: frames[t] for t in wanted}, wanted)[kind]
         masks = value_masks(values, columns)
-        questions = _array(
-            [
-                f"CASE WHEN {_has(c)} THEN struct({n} AS pair, NOT ({_has(p)}) AS missing) END"
-                for n, (c, p, _, _) in enumerate(asked)
-            ]
-        )
         counted = (
-            masks.selectExpr(f"inline({questions})")
+            _answers(masks, len(columns), [(c, p) for c, p, _, _ in asked])
             .groupBy("pair")
             .agg(F.count("*").alias("n_child"), F.count_if("missing").alias("n_missing"))
         )

@@ -153,7 +153,8 @@ def constraint_items(spark, sf_dir):
 
 
 def _catalog(spark, sf_dir):
-    return ddl.catalog(stored(spark, sf_dir), "dbo")[1]
+    found = stored(spark, sf_dir)
+    return ddl.catalog(found, "dbo", ddl.written_items(found))[1]
 
 
 @query("d13_names", sql("SELECT table_name, ordinal, column_name FROM sc"))
@@ -327,13 +328,13 @@ def _files(spark, sf_dir) -> str:
 @query("a29_script_files", sql("SELECT schema_name, table_name, count(*) AS n_columns FROM sc GROUP BY ALL"))
 def script_files(spark, sf_dir):
     found = ddl.written(ddl.statements(script_source.read_scripts(spark, _files(spark, sf_dir))))
-    return ddl.catalog(found, "dbo")[1].groupBy("schema_name", "table_name").agg(F.count("*").alias("n_columns"))
+    return ddl.catalog(found, "dbo", ddl.written_items(found))[1].groupBy("schema_name", "table_name").agg(F.count("*").alias("n_columns"))
 
 
 @query("u2_merged_files", sql("SELECT table_name, ordinal, ref_table FROM sc WHERE foreign_key"))
 def merged_files(spark, sf_dir):
     """All files count as one corpus: keys may come from other files."""
     found = ddl.written(ddl.statements(script_source.read_scripts(spark, _files(spark, sf_dir))))
-    return ddl.catalog(found, "dbo")[1].filter("foreign_key").select(
+    return ddl.catalog(found, "dbo", ddl.written_items(found))[1].filter("foreign_key").select(
         "table_name", "ordinal", F.col("references.table").alias("ref_table")
     )

@@ -91,7 +91,9 @@ def test_documents_in_parts_hold_all_tables(spark):
     assert [r.o for r in first] == [[1, 2]]
 
 
-def test_inclusion_against_brute_force(spark):
+@pytest.mark.parametrize("compiled", [252, 5])
+def test_inclusion_against_brute_force(spark, monkeypatch, compiled):
+    monkeypatch.setattr(inclusion, "COMPILED_TESTS", compiled)
     rng = random.Random(3)
     data = {f"t{i}": {f"c{j}": [rng.choice([None, *range(rng.choice([2, 4, 9]))]) for _ in range(12)] for j in range(9)} for i in range(9)}
     frames = {
