@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -319,12 +319,18 @@ def payload_columns(columns: DataFrame, cap: int = COLUMNS_PER_PAYLOAD) -> DataF
     return first_columns(columns, cap)
 
 
-def describe(payload_rows: DataFrame, fn) -> DataFrame:
+def describe(
+    payload_rows: DataFrame, fn: Callable[[str], str], parallelism: int | None = None
+) -> DataFrame:
     """Answers of ``fn(payload_json) -> answer_text`` for every payload row.
 
-    Parallel over the partitions of ``payload_rows``. A failing call gives a row
-    with the error in ``status``; trying again is up to ``fn``.
+    ``parallelism`` is the number of tasks that call ``fn`` at a time, by default
+    all cores: payloads are few and small, so without it they might end up in one
+    task. A failing call gives a row with the error in ``status``; trying again
+    is up to ``fn``, and a lost executor calls it again. Write the result before
+    using it twice (``session.materialized``), or every use calls ``fn``.
     """
+    tasks = parallelism or payload_rows.sparkSession.sparkContext.defaultParallelism
     result = "system_name string, batch_no bigint, answer string, status string"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -339,4 +345,7 @@ def describe(payload_rows: DataFrame, fn) -> DataFrame:
                     states.append(f"error: {error}")
             yield pdf[["system_name", "batch_no"]].assign(answer=answers, status=states)
 
-    return payload_rows.select("system_name", "batch_no", "payload").mapInPandas(run, result)
+    spread = payload_rows.select("system_name", "batch_no", "payload").repartition(
+        tasks, "system_name", "batch_no"
+    )
+    return spread.mapInPandas(run, result)

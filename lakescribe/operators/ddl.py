@@ -316,23 +316,26 @@ def catalog(
 
 
 def unparsed(scripts: DataFrame, stmts: DataFrame, default_schema: str = "dbo") -> DataFrame:
-    """Files that gave no table, with whether they hold DDL at all."""
-    parsed = (
-        creates(stmts, default_schema)
-        .filter(D.create_body(F.col("bare")).isNotNull())
-        .select("system_name", "path")
-        .distinct()
+    """Files that gave no table, and files with a table body that cannot be read."""
+    found = creates(stmts, default_schema).select(
+        "system_name", "path", D.create_body(F.col("bare")).isNotNull().alias("readable")
+    )
+    per_file = found.groupBy("system_name", "path").agg(
+        F.bool_or("readable").alias("_any"), F.bool_and("readable").alias("_all")
     )
     with_ddl = stmts.filter("is_ddl").select("system_name", "path").distinct().withColumn("_ddl", F.lit(True))
+    reason = (
+        F.when(F.col("_any") & ~F.col("_all"), "a table body is not readable")
+        .when(F.col("_any"), None)
+        .when(F.col("_ddl"), "ddl without a readable table")
+        .otherwise("no ddl")
+    )
     return (
         scripts.select("system_name", "path")
-        .join(parsed, ["system_name", "path"], "left_anti")
+        .join(per_file, ["system_name", "path"], "left")
         .join(with_ddl, ["system_name", "path"], "left")
-        .select(
-            "system_name",
-            "path",
-            F.when(F.col("_ddl"), "ddl without a readable table").otherwise("no ddl").alias("reason"),
-        )
+        .select("system_name", "path", reason.alias("reason"))
+        .filter(F.col("reason").isNotNull())
     )
 
 

@@ -20,7 +20,7 @@ from lakescribe.operators import (
 from lakescribe.plans import fleet
 from lakescribe.plans.fleet_queries import flat, sql
 from lakescribe.plans.registry import query
-from lakescribe.session import shared_dir
+from lakescribe.session import materialized, shared_dir
 from lakescribe.sources import documents as document_source
 
 KEY = model.TABLE_KEY
@@ -291,7 +291,7 @@ def combined_texts(spark, sf_dir):
 def describe(spark, sf_dir):
     """A user function on every payload, in parallel; here the offline answer."""
     _, c, b = _batches(spark, sf_dir)
-    answers = batches.describe(batches.payloads(b, c), enrich.offline_answer)
+    answers = materialized(batches.describe(batches.payloads(b, c), enrich.offline_answer), "answers")
     parsed = enrich.parse_answers(answers)
     state = answers.select("batch_no", "status")
     return parsed.join(state, "batch_no").select(

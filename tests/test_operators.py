@@ -216,12 +216,13 @@ def test_names_literals_and_lists(spark):
 
 
 def test_database_and_unparsed(spark):
-    files = scripts(spark, "/* USE no */ -- USE nope\nUSE [shop]\nGO\nSELECT 'USE x'", "CREATE TABLE (x)", "CREATE TABLE t (a INT)")
+    files = scripts(spark, "/* USE no */ -- USE nope\nUSE [shop]\nGO\nSELECT 'USE x'", "CREATE TABLE (x)", "CREATE TABLE t (a INT)",
+                    "CREATE TABLE d (a INT CHECK " + "(" * 40 + "1" + ")" * 40 + "); CREATE TABLE e (a INT)")
     found = ddl.statements(files)
     assert ddl.databases(found).collect()[0].database == "shop"
     assert ddl.databases(found, "given").collect()[0].database == "given"
     assert {(r.path, r.reason) for r in ddl.unparsed(files, found).collect()} == {
-        ("f0", "no ddl"), ("f1", "ddl without a readable table")
+        ("f0", "no ddl"), ("f1", "ddl without a readable table"), ("f3", "a table body is not readable")
     }
 
 
@@ -357,3 +358,14 @@ def test_best_key(spark):
     _, c = column_rows(spark, [("a", "dim_user", 1, "name", False, False, None, None), ("a", "dim_user", 2, "user_id", False, False, None, None), ("a", "dim_user", 3, "other_id", False, False, None, None)])
     flat = c.withColumnsRenamed({"is_primary_key": "primary_key", "is_foreign_key": "foreign_key"}).withColumn("nullable", F.lit(False))
     assert [r.column_name for r in keys.infer_primary(flat).collect()] == ["user_id"]
+
+
+def test_written_tables_go_to_the_named_folder(spark, tmp_path):
+    from lakescribe.session import materialized
+
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
+    try:
+        kept = materialized(spark.range(7), "numbers")
+        assert kept.count() == 7 and kept.inputFiles()[0].startswith(f"file://{tmp_path}/shared/numbers-")
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
