@@ -50,9 +50,11 @@ def with_distinct(columns: DataFrame, distinct: DataFrame) -> DataFrame:
     return columns.join(values, KEY, "left")
 
 
-def of_known_tables(columns: DataFrame, tables: DataFrame) -> DataFrame:
+def of_known_tables(
+    columns: DataFrame, tables: DataFrame, keys_from: DataFrame | None = None
+) -> DataFrame:
     """Columns whose table is listed, with its row count."""
-    return lookup(columns, tables.select(*TABLE, "row_count"), TABLE, "inner")
+    return lookup(columns, tables.select(*TABLE, "row_count"), TABLE, "inner", keys_from)
 
 
 def with_volumes(tables: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def assemble(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFra
     columns = with_unique(columns, parts["unique"])
     columns = with_references(columns, parts["foreign"])
     columns = with_distinct(columns, parts["distinct"])
-    columns = of_known_tables(columns, tables).withColumn(
+    columns = of_known_tables(columns, tables, parts["columns"]).withColumn(
         "distinct_count", decoded_distinct(F.col("n_distinct"), F.col("row_count"))
     )
     return tables, model.conform(columns, model.COLUMNS), parts["foreign"]
