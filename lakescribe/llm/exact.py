@@ -102,7 +102,8 @@ def duplicates(docs: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
         rows.join(heads, ["size", "head"]).select("row", "number", "points", "size", F.col("name").alias("kin")), "tied"
     )
     # Documents of one block are told apart by their first name already.
-    longer = tied.filter(F.col("size") > block).select("row").distinct()
+    # They are always shuffled to the texts, so that the work is alike at every size.
+    longer = tied.filter(F.col("size") > block).select("row").distinct().hint("merge")
     bodies = (
         docs.select(row_key().alias("row"), "text")
         .join(longer, "row", "left_semi")
@@ -113,11 +114,14 @@ def duplicates(docs: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     grouped = tied.join(names, "row", "left").select(
         "number", "points", "row.id", "kin", F.coalesce("name", F.lit(-1)).alias("name")
     )
+    grouped = materialized(grouped, "grouped")
     best = grouped.groupBy("kin", "name").agg(
         F.count("*").alias("group_size"),
         F.min(F.struct(-F.col("points"), F.col("id").isNull(), F.col("id"), F.col("number"))).alias("best"),
     )
-    decided = grouped.join(best.filter("group_size > 1"), ["kin", "name"]).select(
+    # Written, so that the rows of a large group are joined by themselves and can be split.
+    best = materialized(best.filter("group_size > 1"), "best")
+    decided = grouped.join(best, ["kin", "name"]).select(
         "number",
         "group_size",
         F.col("best.id").alias("keep_id"),
