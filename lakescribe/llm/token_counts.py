@@ -4,13 +4,16 @@ Three steps: a dictionary of all distinct pre-tokens with their piece counts;
 the frequencies of pre-tokens per document; a join of the two, summed per
 document. Pre-tokens that make up at least one in ``frequent`` of all
 occurrences, so at most ``frequent`` of them, are known to every task and
-never enter the join: no key of the join has more than that share.
+never enter the join: no key of the join has more than that share. Real
+texts have far fewer such pre-tokens than the bound allows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
+from operator import mul
 
 import public_tokenizers
 import pyarrow as pa
@@ -60,7 +63,7 @@ def dictionary(docs: DataFrame, json_path: str) -> DataFrame:
     )
 
 
-def count_tokens(docs: DataFrame, json_path: str | None = None, frequent: int = 1 << 16) -> DataFrame:
+def count_tokens(docs: DataFrame, json_path: str | None = None, frequent: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every row of ``docs``.
 
     ``docs`` needs doc_id and text; other columns are ignored. A null or empty
@@ -77,25 +80,25 @@ def count_tokens(docs: DataFrame, json_path: str | None = None, frequent: int =
         counts = shared.value
         names = ["doc_id", "print", "piece", "n", "n_bytes"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        rows: list[tuple] = []
         for batch in batches:
+            columns: list[list] = [[] for _ in names]
             for doc_id, mark, text in zip(*(batch.column(i) for i in range(3))):
-                doc_id, mark, text = doc_id.as_py(), mark.as_py(), text.as_py() or ""
+                text = text.as_py() or ""
                 own: Counter = Counter()
                 for found in tokens.pre_tokens(text, json_path):
                     own.update(found)
-                n = 0
-                for piece, times in own.items():
-                    if piece in counts:
-                        n += counts[piece] * times
-                    else:
-                        rows.append((doc_id, mark, piece, times, None))
-                rows.append((doc_id, mark, None, n, len(text.encode())))
-                if len(rows) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                rare = [piece for piece in own if piece not in counts]
+                known_tokens = sum(map(mul, map(counts.get, own, repeat(0)), own.values()))
+                rows = len(rare) + 1
+                columns[0] += [doc_id.as_py()] * rows
+                columns[1] += [mark.as_py()] * rows
+                columns[2] += [*rare, None]
+                columns[3] += [*map(own.__getitem__, rare), known_tokens]
+                columns[4] += [*repeat(None, rows - 1), len(text.encode())]
+                if len(columns[0]) >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                    columns = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     seen = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) print", "text").mapInArrow(
         frequencies, "doc_id long, print long, piece string, n long, n_bytes long"

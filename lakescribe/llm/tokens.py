@@ -21,7 +21,12 @@ SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 
 #: A blank between a character that is no white space and a letter always begins a pre-token.
 _CUT = regex.compile(r"(?<=\S) (?=\p{L})")
-_PRE_TOKEN = regex.compile(public_tokenizers.PATTERN)
+# Letters, numbers and white space up to Latin Extended-B (fixed values of Unicode).
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\\t-\\r \\x85\\xa0"
+#: The published pattern of pre-tokens, spelled out for those characters.
+_PRE_TOKEN = re.compile(
+    rf" ?[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+)
 #: Characters that every Unicode version of the libraries classes alike: Basic Latin to Latin
 #: Extended-B, and general punctuation without its spaces and invisible marks.
 _OTHER = re.compile("[^\\x00-ɏ‐-‧‰-⁞€]")
@@ -76,8 +81,8 @@ def ids(text: str, json_path: str, ranks_path: str) -> np.ndarray:
 def pre_tokens(text: str, json_path: str) -> Iterator[list[str]]:
     """Lists of the pre-tokens of a text, special strings left as they are.
 
-    Texts with characters that the regular-expression libraries may class
-    differently are split by the tokenizer's own splitter.
+    Parts with other characters than the spelled-out pattern knows are split
+    by the tokenizer's own splitter.
     """
     for part in cuts(text):
         plain = part.isascii() or not _OTHER.search(part)
