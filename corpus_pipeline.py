@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lakescribe.llm import decontaminate, exact, language, packing
+from lakescribe.llm import decontaminate, exact, language, near, packing
 from lakescribe.llm.registry import table
 from lakescribe.session import materialized
 
@@ -30,6 +30,12 @@ def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _keep(docs, found.select(F.struct(F.col("doc_id").alias("id"), "print").alias("row")))
 
 
+def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates, the one with the smallest id."""
+    found = near.near_duplicates(docs).filter("kept")
+    return _keep(docs, found.select(F.struct(F.col("doc_id").alias("id"), "print").alias("row")))
+
+
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = decontaminate.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
@@ -44,6 +50,7 @@ def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language", stage_language),
     ("exact_dedup", stage_exact),
+    ("near_dedup", stage_near),
     ("decontamination", stage_decontaminate),
     ("packing", stage_pack),
 ]

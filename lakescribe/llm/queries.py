@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakescribe.llm import decontaminate, exact, language, packing, token_counts, warc
+from lakescribe.llm import chat, decontaminate, exact, language, near, packing, repeats, suffixes, token_counts, warc
 from lakescribe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -67,9 +67,72 @@ def op5_warc(spark, sf_dir):
     return warc.read(warc.write(table(spark, sf_dir, "pages"), least_bytes=0))
 
 
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), 50)
+    return found.select(
+        "doc_id",
+        F.col("n_units").alias("n_bytes"),
+        F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op7_near_duplicates")
+def op7_near_duplicates(spark, sf_dir):
+    return near.near_duplicates(table(spark, sf_dir, "documents"), 4, 80).drop("print")
+
+
 @query("op8_token_counts")
 def op8_token_counts(spark, sf_dir):
     counted = token_counts.count_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
     )
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query(
+    "op9_quotation_links",
+    r"""
+    WITH RECURSIVE m AS (
+      SELECT conv_id, turn, role, text, trim(lower(regexp_replace(text, '\s+', ' ', 'g'))) AS norm,
+             lag(text) OVER w AS before1, lag(text, 2) OVER w AS before2
+      FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+    ), o AS (SELECT conv_id, norm, min(turn) AS original FROM m WHERE norm <> '' GROUP BY conv_id, norm),
+    q AS (
+      SELECT m.conv_id, m.turn, level, o.original
+      FROM (SELECT conv_id, turn, 1 AS level, before1 AS quote FROM m UNION ALL SELECT conv_id, turn, 2, before2 FROM m) m
+      JOIN o ON o.conv_id = m.conv_id AND o.norm = trim(lower(regexp_replace(m.quote, '\s+', ' ', 'g')))
+      WHERE m.quote IS NOT NULL
+    ), p AS (
+      SELECT conv_id, turn, arg_min(original, level) FILTER (WHERE original < turn) AS parent_turn,
+             count(*) AS n_quotes, count(*) FILTER (WHERE original < turn) AS n_linked
+      FROM q GROUP BY conv_id, turn
+    ), up AS (
+      SELECT m.conv_id, m.turn, m.turn AS root_turn, 0 AS depth FROM m LEFT JOIN p USING (conv_id, turn)
+      WHERE parent_turn IS NULL
+      UNION ALL
+      SELECT p.conv_id, p.turn, up.root_turn, up.depth + 1
+      FROM up JOIN p ON p.conv_id = up.conv_id AND p.parent_turn = up.turn
+    )
+    SELECT m.conv_id, m.turn, m.role, sha256(m.text) AS text_sha256, p.parent_turn, up.root_turn,
+           up.depth, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked
+    FROM m JOIN up ON up.conv_id = m.conv_id AND up.turn = m.turn
+    LEFT JOIN p ON p.conv_id = m.conv_id AND p.turn = m.turn
+    """,
+)
+def op9_quotation_links(spark, sf_dir):
+    replies = chat.with_quotes(table(spark, sf_dir, "conversations"))
+    return chat.conversations(replies, {"role": F.col("role"), "text_sha256": F.sha2("own", 256)})
+
+
+@query("op10_repeated_passages")
+def op10_repeated_passages(spark, sf_dir):
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), 13)
+    return found.select(
+        "doc_id",
+        F.col("n_units").alias("n_words"),
+        F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
