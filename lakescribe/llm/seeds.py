@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -35,12 +36,14 @@ from lakescribe.session import materialized
 HELD_SEEDS, HELD_BYTES = 2_000_000, 8 << 20
 #: Units of a long document that are looked at together.
 PART_UNITS = 1 << 20
+#: Bytes of short texts that are looked at together; their arrays stay in the processor's cache.
+SLICE_BYTES = 1 << 17
 #: Segments that a resolver takes at once, at least; all of one seed go together.
 RESOLVED_ROWS = 40_000
 
-SEGMENT = "key long, place int, segment binary, ord long, slot long, print long, segment_id long, mask long"
+SEGMENT = "key long, place int, segment binary, ord long, slot long, print long, segment_id long, mask long, often boolean"
 _SEGMENT = [f.split()[0] for f in SEGMENT.split(", ")]
-_KINDS = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 5]
+_KINDS = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 5, pa.bool_()]
 
 
 @dataclass(frozen=True)
@@ -57,17 +60,15 @@ class Windows:
 
 
 @dataclass
-class Document:
-    """One text: its bytes, where its units are, and a hash of each unit."""
+class Texts:
+    """Some texts of a column, one behind the other: their bytes, and where and which their units are."""
 
     row: int
     data: np.ndarray
-    starts: np.ndarray | None
-    ends: np.ndarray | None
-    words: np.ndarray | None
-
-    def __len__(self) -> int:
-        return len(self.data) if self.words is None else len(self.words)
+    bounds: np.ndarray  # the first unit of every text, and the end
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
+    words: np.ndarray | None = None
 
     def units(self, a: int, b: int) -> np.ndarray:
         return tx.byte_values(self.data[a:b]) if self.words is None else self.words[a:b]
@@ -76,37 +77,69 @@ class Document:
         """Units a to b, words joined by one blank."""
         if self.words is None:
             return self.data[a:b].tobytes()
-        raw, start = self.data[self.starts[a] : self.ends[b - 1]].tobytes(), self.starts[a]
-        return b" ".join(raw[s - start : e - start] for s, e in zip(self.starts[a:b], self.ends[a:b]))
-
-
-def documents(column: pa.Array, plan: Windows) -> Iterator[Document]:
-    if plan.unit == "words":
-        for row, *rest in tx.document_words(column):
-            yield Document(row, *rest)
-    else:
-        for row, data, offsets in tx.slices(column):
-            for i in range(len(offsets) - 1):
-                yield Document(row + i, data[offsets[i] : offsets[i + 1]], None, None, None)
-
-
-def parts(doc: Document, plan: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first window, hashes of the units, seed hashes, each window's seed place) of parts of a document."""
-    for a in range(0, len(doc) - plan.window + 1, PART_UNITS):
-        units = doc.units(a, min(len(doc), a + PART_UNITS + plan.window - 1))
+        start = self.starts[a]
+        raw = self.data[start : self.ends[b - 1]].tobytes()
+        return b" ".join([raw[s - start : e - start] for s, e in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist())])
+
+    def left(self, text: int, spans: np.ndarray) -> bytes:
+        """A text without the units of ``spans``, words joined by one blank."""
+        a, b = self.bounds[text], self.bounds[text + 1]
+        keep = np.ones(b - a, bool)
+        for first, end in spans:
+            keep[first:end] = False
+        if self.words is None:
+            return self.data[a:b][keep].tobytes()
+        starts, ends = self.starts[a:b][keep], self.ends[a:b][keep]
+        if not len(starts):
+            return b""
+        # every word with the byte behind it, which becomes the blank
+        raw = np.append(self.data[starts[0] : ends[-1]], np.uint8(32))
+        step = np.zeros(len(raw) + 1, np.int8)
+        step[starts - starts[0]] += 1
+        step[ends - starts[0] + 1] -= 1
+        raw[ends - starts[0]] = 32
+        return raw[np.cumsum(step[:-1], dtype=np.int8) > 0][:-1].tobytes()
+
+
+def texts_of(column: pa.Array, plan: Windows) -> Iterator[Texts]:
+    for row, data, offsets in tx.slices(column, SLICE_BYTES):
+        if plan.unit == "bytes":
+            yield Texts(row, data, offsets)
+        else:
+            starts, ends, counts = tx.word_bounds(data, offsets)
+            yield Texts(row, data, counts, starts, ends, tx.word_hashes(data, starts, ends))
+
+
+def windows(texts: Texts, plan: Windows) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hashes of units, seed hashes, windows, the text of each, the place of each one's seed) of parts of some texts.
+
+    Places count from the part's first unit, which comes last.
+    """
+    total = int(texts.bounds[-1])
+    room = np.maximum(texts.bounds[1:] - plan.window + 1, texts.bounds[:-1])  # where a text's windows end
+    for a in range(0, max(0, total - plan.window + 1), PART_UNITS):
+        units = texts.units(a, min(total, a + PART_UNITS + plan.window - 1))
         grams = tx.gram_hash(units, plan.seed)
-        yield a, units, grams, tx.window_minima(grams, plan.width)
+        place = tx.window_minima(grams, plan.width)
+        at = np.arange(a, a + len(place))
+        text = np.searchsorted(texts.bounds, at, "right") - 1
+        inside = np.flatnonzero(at < room[text])
+        yield units, grams, inside, text[inside], place[inside], a
 
 
-def runs(doc: Document, plan: Windows) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows with the same seed: (seed hash, first window, last window, seed place, id of the run)."""
-    for a, units, grams, place in parts(doc, plan):
-        first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        last = np.r_[first[1:], len(place)] - 1
-        at = place[first]
+def runs(texts: Texts, plan: Windows) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of windows with one seed: (text, seed hash, first window, last window, seed place, id of the run)."""
+    for units, grams, at, text, place, a in windows(texts, plan):
+        if not len(at):
+            continue
+        new = np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])]
+        begin = np.flatnonzero(new)
+        first, seed = at[begin], place[begin]
+        last = at[np.r_[begin[1:], len(at)] - 1]
         content = tx.run_hash(tx.prefix_sums(units), first, last + plan.window)
-        shape = ((last - first) * plan.window + (at - first)).astype(np.uint64)
-        yield grams[at], first + a, last + a, at + a, tx.mix(content + tx.mix(shape + np.uint64(1))).view(np.int64)
+        shape = ((last - first) * plan.window + (seed - first)).astype(np.uint64)
+        ids = tx.mix(content + tx.mix(shape + np.uint64(1))).view(np.int64)
+        yield text[begin], grams[seed], first + a, last + a, seed + a, ids
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -182,14 +215,19 @@ def shared_seeds(texts: DataFrame, plan: Windows, frequent_documents: int) -> Da
 
         size = 0
         for batch in batches:
-            slots = batch.column(0)
-            for doc in documents(batch.column(1), plan):
-                found = [grams[np.unique(place)] for _, _, grams, place in parts(doc, plan)]
-                if not found:
-                    continue
-                held.append(np.unique(np.concatenate(found)))
-                owners.append(slots[doc.row].as_py())
-                size += len(held[-1])
+            slots = batch.column(0).to_numpy()
+            for texts in texts_of(batch.column(1), plan):
+                found: dict[int, list[np.ndarray]] = {}
+                for _, grams, at, text, place, _ in windows(texts, plan):
+                    new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (text[1:] != text[:-1])][: len(at)])
+                    keys, text = grams[place[new]], text[new]
+                    edges = np.flatnonzero(np.r_[True, text[1:] != text[:-1]][: len(text)])
+                    for i, own in zip(text[edges].tolist(), np.split(keys, edges[1:])):
+                        found.setdefault(i, []).append(own)
+                for i, own in found.items():
+                    held.append(np.unique(np.concatenate(own)))
+                    owners.append(slots[texts.row + i])
+                    size += len(held[-1])
                 if size >= HELD_SEEDS:
                     yield flush()
                     held, owners, size = [], [], 0
@@ -249,57 +287,61 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)], _SEGMENT)
 
 
-def segments(joined: DataFrame, plan: Windows, frequent: frozenset[int], buckets: int, often: bool) -> DataFrame:
-    """Segments around shared seeds, of the frequent ones or of all others.
+def segments(joined: DataFrame, plan: Windows, frequent: frozenset[int], buckets: int) -> DataFrame:
+    """Segments around shared seeds, dealt out by ``key``; ``often`` says that the seed is frequent.
 
     Rows with a null segment are decided: ``mask`` has a bit for each of their
-    windows. ``key`` deals the rows out.
+    windows. In the others it is the number of windows. Segments of one seed
+    have its key, but those of frequent seeds are spread.
     """
     spread = joined.sparkSession.sparkContext.broadcast(np.array(sorted(frequent), np.int64))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         usual = spread.value
-        held: dict[tuple[int, int, bytes], list[tuple[int, int, int, int]]] = {}
+        held: dict[tuple[int, bytes], list[tuple]] = {}
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = []
-            for (key, place, content), found in held.items():
+            for (place, content), found in held.items():
                 least = min(found)[0]
-                for o, slot, mark, segment_id, n in found:
+                for o, slot, mark, segment_id, n, key, often in found:
                     if o == least:
-                        rows.append((key, place, content, o, slot, mark, segment_id, n))
+                        rows.append((slot ^ mark if often else key, place, content, o, slot, mark, segment_id, n, often))
                     else:
-                        rows.append((slot ^ mark, None, None, o, slot, mark, segment_id, (1 << n) - 1))
+                        rows.append((slot ^ mark, None, None, o, slot, mark, segment_id, (1 << n) - 1, often))
             for a in range(0, len(rows), 50_000):
                 yield _batch(rows[a : a + 50_000])
 
         for batch in batches:
-            columns = [batch.column(i) for i in range(5)]
-            for doc in documents(columns[3], plan):
-                seeds, o = columns[4][doc.row], columns[0][doc.row].as_py()
-                if not seeds.is_valid or not len(seeds):
-                    continue
-                wanted = seeds.values.to_numpy(zero_copy_only=False)
-                slot, mark = columns[1][doc.row].as_py(), columns[2][doc.row].as_py()
+            ords, slots, prints = (batch.column(i).to_numpy() for i in range(3))
+            seeds = batch.column(4)
+            limits, wanted = seeds.offsets.to_numpy(), seeds.values.to_numpy(zero_copy_only=False)
+            for texts in texts_of(batch.column(3), plan):
+                here = wanted[limits[texts.row] : limits[texts.row + len(texts.bounds) - 1]]
                 seen = set()
-                for keys, first, last, at, ids in runs(doc, plan):
+                for text, keys, first, last, at, ids in runs(texts, plan):
                     own = _seed_ids(keys, buckets)
-                    chosen = np.flatnonzero(np.isin(own, wanted) & (np.isin(own, usual) == often))
-                    for i in chosen.tolist():
-                        if ids[i] in seen:  # the same run again in this document
+                    chosen = np.flatnonzero(np.isin(own, here))
+                    often = np.isin(own[chosen], usual).tolist()
+                    keys, places = keys[chosen].view(np.int64).tolist(), (at - first)[chosen].tolist()
+                    rows = (text[chosen] + texts.row).tolist()
+                    parts = zip(rows, keys, places, first[chosen].tolist(), last[chosen].tolist(), ids[chosen].tolist(), often)
+                    for row, key, place, a, b, segment_id, usually in parts:
+                        if (row, segment_id) in seen:  # the same run again in this document
                             continue
-                        seen.add(ids[i])
-                        content = doc.content(first[i], last[i] + plan.window)
-                        key = (int(keys[i].view(np.int64)), int(at[i] - first[i]), content)
-                        held.setdefault(key, []).append((o, slot, mark, int(ids[i]), int(last[i] - first[i] + 1)))
+                        seen.add((row, segment_id))
+                        content = texts.content(a, b + plan.window)
+                        one = (int(ords[row]), int(slots[row]), int(prints[row]), segment_id, b - a + 1, key, usually)
+                        held.setdefault((place, content), []).append(one)
                         size += len(content) + 100
                 if size >= HELD_BYTES:
                     yield from flush()
                     held, size = {}, 0
         yield from flush()
 
-    return joined.selectExpr(ORD, "slot", "print", "text", "seeds").mapInArrow(cut, SEGMENT)
+    partitions = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.selectExpr(ORD, "slot", "print", "text", "seeds").mapInArrow(cut, SEGMENT).repartition(partitions, "key")
 
 
 def first_owners(
@@ -311,17 +353,22 @@ def first_owners(
     mean equal n units before, or from, the seed of the same group.
     """
     masks = np.zeros(len(ords), np.int64)
+    by_ord = np.argsort(ords, kind="stable")
+    place, size, own = places[by_ord], sizes[by_ord], ords[by_ord]
     for before in range(plan.width):  # units of the window before the seed
-        at = np.flatnonzero((places >= before) & (places - sizes < before))
+        at = np.flatnonzero((place >= before) & (place - size < before))
+        ahead = right(plan.window - before)[by_ord]
+        alike = np.bincount(ahead[at], minlength=1)[ahead[at]] > 1
+        at = at[alike]
         if len(at) < 2:
             continue
-        same = right(plan.window - before)[at].astype(np.int64) * (len(ords) + 1) + left(before)[at]
-        order = np.lexsort((ords[at], same))
-        same, own = same[order], ords[at][order]
+        same = ahead[at] * (len(ords) + 1) + left(before)[by_ord[at]]
+        order = np.argsort(same, kind="stable")  # within equals by id still
+        same, at = same[order], at[order]
         new = np.r_[True, same[1:] != same[:-1]]
-        least = own[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
-        hit = at[order][least < own]
-        masks[hit] |= np.int64(1) << (places[hit] - before).astype(np.int64)
+        least = own[at][np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        hit = at[least < own[at]]
+        masks[by_ord[hit]] |= np.int64(1) << (place[hit] - before).astype(np.int64)
     return masks
 
 
@@ -337,22 +384,22 @@ def resolved(found: DataFrame, plan: Windows, classes: Classes) -> DataFrame:
     """
 
     def decide(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys, places = rows["key"].to_numpy(), rows["place"].to_numpy()
-        contents, ords = rows["segment"].to_pylist(), rows["ord"].to_numpy()
-        sizes = rows["mask"].to_numpy()
-        index: dict[tuple[int, int, bytes], int] = {}
-        which = np.array([index.setdefault(k, len(index)) for k in zip(keys.tolist(), places.tolist(), contents)])
-        first = np.unique(which, return_index=True)[1]
-        least = np.full(len(index), np.iinfo(np.int64).max)
+        places, ords, sizes = (rows[n].to_numpy() for n in ("place", "ord", "mask"))
+        content = rows["segment"].combine_chunks().dictionary_encode()
+        # the place and the content are what a segment is; they tell the seed too
+        name = content.indices.to_numpy().astype(np.int64) * plan.window + places
+        _, first, which = np.unique(name, return_index=True, return_inverse=True)
+        least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, which, ords)
         # only segments whose seed has others are compared
-        _, group = np.unique(keys[first], return_inverse=True)
+        _, group = np.unique(rows["key"].to_numpy()[first], return_inverse=True)
         several = np.flatnonzero(np.bincount(group)[group] > 1)
         several = several[np.argsort(group[several], kind="stable")]
-        masks = np.zeros(len(index), np.int64)
+        masks = np.zeros(len(first), np.int64)
         if len(several):
             chosen = first[several]
-            left, right = classes([contents[i] for i in chosen], places[chosen], group[several])
+            said = content.dictionary.take(content.indices.take(pa.array(chosen))).to_pylist()
+            left, right = classes(said, places[chosen], group[several])
             masks[several] = first_owners(least[several], places[chosen], sizes[chosen], plan, left, right)
         mask = np.where(ords > least[which], (np.int64(1) << sizes) - 1, masks[which])
         hit = np.flatnonzero(mask)
@@ -368,7 +415,7 @@ def resolved(found: DataFrame, plan: Windows, classes: Classes) -> DataFrame:
             decided = batch.filter(batch.column(2).is_null())
             if decided.num_rows:
                 yield decided.select(["slot", "print", "segment_id", "mask"])
-            batch = batch.filter(batch.column(2).is_valid())
+            batch = batch.filter(pc.and_not(batch.column(2).is_valid(), batch.column(8)))
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -389,48 +436,40 @@ def resolved(found: DataFrame, plan: Windows, classes: Classes) -> DataFrame:
         if size:
             yield from decide(pa.Table.from_batches(held))
 
-    partitions = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        found.repartition(partitions, "key")
-        .sortWithinPartitions("key")
-        .mapInArrow(stream, "slot long, print long, segment_id long, mask long")
-    )
+    own = found.sortWithinPartitions("key")
+    return own.mapInArrow(stream, "slot long, print long, segment_id long, mask long")
 
 
 def grouped(found: DataFrame, plan: Windows) -> DataFrame:
-    """The same for segments of frequent seeds: their windows are grouped by what they say."""
+    """The same for segments of frequent seeds: their windows are grouped by what they say.
+
+    Reads the rows of ``segments`` once more where they were dealt out.
+    """
     if plan.unit == "bytes":
         content = F.expr(f"substring(segment, i + 1, {plan.window})")
     else:
         content = F.expr(f"array_join(slice(split(cast(segment as string), ' '), i + 1, {plan.window}), ' ')")
     window = (
-        found.filter("segment is not null")
+        found.filter("often and segment is not null")
         .withColumn("i", F.explode(F.expr("sequence(0, int(mask) - 1)")))
         .select("slot", "print", "segment_id", "ord", "i", content.alias("window"))
     )
     first = window.groupBy("window").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last")
-    own = (
-        window.join(materialized(first.drop("last"), "windows"), "window")
+    return (
+        window.join(first.drop("last"), "window")
         .filter("first < ord")
         .groupBy("slot", "print", "segment_id")
         .agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     )
-    return own.unionByName(found.filter("segment is null").select("slot", "print", "segment_id", "mask"))
 
 
-def marked(doc: Document, plan: Windows, masks: dict[int, int]) -> np.ndarray:
-    """(start, end) in units of the maximal runs that the marked windows cover."""
-    starts = []
-    for _, first, last, _, ids in runs(doc, plan):
-        for i, segment_id in enumerate(ids.tolist()):
-            mask = masks.get(segment_id)
-            if mask:
-                starts += [int(first[i]) + j for j in range(int(last[i] - first[i]) + 1) if mask >> j & 1]
+def spans(starts: list[int], window: int) -> np.ndarray:
+    """(start, end) of the maximal runs that windows with these starts cover."""
     if not starts:
         return np.empty((0, 2), np.int64)
     begin = np.unique(np.array(starts))
-    new = np.flatnonzero(np.r_[True, begin[1:] > begin[:-1] + plan.window])
-    return np.column_stack([begin[new], np.r_[begin[new[1:] - 1], begin[-1]] + plan.window])
+    new = np.flatnonzero(np.r_[True, begin[1:] > begin[:-1] + window])
+    return np.column_stack([begin[new], np.r_[begin[new[1:] - 1], begin[-1]] + window])
 
 
 def without_repeats(docs: DataFrame, plan: Windows, classes: Classes, frequent_documents: int = 4096) -> DataFrame:
@@ -458,9 +497,10 @@ def without_repeats(docs: DataFrame, plan: Windows, classes: Classes, frequent_d
         .agg(F.collect_list("seed").alias("seeds"), F.collect_set("copy").alias("copies"))
     )
     joined = texts.join(seeds.hint("merge"), "slot").filter(~F.array_contains("copies", F.col("print")))
-    marks = resolved(segments(joined, plan, frequent, buckets, False), plan, classes)
+    found = segments(joined, plan, frequent, buckets)
+    marks = resolved(found, plan, classes)
     if frequent:
-        marks = marks.unionByName(grouped(segments(joined, plan, frequent, buckets, True), plan))
+        marks = marks.unionByName(grouped(found, plan))
     marks = (
         marks.select("slot", "print", "segment_id", "mask")
         .unionByName(whole.select("slot", "print", F.lit(0).cast("long").alias("segment_id"), F.lit(-1).cast("long").alias("mask")))
@@ -472,34 +512,46 @@ def without_repeats(docs: DataFrame, plan: Windows, classes: Classes, frequent_d
         text = pa.string() if plan.unit == "words" else pa.binary()
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         kinds = [pa.int64(), pa.int64(), span, text]
+        names = ["doc_id", "n_units", "spans", "kept"]
+
+        def own_masks(marks: pa.Scalar, mark: int) -> dict[int, int]:
+            masks: dict[int, int] = {}
+            if marks.is_valid:
+                prints, ids, bits = (f.to_numpy() for f in marks.values.flatten())
+                mine = prints == mark
+                for i, b in zip(ids[mine].tolist(), bits[mine].tolist()):
+                    masks[i] = masks.get(i, 0) | b
+            return masks
+
         for batch in batches:
-            rows = []
-            ids, prints, marks = batch.column(0), batch.column(1), batch.column(3)
-            size = 0
-            for doc in documents(batch.column(2), plan):
-                masks: dict[int, int] = {}
-                for mark in marks[doc.row].as_py() or ():
-                    if mark["print"] == prints[doc.row].as_py():
-                        masks[mark["segment_id"]] = masks.get(mark["segment_id"], 0) | mark["mask"]
-                if masks.get(0) == -1 and len(doc) >= plan.window:
-                    spans = np.array([[0, len(doc)]])
-                else:
-                    spans = marked(doc, plan, masks) if masks else np.empty((0, 2), np.int64)
-                left = np.ones(len(doc), bool)
-                for a, b in spans:
-                    left[a:b] = False
-                if plan.unit == "bytes":
-                    kept = doc.data[left].tobytes()
-                else:
-                    raw = doc.data.tobytes()
-                    kept = b" ".join(raw[s:e] for s, e in zip(doc.starts[left], doc.ends[left])).decode()
-                rows.append((ids[doc.row].as_py(), len(doc), [{"start": a, "end": b} for a, b in spans.tolist()], kept))
-                size += len(kept)
+            ids, prints, marks = batch.column(0), batch.column(1).to_numpy(), batch.column(3)
+            rows, size = [], 0
+            for texts in texts_of(batch.column(2), plan):
+                masks = [own_masks(marks[texts.row + i], prints[texts.row + i]) for i in range(len(texts.bounds) - 1)]
+                starts: list[list[int]] = [[] for _ in masks]
+                if any(masks):
+                    for text, _, first, last, _, segment_ids in runs(texts, plan):
+                        for i, a, segment_id in zip(text.tolist(), first.tolist(), segment_ids.tolist()):
+                            mask = masks[i].get(segment_id, 0)
+                            while mask:
+                                low = mask & -mask
+                                starts[i].append(a + low.bit_length() - 1)
+                                mask ^= low
+                for i, own in enumerate(masks):
+                    begin, n = int(texts.bounds[i]), int(texts.bounds[i + 1] - texts.bounds[i])
+                    if own.get(0) == -1 and n >= plan.window:
+                        found = np.array([[0, n]])
+                    else:
+                        found = spans([x - begin for x in starts[i]], plan.window)
+                    kept = texts.left(i, found)
+                    size += len(kept)
+                    listed = [{"start": a, "end": b} for a, b in found.tolist()]
+                    rows.append((ids[texts.row + i].as_py(), n, listed, kept.decode() if plan.unit == "words" else kept))
                 if size > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_units", "spans", "kept"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                     rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "n_units", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     kind = "string" if plan.unit == "words" else "binary"
     return texts.join(marks.hint("merge"), "slot", "left").select("doc_id", "print", "text", "marks").mapInArrow(

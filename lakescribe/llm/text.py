@@ -91,17 +91,17 @@ def byte_values(data: np.ndarray) -> np.ndarray:
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """For every window of ``width`` values the place of its leftmost smallest value."""
+    """For every window of ``width`` values the place of its leftmost smallest, by the upper half of the values."""
     if len(values) < width:
         return np.empty(0, np.int64)
-    best, place, length = values, np.arange(len(values)), 1
+    # The place stands in the lower half, so one minimum finds value and place.
+    best = (values & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(values), dtype=np.uint64)
+    length = 1
     while length < width:
         s = min(length, width - length)
-        less = best[s:] < best[: len(best) - s]
-        place = np.where(less, place[s:], place[: len(place) - s])
-        best = np.where(less, best[s:], best[: len(best) - s])
+        best = np.minimum(best[s:], best[: len(best) - s])
         length += s
-    return place
+    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -138,25 +138,29 @@ def word_bounds(
     return starts, np.flatnonzero(~apart & after) + 1, np.searchsorted(starts, offsets)
 
 
+def word_hashes(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray | None = None, limit: int = SLICE_BYTES
+) -> np.ndarray:
+    """A 64-bit hash of each word; long texts are hashed in pieces of about ``limit`` bytes."""
+    hashes = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + limit, "right")))
+        part = data[starts[first] : ends[last - 1]]
+        sums = byte_sums(part if fold is None else fold[part])
+        s, e = starts[first:last] - starts[first], ends[first:last] - starts[first]
+        hashes[first:last] = mix(run_hash(sums, s, e) + (e - s).astype(np.uint64))
+        first = last
+    return hashes
+
+
 def document_words(
-    column: pa.Array, separator: np.ndarray = WHITE, fold: np.ndarray | None = None, limit: int = SLICE_BYTES
+    column: pa.Array, separator: np.ndarray = WHITE, fold: np.ndarray | None = None, limit: int = 1 << 18
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per row: (row, its bytes, word starts, word ends, 64-bit hash of each word).
-
-    A document longer than ``limit`` is hashed in pieces, so memory besides
-    the text itself stays in proportion to its words.
-    """
+    """Per row: (row, its bytes, word starts, word ends, 64-bit hash of each word)."""
     for row, data, offsets in slices(column, limit):
         starts, ends, counts = word_bounds(data, offsets, separator)
-        hashes = np.empty(len(starts), np.uint64)
-        first = 0
-        while first < len(starts):  # words of about ``limit`` bytes at a time
-            last = max(first + 1, int(np.searchsorted(ends, starts[first] + limit, "right")))
-            part = data[starts[first] : ends[last - 1]]
-            sums = byte_sums(part if fold is None else fold[part])
-            s, e = starts[first:last] - starts[first], ends[first:last] - starts[first]
-            hashes[first:last] = mix(run_hash(sums, s, e) + (e - s).astype(np.uint64))
-            first = last
+        hashes = word_hashes(data, starts, ends, fold)
         for i in range(len(offsets) - 1):
             a, b = counts[i], counts[i + 1]
             yield (
