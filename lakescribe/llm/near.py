@@ -7,9 +7,10 @@ into a parity bitmap; the bits in which two bitmaps differ estimate the
 similarity of a pair, and pairs that may be similar are decided on their full
 sets of shingles.
 
-In a bucket every class is first paired with the smallest one only. Pairs
-inside a component found that way can add nothing; what is left are pairs of a
-bucket's classes in different components, and these are all compared.
+Every class is first paired with one other only, the smallest of all its
+buckets. Pairs inside a component found that way can add nothing; what is left
+are pairs of a bucket's classes in different components, and these are all
+compared by their sketches.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakescribe.llm import text as tx
 from lakescribe.llm.seeds import keyed
@@ -107,20 +108,20 @@ def _signed(texts: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class numbers whose sets are similar: by size, by sketch, then by the sets."""
-    own = classes.select("number", "n_shingles", "sketch")
-    left = own.toDF("a", "n_a", "sketch_a")
-    right = own.toDF("b", "n_b", "sketch_b")
-    differing = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
-    likely = (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        .filter(differing <= most_differing(max(0.0, percent / 100 - MARGIN)))
-        .select("a", "b", "n_a", "n_b")
+def _may_be_similar(left: str, right: str, percent: int) -> Column:
+    """Whether sizes and sketches of two classes, in structs, allow the similarity."""
+    n = [F.col(f"{side}.n_shingles") for side in (left, right)]
+    words = SKETCH_BITS // 64
+    differing = sum(
+        F.bit_count(F.col(f"{left}.sketch")[i].bitwiseXOR(F.col(f"{right}.sketch")[i])) for i in range(words)
     )
-    likely = materialized(likely, "likely")
+    return (100 * F.least(*n) >= percent * F.greatest(*n)) & (
+        differing <= most_differing(max(0.0, percent / 100 - MARGIN))
+    )
+
+
+def _similar(likely: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of class numbers, with their sizes n_a and n_b, whose full sets are similar."""
     wanted = likely.select("a").union(likely.select("b")).distinct().toDF("number")
     rows = classes.join(wanted, "number").select("number", "slot", "print")
 
@@ -203,9 +204,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = met.groupBy("bucket").agg(F.min("number").alias("least"), F.max("number").alias("most"))
     least = materialized(least.filter("least < most").select("bucket", "least"), "buckets")
     members = materialized(met.join(least, "bucket"), "members")
-    star = members.filter("number != least").select(F.col("least").alias("a"), F.col("number").alias("b")).distinct()
-    star = materialized(star, "pairs")
-    links = materialized(_similar(star, classes, texts, k, percent), "links")
+
+    own = classes.select("number", F.struct("n_shingles", "sketch").alias("about"))
+    pairs = members.filter("number != least").groupBy("number").agg(F.min("least").alias("a"))
+    pairs = pairs.toDF("b", "a").join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b")
+    likely = pairs.filter(_may_be_similar("left", "right", percent)).selectExpr(
+        "a", "b", "left.n_shingles as n_a", "right.n_shingles as n_b"
+    )
+    links = materialized(_similar(materialized(likely, "likely"), classes, texts, k, percent), "links")
     roots = components(links)
 
     # Classes of a bucket outside its largest component, against all others of the bucket.
@@ -214,14 +220,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
     largest = materialized(largest.filter("roots > 1").select("bucket", F.col("top.root").alias("top")), "largest")
-    mixed = materialized(placed.join(largest, "bucket"), "mixed")
-    minor = mixed.filter("root != top").select("bucket", F.col("number").alias("one"), F.col("root").alias("its"))
+    mixed = materialized(placed.join(largest, "bucket").join(own, "number"), "mixed")
+    minor = mixed.filter("root != top").select(
+        "bucket", F.col("number").alias("one"), F.col("root").alias("its"), F.col("about").alias("left")
+    )
+    other = mixed.select("bucket", "number", "root", F.col("about").alias("right"))
+    differs = (F.col("its") != F.col("root")) & _may_be_similar("left", "right", percent)
     across = (
-        minor.join(mixed, "bucket")
-        .filter("its != root")
-        .select(F.least("one", "number").alias("a"), F.greatest("one", "number").alias("b"))
+        minor.withColumnRenamed("bucket", "place")
+        .join(other, (F.col("place") == F.col("bucket")) & differs)
+        .selectExpr(
+            "least(one, number) as a",
+            "greatest(one, number) as b",
+            "if(one < number, left, right).n_shingles as n_a",
+            "if(one < number, right, left).n_shingles as n_b",
+        )
         .distinct()
-        .join(star, ["a", "b"], "left_anti")
     )
     across = materialized(across, "across")
     if not across.isEmpty():
