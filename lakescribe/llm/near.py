@@ -7,8 +7,9 @@ into a parity bitmap; the bits in which two bitmaps differ estimate the
 similarity of a pair, and pairs that may be similar are decided on their full
 sets of shingles.
 
-Every class is first paired with one other only, the smallest of all its
-buckets. Pairs inside a component found that way can add nothing; what is left
+Every class is first paired with one other only: of all classes in its
+buckets the one that meets most others, which among edited copies is their
+original. Pairs inside a component found that way can add nothing; what is left
 are pairs of a bucket's classes in different components, and these are all
 compared by their sketches.
 """
@@ -201,12 +202,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     classes = materialized(classes, "classes")
     met = classes.select("number", F.explode("bands").alias("bucket"))
-    least = met.groupBy("bucket").agg(F.min("number").alias("least"), F.max("number").alias("most"))
-    least = materialized(least.filter("least < most").select("bucket", "least"), "buckets")
-    members = materialized(met.join(least, "bucket"), "members")
-
+    full = met.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    members = materialized(met.join(materialized(full, "buckets"), "bucket"), "members")
+    # The more rows a class shares buckets with, the better a centre it is; ties go to the smaller number.
+    meets = members.groupBy("number").agg(F.sum("n").alias("meets"))
+    meets = materialized(meets.select("number", F.struct("meets", -F.col("number")).alias("rank")), "meets")
+    ranked = members.join(meets, "number").select("bucket", "number", "rank")
+    best = materialized(ranked.groupBy("bucket").agg(F.max("rank").alias("best")), "best")
     own = classes.select("number", F.struct("n_shingles", "sketch").alias("about"))
-    pairs = members.filter("number != least").groupBy("number").agg(F.min("least").alias("a"))
+    pairs = ranked.join(best, "bucket").groupBy("number").agg(F.max("best").alias("best"), F.max("rank").alias("rank"))
+    pairs = pairs.filter("best != rank").select("number", (-F.col("best.col2")).alias("a"))
     pairs = pairs.toDF("b", "a").join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b")
     likely = pairs.filter(_may_be_similar("left", "right", percent)).selectExpr(
         "a", "b", "left.n_shingles as n_a", "right.n_shingles as n_b"

@@ -41,9 +41,9 @@ SLICE_BYTES = 1 << 17
 #: Segments that a resolver takes at once, at least; all of one seed go together.
 RESOLVED_ROWS = 40_000
 
-SEGMENT = "key long, place int, segment binary, ord long, slot long, print long, segment_id long, mask long, often boolean"
+SEGMENT = "key int, place int, segment binary, ord long, slot long, segment_id long, mask long, often boolean"
 _SEGMENT = [f.split()[0] for f in SEGMENT.split(", ")]
-_KINDS = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * 5, pa.bool_()]
+_KINDS = [pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4, pa.bool_()]
 
 
 @dataclass(frozen=True)
@@ -142,6 +142,11 @@ def runs(texts: Texts, plan: Windows) -> Iterator[tuple[np.ndarray, ...]]:
         yield text[begin], grams[seed], first + a, last + a, seed + a, ids
 
 
+def own_ids(ids: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Ids of runs as ids within their documents, which fingerprints tell apart."""
+    return tx.mix(ids.view(np.uint64) ^ prints.view(np.uint64)).view(np.int64)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Columns of every document that the steps need.
 
@@ -292,7 +297,8 @@ def segments(joined: DataFrame, plan: Windows, frequent: frozenset[int], buckets
 
     Rows with a null segment are decided: ``mask`` has a bit for each of their
     windows. In the others it is the number of windows. Segments of one seed
-    have its key, but those of frequent seeds are spread.
+    have its key, which others may have too, but those of frequent seeds are
+    spread.
     """
     spread = joined.sparkSession.sparkContext.broadcast(np.array(sorted(frequent), np.int64))
 
@@ -305,11 +311,12 @@ def segments(joined: DataFrame, plan: Windows, frequent: frozenset[int], buckets
             rows = []
             for (place, content), found in held.items():
                 least = min(found)[0]
-                for o, slot, mark, segment_id, n, key, often in found:
+                for o, slot, segment_id, n, key, often in found:
+                    deal = segment_id >> 32 if often or o != least else key
                     if o == least:
-                        rows.append((slot ^ mark if often else key, place, content, o, slot, mark, segment_id, n, often))
+                        rows.append((deal, place, content, o, slot, segment_id, n, often))
                     else:
-                        rows.append((slot ^ mark, None, None, o, slot, mark, segment_id, (1 << n) - 1, often))
+                        rows.append((deal, None, None, o, slot, segment_id, (1 << n) - 1, often))
             for a in range(0, len(rows), 50_000):
                 yield _batch(rows[a : a + 50_000])
 
@@ -324,15 +331,18 @@ def segments(joined: DataFrame, plan: Windows, frequent: frozenset[int], buckets
                     own = _seed_ids(keys, buckets)
                     chosen = np.flatnonzero(np.isin(own, here))
                     often = np.isin(own[chosen], usual).tolist()
-                    keys, places = keys[chosen].view(np.int64).tolist(), (at - first)[chosen].tolist()
-                    rows = (text[chosen] + texts.row).tolist()
-                    parts = zip(rows, keys, places, first[chosen].tolist(), last[chosen].tolist(), ids[chosen].tolist(), often)
+                    keys, places = (keys[chosen].view(np.int64) >> 32).tolist(), (at - first)[chosen].tolist()
+                    rows = text[chosen] + texts.row
+                    ids = own_ids(ids[chosen], prints[rows])
+                    parts = zip(
+                        rows.tolist(), keys, places, first[chosen].tolist(), last[chosen].tolist(), ids.tolist(), often
+                    )
                     for row, key, place, a, b, segment_id, usually in parts:
                         if (row, segment_id) in seen:  # the same run again in this document
                             continue
                         seen.add((row, segment_id))
                         content = texts.content(a, b + plan.window)
-                        one = (int(ords[row]), int(slots[row]), int(prints[row]), segment_id, b - a + 1, key, usually)
+                        one = (int(ords[row]), int(slots[row]), segment_id, b - a + 1, key, usually)
                         held.setdefault((place, content), []).append(one)
                         size += len(content) + 100
                 if size >= HELD_BYTES:
@@ -376,7 +386,7 @@ Classes = Callable[[list[bytes], np.ndarray, np.ndarray], tuple[Callable, Callab
 
 
 def resolved(found: DataFrame, plan: Windows, classes: Classes) -> DataFrame:
-    """(slot, print, segment_id, mask): windows of segments that a smaller document has.
+    """(slot, segment_id, mask): windows of segments that a smaller document has.
 
     ``classes`` gets distinct segments, the places of their seeds (in units)
     and their groups, in order, and returns ``left`` and ``right`` of
@@ -404,8 +414,8 @@ def resolved(found: DataFrame, plan: Windows, classes: Classes) -> DataFrame:
         mask = np.where(ords > least[which], (np.int64(1) << sizes) - 1, masks[which])
         hit = np.flatnonzero(mask)
         yield pa.RecordBatch.from_arrays(
-            [*(rows[n].combine_chunks().take(pa.array(hit)) for n in ("slot", "print", "segment_id")), pa.array(mask[hit])],
-            ["slot", "print", "segment_id", "mask"],
+            [*(rows[n].combine_chunks().take(pa.array(hit)) for n in ("slot", "segment_id")), pa.array(mask[hit])],
+            ["slot", "segment_id", "mask"],
         )
 
     def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,8 +424,8 @@ def resolved(found: DataFrame, plan: Windows, classes: Classes) -> DataFrame:
         for batch in batches:
             decided = batch.filter(batch.column(2).is_null())
             if decided.num_rows:
-                yield decided.select(["slot", "print", "segment_id", "mask"])
-            batch = batch.filter(pc.and_not(batch.column(2).is_valid(), batch.column(8)))
+                yield decided.select(["slot", "segment_id", "mask"])
+            batch = batch.filter(pc.and_not(batch.column(2).is_valid(), batch.column(7)))
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -437,7 +447,7 @@ def resolved(found: DataFrame, plan: Windows, classes: Classes) -> DataFrame:
             yield from decide(pa.Table.from_batches(held))
 
     own = found.sortWithinPartitions("key")
-    return own.mapInArrow(stream, "slot long, print long, segment_id long, mask long")
+    return own.mapInArrow(stream, "slot long, segment_id long, mask long")
 
 
 def grouped(found: DataFrame, plan: Windows) -> DataFrame:
@@ -449,27 +459,44 @@ def grouped(found: DataFrame, plan: Windows) -> DataFrame:
         content = F.expr(f"substring(segment, i + 1, {plan.window})")
     else:
         content = F.expr(f"array_join(slice(split(cast(segment as string), ' '), i + 1, {plan.window}), ' ')")
+
+    def frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # not a filter of Spark's, which would go below the exchange and have all segments made again
+        for batch in batches:
+            yield batch.filter(pc.and_(batch.column(2).is_valid(), batch.column(7)))
+
     window = (
-        found.filter("often and segment is not null")
+        found.mapInArrow(frequent, SEGMENT)
         .withColumn("i", F.explode(F.expr("sequence(0, int(mask) - 1)")))
-        .select("slot", "print", "segment_id", "ord", "i", content.alias("window"))
+        .select("slot", "segment_id", "ord", "i", content.alias("window"))
     )
     first = window.groupBy("window").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last")
     return (
         window.join(first.drop("last"), "window")
         .filter("first < ord")
-        .groupBy("slot", "print", "segment_id")
+        .groupBy("slot", "segment_id")
         .agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
     )
 
 
-def spans(starts: list[int], window: int) -> np.ndarray:
-    """(start, end) of the maximal runs that windows with these starts cover."""
-    if not starts:
+def covered(first: int, mask: int, window: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the units under the windows of a run that a mask tells."""
+    while mask:
+        low = (mask & -mask).bit_length() - 1
+        ones = mask >> low
+        n = (~ones & (ones + 1)).bit_length() - 1
+        yield first + low, first + low + n - 1 + window
+        mask ^= ((1 << n) - 1) << low
+
+
+def spans(found: list[tuple[int, int]]) -> np.ndarray:
+    """(start, end) of the maximal runs that these cover together."""
+    if not found:
         return np.empty((0, 2), np.int64)
-    begin = np.unique(np.array(starts))
-    new = np.flatnonzero(np.r_[True, begin[1:] > begin[:-1] + window])
-    return np.column_stack([begin[new], np.r_[begin[new[1:] - 1], begin[-1]] + window])
+    both = np.array(sorted(found))
+    reach = np.maximum.accumulate(both[:, 1])
+    new = np.flatnonzero(np.r_[True, both[1:, 0] > reach[:-1]])
+    return np.column_stack([both[new, 0], reach[np.r_[new[1:], len(both)] - 1]])
 
 
 def without_repeats(docs: DataFrame, plan: Windows, classes: Classes, frequent_documents: int = 4096) -> DataFrame:
@@ -502,10 +529,9 @@ def without_repeats(docs: DataFrame, plan: Windows, classes: Classes, frequent_d
     if frequent:
         marks = marks.unionByName(grouped(found, plan))
     marks = (
-        marks.select("slot", "print", "segment_id", "mask")
-        .unionByName(whole.select("slot", "print", F.lit(0).cast("long").alias("segment_id"), F.lit(-1).cast("long").alias("mask")))
+        marks.unionByName(whole.selectExpr("slot", "print as segment_id", "-1L as mask"))
         .groupBy("slot")
-        .agg(F.collect_list(F.struct("print", "segment_id", "mask")).alias("marks"))
+        .agg(F.collect_list(F.struct("segment_id", "mask")).alias("marks"))
     )
 
     def lay(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -514,39 +540,36 @@ def without_repeats(docs: DataFrame, plan: Windows, classes: Classes, frequent_d
         kinds = [pa.int64(), pa.int64(), span, text]
         names = ["doc_id", "n_units", "spans", "kept"]
 
-        def own_masks(marks: pa.Scalar, mark: int) -> dict[int, int]:
+        def told(marks: pa.Scalar) -> dict[int, int]:
+            """Masks by id of the run; -1, for the whole text, by its fingerprint."""
             masks: dict[int, int] = {}
             if marks.is_valid:
-                prints, ids, bits = (f.to_numpy() for f in marks.values.flatten())
-                mine = prints == mark
-                for i, b in zip(ids[mine].tolist(), bits[mine].tolist()):
-                    masks[i] = masks.get(i, 0) | b
+                for i, bits in zip(*(f.to_pylist() for f in marks.values.flatten())):
+                    masks[i] = masks.get(i, 0) | bits
             return masks
 
         for batch in batches:
             ids, prints, marks = batch.column(0), batch.column(1).to_numpy(), batch.column(3)
             rows, size = [], 0
             for texts in texts_of(batch.column(2), plan):
-                masks = [own_masks(marks[texts.row + i], prints[texts.row + i]) for i in range(len(texts.bounds) - 1)]
-                starts: list[list[int]] = [[] for _ in masks]
+                rows_here = range(texts.row, texts.row + len(texts.bounds) - 1)
+                masks = [told(marks[row]) for row in rows_here]
+                found: list[list[tuple[int, int]]] = [[] for _ in masks]
                 if any(masks):
-                    for text, _, first, last, _, segment_ids in runs(texts, plan):
-                        for i, a, segment_id in zip(text.tolist(), first.tolist(), segment_ids.tolist()):
-                            mask = masks[i].get(segment_id, 0)
-                            while mask:
-                                low = mask & -mask
-                                starts[i].append(a + low.bit_length() - 1)
-                                mask ^= low
-                for i, own in enumerate(masks):
-                    begin, n = int(texts.bounds[i]), int(texts.bounds[i + 1] - texts.bounds[i])
-                    if own.get(0) == -1 and n >= plan.window:
-                        found = np.array([[0, n]])
-                    else:
-                        found = spans([x - begin for x in starts[i]], plan.window)
-                    kept = texts.left(i, found)
+                    for text, _, first, _, _, run_ids in runs(texts, plan):
+                        run_ids = own_ids(run_ids, prints[text + texts.row])
+                        begin = first - texts.bounds[text]
+                        for i, a, run_id in zip(text.tolist(), begin.tolist(), run_ids.tolist()):
+                            if run_id in masks[i]:
+                                found[i] += covered(a, masks[i][run_id], plan.window)
+                for i, row in enumerate(rows_here):
+                    n = int(texts.bounds[i + 1] - texts.bounds[i])
+                    whole = masks[i].get(int(prints[row])) == -1 and n >= plan.window
+                    over = np.array([[0, n]]) if whole else spans(found[i])
+                    kept = texts.left(i, over)
                     size += len(kept)
-                    listed = [{"start": a, "end": b} for a, b in found.tolist()]
-                    rows.append((ids[texts.row + i].as_py(), n, listed, kept.decode() if plan.unit == "words" else kept))
+                    listed = [{"start": a, "end": b} for a, b in over.tolist()]
+                    rows.append((ids[row].as_py(), n, listed, kept.decode() if plan.unit == "words" else kept))
                 if size > 16 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
                     rows, size = [], 0
