@@ -11,7 +11,8 @@ Every class is first paired with one other only: of all classes in its
 buckets the one that meets most others, which among edited copies is their
 original. Pairs inside a component found that way can add nothing; what is left
 are pairs of a bucket's classes in different components, and these are all
-compared by their sketches.
+compared by their sketches. Two classes that were paired with the same one are
+decided there too, exactly, by the shingles in which they differ from it.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ from lakescribe.llm import text as tx
 from lakescribe.llm.seeds import keyed
 from lakescribe.session import materialized
 
-#: Samples of a signature and samples of a band: at a similarity of 0.8, 32
-#: bands of 4 miss a pair with probability 5e-8.
-SAMPLES, BAND = 128, 4
-#: Bits of an odd sketch, and how far an estimate may be below the threshold:
-#: five of its standard deviations.
-SKETCH_BITS, MARGIN = 512, 0.2
+#: Samples of a signature; how many of them go into bands, and into each band:
+#: at a similarity of 0.8, 32 bands of 4 miss a pair with probability 5e-8.
+SAMPLES, BANDED, BAND = 256, 128, 4
+#: Bits of an odd sketch of all samples, and how far an estimate may be below
+#: the threshold: 4.5 of its standard deviations.
+SKETCH_BITS, MARGIN = 1024, 0.12
 
 _FACTORS = tx.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _TERMS = tx.mix(np.arange(1001, SAMPLES + 1001, dtype=np.uint64))
@@ -50,15 +51,15 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The smallest value of each of ``SAMPLES`` hash functions."""
     least = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(shingles), 2048):
-        values = shingles[None, a : a + 2048] * _FACTORS[:, None] + _TERMS[:, None]
+    for a in range(0, len(shingles), 512):
+        values = shingles[None, a : a + 512] * _FACTORS[:, None] + _TERMS[:, None]
         np.minimum(least, values.min(axis=1), out=least)
     return least
 
 
 def bands(samples: np.ndarray) -> np.ndarray:
     """One number per band; bands of different places never agree but by chance."""
-    rows = samples.reshape(-1, BAND)
+    rows = samples[:BANDED].reshape(-1, BAND)
     return tx.mix((rows * _BAND_FACTORS).sum(axis=1, dtype=np.uint64) + np.arange(len(rows), dtype=np.uint64)).view(np.int64)
 
 
@@ -121,8 +122,12 @@ def _may_be_similar(left: str, right: str, percent: int) -> Column:
     )
 
 
-def _similar(likely: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class numbers, with their sizes n_a and n_b, whose full sets are similar."""
+def _compared(likely: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of class numbers, with their sizes n_a and n_b, compared on their full sets.
+
+    Adds ``similar``, and the shingles of a that b lacks (``less``) and those
+    of b that a lacks (``more``).
+    """
     wanted = likely.select("a").union(likely.select("b")).distinct().toDF("number")
     rows = classes.join(wanted, "number").select("number", "slot", "print")
 
@@ -143,16 +148,22 @@ def _similar(likely: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
 
     full = texts.join(rows.hint("merge"), ["slot", "print"]).select("number", "text").mapInArrow(sets, "number long, shingles array<long>")
     full = materialized(full, "sets")
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    return (
-        likely.join(full.toDF("b", "set_b"), "b")
-        .join(full.toDF("a", "set_a"), "a")
-        .filter(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared))
-        .select("a", "b")
-        .distinct()
+    found = likely.join(full.toDF("b", "set_b"), "b").join(full.toDF("a", "set_a"), "a")
+    found = found.withColumn("less", F.array_except("set_a", "set_b")).withColumn("more", F.array_except("set_b", "set_a"))
+    return found.select(
+        "a",
+        "b",
+        "n_a",
+        _alike(F.col("n_a") - F.size("less"), F.col("n_a"), F.col("n_b"), percent).alias("similar"),
+        "less",
+        "more",
     )
 
 
+def _alike(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    return 100 * shared >= percent * (n + m - shared)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(number, root) of all numbers in ``links`` (a, b): the smallest number that can be reached.
 
@@ -187,12 +198,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     texts = keyed(docs)
     signed = materialized(_signed(texts, k), "signed")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "slot", "print"))
+    earliest = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "slot", "print"))
     classes = (
         signed.filter("class is not null")
         .groupBy("class")
         .agg(
-            first.alias("first"),
+            earliest.alias("first"),
             F.max("n_shingles").alias("n_shingles"),
             F.first("bands", ignorenulls=True).alias("bands"),
             F.first("sketch", ignorenulls=True).alias("sketch"),
@@ -209,14 +220,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     meets = materialized(meets.select("number", F.struct("meets", -F.col("number")).alias("rank")), "meets")
     ranked = members.join(meets, "number").select("bucket", "number", "rank")
     best = materialized(ranked.groupBy("bucket").agg(F.max("rank").alias("best")), "best")
-    own = classes.select("number", F.struct("n_shingles", "sketch").alias("about"))
+    own = classes.select("number", F.struct("n_shingles", "sketch", "bands").alias("about"))
     pairs = ranked.join(best, "bucket").groupBy("number").agg(F.max("best").alias("best"), F.max("rank").alias("rank"))
     pairs = pairs.filter("best != rank").select("number", (-F.col("best.col2")).alias("a"))
     pairs = pairs.toDF("b", "a").join(own.toDF("a", "left"), "a").join(own.toDF("b", "right"), "b")
     likely = pairs.filter(_may_be_similar("left", "right", percent)).selectExpr(
         "a", "b", "left.n_shingles as n_a", "right.n_shingles as n_b"
     )
-    links = materialized(_similar(materialized(likely, "likely"), classes, texts, k, percent), "links")
+    first = materialized(_compared(materialized(likely, "likely"), classes, texts, k, percent), "compared")
+    links = materialized(first.filter("similar").select("a", "b").distinct(), "links")
     roots = components(links)
 
     # Classes of a bucket outside its largest component, against all others of the bucket.
@@ -225,27 +237,47 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
     largest = materialized(largest.filter("roots > 1").select("bucket", F.col("top.root").alias("top")), "largest")
-    mixed = materialized(placed.join(largest, "bucket").join(own, "number"), "mixed")
-    minor = mixed.filter("root != top").select(
-        "bucket", F.col("number").alias("one"), F.col("root").alias("its"), F.col("about").alias("left")
+    differs = first.groupBy("b").agg(F.first(F.struct("a", "n_a", "less", "more")).alias("from"))
+    about = own.join(differs.withColumnRenamed("b", "number"), "number", "left")
+    about = about.selectExpr("number", "named_struct('number', number, 'n_shingles', about.n_shingles, 'sketch', about.sketch, 'bands', about.bands, 'from', from) as about")
+    about = materialized(about, "about")
+    mixed = materialized(placed.join(largest, "bucket").join(about, "number"), "mixed")
+    minor = mixed.filter("root != top").select(F.col("bucket").alias("place"), F.col("root").alias("its"), F.col("about").alias("x"))
+    other = mixed.select("bucket", "root", F.col("about").alias("y"))
+    same = F.col("x.from.a") == F.col("y.from.a")
+    shared = (
+        F.col("x.from.n_a")
+        - F.size("x.from.less")
+        - F.size("y.from.less")
+        + F.size(F.array_intersect("x.from.less", "y.from.less"))
+        + F.size(F.array_intersect("x.from.more", "y.from.more"))
     )
-    other = mixed.select("bucket", "number", "root", F.col("about").alias("right"))
-    differs = (F.col("its") != F.col("root")) & _may_be_similar("left", "right", percent)
+    paired = F.col("x.from.a").eqNullSafe(F.col("y.number")) | F.col("y.from.a").eqNullSafe(F.col("x.number"))
+    # Classes that meet in several buckets are compared in the first of them.
+    bands_of = [(F.col("x.bands")[i], F.col("y.bands")[i]) for i in range(BANDED // BAND)]
+    here = F.coalesce(*(F.when(mine == its, mine) for mine, its in bands_of)) == F.col("bucket")
+    open_ = ~paired & here & _may_be_similar("x", "y", percent)
+    exact = _alike(shared, F.col("x.n_shingles"), F.col("y.n_shingles"), percent)
     across = (
-        minor.withColumnRenamed("bucket", "place")
-        .join(other, (F.col("place") == F.col("bucket")) & differs)
+        minor.join(
+            other,
+            (F.col("place") == F.col("bucket"))
+            & (F.col("its") != F.col("root"))
+            & open_
+            & F.when(same, exact).otherwise(True),
+        )
         .selectExpr(
-            "least(one, number) as a",
-            "greatest(one, number) as b",
-            "if(one < number, left, right).n_shingles as n_a",
-            "if(one < number, right, left).n_shingles as n_b",
+            "least(x.number, y.number) as a",
+            "greatest(x.number, y.number) as b",
+            "if(x.number < y.number, x, y).n_shingles as n_a",
+            "if(x.number < y.number, y, x).n_shingles as n_b",
         )
         .distinct()
     )
     across = materialized(across, "across")
     if not across.isEmpty():
-        more = _similar(across, classes, texts, k, percent)
-        roots = components(materialized(links.union(more), "links"))
+        more = _compared(across, classes, texts, k, percent).filter("similar").select("a", "b")
+        roots = components(materialized(links.union(more).distinct(), "links"))
 
     named = classes.join(roots, "number", "left").select("class", "doc_id", F.coalesce("root", "number").alias("root"))
     named = materialized(named, "named")
