@@ -92,10 +92,11 @@ def threads(links: DataFrame) -> DataFrame:
     """
     up = links.filter("parent_turn is not null")
     at = materialized(up.groupBy("conv_id", "turn").agg(F.min("parent_turn").alias("root"), F.lit(1).cast("long").alias("far")), "up")
+    going, ended = at, at.limit(0)
     while True:
         above = at.toDF("c", "t", "above", "further")
         same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("root") == F.col("t"))
-        moved = at.join(above, same, "left").select(
+        moved = going.join(above, same, "left").select(
             "conv_id",
             "turn",
             F.coalesce("above", "root").alias("root"),
@@ -103,8 +104,11 @@ def threads(links: DataFrame) -> DataFrame:
             F.col("above").isNotNull().alias("moved"),
         )
         moved = materialized(moved, "up")
-        at = moved.drop("moved")
-        if moved.filter("moved").isEmpty():
+        # Only those that still moved go on; the others have their root.
+        ended = ended.unionByName(moved.filter("not moved").drop("moved"))
+        going = moved.filter("moved").drop("moved")
+        at = ended.unionByName(going)
+        if going.isEmpty():
             break
     above = at.toDF("c", "t", "above", "further")
     same = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent_turn") == F.col("t"))
