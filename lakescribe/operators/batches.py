@@ -227,9 +227,11 @@ def token_chunks(
     """(group, order, tokens, chunk_no) with chunks numbered from 0 in each group.
 
     Only keys and token counts are shuffled, never texts. Groups of any size are
-    cut into ranges of the order, so no task holds a whole group.
+    cut into ranges of the order, so no task holds a whole group. A null group
+    is a group of its own, and a null count is 0.
     """
-    narrow = df.select(*group, *order, tokens.cast("bigint").alias("tokens"))
+    counted = F.coalesce(tokens.cast("bigint"), F.lit(0).cast("bigint"))
+    narrow = df.select(*group, *order, counted.alias("tokens"))
     keys = [*group, *order]
     bounds = range_bounds(narrow, keys, rows_per_range)
     ranged = narrow.withColumn("_range", range_of(narrow, keys, bounds).cast("int"))
@@ -306,7 +308,10 @@ def token_chunks(
     part = [*group, "_range"]
     summaries = ranged.groupBy(*part).applyInPandas(summarise, summary_type)
     entries = summaries.groupBy(*group).applyInPandas(chain, entry_type)
-    return ranged.join(entries, part).groupBy(*part).applyInPandas(number, result)
+    entries = entries.withColumnsRenamed({k: f"_of_{k}" for k in part})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in part]
+    joined = ranged.join(entries, same).drop(*[f"_of_{k}" for k in part])
+    return joined.groupBy(*part).applyInPandas(number, result)
 
 
 def text_chunks(

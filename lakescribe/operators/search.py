@@ -10,7 +10,6 @@ from lakescribe.operators.ordering import row_numbers
 
 TABLE = ["system_name", "schema_name", "table_name"]
 ORDER = TABLE
-INLINE_NAMES = 1000
 DEEP_PAGE = 100_000
 
 
@@ -50,12 +49,10 @@ def by_type(tables: DataFrame, table_type: str) -> DataFrame:
 
 
 def allowed(df: DataFrame, names: Iterable[str], upper: bool = False) -> DataFrame:
-    """Rows of the listed tables; long lists are joined instead of inlined."""
+    """Rows of the listed tables, with the columns in their order, however long the list."""
     wanted = sorted({n.upper() if upper else n for n in names})
-    if len(wanted) <= INLINE_NAMES:
-        return df.filter(F.col("table_name").isin(wanted))
     listed = df.sparkSession.createDataFrame([(n,) for n in wanted], "table_name string")
-    return df.join(listed, "table_name", "left_semi")
+    return df.join(listed, "table_name", "left_semi").select(*df.columns)
 
 
 def one_table(tables: DataFrame, name: str) -> DataFrame:
@@ -63,7 +60,7 @@ def one_table(tables: DataFrame, name: str) -> DataFrame:
 
 
 def page(df: DataFrame, number: int = 1, size: int = 20, order: list[str] = ORDER) -> DataFrame:
-    """Rows of one page in catalogue order.
+    """Rows of one page, sorted in catalogue order.
 
     Taking the first rows of a sort is cheap for the pages people look at; a deep
     page is found by row numbers that are made range by range.
@@ -72,7 +69,7 @@ def page(df: DataFrame, number: int = 1, size: int = 20, order: list[str] = ORDE
         raise ValueError("page number and page size must be at least 1")
     if number * size > DEEP_PAGE:
         found = numbered_pages(df, [], order, size).filter(F.col("page") == number)
-        return found.select(*df.columns)
+        return found.orderBy(*order).select(*df.columns)
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 

@@ -367,3 +367,32 @@ def test_written_tables_go_to_the_named_folder(spark):
     assert kept.count() == 7
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert named.removeprefix("file:").rstrip("/") + "/numbers-" in kept.inputFiles()[0]
+
+
+@pytest.mark.parametrize("rows_per_range", [50, 500_000])
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_token_chunks_with_null_groups_and_counts(spark, rows_per_range, kind):
+    rows = [(None if i % 3 == 0 else str(i % 2), i, None if i % 7 == 0 else 10 + i % 90) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, i bigint, n bigint").withColumn("g", F.col("g").cast(kind))
+    found = batches.token_chunks(df, ["g"], ["i"], F.col("n"), 150, rows_per_range).collect()
+    chunk, fill, expected = {}, {}, {}
+    for g, i, n in rows:
+        n = n or 0
+        if g in chunk and fill[g] + n > 150:
+            chunk[g], fill[g] = chunk[g] + 1, 0
+        chunk.setdefault(g, 0)
+        fill[g] = fill.get(g, 0) + n
+        expected[i] = (g, n, chunk[g])
+    assert {r.i: (None if r.g is None else str(r.g), r.tokens, r.chunk_no) for r in found} == expected
+
+
+def test_long_lists_of_names_keep_the_columns(spark):
+    df = spark.createDataFrame([("s", "t1", 1), ("s", "other", 2)], "schema_name string, table_name string, v int")
+    found = search.allowed(df, [f"t{i}" for i in range(1001)])
+    assert found.columns == df.columns and [tuple(r) for r in found.collect()] == [("s", "t1", 1)]
+
+
+def test_deep_pages_are_sorted(spark):
+    df = spark.range(0, 100_200).selectExpr("'a' as system_name", "'b' as schema_name", "format_string('%07d', 100199 - id) as table_name")
+    found = [r.table_name for r in search.page(df, 5006, 20).collect()]
+    assert found == [f"{i:07d}" for i in range(100_100, 100_120)]
