@@ -137,7 +137,7 @@ def long_values(
 def exact_distinct(
     frames: dict[str, DataFrame], wanted: dict[str, list[str]] | None = None
 ) -> DataFrame:
-    """Exact distinct counts of columns, nulls not counted.
+    """Exact distinct counts of columns, nulls not counted; 0 for columns of empty tables.
 
     Grouping by (table, column, value) first lets every map task fold its own
     repeats, so a value that fills a third of a table moves once per task.
@@ -149,7 +149,16 @@ def exact_distinct(
         .agg(F.count("value").alias("distinct_count"))
         for values in long_values(frames, wanted).values()
     ]
-    return reduce(lambda a, b: a.unionByName(b), counted)
+    listed = [
+        (table, f.name)
+        for table, df in frames.items()
+        for f in df.schema.fields
+        if wanted is None or f.name in wanted.get(table, [])
+    ]
+    spark = next(iter(frames.values())).sparkSession
+    asked = spark.createDataFrame(listed, "table_name string, column_name string")
+    found = reduce(lambda a, b: a.unionByName(b), counted)
+    return asked.join(found, ["table_name", "column_name"], "left").fillna(0, ["distinct_count"])
 
 
 def uniqueness(frames: dict[str, DataFrame]) -> DataFrame:

@@ -396,3 +396,10 @@ def test_deep_pages_are_sorted(spark):
     df = spark.range(0, 100_200).selectExpr("'a' as system_name", "'b' as schema_name", "format_string('%07d', 100199 - id) as table_name")
     found = [r.table_name for r in search.page(df, 5006, 20).collect()]
     assert found == [f"{i:07d}" for i in range(100_100, 100_120)]
+
+
+def test_exact_distinct_of_empty_tables(spark):
+    empty = spark.createDataFrame([], "a int, b string")
+    full = spark.createDataFrame([(1, None), (1, None)], "a int, b string")
+    found = {(r.table_name, r.column_name): r.distinct_count for r in profile.exact_distinct({"e": empty, "f": full}).collect()}
+    assert found == {("e", "a"): 0, ("e", "b"): 0, ("f", "a"): 1, ("f", "b"): 0}
