@@ -13,18 +13,7 @@ from pyspark.sql import Column, functions as F
 NAME = r'(?:\[[^\]]+\]|"[^"]+"|`[^`]+`|\w+)'
 DOTTED = rf"(?:(?:{NAME}\s*\.\s*)?({NAME})\s*\.\s*)?({NAME})"
 
-NESTING = 16
-
-
-def _balanced(levels: int) -> str:
-    inner = r"[^()]++"
-    for _ in range(levels):
-        inner = rf"[^()]++|\((?:{inner})*+\)"
-    return inner
-
-
-_BALANCED = _balanced(NESTING)
-_ITEM = rf"(?:[^,()]++|\((?:{_BALANCED})*+\))++"
+_PIECE = r"[^(),]++|[(),]"
 _TOKEN = r"'[^']*+(?:'|\z)|/\*[\s\S]*?(?:\*/|\z)|--[^\n]*+(?:\n|\z)|[^'/\-]++|[/\-]"
 
 # Inside literals the characters that steer later steps are swapped for private
@@ -173,16 +162,52 @@ def part(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def _pieces(text: Column) -> Column:
+    """Parentheses, commas, and the text between them."""
+    return F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+
+
+def _deeper(piece: Column) -> Column:
+    return F.when(piece == "(", 1).when(piece == ")", -1).otherwise(0)
+
+
 def create_body(bare: Column) -> Column:
-    """Text between the parentheses of CREATE TABLE; null beyond the nesting limit."""
-    return part(bare, rf"{CREATE_TABLE}((?:{_BALANCED})*+)(?:\)|\z)", 3)
+    """Text between the parentheses of CREATE TABLE, nested to any depth.
+
+    A body that is never closed goes to the end of the statement; an empty one
+    is null.
+    """
+    rest = part(bare, rf"{CREATE_TABLE}([\s\S]*+)", 3)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + _deeper(piece)  # -1 once the body is closed, and from then on
+        inside = F.struct(depth.alias("depth"), (state["size"] + F.length(piece)).alias("size"))
+        closed = F.struct(F.lit(-1).alias("depth"), state["size"].alias("size"))
+        return F.when((state["depth"] < 0) | (depth < 0), closed).otherwise(inside)
+
+    size = F.aggregate(_pieces(rest), start, step, lambda state: state["size"])
+    return F.nullif(F.substr(rest, F.lit(1), size), F.lit(""))
 
 
 def body_items(body: Column) -> Column:
     """Items of a table body, cut at commas outside parentheses."""
-    items = F.transform(
-        F.regexp_extract_all(body, F.lit(_ITEM), F.lit(0)), lambda s: F.trim(s)
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit("").alias("item"), F.array().cast("array<string>").alias("items")
     )
+
+    def step(state: Column, piece: Column) -> Column:
+        cut = (piece == ",") & (state["depth"] == 0)
+        return F.struct(
+            (state["depth"] + _deeper(piece)).alias("depth"),
+            F.when(cut, "").otherwise(F.concat(state["item"], piece)).alias("item"),
+            F.when(cut, F.array_append(state["items"], state["item"])).otherwise(state["items"]).alias("items"),
+        )
+
+    def listed(state: Column) -> Column:
+        return F.array_append(state["items"], state["item"])
+
+    items = F.transform(F.aggregate(_pieces(body), start, step, listed), lambda s: F.trim(s))
     return F.filter(items, lambda s: s != "")
 
 

@@ -111,12 +111,24 @@ def test_long_script_needs_no_stack(spark):
     assert one(spark, F.length(D.strip_comments(F.lit("'x' " * 100_000)))) == 400_000
 
 
-@pytest.mark.parametrize("depth", [1, 2, 5, 12])
+@pytest.mark.parametrize("depth", [1, 2, 5, 12, 40, 500])
 def test_nested_parentheses(spark, depth):
     item = "a INT CHECK " + "(" * depth + "1, 2" + ")" * depth
     assert one(spark, D.body_items(D.create_body(F.lit(f"CREATE TABLE t ({item}, b INT)")))) == [item, "b INT"]
 
 
+@pytest.mark.parametrize(
+    "statement, body",
+    [
+        ("CREATE TABLE t (a INT) ON [x] (y)", "a INT"), ("CREATE TABLE t (a INT, b DECIMAL(1,2)", "a INT, b DECIMAL(1,2)"),
+        ("CREATE TABLE t (a DECIMAL(1,2", "a DECIMAL(1,2"), ("CREATE TABLE t ()", None), ("CREATE TABLE t (", None), ("SELECT (1)", None),
+        ("CREATE TABLE t ((a)) (", "(a)"),
+    ],
+)
+def test_create_body(spark, statement, body):
+    assert one(spark, D.create_body(F.lit(statement))) == body
+
+
 @pytest.mark.parametrize(
     "rest, kind",
     [
