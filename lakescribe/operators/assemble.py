@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakescribe import model
 from lakescribe.functions import scalars
@@ -50,11 +50,9 @@ def with_distinct(columns: DataFrame, distinct: DataFrame) -> DataFrame:
     return columns.join(values, KEY, "left")
 
 
-def of_known_tables(
-    columns: DataFrame, tables: DataFrame, keys_from: DataFrame | None = None
-) -> DataFrame:
+def of_known_tables(columns: DataFrame, tables: DataFrame) -> DataFrame:
     """Columns whose table is listed, with its row count."""
-    return lookup(columns, tables.select(*TABLE, "row_count"), TABLE, "inner", keys_from)
+    return lookup(columns, tables.select(*TABLE, "row_count"), TABLE, "inner")
 
 
 def with_volumes(tables: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -73,7 +71,7 @@ def assemble(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFra
     columns = with_unique(columns, parts["unique"])
     columns = with_references(columns, parts["foreign"])
     columns = with_distinct(columns, parts["distinct"])
-    columns = of_known_tables(columns, tables, parts["columns"]).withColumn(
+    columns = of_known_tables(columns, tables).withColumn(
         "distinct_count", decoded_distinct(F.col("n_distinct"), F.col("row_count"))
     )
     return tables, model.conform(columns, model.COLUMNS), parts["foreign"]
@@ -120,11 +118,12 @@ def summary(tables: DataFrame, columns: DataFrame, preview: int = PREVIEW) -> Da
     """Table and column totals per system and the first names of its tables."""
     totals = tables.groupBy("system_name").agg(F.count("*").alias("total_tables"))
     counted = columns.groupBy("system_name").agg(F.count("*").alias("total_columns"))
-    numbered = row_numbers(
-        tables.select(*TABLE), ["system_name"], ["schema_name", "table_name"], "_n"
-    )
+    # Spark keeps the first names of each task before the shuffle, as the number is bounded
+    by_name = Window.partitionBy("system_name").orderBy("schema_name", "table_name")
     first = (
-        numbered.filter(F.col("_n") <= preview)
+        tables.select(*TABLE)
+        .withColumn("_n", F.row_number().over(by_name))
+        .filter(F.col("_n") <= preview)
         .groupBy("system_name")
         .agg(F.sort_array(F.collect_list(F.struct("_n", "table_name"))).alias("_names"))
         .select("system_name", F.col("_names.table_name").alias("table_names_preview"))

@@ -66,9 +66,7 @@ def adaptive_batches(
         F.max("_wide").alias("_all_wide"),
         F.floor(F.max("_small") / SMALL_PER_BATCH).alias("_all_full"),
     )
-    small_numbers = lookup(
-        full, totals, ["system_name"], "inner", keys_from=sized.filter(~wide)
-    ).select(
+    small_numbers = lookup(full, totals, ["system_name"], "inner").select(
         "system_name",
         "_group",
         F.when(F.col("_n") == SMALL_PER_BATCH, F.col("_before") + F.col("_group"))
@@ -107,9 +105,11 @@ def statement_chunks(statements: DataFrame, size: int = STATEMENTS_PER_CHUNK) ->
 
 
 def payloads(batches: DataFrame, columns: DataFrame) -> DataFrame:
-    """JSON text per batch: tables with keys and their first fifty columns.
+    """JSON text per batch and ``part``: tables with keys and fifty of their columns.
 
-    A batch holds one wide table or up to four small ones, so a row is bounded.
+    Part 0 has the first fifty columns of every table of the batch; tables with
+    more come again in further parts. A batch holds one wide table or up to four
+    small ones, so a row is bounded and no column is left out.
     """
     listed = lambda test: F.array_compact(
         F.transform(
@@ -117,25 +117,27 @@ def payloads(batches: DataFrame, columns: DataFrame) -> DataFrame:
             lambda c: c["column_name"],
         )
     )
-    shown = F.col("ordinal") <= COLUMNS_PER_PAYLOAD
-    shape = columns.groupBy(*TABLE).agg(
+    keys = columns.groupBy(*TABLE).agg(
         listed(F.col("primary_key")).alias("primary_keys"),
         listed(F.col("foreign_key")).alias("foreign_keys"),
+    )
+    part = F.greatest(F.floor((F.col("ordinal") - 1) / COLUMNS_PER_PAYLOAD), F.lit(0)).cast("int")
+    shape = columns.groupBy(*TABLE, F.coalesce(part, F.lit(0)).alias("part")).agg(
         F.transform(
-            F.sort_array(
-                F.collect_list(F.when(shown, F.struct("ordinal", "column_name", "data_type")))
-            ),
+            F.sort_array(F.collect_list(F.struct("ordinal", "column_name", "data_type"))),
             lambda c: F.struct(c["column_name"].alias("name"), c["data_type"].alias("type")),
         ).alias("columns"),
     )
     table = F.struct("schema_name", "table_name", "primary_keys", "foreign_keys", "columns")
     return (
-        batches.join(shape, TABLE, "left")
-        .groupBy("system_name", "batch_no")
+        batches.join(keys, TABLE, "left")
+        .join(shape, TABLE, "left")
+        .groupBy("system_name", "batch_no", F.coalesce("part", F.lit(0)).alias("part"))
         .agg(F.sort_array(F.collect_list(table)).alias("_tables"))
         .select(
             "system_name",
             "batch_no",
+            "part",
             F.size("_tables").alias("n_tables"),
             F.to_json(
                 F.transform(

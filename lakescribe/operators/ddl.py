@@ -92,7 +92,7 @@ def databases(stmts: DataFrame, given: str = "") -> DataFrame:
 
 
 def creates(stmts: DataFrame, default_schema: str) -> DataFrame:
-    """CREATE TABLE statements with schema, table and body (null: too deep)."""
+    """CREATE TABLE statements with schema and table."""
     bare = F.col("bare")
     schema = D.clean_name(D.part(bare, D.CREATE_TABLE, 1))
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakescribe import model
 from lakescribe.functions import scalars
@@ -110,18 +110,13 @@ def best_parents(columns: DataFrame) -> DataFrame:
     wide = ["system_name", "family", "rank", "token"]
 
     def two_first(keys: list[str], name: str) -> DataFrame:
-        first = parents.groupBy(*keys).agg(F.min(parent).alias("_a"))
-        rest = (
-            lookup(parents, first, keys, "left")
-            .filter(parent != F.col("_a"))
-            .groupBy(*keys)
-            .agg(F.min(parent).alias("_b"))
-        )
-        return first.join(rest, keys, "left").withColumn(name, F.array("_a", "_b")).select(*keys, name)
+        place = F.dense_rank().over(Window.partitionBy(*keys).orderBy(parent))
+        kept = parents.withColumn("_place", place).filter("_place <= 2")
+        return kept.groupBy(*keys).agg(F.sort_array(F.collect_set(parent)).alias(name))
 
     asked = _children(columns).withColumn("parent_schema", F.col("schema_name"))
     near = lookup(asked, two_first([*wide, "parent_schema"], "_near"), [*wide, "parent_schema"])
-    found = lookup(near.drop("parent_schema"), two_first(wide, "_far"), wide, keys_from=asked)
+    found = lookup(near.drop("parent_schema"), two_first(wide, "_far"), wide)
     options = F.filter(
         F.concat(
             F.coalesce("_near", F.array().cast(found.schema["_near"].dataType)),
@@ -201,7 +196,7 @@ def validate(answers: DataFrame, columns: DataFrame, default_schema: str = "dbo"
                 F.col("_pk").alias(f"_{role}_pk"),
             )
         )
-        return lookup(df.withColumns(lowered), found, names, keys_from=asked)
+        return lookup(df.withColumns(lowered), found, names)
 
     checked = side(side(answers, "source"), "target")
     reason = (

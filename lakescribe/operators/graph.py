@@ -93,7 +93,7 @@ def _touching(edges: DataFrame, near: DataFrame) -> DataFrame:
     key = ["system_name", "target_schema", "target"]
     # a table has few outgoing edges, but any number of incoming ones
     from_near = shown.join(source, ["system_name", "source_schema", "source"], "left")
-    return lookup(from_near, target, key, keys_from=shown).filter(F.col("_src") | F.col("_tgt"))
+    return lookup(from_near, target, key).filter(F.col("_src") | F.col("_tgt"))
 
 
 def _shown_columns(columns: DataFrame, near: DataFrame, tables: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def _flagged(touching: DataFrame, cols: DataFrame) -> DataFrame:
         source, ["system_name", "source_schema", "source", "source_column"], "left"
     )
     key = ["system_name", "target_schema", "target", "target_column"]
-    return lookup(with_source, target, key, keys_from=touching).withColumn(
+    return lookup(with_source, target, key).withColumn(
         "_both", F.coalesce(F.col("_sc") & F.col("_tc"), F.lit(False))
     )
 

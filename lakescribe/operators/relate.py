@@ -8,7 +8,7 @@ first answer in order of preference is its target.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakescribe.functions import scalars
 from lakescribe.operators.skew import lookup
@@ -79,17 +79,10 @@ def dictionary(keyed: DataFrame) -> DataFrame:
             ).alias("pick"),
         )
     )
-    best = rows.groupBy(*WORD).agg(F.min("pick").alias("first"))
-    named = rows.filter(F.col("kind") == "name")
-    second = (
-        lookup(named, best, WORD, "inner")
-        .filter(F.col("pick") != F.col("first"))
-        .groupBy(*WORD)
-        .agg(F.min("pick").alias("second"))
-    )
-    return best.join(second, WORD, "left").select(
-        *WORD, F.array_compact(F.array("first", "second")).alias("options")
-    )
+    place = F.dense_rank().over(Window.partitionBy(*WORD).orderBy("pick"))
+    wanted = F.when(F.col("kind") == "name", 2).otherwise(1)
+    kept = rows.withColumn("place", place).filter("place <= 2").filter(F.col("place") <= wanted)
+    return kept.groupBy(*WORD).agg(F.sort_array(F.collect_set("pick")).alias("options"))
 
 
 def _asks(ways: tuple[str, ...]) -> Column:

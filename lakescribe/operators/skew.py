@@ -2,63 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-HOT_KEYS = 256
-SPREAD = 64
 
-
-def lookup(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "left",
-    keys_from: DataFrame | None = None,
-) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join ``left`` with ``right``, which holds at most one row per key.
 
-    The most frequent keys of ``left`` are found by a pre-aggregated count; there
-    are never more than ``HOT_KEYS`` of them, so their list is safe to broadcast.
-    Rows of a hot key, and rows whose key is null, are spread over ``SPREAD``
-    parts, and only the right-hand rows of hot keys are repeated. Every other key
-    holds less than 1/``HOT_KEYS`` of the rows and needs no help.
-
-    ``keys_from`` is where the keys are counted when ``left`` is itself the result
-    of a look-up: the rows it was made from. A chain of look-ups then reads its
-    input once per step instead of twice as often with every step.
+    As no key of ``right`` repeats, the join never adds rows, and only ``left``
+    can have a hot key, null among them. The partitions of ``left`` that such a
+    key makes large are split by adaptive execution, which reads the one row
+    it needs of ``right`` with each part; counting the keys first would read
+    the input twice. ``right`` is broadcast only where its size was measured.
     """
-    hot = (
-        (left if keys_from is None else keys_from)
-        .groupBy(*on)
-        .count()
-        .orderBy(F.desc("count"), *on)
-        .limit(HOT_KEYS)
-        .filter(F.col("count") > 1)
-        .select(*on, F.lit(True).alias("_hot"))
-    )
-    hashable = [
-        f.name for f in left.schema.fields if "map" not in f.dataType.simpleString()
-        and "variant" not in f.dataType.simpleString()
-    ]
-    part = F.pmod(F.xxhash64(*hashable), F.lit(SPREAD)).cast("int")
-    no_key = F.lit(False)
-    for name in on:
-        no_key = no_key | F.col(name).isNull()
-    spread_left = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn("_part", F.when(F.col("_hot") | no_key, part).otherwise(0))
-        .drop("_hot")
-    )
-    spread_right = (
-        right.join(F.broadcast(hot), on, "left")
-        .withColumn(
-            "_part",
-            F.explode(
-                F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        .drop("_hot")
-    )
-    return spread_left.join(spread_right, [*on, "_part"], how).drop("_part")
+    return left.join(right, on, how)

@@ -21,14 +21,17 @@ def table_keys(columns: DataFrame) -> DataFrame:
     )
 
 
-def stats(tables: DataFrame, columns: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per system.
+def catalogue_totals(tables: DataFrame, columns: DataFrame) -> DataFrame:
+    """Tables, columns, keys and rows per system.
 
     ``primary_keys`` and ``foreign_key_cols`` count tables, as their consumers
     expect.
     """
     per_table = table_keys(columns)
-    of_tables = (
+    average = F.bround(
+        F.col("total_columns").cast("decimal(28,6)") / F.col("total_tables"), 1
+    ).cast("double")
+    return (
         tables.join(per_table, TABLE, "left")
         .groupBy("system_name")
         .agg(
@@ -41,8 +44,14 @@ def stats(tables: DataFrame, columns: DataFrame, edges: DataFrame) -> DataFrame:
             F.count_if((F.col("n_fk") == 0) & F.col("any_inferred_fk")).alias("inferred_fks"),
             F.sum(F.coalesce("row_count", F.lit(0))).alias("total_rows"),
         )
+        .withColumn("avg_cols_per_table", average)
+        .withColumn("total_rows_fmt", scalars.row_total_text("total_rows"))
     )
-    of_edges = (
+
+
+def edge_totals(edges: DataFrame) -> DataFrame:
+    """Resolved relations per system, given and inferred."""
+    return (
         visible(edges)
         .filter(F.col("type") == "FK")
         .groupBy("system_name")
@@ -51,14 +60,14 @@ def stats(tables: DataFrame, columns: DataFrame, edges: DataFrame) -> DataFrame:
             F.count_if("is_inferred").alias("inferred_fk_rels"),
         )
     )
-    average = F.bround(
-        F.col("total_columns").cast("decimal(28,6)") / F.col("total_tables"), 1
-    ).cast("double")
+
+
+def stats(tables: DataFrame, columns: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per system: ``catalogue_totals`` with ``edge_totals``."""
     return (
-        of_tables.join(of_edges, "system_name", "left")
+        catalogue_totals(tables, columns)
+        .join(edge_totals(edges), "system_name", "left")
         .fillna(0, ["fk_relations", "inferred_fk_rels"])
-        .withColumn("avg_cols_per_table", average)
-        .withColumn("total_rows_fmt", scalars.row_total_text("total_rows"))
     )
 
 

@@ -532,7 +532,7 @@ def _stats(spark, sf_dir):
     ),
 )
 def totals(spark, sf_dir):
-    return _stats(spark, sf_dir).select("total_tables", "base_tables", "total_columns", "total_rows")
+    return stats.catalogue_totals(*norm(spark, sf_dir)).select("total_tables", "base_tables", "total_columns", "total_rows")
 
 
 @query(
@@ -540,7 +540,7 @@ def totals(spark, sf_dir):
     sql("SELECT CAST(round_even(CAST((SELECT count(*) FROM c) AS DECIMAL(18,6)) / (SELECT count(*) FROM t), 1) AS DOUBLE) AS avg_cols_per_table"),
 )
 def average_width(spark, sf_dir):
-    return _stats(spark, sf_dir).select("avg_cols_per_table")
+    return stats.catalogue_totals(*norm(spark, sf_dir)).select("avg_cols_per_table")
 
 
 @query(
@@ -551,7 +551,7 @@ def average_width(spark, sf_dir):
     ),
 )
 def primary_key_tables(spark, sf_dir):
-    return _stats(spark, sf_dir).select("primary_keys", "inferred_pks")
+    return stats.catalogue_totals(*norm(spark, sf_dir)).select("primary_keys", "inferred_pks")
 
 
 @query(
@@ -562,7 +562,7 @@ def primary_key_tables(spark, sf_dir):
     ),
 )
 def foreign_key_tables(spark, sf_dir):
-    return _stats(spark, sf_dir).select("foreign_key_cols", "inferred_fks")
+    return stats.catalogue_totals(*norm(spark, sf_dir)).select("foreign_key_cols", "inferred_fks")
 
 
 @query(

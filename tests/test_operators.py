@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -33,6 +34,45 @@ def test_lookup_equals_join(spark):
         assert sorted(map(str, skew.lookup(left, right, ["k"], how).select("id", "k").collect())) == expected
 
 
+def test_hot_key_is_split(spark):
+    """One key on half of the rows: adaptive execution cuts its partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+    }
+    left = spark.range(0, 60000, 1, 8).select(
+        "id", F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k")
+    )
+    right = spark.range(0, 60000, 1, 8).select(F.col("id").alias("k"), (F.col("id") + 1).alias("v"))
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = skew.lookup(left, right, ["k"])
+        assert sum(r.v for r in found.collect()) == 30000 + sum(range(2, 60001, 2))
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
+def test_payloads_hold_every_column(spark):
+    columns = spark.range(1, 121).selectExpr(
+        "'s' AS system_name", "'a' AS schema_name", "'wide' AS table_name", "concat('c', id) AS column_name", "'INT' AS data_type",
+        "CAST(id AS int) AS ordinal", "id = 1 AS primary_key", "id = 2 AS foreign_key",
+    )
+    narrow = columns.filter("ordinal <= 2").withColumn("table_name", F.lit("narrow"))
+    both = columns.unionByName(narrow)
+    batch = spark.createDataFrame(
+        [("s", "a", "wide", 0), ("s", "a", "narrow", 0), ("s", "a", "bare", 0)],
+        "system_name string, schema_name string, table_name string, batch_no bigint",
+    )
+    rows = sorted(batches.payloads(batch, both).collect(), key=lambda r: r.part)
+    assert [(r.part, r.n_tables) for r in rows] == [(0, 3), (1, 1), (2, 1)]
+    names = [c["name"] for r in rows for t in json.loads(r.payload) if t["table_name"] == "wide" for c in t["columns"]]
+    assert names == [f"c{i}" for i in range(1, 121)]
+
+
 def pack(weights, limit):
     chunk, fill, out, started = 0, 0, [], False
     for w in weights:
@@ -217,12 +257,13 @@ def test_names_literals_and_lists(spark):
 
 def test_database_and_unparsed(spark):
     files = scripts(spark, "/* USE no */ -- USE nope\nUSE [shop]\nGO\nSELECT 'USE x'", "CREATE TABLE (x)", "CREATE TABLE t (a INT)",
-                    "CREATE TABLE d (a INT CHECK " + "(" * 40 + "1" + ")" * 40 + "); CREATE TABLE e (a INT)")
+                    "CREATE TABLE d (a INT CHECK " + "(" * 40 + "1" + ")" * 40 + "); CREATE TABLE e (a INT)",
+                    "CREATE TABLE d (); CREATE TABLE e (a INT)")
     found = ddl.statements(files)
     assert ddl.databases(found).collect()[0].database == "shop"
     assert ddl.databases(found, "given").collect()[0].database == "given"
     assert {(r.path, r.reason) for r in ddl.unparsed(files, found).collect()} == {
-        ("f0", "no ddl"), ("f1", "ddl without a readable table"), ("f3", "a table body is not readable")
+        ("f0", "no ddl"), ("f1", "ddl without a readable table"), ("f4", "a table body is not readable")
     }
 
 
