@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from lakescribe.operators.profile import carrier, long_values, text_literal
+from lakescribe.operators.profile import carrier, long_values, quoted, text_literal
 
 WORD = 63
 
@@ -97,12 +97,61 @@ def _answers(masks: DataFrame, n: int, asked: list[tuple[int, int]]) -> DataFram
     )
 
 
+def _digits(kind: T.DataType) -> tuple[int, int] | None:
+    """Digits before and after the point of an exact number."""
+    if isinstance(kind, T.DecimalType):
+        return kind.precision - kind.scale, kind.scale
+    return (19, 0) if carrier(kind) == "bigint" else None
+
+
+def common_carrier(a: T.DataType, b: T.DataType) -> str | None:
+    """Type in which values of two types are compared; null where they can't be.
+
+    Exact numbers meet in a decimal that holds both without loss, exact and
+    floating ones as floating numbers, dates and times as times.
+    """
+    kinds = {carrier(a), carrier(b)}
+    if len(kinds) == 1:
+        return kinds.pop()
+    exact = [_digits(a), _digits(b)]
+    if all(exact):
+        whole, scale = (max(n) for n in zip(*exact))
+        return f"decimal(38,{scale})" if whole + scale <= 38 else None
+    if "double" in kinds and any(exact):
+        return "double"
+    if kinds <= {"date", "timestamp", "timestamp_ntz"}:
+        return "timestamp"
+    return None
+
+
+def _carried(frames: dict[str, DataFrame], wanted: dict[str, list[str]], kind: str) -> dict[str, DataFrame]:
+    """The wanted columns, cast to ``kind`` where their own carrier is another."""
+    return {
+        t: frames[t].select(
+            *(
+                F.col(quoted(c)) if carrier(frames[t].schema[c].dataType) == kind else F.col(quoted(c)).cast(kind).alias(c)
+                for c in columns
+            )
+        )
+        for t, columns in wanted.items()
+    }
+
+
 def _carriers(frames: dict[str, DataFrame], wanted: set[Named]) -> dict[str, list[Named]]:
+    """Columns by the type in which they are compared; all exact numbers in one that holds them, if there is one."""
     out: dict[str, list[Named]] = {}
+    digits = {}
     for table, df in frames.items():
         for f in df.schema.fields:
             if (table, f.name) in wanted:
                 out.setdefault(carrier(f.dataType), []).append((table, f.name))
+                digits.setdefault(carrier(f.dataType), []).append(_digits(f.dataType))
+    exact = [k for k in out if digits[k][0]]
+    if len(exact) > 1:
+        whole, scale = (max(n) for n in zip(*(d for k in exact for d in digits[k])))
+        if whole + scale <= 38:
+            together = [c for k in exact for c in out.pop(k)]
+            out[f"decimal(38,{scale})"] = together
     return out
 
 
@@ -119,13 +168,14 @@ def inclusions(
     """All pairs (child, parent) of different tables with every child value in the parent.
 
     ``children`` and ``parents`` name (table, column). Columns are compared
-    within their carrier type. A child without values is included in nothing.
+    within their carrier type, exact numbers of all types together. A child
+    without values is included in nothing.
     """
     results = []
     for kind, columns in _carriers(frames, set(children) | set(parents)).items():
         columns = sorted(columns)
         wanted = _by_table(columns)
-        values = long_values({t: frames[t] for t in wanted}, wanted)[kind]
+        values = long_values(_carried(frames, wanted, kind), wanted)[kind]
         masks = value_masks(values, columns)
         folded = (
             _per_child(masks, len(columns))
@@ -171,41 +221,45 @@ def inclusions(
 def missing_counts(frames: dict[str, DataFrame], pairs: list[tuple[Named, Named]]) -> DataFrame:
     """Distinct child values of each given pair, and how many the parent lacks.
 
-    All pairs of a carrier are answered by one grouping of the values.
+    One row per pair, also for children without values (0 and 0). Columns of
+    different types are compared in ``common_carrier``; where there is none, or
+    a column is not there, the counts are null and ``reason`` says why. All
+    pairs of a carrier are answered by one grouping of the values.
     """
+    spark = next(iter(frames.values())).sparkSession
+    types = {(t, f.name): f.dataType for t, df in frames.items() for f in df.schema.fields}
+    asked: dict[str, list[int]] = {}
+    rows = []
+    for i, (c, p) in enumerate(pairs):
+        kind = common_carrier(types[c], types[p]) if c in types and p in types else None
+        reason = None if kind else "types cannot be compared" if c in types and p in types else "no such column"
+        rows.append((i, *c, *p, reason))
+        if kind:
+            asked.setdefault(kind, []).append(i)
+    named = spark.createDataFrame(
+        rows,
+        "pair int, child_table string, child_column string, parent_table string, parent_column string, reason string",
+    )
     results = []
-    kinds = _carriers(frames, {c for p in pairs for c in p})
-    for kind, columns in kinds.items():
-        columns = sorted(columns)
+    for kind, numbers in asked.items():
+        columns = sorted({c for i in numbers for c in pairs[i]})
         index = {c: i for i, c in enumerate(columns)}
-        asked = [(index[c], index[p], c, p) for c, p in pairs if c in index and p in index]
-        if not asked:
-            continue
         wanted = _by_table(columns)
-        values = long_values({t: frames[t] for t in wanted}, wanted)[kind]
+        values = long_values(_carried(frames, wanted, kind), wanted)[kind]
         masks = value_masks(values, columns)
-        counted = (
-            _answers(masks, len(columns), [(c, p) for c, p, _, _ in asked])
+        places = ", ".join(map(str, numbers))
+        results.append(
+            _answers(masks, len(columns), [(index[pairs[i][0]], index[pairs[i][1]]) for i in numbers])
             .groupBy("pair")
             .agg(F.count("*").alias("n_child"), F.count_if("missing").alias("n_missing"))
+            .withColumn("pair", F.expr(f"array({places})[pair]"))
         )
-        names = ", ".join(
-            _struct(child_table=c[0], child_column=c[1], parent_table=p[0], parent_column=p[1])
-            for _, _, c, p in asked
-        )
-        results.append(
-            counted.selectExpr(f"array({names})[pair] AS a", "n_child", "n_missing").select(
-                "a.*", "n_child", "n_missing"
-            )
-        )
-    if not results:
-        spark = next(iter(frames.values())).sparkSession
-        return spark.createDataFrame(
-            [],
-            "child_table string, child_column string, parent_table string, "
-            "parent_column string, n_child bigint, n_missing bigint",
-        )
-    return reduce(lambda a, b: a.unionByName(b), results)
+    empty = spark.createDataFrame([], "pair int, n_child bigint, n_missing bigint")
+    counted = reduce(lambda a, b: a.unionByName(b), results, empty)
+    known = lambda n: F.when(F.col("reason").isNull(), F.coalesce(n, F.lit(0))).alias(n)
+    return named.join(counted, "pair", "left").select(
+        "child_table", "child_column", "parent_table", "parent_column", known("n_child"), known("n_missing"), "reason"
+    )
 
 
 def inclusion(

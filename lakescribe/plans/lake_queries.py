@@ -130,15 +130,16 @@ _NULLED = "CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey END"
                 ("o_orderkey", "o_orderkey"),
                 ("o_custkey", _NULLED),
                 ("o_orderstatus", "nullif(o_orderstatus, 'F')"),
+                ("o_totalprice", "o_totalprice"),
+                ("o_orderdate", "o_orderdate"),
+                ("o_orderpriority", "o_orderpriority"),
             )
         ]
     ),
 )
 def nullability(spark, sf_dir):
-    orders = lake.frames(spark, sf_dir, ["orders"])["orders"].select(
-        "o_orderkey",
-        F.expr(_NULLED).alias("o_custkey"),
-        F.nullif("o_orderstatus", F.lit("F")).alias("o_orderstatus"),
+    orders = lake.frames(spark, sf_dir, ["orders"])["orders"].withColumns(
+        {"o_custkey": F.expr(_NULLED), "o_orderstatus": F.nullif("o_orderstatus", F.lit("F"))}
     )
     return profile.profile(orders, "orders").select(
         "column_name", "null_count", (F.col("null_count") > 0).alias("nullable")
@@ -255,6 +256,27 @@ def all_inclusions(spark, sf_dir):
     return inclusion.inclusions(data, INT_COLUMNS, _unique_columns(data, INT_COLUMNS))
 
 
+FLOAT_COLUMNS = [(t, c) for t, _, c, k in listed() if _family(k) == "FLOAT"]
+TIME_COLUMNS = [(t, c) for t, _, c, k in listed() if _family(k) == "TIMESTAMP"]
+
+
+def _all_inclusions_sql(cols, kind: str) -> str:
+    """Inclusions with every column as a parent."""
+    unique = "u AS (SELECT n.t, n.c, n.n FROM n JOIN r ON n.t = r.t AND n.n = r.n)"
+    return _inclusions_sql(cols, kind).replace(unique, "u AS (SELECT * FROM n)")
+
+
+@query(
+    "i7_other_inclusions",
+    f"SELECT * FROM ({_all_inclusions_sql(FLOAT_COLUMNS, 'DOUBLE')}) UNION ALL "
+    f"SELECT * FROM ({_all_inclusions_sql(TIME_COLUMNS, 'TIMESTAMP')})",
+)
+def other_inclusions(spark, sf_dir):
+    """Every floating number and every time against all others of other tables."""
+    columns = FLOAT_COLUMNS + TIME_COLUMNS
+    return inclusion.inclusions(frames(spark, sf_dir), columns, columns)
+
+
 @query("i7_text_inclusions", _inclusions_sql(STRING_COLUMNS, "VARCHAR"))
 def text_inclusions(spark, sf_dir):
     data = frames(spark, sf_dir)
@@ -269,7 +291,11 @@ _J9 = [
     (("events", "user_id"), ("customer", "c_custkey")),
     (("part", "p_brand"), ("part", "p_type")),
     (("orders", "o_totalprice"), ("customer", "c_acctbal")),
+    (("part", "p_size"), ("lineitem", "l_quantity")),
+    (("lineitem", "l_discount"), ("nation", "n_nationkey")),
+    (("none", "o_orderkey"), ("orders", "o_orderkey")),
 ]
+_J9_APART = (("part", "p_name"), ("orders", "o_orderkey"))  # texts and numbers
 
 
 def _missing_sql(pairs) -> str:
@@ -284,9 +310,17 @@ def _missing_sql(pairs) -> str:
     )
 
 
-@query("j9_inclusion", _missing_sql(_J9))
+@query(
+    "j9_inclusion",
+    "WITH none AS (SELECT * FROM orders WHERE o_totalprice < 0) SELECT *, CAST(NULL AS VARCHAR) AS reason FROM ("
+    + _missing_sql(_J9)
+    + ") UNION ALL SELECT 'part', 'p_name', 'orders', 'o_orderkey', NULL, NULL, 'types cannot be compared'",
+)
 def missing(spark, sf_dir):
-    return inclusion.missing_counts(frames(spark, sf_dir), _J9)
+    """Pairs of equal and of different types, one with an empty child, and one that can't be compared."""
+    data = frames(spark, sf_dir)
+    data["none"] = data["orders"].filter("o_totalprice < 0")
+    return inclusion.missing_counts(data, [*_J9, _J9_APART])
 
 
 @query("j9_one_pair", _missing_sql(_J9[2:3]).replace("SELECT 'documents' AS child_table, 'doc_id' AS child_column, 'labels' AS parent_table, 'doc_id' AS parent_column, ", "SELECT "))
@@ -380,7 +414,7 @@ def found_foreign_keys(spark, sf_dir):
     """Foreign keys of the lake: names agree and no child value is missing."""
     pairs = foreign_keys.name_pairs(_with_keys(spark, sf_dir))
     counted = foreign_keys.confirmed_by_data(pairs, frames(spark, sf_dir))
-    return counted.filter("n_missing = 0").drop("n_missing")
+    return counted.filter("n_child > 0 AND n_missing = 0").drop("n_missing", "reason")
 
 
 @query("j4_distinct_counts", f"SELECT l.table_name, l.column_name, l.data_type, distinct_count, null_count > 0 AS nullable FROM ({LISTED_SQL}) l JOIN ({COUNTS_SQL}) n ON l.table_name = n.table_name AND l.column_name = n.column_name")

@@ -148,7 +148,22 @@ def test_inclusion_against_brute_force(spark, monkeypatch, compiled):
     pairs = [(names[i], names[-1 - i]) for i in range(30)]
     counted = inclusion.missing_counts(frames, pairs).collect()
     assert {((r.child_table, r.child_column), r.n_missing) for r in counted} == {
-        (c, len(values[c] - values[p])) for c, p in pairs if values[c]
+        (c, len(values[c] - values[p])) for c, p in pairs
+    }
+
+
+def test_inclusion_of_unlike_types(spark):
+    a = spark.sql("SELECT CAST(v AS bigint) AS i, CAST(v AS decimal(20,2)) AS m, CAST(v AS double) AS d, CAST(v AS string) AS s, "
+                  "CAST(null AS int) AS none FROM VALUES (1), (2), (3), (3) AS t(v)")
+    b = spark.sql("SELECT CAST(v AS decimal(38,0)) AS big, CAST(v AS decimal(9,1)) AS m, CAST(v AS int) AS i FROM VALUES (1.5), (2.0), (4.0) AS t(v)")
+    # as whole numbers of 38 digits b has 2 and 4, as int 1, 2 and 4
+    asked = {("i", "m"): (3, 2), ("m", "i"): (3, 1), ("d", "m"): (3, 2), ("i", "big"): (3, 2), ("none", "i"): (0, 0),
+             ("s", "i"): (None, None), ("m", "big"): (None, None), ("gone", "i"): (None, None)}
+    pairs = [(("a", c), ("b", p)) for c, p in asked]
+    got = {(r.child_column, r.parent_column): r for r in inclusion.missing_counts({"a": a, "b": b}, pairs).collect()}
+    assert {k: (r.n_child, r.n_missing) for k, r in got.items()} == asked
+    assert {k: r.reason for k, r in got.items() if r.reason} == {
+        ("s", "i"): "types cannot be compared", ("m", "big"): "types cannot be compared", ("gone", "i"): "no such column"
     }
 
 
