@@ -11,6 +11,7 @@ from lakescribe.operators.keys import final_keys
 from lakescribe.operators.skew import lookup
 
 KEY, TABLE = model.COLUMN_KEY, model.TABLE_KEY
+SEQUENCE = "sequence"
 
 # Key names that say nothing about the table they belong to (fixed values).
 GENERIC = ("id", "key", "pk", "uuid", "guid", "rowid")
@@ -158,7 +159,8 @@ def validate(answers: DataFrame, columns: DataFrame, default_schema: str = "dbo"
     """Answers with the real names found, or the reason they are rejected.
 
     Names match in any letter case; of several tables of one name the lowest
-    schema counts. ``reject_reason`` is null for valid answers.
+    schema counts. ``reject_reason`` is null for valid answers. A column
+    ``sequence``, the place of an answer among all, is kept.
     """
     lowered = F.lower("table_name")
     tables = columns.groupBy("system_name", lowered.alias("_t")).agg(
@@ -214,23 +216,24 @@ def validate(answers: DataFrame, columns: DataFrame, default_schema: str = "dbo"
         "target_table",
         "target_column",
         reason.alias("reject_reason"),
+        *(c for c in answers.columns if c == SEQUENCE),
     )
 
 
 def apply_foreign(columns: DataFrame, valid: DataFrame) -> DataFrame:
-    """Set the inferred reference on columns that are not native foreign keys."""
+    """Set the inferred reference on columns that are not native foreign keys.
+
+    Of several valid answers the last in ``sequence`` counts; without such a
+    column, and among equals, the highest by name.
+    """
+    target = F.struct(
+        F.col("target_schema").alias("schema"),
+        F.col("target_table").alias("table"),
+        F.col("target_column").alias("column"),
+    )
+    last = F.struct(*(c for c in valid.columns if c == SEQUENCE), target)
     chosen = (
-        valid.filter(F.col("reject_reason").isNull())
-        .groupBy(*KEY)
-        .agg(
-            F.max(
-                F.struct(
-                    F.col("target_schema").alias("schema"),
-                    F.col("target_table").alias("table"),
-                    F.col("target_column").alias("column"),
-                )
-            ).alias("_ref")
-        )
+        valid.filter(F.col("reject_reason").isNull()).groupBy(*KEY).agg(F.max_by(target, last).alias("_ref"))
     )
     free = ~F.col("foreign_key") & F.col("_ref").isNotNull()
     return (

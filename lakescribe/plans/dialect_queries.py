@@ -300,13 +300,13 @@ def sqlserver_dumps(spark, sf_dir):
         "sys_columns": c.select(
             "system_name", k.alias("object_id"), F.col("ordinal").alias("column_id"), F.col("column_name").alias("name")
         ),
-        "sys_stats": c.filter("ordinal <= 2").select("system_name", k.alias("object_id"), F.col("ordinal").alias("stats_id")),
-        "sys_stats_properties": c.filter("ordinal <= 2").select(
+        "sys_stats": c.select("system_name", k.alias("object_id"), F.col("ordinal").alias("stats_id")),
+        "sys_stats_properties": c.select(
             "system_name", k.alias("object_id"), F.col("ordinal").alias("stats_id"),
             (F.col("p_size") * 100).alias("rows"),
         ),
-        # a second column follows the leading one
-        "sys_stats_columns": c.filter("ordinal <= 2").select(
+        # a second column follows the leading one in some
+        "sys_stats_columns": c.select(
             "system_name", k.alias("object_id"), F.col("ordinal").alias("stats_id"),
             F.col("ordinal").alias("column_id"), F.lit(1).alias("stats_column_id"),
         ).unionByName(
@@ -406,7 +406,7 @@ def sqlserver_volumes(spark, sf_dir):
 
 @query(
     "a25_sqlserver_statistics",
-    sql("SELECT schema_name, table_name, column_name, CAST(p_size * 100 AS BIGINT) AS stat_rows FROM c WHERE ordinal <= 2"),
+    sql("SELECT schema_name, table_name, column_name, CAST(p_size * 100 AS BIGINT) AS stat_rows FROM c"),
 )
 def sqlserver_statistics(spark, sf_dir):
     return dialects.sqlserver_leading_statistics(sqlserver_dumps(spark, sf_dir)).select(
@@ -436,6 +436,36 @@ def all_dialects(spark, sf_dir):
     )
 
 
+REQUESTS = [
+    {"db_type": "PostgreSQL", "schema_name": "s1", "schema": "s0"},
+    {"db_type": "BIGQUERY"},
+    {"db_type": "oracle", "username": "s2"},
+    {"db_type": "sqlserver", "schema": "s3"},
+]
+
+
+@query(
+    "a2_requests",
+    sql(
+        """SELECT d AS system_name, CASE d WHEN 'oracle' THEN upper(schema_name) ELSE schema_name END AS schema_name, count(*) AS n_tables
+FROM t CROSS JOIN (VALUES ('postgres', 's1'), ('bigquery', NULL), ('oracle', 's2'), ('sqlserver', 's3')) v(d, s)
+WHERE (s IS NULL OR schema_name = s) AND CASE d WHEN 'oracle' THEN k % 13 <> 0
+  WHEN 'postgres' THEN k % 13 <> 0 AND table_type = 'BASE TABLE'
+  WHEN 'sqlserver' THEN k % 19 <> 0 AND table_type = 'BASE TABLE' ELSE table_type = 'BASE TABLE' END GROUP BY ALL"""
+    ),
+)
+def requests(spark, sf_dir):
+    """Requests with names and schemas given in every way, each to its dialect."""
+    found = []
+    for request in REQUESTS:
+        asked = dialects.request_arguments(request)
+        dumps = DUMPS[asked["db_type"]](spark, sf_dir)
+        tables = dialects.dialect_parts(asked["db_type"], dumps, asked["schema"], asked["tables"])["tables"]
+        found.append({"tables": tables.withColumn("system_name", F.lit(asked["db_type"]))})
+    merged = dialects.merge_parts(found)["tables"]
+    return merged.groupBy("system_name", "schema_name").agg(F.count("*").alias("n_tables"))
+
+
 @query(
     "j4_assembled_columns",
     sql(

@@ -360,6 +360,18 @@ def test_foreign_answers(spark):
     assert [(r.column_name, tuple(r.inferred_fk_references)) for r in applied.collect() if r.inferred_fk] == [("t_id", ("main", "t", "id"))]
 
 
+def test_last_answer_counts(spark):
+    _, c = column_rows(spark, [("a", "z", 1, "id", True, False, None, None), ("a", "b", 1, "id", True, False, None, None), ("a", "u", 1, "r", False, False, None, None)])
+    flat = c.withColumnsRenamed({"is_primary_key": "primary_key", "is_foreign_key": "foreign_key"})
+    for order, last in (((1, 2), "b"), ((2, 1), "z")):
+        answers = spark.createDataFrame(
+            [("x", "u", "r", "a", "z", "id", order[0]), ("x", "u", "r", "a", "b", "id", order[1])],
+            "system_name string, source_table string, source_column string, target_schema string, target_table string, target_column string, sequence int",
+        )
+        applied = foreign_keys.apply_foreign(flat, foreign_keys.validate(answers, flat))
+        assert [r.inferred_fk_references.table for r in applied.collect() if r.inferred_fk] == [last]
+
+
 def test_parents_prefer_the_own_schema(spark):
     rows = [(s, t, 1, "id", True, False, None, None) for s in ("a", "b") for t in ("users", "user")]
     _, c = column_rows(spark, [*rows, ("b", "log", 1, "user_id", False, False, None, None), ("c", "log", 1, "user_id", False, False, None, None)])
