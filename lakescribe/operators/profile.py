@@ -37,13 +37,25 @@ def quoted(name: str) -> str:
 
 
 def _comparable(f: T.StructField) -> str:
-    """The column as a value that can be grouped, in its carrier type."""
+    """The column as a value that can be grouped, in its carrier type; texts as ``_short``."""
     value = quoted(f.name)
     if isinstance(f.dataType, (T.MapType, T.VariantType)):
-        return f"to_json({value})"
+        return _short(f"to_json({value})")
+    if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+        return _short(value)
     return f"CAST({value} AS {carrier(f.dataType)})"
 
 
+def _short(text: str) -> str:
+    """Bytes that are equal where texts or binaries are: their own if fewer than 32, else a digest of 32.
+
+    So a shuffle by value carries no long text.
+    """
+    return (
+        f"CASE WHEN octet_length({text}) < 32 THEN CAST({text} AS binary) ELSE unhex(sha2(CAST({text} AS binary), 256)) END"
+    )
+
+
 def _sketchable(f: T.StructField) -> str:
     """The value as an integer or text, which is what sketches take; nulls stay null."""
     value = quoted(f.name)
@@ -107,7 +119,8 @@ def long_values(
     """Values in long form, one DataFrame (table_name, column_name, value) per carrier.
 
     Columns of one carrier are read in one pruned scan per table and stay in
-    their own type, so no value is turned into text to be compared.
+    their own type, so no value is turned into text to be compared. Texts and
+    binaries come as bytes, long ones as digests.
     """
     out: dict[str, list[DataFrame]] = {}
     for table, df in frames.items():
