@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from lakescribe.functions import scalars
 from lakescribe.operators.ordering import ROWS_PER_RANGE, range_bounds, range_of, running
 from lakescribe.operators.search import first_columns
 from lakescribe.operators.skew import lookup
+from lakescribe.session import materialized
 
 TABLE = ["system_name", "schema_name", "table_name"]
 
@@ -159,8 +161,13 @@ def payloads(batches: DataFrame, columns: DataFrame) -> DataFrame:
 # Items are packed in order: an item that would take the open chunk over the
 # limit opens the next one, and an item over the limit stands alone. Each choice
 # depends on all before it, yet a range of items only needs to know how full the
-# open chunk is on entry. Ranges are packed apart for every entry they can meet,
-# the short summaries are chained, and each range is numbered from its entry.
+# open chunk is on entry. Ranges are packed apart for every entry they can meet.
+# The summary of neighbours is a summary again, so summaries are put together in
+# a tree of bounded width, entries are handed down it, and each range is numbered
+# from its entry.
+
+# Summaries that one task puts together.
+SUMMARIES_PER_NODE = 64
 
 
 def _breaks(weights: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,6 +207,34 @@ def _range_summary(weights: np.ndarray, limit: int) -> tuple[list[int], list[int
     return thresholds, lefts, counts, int(sums[n])
 
 
+Summary = tuple[np.ndarray, np.ndarray, np.ndarray, int]
+
+
+def _left_by(fills: np.ndarray, summary: Summary, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the open chunk after a range entered with each of ``fills``, and the chunks opened."""
+    thresholds, lefts, counts, total = summary
+    piece = np.minimum(np.searchsorted(-thresholds, -fills, side="right"), len(thresholds) - 1)
+    fits = fills + total <= limit
+    return np.where(fits, fills + total, lefts[piece]), np.where(fits, 0, counts[piece])
+
+
+def _joined(first: Summary, second: Summary, limit: int) -> Summary:
+    """The summary of two neighbours; it has at most ``limit`` + 2 pieces, like any other."""
+    lefts, opened = _left_by(first[1], second, limit)
+    thresholds = np.concatenate([first[0], second[0] - first[3]])
+    lefts = np.concatenate([lefts, second[1]])
+    counts = np.concatenate([first[2] + opened, second[2]])
+    # no chunk holds less than nothing: the first threshold below 0 is the last that counts
+    end = min(len(thresholds), int(np.searchsorted(-thresholds, 0, side="right")) + 1)
+    last = np.ones(end, dtype=bool)
+    last[:-1] = (lefts[: end - 1] != lefts[1:end]) | (counts[: end - 1] != counts[1:end])
+    return thresholds[:end][last], lefts[:end][last], counts[:end][last], first[3] + second[3]
+
+
+def _summary_of(row) -> Summary:
+    return (*(np.asarray(getattr(row, n), dtype=np.int64) for n in ("thresholds", "lefts", "counts")), int(row.total))
+
+
 def _numbered(weights: np.ndarray, limit: int, chunk: int, fill: int, started: bool) -> np.ndarray:
     """Chunk number of each item of a range entered at ``chunk`` with ``fill`` tokens."""
     n = len(weights)
@@ -225,12 +260,14 @@ def token_chunks(
     tokens: Column,
     limit: int = TOKEN_LIMIT,
     rows_per_range: int = ROWS_PER_RANGE,
+    fan: int = SUMMARIES_PER_NODE,
 ) -> DataFrame:
     """(group, order, tokens, chunk_no) with chunks numbered from 0 in each group.
 
     Only keys and token counts are shuffled, never texts. Groups of any size are
-    cut into ranges of the order, so no task holds a whole group. A null group
-    is a group of its own, and a null count is 0.
+    cut into ranges of the order, so no task holds a whole group, and no task
+    sees the summaries of more than ``fan`` ranges. A null group is a group of
+    its own, and a null count is 0.
     """
     counted = F.coalesce(tokens.cast("bigint"), F.lit(0).cast("bigint"))
     narrow = df.select(*group, *order, counted.alias("tokens"))
@@ -280,23 +317,28 @@ def token_chunks(
         ]
     )
 
+    def join_summaries(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_range")
+        head = pdf.iloc[0]
+        t, l, c, total = reduce(lambda x, y: _joined(x, y, limit), map(_summary_of, pdf.itertuples(index=False)))
+        return pd.DataFrame(
+            [[*[head[g] for g in group], head["_parent"], t, l, c, total]],
+            columns=[f.name for f in summary_type.fields],
+        )
+
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, chunk, fill, started = [], 0, 0, False
-        for r in pdf.sort_values("_range").itertuples(index=False):
-            values = dict(zip(pdf.columns, r))
+        pdf = pdf.sort_values("_range")
+        head = pdf.iloc[0]
+        rows, chunk, fill, started = [], int(head["_chunk"]), int(head["_fill"]), bool(head["_started"])
+        for values, summary in zip(pdf.to_dict("records"), map(_summary_of, pdf.itertuples(index=False))):
             rows.append([*[values[g] for g in group], values["_range"], chunk, fill, started])
             if not started:
                 # an empty chunk takes its first item whatever its size
-                fill, opened = int(values["lefts"][0]), int(values["counts"][0]) - 1
-                chunk, started = chunk + opened, True
-                continue
-            if fill + values["total"] <= limit:
-                fill += int(values["total"])
-                continue
-            for t, left, count in zip(values["thresholds"], values["lefts"], values["counts"]):
-                if fill > t:
-                    fill, chunk = int(left), chunk + int(count)
-                    break
+                fill, opened = int(summary[1][0]), int(summary[2][0]) - 1
+            else:
+                left, opened = _left_by(np.array([fill]), summary, limit)
+                fill, opened = int(left[0]), int(opened[0])
+            chunk, started = chunk + opened, True
         return pd.DataFrame(rows, columns=[f.name for f in entry_type.fields])
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -307,13 +349,27 @@ def token_chunks(
         )
         return pdf[[*keys, "tokens", "chunk_no"]]
 
-    part = [*group, "_range"]
-    summaries = ranged.groupBy(*part).applyInPandas(summarise, summary_type)
-    entries = summaries.groupBy(*group).applyInPandas(chain, entry_type)
-    entries = entries.withColumnsRenamed({k: f"_of_{k}" for k in part})
-    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in part]
-    joined = ranged.join(entries, same).drop(*[f"_of_{k}" for k in part])
-    return joined.groupBy(*part).applyInPandas(number, result)
+    def entered(rows: DataFrame, entries: DataFrame, place: str) -> DataFrame:
+        """``rows`` with the entry whose ``_range`` is their ``place``, in the same group."""
+        entries = entries.withColumnsRenamed({k: f"_of_{k}" for k in (*group, "_range")})
+        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in group]
+        joined = rows.join(entries, [*same, F.col(place) == F.col("_of__range")])
+        return joined.drop(*[f"_of_{k}" for k in (*group, "_range")])
+
+    # Up the tree, then down: every task sees at most ``fan`` summaries.
+    part, above = [*group, "_range"], [*group, "_parent"]
+    parent = F.expr(f"CAST(_range DIV {fan} AS INT)").alias("_parent")
+    summaries = materialized(ranged.groupBy(*part).applyInPandas(summarise, summary_type), "summaries")
+    levels, width = [summaries.select("*", parent)], len(bounds) + 1
+    while width > fan:
+        joined = levels[-1].groupBy(*above).applyInPandas(join_summaries, summary_type)
+        levels.append(materialized(joined, "summaries").select("*", parent))
+        width = -(-width // fan)
+    start = {"_chunk": F.lit(0).cast("bigint"), "_fill": F.lit(0).cast("bigint"), "_started": F.lit(False)}
+    entries = levels.pop().withColumns(start).groupBy(*above).applyInPandas(chain, entry_type)
+    while levels:
+        entries = entered(levels.pop(), entries, "_parent").groupBy(*above).applyInPandas(chain, entry_type)
+    return entered(ranged, entries, "_range").groupBy(*part).applyInPandas(number, result)
 
 
 def text_chunks(

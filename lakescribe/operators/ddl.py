@@ -216,7 +216,9 @@ def _alters(stmts: DataFrame, found: DataFrame, default_schema: str) -> DataFram
         by_name,
         SEQ,
         {"_seen": ("min", F.col("_oldest"))},
-        bounds=range_bounds(found, [*by_name, *SEQ]),
+        bounds=range_bounds(
+            found.select(*by_name, *SEQ).unionByName(asked.select(*by_name, *SEQ)), [*by_name, *SEQ]
+        ),
     ).filter(F.col("rest").isNotNull() & F.col("_seen").isNotNull())
     moved = (
         placed.select(

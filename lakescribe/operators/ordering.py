@@ -21,7 +21,7 @@ def range_bounds(
 ) -> list[str]:
     """Sorted key values, as JSON, that cut ``df`` into ranges of about equal size.
 
-    They come from a bounded sample and only steer the balance; any bounds give
+    They come from a sample of a few keys per range and only steer the balance; any bounds give
     the same results. Small inputs get none.
     """
     total = df.count()
@@ -33,7 +33,6 @@ def range_bounds(
         df.select(*keys)
         .sample(share, seed=11)
         .orderBy(*keys)
-        .limit(2 * ranges * SAMPLE_PER_RANGE)
         .select(F.to_json(F.struct(*keys)).alias("key"))
         .collect()
     )

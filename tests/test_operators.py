@@ -94,8 +94,8 @@ def test_token_chunks_over_ranges(spark, limit):
     for g in {r[0] for r in rows}:
         mine = [r for r in rows if r[0] == g]
         expected.update({(g, r[1]): c for r, c in zip(mine, pack([r[2] for r in mine], limit))})
-    for size in (10**6, 60):
-        got = batches.token_chunks(df, ["g"], ["o"], F.col("w"), limit, rows_per_range=size).collect()
+    for size, fan in ((10**6, 64), (60, 64), (60, 3)):
+        got = batches.token_chunks(df, ["g"], ["o"], F.col("w"), limit, rows_per_range=size, fan=fan).collect()
         assert {(r.g, r.o): r.chunk_no for r in got} == expected
 
 
