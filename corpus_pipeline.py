@@ -16,30 +16,44 @@ from lakescribe.session import materialized
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those without a letter go."""
     known = language.train(docs.filter(~language.held_out()))
-    return language.identify(docs, *known).filter(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    # columns named like those of the answer come through under another name
+    own = {c: f"{c} of documents" for c in docs.columns if c in language.ANSWER}
+    found = language.identify(docs.withColumnsRenamed(own), *known)
+    kept = found.filter(F.col("lang_pred") != language.UNKNOWN)
+    return kept.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
-def _keep(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose row key is in ``keys`` (row), one of each."""
-    return docs.withColumn("row", exact.row_key()).join(keys, "row", "left_semi").dropDuplicates(["row"]).drop("row")
+def _rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the row key, and the key's name, which no column of theirs has."""
+    name = "row"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return docs.withColumn(name, exact.row_key()), name
+
+
+def _keep(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose row key is that of a row of ``found`` (doc_id, print), one of each."""
+    keyed, name = _rows(docs)
+    keys = found.select(F.struct(F.col("doc_id").alias("id"), "print").alias(name))
+    return keyed.join(keys, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
 
 
 def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    found = exact.duplicates(docs).filter("kept")
-    return _keep(docs, found.select(F.struct(F.col("doc_id").alias("id"), "print").alias("row")))
+    return _keep(docs, exact.duplicates(docs).filter("kept"))
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, the one with the smallest id."""
-    found = near.near_duplicates(docs).filter("kept")
-    return _keep(docs, found.select(F.struct(F.col("doc_id").alias("id"), "print").alias("row")))
+    return _keep(docs, near.near_duplicates(docs).filter("kept"))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti")
+    found = decontaminate.contained(docs, table(spark, sf_dir, "benchmark"))
+    keyed, name = _rows(docs)
+    keys = found.select(F.struct(F.col("doc_id").alias("id"), "print").alias(name)).distinct()
+    return keyed.join(keys, name, "left_anti").select(*docs.columns)
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ BLOCK_BYTES = 16 << 20
 #: All ASCII but letters and digits separates words; all other characters belong to words.
 SEPARATOR = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 
-ROW = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
+ROW = "doc_id long, print long, item_id long, n_shared long, n_shingles long, containment double"
 
 
 def shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int, places: Iterable[int]) -> set[bytes]:
@@ -93,6 +93,8 @@ class Block:
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8) -> DataFrame:
     """A row for every document and item with at least ``share`` of the item's shingles in the document.
 
+    Rows hold doc_id, ``print``, the fingerprint of the document's text, item_id,
+    n_shared, n_shingles and containment.
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns
     are ignored. Words are runs of anything but ASCII punctuation and white
     space, with A-Z as a-z. Items without words, or null, are in nothing. An
@@ -105,7 +107,7 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8)
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "text")
     found = None
     for i in range(blocks):
         rows = wanted.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
@@ -113,12 +115,12 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, share: float = 0.8)
 
         def search(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             names = [f.split()[0] for f in ROW.split(", ")]
-            kinds = [pa.int64()] * 4 + [pa.float64()]
+            kinds = [pa.int64()] * 5 + [pa.float64()]
             for batch in batches:
-                ids = batch.column(0)
+                ids, prints = batch.column(0), batch.column(1)
                 hits = [
-                    (ids[row].as_py(), item, shared, n, shared / n)
-                    for row, *document in tx.document_words(batch.column(1), SEPARATOR, tx.LOWER)
+                    (ids[row].as_py(), prints[row].as_py(), item, shared, n, shared / n)
+                    for row, *document in tx.document_words(batch.column(2), SEPARATOR, tx.LOWER)
                     for item, shared, n in block.value.find(*document)
                 ]
                 if hits:

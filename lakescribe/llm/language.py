@@ -23,6 +23,8 @@ BUCKETS = 1 << 15
 #: Characters that are turned into trigrams at once.
 PART_CHARS = 1 << 18
 UNKNOWN = "und"
+#: The columns of an answer.
+ANSWER = ("lang_pred", "score", "languages", "shares")
 
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -126,7 +128,7 @@ def identify(
     replaced. Ties go to the language first in the alphabet.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "languages", "shares")]
+    kept = [c for c in docs.columns if c not in ANSWER]
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -145,7 +147,7 @@ def identify(
             kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                [*kept, "lang_pred", "score", "languages", "shares"],
+                [*kept, *ANSWER],
             )
 
     added = StructType().add("lang_pred", "string").add("score", "double")

@@ -42,7 +42,7 @@ def op2_packing(spark, sf_dir):
     """,
 )
 def op3_decontamination(spark, sf_dir):
-    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5, 0.8)
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5, 0.8).drop("print")
 
 
 @query(
