@@ -45,7 +45,7 @@ def stage_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, the one with the smallest id."""
-    return _keep(docs, near.near_duplicates(docs).filter("kept"))
+    return _keep(docs, near.near_duplicates(docs).filter("stays"))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

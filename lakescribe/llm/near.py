@@ -186,7 +186,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``, and ``print``, the row's fingerprint.
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``, ``print``, the row's fingerprint, and stays.
 
     ``docs`` needs doc_id and text; other columns are ignored. Words are runs
     of anything but space and tab to carriage return, with A-Z as a-z. Two
@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     both. ``component_id`` is the smallest id that links lead to; a document
     without words, or with null text, is linked with nothing. Null ids come
     after all others; the component of null ids alone is null and its rows are
-    kept. Rows with equal texts are linked. An empty table gives no rows.
+    kept. ``stays`` holds for one text of each component, also where its ids
+    are null or repeated. Rows with equal texts are linked. An empty table gives no rows.
     """
     texts = keyed(docs)
     signed = materialized(_signed(texts, k), "signed")
@@ -279,10 +280,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         more = _compared(across, classes, texts, k, percent).filter("similar").select("a", "b")
         roots = components(materialized(links.union(more).distinct(), "links"))
 
-    named = classes.join(roots, "number", "left").select("class", "doc_id", F.coalesce("root", "number").alias("root"))
+    about_row = F.struct(F.col("doc_id").isNull(), "doc_id", "slot", "print")
+    named = classes.join(roots, "number", "left").select("class", about_row.alias("first"), F.coalesce("root", "number").alias("root"))
     named = materialized(named, "named")
-    smallest = materialized(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
-    final = materialized(named.join(smallest, "root").select("class", "component_id"), "final")
-    linked = signed.filter("class is not null").join(final, "class").select("doc_id", "print", "n_shingles", "component_id")
-    alone = signed.filter("class is null").select("doc_id", "print", "n_shingles", F.col("doc_id").alias("component_id"))
+    smallest = materialized(named.groupBy("root").agg(F.min("first").alias("first")), "components")
+    final = materialized(named.drop("first").join(smallest, "root").select("class", "first"), "final")
+    linked = signed.filter("class is not null").join(final, "class")
+    linked = linked.select(
+        "doc_id", "print", "n_shingles", F.col("first.doc_id").alias("component_id"), (about_row == F.col("first")).alias("stays")
+    )
+    alone = signed.filter("class is null")
+    alone = alone.select("doc_id", "print", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

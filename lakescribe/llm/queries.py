@@ -81,7 +81,7 @@ def op6_suffix_dedup(spark, sf_dir):
 
 @query("op7_near_duplicates")
 def op7_near_duplicates(spark, sf_dir):
-    return near.near_duplicates(table(spark, sf_dir, "documents"), 4, 80).drop("print")
+    return near.near_duplicates(table(spark, sf_dir, "documents"), 4, 80).drop("print", "stays")
 
 
 @query("op8_token_counts")
