@@ -152,7 +152,11 @@ def postgres(d: Dumps, schema: str | None = None, tables=None, include_views=Fal
 
 
 def bigquery(d: Dumps, schema: str | None = None, tables=None) -> Dumps:
-    """Constraint and distinct dumps may be missing on some editions."""
+    """Constraint and distinct dumps may be missing on some editions.
+
+    The schema of a target key is the one given with the foreign key, else that
+    of ``constraint_column_usage``, else the own one.
+    """
     base = (
         d["tables"]
         .filter((F.col("table_type") == "TABLE") & _listed("table_id", tables))
@@ -181,13 +185,20 @@ def bigquery(d: Dumps, schema: str | None = None, tables=None) -> Dumps:
         tc, kcu = d["table_constraints"], d["key_column_usage"]
         primary, unique = _keys(tc, kcu, "PRIMARY KEY"), _keys(tc, kcu, "UNIQUE")
         if "unique_constraint_name" in tc.columns:
+            given = F.col("unique_constraint_schema") if "unique_constraint_schema" in tc.columns else F.lit(None).cast("string")
             links = tc.filter(F.col("constraint_type") == "FOREIGN KEY").select(
                 "system_name",
                 "constraint_name",
                 "table_schema",
                 F.col("unique_constraint_name").alias("target_name"),
-                F.coalesce(F.col("unique_constraint_schema"), F.col("table_schema")).alias("target_schema"),
+                given.alias("target_schema"),
             )
+            if "constraint_column_usage" in d:
+                # the table of the target key, which may be in another dataset
+                used = d["constraint_column_usage"].groupBy("system_name", F.col("constraint_name").alias("target_name"))
+                links = lookup(links, used.agg(F.min("table_schema").alias("_used")), ["system_name", "target_name"])
+                links = links.withColumn("target_schema", F.coalesce("target_schema", "_used")).drop("_used")
+            links = links.withColumn("target_schema", F.coalesce("target_schema", "table_schema"))
             foreign = _paired(kcu, links)
         else:
             foreign = _empty(any_df, FOREIGN_SCHEMA)

@@ -471,3 +471,16 @@ def test_exact_distinct_of_empty_tables(spark):
     full = spark.createDataFrame([(1, None), (1, None)], "a int, b string")
     found = {(r.table_name, r.column_name): r.distinct_count for r in profile.exact_distinct({"e": empty, "f": full}).collect()}
     assert found == {("e", "a"): 0, ("e", "b"): 0, ("f", "a"): 1, ("f", "b"): 0}
+
+
+def test_bigquery_target_in_another_dataset(spark):
+    usage = "constraint_name string, table_schema string, table_name string, column_name string, ordinal_position int, position_in_unique_constraint int"
+    dumps = {
+        "tables": spark.createDataFrame([("d", "c", "TABLE", 3, 9), ("e", "p", "TABLE", 3, 9)], "dataset_id string, table_id string, table_type string, num_rows long, num_bytes long"),
+        "fields": spark.createDataFrame([("d", "c", 1, "p_id", "INT64", "NULLABLE"), ("e", "p", 1, "id", "INT64", "NULLABLE")], "dataset_id string, table_id string, position int, name string, field_type string, mode string"),
+        "table_constraints": spark.createDataFrame([("pk", "e", "p", "PRIMARY KEY", None), ("fk", "d", "c", "FOREIGN KEY", "pk")], "constraint_name string, table_schema string, table_name string, constraint_type string, unique_constraint_name string"),
+        "key_column_usage": spark.createDataFrame([("pk", "e", "p", "id", 1, None), ("fk", "d", "c", "p_id", 1, 1)], usage),
+        "constraint_column_usage": spark.createDataFrame([("pk", "e", "p", "id")], "CONSTRAINT_NAME string, TABLE_SCHEMA string, TABLE_NAME string, COLUMN_NAME string"),
+    }
+    found = assemble.assemble(dialects.dialect_parts("bigquery", dumps))[2].collect()
+    assert [(r.table_name, r.column_name, r.ref_schema, r.ref_table, r.ref_column) for r in found] == [("c", "p_id", "e", "p", "id")]
