@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakescribe.llm import chat, decontaminate, exact, language, near, packing, repeats, suffixes, token_counts, warc
+from lakescribe.llm import chat, decontaminate, exact, language, mixing, near, packing, repeats, suffixes, token_counts, warc
 from lakescribe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -136,3 +136,44 @@ def op10_repeated_passages(spark, sf_dir):
         F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)").alias("n_removed"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query(
+    "op12_source_mix",
+    r"""
+    WITH d AS (
+      SELECT doc_id, source IS NULL AS apart, coalesce(source, '') AS source, md5(CAST(doc_id AS VARCHAR)) AS turn,
+             coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+    ), s AS (
+      SELECT *, row_number() OVER (ORDER BY apart, source) AS place, [5, 2, 1][1 + (place - 1) % 3] AS w
+      FROM (SELECT apart, source, CAST(sum(size) AS HUGEINT) AS size FROM d GROUP BY apart, source)
+    ), f AS (
+      SELECT *, row_number() OVER o AS rank, 150 * sum(size) OVER () - 200 * (sum(size) OVER o - size) AS rest,
+             sum(w) OVER () - sum(w) OVER o + w AS ws
+      FROM s WINDOW o AS (ORDER BY size / w, place ROWS UNBOUNDED PRECEDING)
+    ), l AS (SELECT min(rank) AS rank, arg_min(rest, rank) AS rest, arg_min(ws, rank) AS ws FROM f WHERE 200 * size * ws > w * rest),
+    t AS (
+      SELECT apart, source, place, CAST(size AS BIGINT) AS source_size,
+             CASE WHEN f.rank >= l.rank THEN CAST(w * l.rest AS DOUBLE) / CAST(100 * l.ws AS DOUBLE)
+                  ELSE CAST(2 * size AS DOUBLE) END AS target
+      FROM f, l
+    ), q AS (
+      SELECT d.*, place, source_size, target, CAST(sum(size) OVER (PARTITION BY apart, source ORDER BY turn, doc_id, size) AS BIGINT) - size AS start
+      FROM d JOIN t USING (apart, source)
+    ), p AS (
+      SELECT *, again * source_size + start AS begins,
+             greatest(0, least(size, CAST(ceil(target) AS BIGINT) - (again * source_size + start))) AS words
+      FROM q, (VALUES (0), (1)) r(again)
+    ), g AS (
+      SELECT *, sum(words) OVER (ORDER BY CASE WHEN target > 0 THEN (begins + words) / target ELSE 0 END, place, begins, size
+                                 ROWS UNBOUNDED PRECEDING) - words AS sent,
+             (SELECT sum(size) * 150 // 100 FROM d) AS budget
+      FROM p
+    )
+    SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(words, budget - sent))) AS BIGINT) AS taken,
+           count(*) FILTER (WHERE least(words, budget - sent) > 0) AS times
+    FROM g GROUP BY doc_id, size, source_size, target
+    """,
+)
+def op12_source_mix(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents"), (5, 2, 1), 150, 2)
