@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakescribe.llm import chat, decontaminate, exact, language, mixing, near, packing, repeats, suffixes, token_counts, warc
+from lakescribe.llm import chat, decontaminate, exact, language, mixing, near, packing, repeats, suffixes, token_counts, trie, warc
 from lakescribe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -177,3 +177,52 @@ def op10_repeated_passages(spark, sf_dir):
 )
 def op12_source_mix(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents"), (5, 2, 1), 150, 2)
+
+
+@query(
+    "op11_prefix_trie",
+    r"""
+    WITH crc AS (
+      SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t
+    ), c AS (
+      SELECT conv_id, n, conv_id - conv_id % 5 AS first, xor(4294967295, list_reduce(
+        list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda s, b: xor(s >> 8, t[(xor(s, b) & 255) + 1]))) % 9 AS h
+      FROM (SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id), crc
+    ), o AS (
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS p, id, bytes FROM (
+        SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes,
+               sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+        FROM conversations WHERE conv_id IS NOT NULL)
+    ), r AS (
+      SELECT c.conv_id, p, id, bytes FROM c JOIN o ON o.conv_id = c.first AND p <= h
+      UNION ALL
+      SELECT c.conv_id, p - c.h + least(c.h, coalesce(f.n, 0)), id, bytes
+      FROM c JOIN o ON o.conv_id = c.conv_id AND p > c.h LEFT JOIN c f ON f.conv_id = c.first
+    ), l AS (
+      SELECT conv_id, coalesce(list(id ORDER BY p) FILTER (p IS NOT NULL), []) AS ids,
+             list(bytes ORDER BY p) FILTER (p IS NOT NULL) AS sizes
+      FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id
+    ), m AS (
+      SELECT conv_id, d, len(ids) AS size, array_to_string(ids[1 : d], '') AS path,
+             CASE WHEN d > 0 THEN array_to_string(ids[1 : d - 1], '') END AS up,
+             CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes
+      FROM (SELECT *, unnest(range(len(ids) + 1)) AS d FROM l)
+    ), n AS (
+      SELECT path, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) = d AS leaf,
+             (count(*) - 1) * any_value(bytes) AS saved,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256
+      FROM m GROUP BY path, d
+    ), s AS (
+      SELECT a.path, CAST(count(*) FILTER (b.leaf) AS BIGINT) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens
+      FROM n a JOIN n b ON starts_with(b.path, a.path) GROUP BY a.path
+    )
+    SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, count(k.path) AS n_children,
+           any_value(n_leaves) AS n_leaves, any_value(saved_tokens) AS saved_tokens, any_value(n.ends_sha256) AS ends_sha256
+    FROM n JOIN s USING (path) LEFT JOIN n p ON p.path = n.up LEFT JOIN n k ON k.up = n.path
+    GROUP BY n.conv_id, n.d, p.conv_id, n.n_convs
+    """,
+)
+def op11_prefix_trie(spark, sf_dir):
+    return trie.trie(trie.with_shared_heads(trie.numbered(table(spark, sf_dir, "conversations")), 5, 9))
