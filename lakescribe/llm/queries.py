@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lakescribe.llm import chat, decontaminate, exact, language, mixing, near, packing, repeats, suffixes, token_counts, trie, warc
+from lakescribe.llm import (
+    chat,
+    decontaminate,
+    exact,
+    language,
+    mixing,
+    near,
+    packing,
+    phrases,
+    repeats,
+    suffixes,
+    token_counts,
+    trie,
+    warc,
+)
 from lakescribe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -226,3 +240,38 @@ def op12_source_mix(spark, sf_dir):
 )
 def op11_prefix_trie(spark, sf_dir):
     return trie.trie(trie.with_shared_heads(trie.numbered(table(spark, sf_dir, "conversations")), 5, 9))
+
+
+@query(
+    "op13_collocations",
+    r"""
+    WITH t AS (
+      SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+        SELECT lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+    ), g AS (
+      SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM t, (SELECT unnest(range(1, 6)) AS m))
+    ), f AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+    n AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM t GROUP BY lang),
+    dropped AS (
+      SELECT DISTINCT x.lang, inner_phrase AS phrase FROM (
+        SELECT lang, a, array_to_string(w[i : i + k - 1], ' ') AS inner_phrase FROM (
+          SELECT lang, a, w, k, unnest(range(1, m - k + 2)) AS i
+          FROM (SELECT *, unnest(range(2, m)) AS k FROM f WHERE m > 2))) x
+      JOIN f y ON y.lang = x.lang AND y.phrase = x.inner_phrase WHERE 100 * x.a >= 100 * y.a
+    ), c AS (
+      SELECT f.lang, f.phrase, f.a, n.n, k, l.a AS l, r.a AS r, (1000 * f.a * n.n) // (CAST(l.a AS HUGEINT) * r.a) AS score
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1) f JOIN n USING (lang)
+      JOIN f l ON l.lang = f.lang AND l.phrase = array_to_string(f.w[1 : k], ' ')
+      JOIN f r ON r.lang = f.lang AND r.phrase = array_to_string(f.w[k + 1 : f.m], ' ')
+      WHERE NOT EXISTS (SELECT 1 FROM dropped d WHERE d.lang = f.lang AND d.phrase = f.phrase)
+    ), low AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+    FROM low WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+    QUALIFY row_number() OVER o <= 2000
+    """,
+)
+def op13_collocations(spark, sf_dir):
+    # the length of a phrase's path depends on the graph alone and is tested apart
+    return phrases.collocations(table(spark, sf_dir, "documents"), 100, 100, 2000).drop("path_words")
