@@ -7,10 +7,12 @@ the pieces that stop with it. The counts of three and two words follow in the
 same way from the nodes. Edges of equal weight that follow each other without
 a branch are compacted to one path.
 
-Two scans of the texts: the first counts words, and pairs of neighbours in a
-table of buckets of fixed size; the second makes edges only where pairs can be
-frequent. A bucket counts at least what each of its pairs does, so no frequent
-phrase is lost, and the counts of frequent phrases are exact at every size.
+Three scans of the texts: the first counts words, and pairs of neighbours in a
+table of buckets of fixed size; the second counts triples of possibly frequent
+pairs in the same way; the third makes edges only where pairs and triples can
+be frequent, and ends a run of words where they can't. A bucket counts at
+least what each of its members does, so no frequent phrase is lost, and the
+counts of frequent phrases are exact at every size.
 """
 
 from __future__ import annotations
@@ -30,13 +32,13 @@ from lakescribe.session import materialized
 #: Words of an edge, and of the longest candidates.
 LONGEST = 5
 
-#: Buckets of pairs: two to this power, as many bits in the filter that every task gets (8 MB).
+#: Buckets of pairs, and of triples: two to this power, as many bits in the filter that every task gets (8 MB).
 BUCKET_BITS = 26
 #: Buckets that travel in one row: two to this power.
-RANGE_BITS = 14
+RANGE_BITS = 12
 
-#: Distinct words or phrases, and pairs, that a task holds before it passes its counts on.
-HELD, HELD_PAIRS = 300_000, 4_000_000
+#: Distinct words or phrases, and buckets, that a task holds before it passes its counts on.
+HELD, HELD_BUCKETS = 300_000, 1_000_000
 
 #: Parts of a language that are ranked by themselves before the best of all are.
 SALTS = 256
@@ -65,21 +67,41 @@ def _by_lang(batch: pa.RecordBatch) -> Iterator[tuple[str, pa.Array]]:
         yield lang, batch.column(1).filter(pc.equal(langs.indices, i))
 
 
-def _pairs(
-    data: np.ndarray, offsets: np.ndarray, lang: str
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, whether each is followed by another in its piece, and the bucket of such pairs."""
+def _words(data: np.ndarray, offsets: np.ndarray, lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of words, and whether each is followed by another in its piece."""
     starts, ends, counts = T.word_bounds(data, offsets, _APART)
-    hashes = T.word_hashes(data, starts, ends, T.LOWER)
     breaks = np.flatnonzero(_BREAK[data])
     follows = np.zeros(len(starts), bool)
     follows[:-1] = np.searchsorted(breaks, starts[1:]) == np.searchsorted(breaks, ends[:-1])
     last = counts[1:] - 1
     follows[last[last >= 0]] = False
-    own = T.word_hashes(code := np.frombuffer(lang.encode() or b"\0", np.uint8), np.array([0]), np.array([len(code)]))
-    left = np.flatnonzero(follows)
-    mixed = T.mix(hashes[left] * np.uint64(T.BASE) + hashes[left + 1] + own)
-    return starts, ends, follows, mixed >> np.uint64(64 - BUCKET_BITS)
+    code = np.frombuffer(lang.encode() or b"\0", np.uint8)
+    own = T.word_hashes(code, np.array([0]), np.array([len(code)]))
+    return starts, ends, T.word_hashes(data, starts, ends, T.LOWER) + own, follows
+
+
+def _buckets(hashes: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+    """Buckets of the m words from each place of ``at``."""
+    value = hashes[at]
+    for i in range(1, m):
+        value = value * np.uint64(T.BASE) + hashes[at + i]
+    return (T.mix(value) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _possible(bits: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return (bits[buckets >> 3] >> (7 - (buckets & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _pairs(hashes: np.ndarray, follows: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each word and the next may be a frequent pair."""
+    out = follows.copy()
+    out[follows] = _possible(bits, _buckets(hashes, np.flatnonzero(follows), 2))
+    return out
+
+
+def _triples(pairs: np.ndarray) -> np.ndarray:
+    """Places of three words that are two possibly frequent pairs."""
+    return np.flatnonzero(pairs[:-1] & pairs[1:])
 
 
 def _counted(lang: str, held: Counter) -> pa.RecordBatch:
@@ -111,41 +133,78 @@ _SCANNED = ["lang", "word", "n", "range", "places", "counts"]
 _SCHEMA = "lang string, word binary, n long, range int, places binary, counts binary"
 
 
+class _Held:
+    """Counts of buckets within a task, passed on when there are many."""
+
+    def __init__(self) -> None:
+        self.waiting: list[np.ndarray] = []
+        self.buckets, self.seen = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.waiting.append(buckets)
+        if sum(map(len, self.waiting)) > HELD_BUCKETS:
+            self.fold()
+            if len(self.buckets) > 2 * HELD_BUCKETS:
+                yield self.out()
+
+    def fold(self) -> None:
+        if self.waiting:
+            new, seen = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.waiting.clear()
+            both, place = np.unique(np.concatenate([self.buckets, new]), return_inverse=True)
+            self.seen = np.bincount(place, np.concatenate([self.seen, seen]), len(both)).astype(np.int64)
+            self.buckets = both
+
+    def out(self) -> pa.RecordBatch:
+        self.fold()
+        batch = _packed(self.buckets, self.seen)
+        self.buckets, self.seen = np.empty(0, np.int64), np.empty(0, np.int64)
+        return batch
+
+
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words, and of pairs by bucket, of one task."""
     words: dict[str, Counter] = {}
-    buckets, waiting = (np.empty(0, np.int64), np.empty(0, np.int64)), []
-
-    def folded() -> tuple[np.ndarray, np.ndarray]:
-        if not waiting:
-            return buckets
-        new, seen = np.unique(np.concatenate(waiting), return_counts=True)
-        waiting.clear()
-        both, place = np.unique(np.concatenate([buckets[0], new]), return_inverse=True)
-        return both, np.bincount(place, np.concatenate([buckets[1], seen]), len(both)).astype(np.int64)
-
+    pairs = _Held()
     for batch in batches:
         for lang, column in _by_lang(batch):
             held = words.setdefault(lang, Counter())
             for _, data, offsets in T.slices(column, 1 << 20):
                 for a, b in zip(offsets, offsets[1:]):
                     held.update(data[a:b].tobytes().translate(_FOLD).split())
-                waiting.append(_pairs(data, offsets, lang)[3].astype(np.int64))
-                if sum(map(len, waiting)) > HELD_PAIRS:
-                    buckets = folded()
-                if len(buckets[0]) > 2 * HELD_PAIRS:
-                    yield _packed(*buckets)
-                    buckets = (np.empty(0, np.int64), np.empty(0, np.int64))
+                _, _, hashes, follows = _words(data, offsets, lang)
+                yield from pairs.add(_buckets(hashes, np.flatnonzero(follows), 2))
                 if len(held) > HELD:
                     yield _counted(lang, held)
                     held.clear()
     for lang, held in words.items():
         yield _counted(lang, held)
-    yield _packed(*folded())
+    yield pairs.out()
+
+
+def triples(docs: DataFrame, pair_bits: np.ndarray) -> DataFrame:
+    """Counts of triples by bucket, where both pairs may be frequent."""
+    shared = docs.sparkSession.sparkContext.broadcast(pair_bits)
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+        for batch in batches:
+            for lang, column in _by_lang(batch):
+                for _, data, offsets in T.slices(column, 1 << 20):
+                    _, _, hashes, follows = _words(data, offsets, lang)
+                    yield from held.add(_buckets(hashes, _triples(_pairs(hashes, follows, shared.value)), 3))
+        yield held.out()
+
+    return _texts(docs).mapInArrow(scan, _SCHEMA)
+
+
+def all_buckets() -> np.ndarray:
+    """The filter that holds nothing back."""
+    return np.full((1 << BUCKET_BITS) // 8, 255, np.uint8)
 
 
 def _frequent_buckets(scanned: DataFrame, least: int) -> np.ndarray:
-    """Bits of the buckets that count ``least`` pairs or more: 2**BUCKET_BITS bits, whatever the size of the corpus."""
+    """Bits of the buckets that count ``least`` or more: 2**BUCKET_BITS bits, whatever the size of the corpus."""
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A task holds the ranges dealt to it: all tasks together 2**BUCKET_BITS counts of 4 bytes.
@@ -176,20 +235,29 @@ def _frequent_buckets(scanned: DataFrame, least: int) -> np.ndarray:
     return out
 
 
-def _runs(data: np.ndarray, offsets: np.ndarray, lang: str, bits: np.ndarray) -> Iterator[list[bytes]]:
-    """Longest runs of words of which every pair of neighbours may be frequent."""
-    starts, ends, follows, bucket = _pairs(data, offsets, lang)
-    linked = follows.copy()
-    linked[follows] = (bits[bucket >> np.uint64(3)] >> (np.uint64(7) - (bucket & np.uint64(7))).astype(np.uint8)) & 1 == 1
-    edge = np.diff(np.concatenate([[False], linked, [False]]).astype(np.int8))
+def _runs(
+    data: np.ndarray, offsets: np.ndarray, lang: str, pair_bits: np.ndarray, triple_bits: np.ndarray
+) -> Iterator[list[bytes]]:
+    """For every run of possibly frequent pairs the longest phrases from each of its words that may be frequent."""
+    starts, ends, hashes, follows = _words(data, offsets, lang)
+    pairs = _pairs(hashes, follows, pair_bits)
+    on = np.zeros(len(pairs) + LONGEST, bool)
+    at = _triples(pairs)
+    on[at[_possible(triple_bits, _buckets(hashes, at, 3))]] = True
+    reach, further = np.full(len(pairs), 2), np.ones(len(pairs), bool)
+    for i in range(LONGEST - 2):
+        further &= on[i : i + len(pairs)]
+        reach += further
+    edge = np.diff(np.concatenate([[False], pairs, [False]]).astype(np.int8))
     text = data.tobytes().translate(_FOLD)
-    for a, b in zip(starts[np.flatnonzero(edge == 1)].tolist(), ends[np.flatnonzero(edge == -1)].tolist()):
-        yield text[a:b].split()
+    for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+        words = text[starts[a] : ends[b]].split()
+        yield [b" ".join(words[i : i + n]) for i, n in enumerate(reach[a:b].tolist())]
 
 
-def grams(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def grams(docs: DataFrame, pair_bits: np.ndarray, triple_bits: np.ndarray) -> DataFrame:
     """(lang, phrase, m, n): the edges of five words, and the two to four words that end a run, with their counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast((pair_bits, triple_bits))
     names = ["lang", "phrase", "m", "n"]
 
     def batch(lang: str, held: Counter) -> pa.RecordBatch:
@@ -201,14 +269,13 @@ def grams(docs: DataFrame, bits: np.ndarray) -> DataFrame:
         )
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
         found: dict[str, Counter] = {}
         for part in batches:
             for lang, column in _by_lang(part):
                 held = found.setdefault(lang, Counter())
                 for _, data, offsets in T.slices(column, 1 << 20):
-                    for run in _runs(data, offsets, lang, frequent):
-                        held.update([b" ".join(run[i : i + LONGEST]) for i in range(len(run) - 1)])
+                    for found_here in _runs(data, offsets, lang, *shared.value):
+                        held.update(found_here)
                     if len(held) > HELD:
                         yield batch(lang, held)
                         held.clear()
@@ -290,6 +357,13 @@ def path_texts(found: DataFrame) -> DataFrame:
     )
 
 
+def score() -> Column:
+    """1000 * a * n div (l * r) without rounding: the products have 38 digits."""
+    return F.expr(
+        "cast(1000 * a AS decimal(19,0)) * cast(n AS decimal(18,0)) div (cast(l AS decimal(19,0)) * cast(r AS decimal(18,0)))"
+    )
+
+
 def collocations(docs: DataFrame, least: int = 100, percent: int = 100, best: int = 2000) -> DataFrame:
     """The best phrases of two to five words of every language.
 
@@ -313,7 +387,9 @@ def collocations(docs: DataFrame, least: int = 100, percent: int = 100, best: in
         "words",
     )
     totals = words.groupBy("lang").agg(F.sum("n").alias("all_words"))
-    edges = materialized(grams(docs, _frequent_buckets(scanned, least)), "edges")
+    pair_bits = _frequent_buckets(scanned, least)
+    triple_bits = _frequent_buckets(triples(docs, pair_bits), least)
+    edges = materialized(grams(docs, pair_bits, triple_bits), "edges")
     levels = flows(edges)
     on_paths = paths(levels, least)
     frequent = {m: levels[m].filter(F.col("n") >= least) for m in levels}
@@ -346,11 +422,8 @@ def collocations(docs: DataFrame, least: int = 100, percent: int = 100, best: in
     cuts = lookup(cuts, known.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l")), ["lang", "head"])
     cuts = lookup(cuts, known.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
     cuts = lookup(cuts, totals.withColumnRenamed("all_words", "n"), ["lang"])
-    score = F.expr(
-        "cast(1000 * a AS decimal(19,0)) * cast(n AS decimal(18,0)) div (cast(l AS decimal(19,0)) * cast(r AS decimal(18,0)))"
-    )
     scored = (
-        cuts.withColumn("score", score)
+        cuts.withColumn("score", score())
         .groupBy("lang", "phrase", "a", "n")
         .agg(F.min(F.struct("score", "k", "l", "r")).alias("low"))
         .select("lang", "phrase", "a", "low.l", "low.r", "n", "low.score")
