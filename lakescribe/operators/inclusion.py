@@ -1,165 +1,201 @@
 """Inclusion between columns, found from the values themselves.
 
-Every column gets one bit. Grouping all values once and or-ing the bits tells in
-which columns a value occurs; a child is included in a parent if the parent's bit
-is set on all of the child's values, an ``and`` over the masks. No pair of
-columns or of rows is ever built from the values of a group.
+Every column has a number. Grouping all values once tells in which columns each
+occurs: a sparse mask, the list of (word, bits) of the columns that hold it, so
+a value carries no more than its own columns however many there are. Values
+with the same mask are then counted as one, and all that follows works on
+distinct masks. A child lies in a parent if the parent's bit is set in every
+mask of the child: the child's rarest mask names the parents that can be, and
+an ``and`` over all its masks leaves those that are. No pair of rows or of
+columns of a group is ever built.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lakescribe.operators.profile import carrier, long_values, quoted, text_literal
+from lakescribe.operators.profile import carrier, comparable, quoted
+from lakescribe.operators.skew import lookup
+from lakescribe.session import materialized
 
 WORD = 63
 
-# Up to this many columns or pairs each has its own compiled test; beyond, only the
-# bits that are set are walked.
-COMPILED_TESTS = 252
+#: Numbers of different types are compared by their exact decimal digits.
+NUMBER = "number"
 
 Named = tuple[str, str]
 
 
-def _words(n: int) -> int:
-    return (n + WORD - 1) // WORD
+# -- types -----------------------------------------------------------------------
 
 
-def _has(index: int) -> str:
-    """SQL test of one column's bit in the mask words m0, m1, ..."""
-    return f"(m{index // WORD} & {1 << (index % WORD)}L) != 0"
+def _is_number(kind: T.DataType) -> bool:
+    return carrier(kind) in ("bigint", "double") or isinstance(kind, T.DecimalType)
 
 
-def _array(items: list[str]) -> str:
-    return f"array_compact(array({', '.join(items)}))"
+def number_form(value: str, kind: T.DataType) -> str:
+    """SQL of a number as text: sign, digits without outer zeros, and the power of ten behind them.
 
-
-def _struct(**fields: str) -> str:
-    return "struct(" + ", ".join(f"{text_literal(v)} AS {n}" for n, v in fields.items()) + ")"
-
-
-def value_masks(values: DataFrame, columns: list[Named]) -> DataFrame:
-    """One row per value with the words of its column mask, nulls left out."""
-    places = ", ".join(
-        f"{text_literal(t)}, map({', '.join(f'{text_literal(c)}, {i}' for i, (u, c) in enumerate(columns) if u == t)})"
-        for t in sorted({t for t, _ in columns})
-    )
-    placed = values.filter("value IS NOT NULL").selectExpr(
-        "value", f"map({places})[table_name][column_name] AS i"
+    Equal numbers have one form in whatever type they come, at any size. A
+    floating number below 2**53 stands for the decimal it is printed as, which
+    reads back as it; a larger one, which has no fraction, for its exact value. All zeros are ``0``; infinities and NaN have forms of their own.
+    """
+    if carrier(kind) == "double":
+        x = f"CAST({value} AS double)"
+        # Floating numbers from 2**53 on are whole; two exact halves of 63 bits hold them up to 10**38.
+        high = f"floor({x} / 9223372036854775808D)"
+        exact = (
+            f"CAST(CAST({high} AS decimal(19,0)) * 9223372036854775808BD "
+            f"+ CAST(CAST({x} - {high} * 9223372036854775808D AS bigint) AS decimal(20,0)) AS string)"
+        )
+        text = f"CASE WHEN abs({x}) >= 9007199254740992D AND abs({x}) < 1e38D THEN {exact} ELSE CAST({x} AS string) END"
+    else:
+        text = f"CAST({value} AS string)"
+    parts = f"named_struct('s', {text})"
+    parts = (
+        f"transform(array({parts}), p -> named_struct('s', p.s, 'm', substring_index(ltrim('-', p.s), 'E', 1), "
+        "'e', if(instr(p.s, 'E') > 0, int(try_cast(substring_index(p.s, 'E', -1) AS int)), 0)))"
     )
-    words = [
-        f"bit_or(CASE WHEN i DIV {WORD} = {w} THEN shiftleft(1L, i % {WORD}) ELSE 0L END) AS m{w}"
-        for w in range(_words(len(columns)))
-    ]
-    return placed.groupBy("value").agg(*[F.expr(w) for w in words])
-
-
-def _set_bits(ids: list[int], n: int) -> str:
-    """SQL array of those of ``ids`` whose bit is set, out of ``n`` columns."""
-    if len(ids) <= COMPILED_TESTS:
-        return _array([f"CASE WHEN {_has(i)} THEN {i} END" for i in ids])
-    words = ", ".join(f"struct({w} AS w, m{w} AS m)" for w in range(_words(n)))
-    found = (
-        f"flatten(transform(filter(array({words}), x -> x.m != 0), "
-        f"x -> transform(filter(sequence(0, {WORD - 1}), b -> getbit(x.m, b) = 1), b -> x.w * {WORD} + b)))"
+    parts = (
+        f"transform({parts}, p -> named_struct('s', p.s, 'd', ltrim('0', replace(p.m, '.', '')), "
+        "'e', p.e - if(instr(p.m, '.') > 0, length(p.m) - instr(p.m, '.'), 0)))"
     )
-    if len(ids) == n:
-        return found
-    return f"filter({found}, i -> array_contains(array({', '.join(map(str, ids))}), i))"
-
-
-def _per_child(masks: DataFrame, n: int) -> DataFrame:
-    """(child, m0, m1, ...) with one row per value and column it occurs in."""
-    members = _set_bits(list(range(n)), n)
-    return masks.selectExpr(f"explode({members}) AS child", *[f"m{w}" for w in range(_words(n))])
-
-
-def _answers(masks: DataFrame, n: int, asked: list[tuple[int, int]]) -> DataFrame:
-    """(pair, missing) with one row per value and asked pair whose child holds it."""
-    if len(asked) <= COMPILED_TESTS:
-        tests = [
-            f"CASE WHEN {_has(c)} THEN struct({i} AS pair, NOT ({_has(p)}) AS missing) END"
-            for i, (c, p) in enumerate(asked)
-        ]
-        return masks.selectExpr(f"inline({_array(tests)})")
-    by_child: dict[int, list[str]] = {}
-    for i, (c, p) in enumerate(asked):
-        by_child.setdefault(c, []).append(f"struct({i} AS pair, {p} AS parent)")
-    pairs = ", ".join(f"{c}, array({', '.join(ps)})" for c, ps in by_child.items())
-    words = ", ".join(f"m{w}" for w in range(_words(n)))
-    members = _set_bits(sorted(by_child), n)
     return (
-        masks.selectExpr(f"explode({members}) AS child", f"array({words}) AS words")
-        .selectExpr("words", f"inline(map({pairs})[child])")
-        .selectExpr("pair", f"getbit(words[parent DIV {WORD}], CAST(parent % {WORD} AS INT)) = 0 AS missing")
+        f"transform({parts}, p -> CASE WHEN p.s IN ('NaN', 'Infinity', '-Infinity') THEN p.s WHEN rtrim('0', p.d) = '' THEN '0' "
+        "ELSE concat(if(startswith(p.s, '-'), '-', ''), rtrim('0', p.d), 'e', "
+        "p.e + length(p.d) - length(rtrim('0', p.d))) END)[0]"
     )
 
 
-def _digits(kind: T.DataType) -> tuple[int, int] | None:
-    """Digits before and after the point of an exact number."""
-    if isinstance(kind, T.DecimalType):
-        return kind.precision - kind.scale, kind.scale
-    return (19, 0) if carrier(kind) == "bigint" else None
-
-
 def common_carrier(a: T.DataType, b: T.DataType) -> str | None:
     """Type in which values of two types are compared; null where they can't be.
 
-    Exact numbers meet in a decimal that holds both without loss, exact and
-    floating ones as floating numbers, dates and times as times.
+    Numbers of different types meet in ``NUMBER``, dates and times as times.
     """
     kinds = {carrier(a), carrier(b)}
     if len(kinds) == 1:
         return kinds.pop()
-    exact = [_digits(a), _digits(b)]
-    if all(exact):
-        whole, scale = (max(n) for n in zip(*exact))
-        return f"decimal(38,{scale})" if whole + scale <= 38 else None
-    if "double" in kinds and any(exact):
-        return "double"
+    if _is_number(a) and _is_number(b):
+        return NUMBER
     if kinds <= {"date", "timestamp", "timestamp_ntz"}:
         return "timestamp"
     return None
 
 
-def _carried(frames: dict[str, DataFrame], wanted: dict[str, list[str]], kind: str) -> dict[str, DataFrame]:
-    """The wanted columns, cast to ``kind`` where their own carrier is another."""
-    return {
-        t: frames[t].select(
-            *(
-                F.col(quoted(c)) if carrier(frames[t].schema[c].dataType) == kind else F.col(quoted(c)).cast(kind).alias(c)
-                for c in columns
-            )
-        )
-        for t, columns in wanted.items()
-    }
-
-
-def _carriers(frames: dict[str, DataFrame], wanted: set[Named]) -> dict[str, list[Named]]:
-    """Columns by the type in which they are compared; all exact numbers in one that holds them, if there is one."""
+def _carriers(types: dict[Named, T.DataType]) -> dict[str, list[Named]]:
+    """Columns by the type in which they are compared: numbers of several types all in ``NUMBER``."""
     out: dict[str, list[Named]] = {}
-    digits = {}
-    for table, df in frames.items():
-        for f in df.schema.fields:
-            if (table, f.name) in wanted:
-                out.setdefault(carrier(f.dataType), []).append((table, f.name))
-                digits.setdefault(carrier(f.dataType), []).append(_digits(f.dataType))
-    exact = [k for k in out if digits[k][0]]
-    if len(exact) > 1:
-        whole, scale = (max(n) for n in zip(*(d for k in exact for d in digits[k])))
-        if whole + scale <= 38:
-            together = [c for k in exact for c in out.pop(k)]
-            out[f"decimal(38,{scale})"] = together
+    for column in sorted(types):
+        out.setdefault(carrier(types[column]), []).append(column)
+    numbers = [k for k, columns in out.items() if _is_number(types[columns[0]])]
+    if len(numbers) > 1:
+        out[NUMBER] = sorted(c for k in numbers for c in out.pop(k))
     return out
 
 
-def _by_table(columns: list[Named]) -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for table, column in columns:
-        out.setdefault(table, []).append(column)
-    return out
+def _types(frames: dict[str, DataFrame]) -> dict[Named, T.DataType]:
+    return {(t, f.name): f.dataType for t, df in frames.items() for f in df.schema.fields}
+
+
+# -- masks -----------------------------------------------------------------------
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    """Union in a tree, so that the plan of thousands of parts isn't thousands deep."""
+    while len(parts) > 1:
+        parts = [reduce(lambda a, b: a.unionByName(b), parts[i : i + 8]) for i in range(0, len(parts), 8)]
+    return parts[0]
+
+
+def _values(frames: dict[str, DataFrame], columns: list[Named], kind: str) -> DataFrame:
+    """(i, value): values of the columns with their numbers, in one scan per table; nulls left out."""
+    by_table: dict[str, list[str]] = {}
+    for i, (table, column) in enumerate(columns):
+        field = frames[table].schema[column]
+        value = comparable(field)
+        if kind == NUMBER:
+            value = number_form(quoted(column), field.dataType)
+        elif carrier(field.dataType) != kind:
+            value = f"CAST({quoted(column)} AS {kind})"
+        by_table.setdefault(table, []).append(f"struct({i} AS i, {value} AS value)")
+    parts = [frames[t].selectExpr(f"inline(array({', '.join(items)}))") for t, items in by_table.items()]
+    return _together(parts).filter("value IS NOT NULL")
+
+
+def masks(values: DataFrame, n: int) -> DataFrame:
+    """(mask, n): the distinct masks of ``values`` (i, value) over ``n`` columns and the values that have them, written.
+
+    A mask is the sorted list of the words that aren't empty. Repeats fold
+    before either shuffle; a value's row has as many words as its columns fill.
+    """
+    words = values.groupBy("value", F.expr(f"i DIV {WORD}").cast("int").alias("w")).agg(
+        F.expr(f"bit_or(shiftleft(1L, i % {WORD}))").alias("b")
+    )
+    one = F.struct("w", "b")
+    if n <= WORD:  # a value has one word, so there is nothing to put together
+        per_value = words.select(F.array(one).alias("mask"))
+    else:
+        per_value = words.groupBy("value").agg(F.array_sort(F.collect_list(one)).alias("mask")).select("mask")
+    return materialized(per_value.groupBy("mask").agg(F.count("*").alias("n")), "masks")
+
+
+def _bits(mask: str) -> str:
+    """SQL array of the numbers of the columns in a mask."""
+    return (
+        f"flatten(transform({mask}, m -> transform(filter(sequence(0, {WORD - 1}), k -> getbit(m.b, k) = 1), "
+        f"k -> m.w * {WORD} + k)))"
+    )
+
+
+def _word(mask: str, w: str) -> str:
+    return f"coalesce(get(filter({mask}, m -> m.w = {w}), 0).b, 0L)"
+
+
+def _members(found: DataFrame) -> DataFrame:
+    """(child, mask, n) with one row per distinct mask and column in it."""
+    return found.selectExpr(f"explode({_bits('mask')}) AS child", "mask", "n")
+
+
+# -- answers ---------------------------------------------------------------------
+
+_PAIRS = (
+    "child_table string, child_column string, parent_table string, parent_column string, n_child bigint, n_parent bigint"
+)
+
+
+def _included(found: DataFrame, listed: DataFrame) -> DataFrame:
+    """Pairs (child, parent) of numbers from ``listed`` (i, t, is_child, is_parent) with their distinct values."""
+    members = _members(found)
+    spread = F.expr("aggregate(mask, 0L, (s, m) -> s + bit_count(m.b))")
+    known = materialized(
+        members.groupBy("child").agg(F.sum("n").alias("n"), F.min(F.struct(spread.alias("size"), "mask")).alias("rarest")),
+        "columns",
+    )
+    asked = lookup(known, listed.select(F.col("i").alias("child"), "t", "is_child"), ["child"]).filter("is_child")
+    sizes = lookup(known.select(F.col("child").alias("i"), F.col("n").alias("n_parent")), listed, ["i"]).filter("is_parent")
+    parents = sizes.select(F.col("i").alias("parent"), F.col("t").alias("parent_t"), "n_parent")
+    may = (
+        asked.selectExpr("child", "t", "n AS n_child", f"explode({_bits('rarest.mask')}) AS parent")
+        .join(parents, "parent")
+        .filter("t <> parent_t AND n_parent >= n_child")
+        .select("child", "parent", "n_child", "n_parent")
+    )
+    may = materialized(may, "candidates")
+    words = may.groupBy("child", F.expr(f"parent DIV {WORD}").cast("int").alias("w")).agg(
+        F.expr(f"bit_or(shiftleft(1L, parent % {WORD}))").alias("b")
+    )
+    open_words = words.groupBy("child").agg(F.collect_list(F.struct("w", "b")).alias("open"))
+    left = (
+        members.join(open_words, "child")
+        .selectExpr("child", f"inline(transform(open, o -> struct(o.w AS w, o.b & {_word('mask', 'o.w')} AS b)))")
+        .groupBy("child", "w")
+        .agg(F.expr("bit_and(b)").alias("b"))
+        .filter("b <> 0")
+        .selectExpr("child", f"explode({_bits('array(struct(w, b))')}) AS parent")
+    )
+    return may.join(left, ["child", "parent"])
 
 
 def inclusions(
@@ -168,54 +204,41 @@ def inclusions(
     """All pairs (child, parent) of different tables with every child value in the parent.
 
     ``children`` and ``parents`` name (table, column). Columns are compared
-    within their carrier type, exact numbers of all types together. A child
-    without values is included in nothing.
+    within their carrier type; numbers of all types are compared with each
+    other, exactly. A child without values is included in nothing.
     """
+    spark = next(iter(frames.values())).sparkSession
+    known = _types(frames)
+    is_child, is_parent = set(children), set(parents)
     results = []
-    for kind, columns in _carriers(frames, set(children) | set(parents)).items():
-        columns = sorted(columns)
-        wanted = _by_table(columns)
-        values = long_values(_carried(frames, wanted, kind), wanted)[kind]
-        masks = value_masks(values, columns)
-        folded = (
-            _per_child(masks, len(columns))
-            .groupBy("child")
-            .agg(
-                F.count("*").alias("n_child"),
-                *[F.expr(f"bit_and(m{w}) AS m{w}") for w in range(_words(len(columns)))],
-            )
-        )
-        names = "array(" + ", ".join(_struct(table=t, column=c) for t, c in columns) + ")"
-        child_ids = [i for i, c in enumerate(columns) if c in set(children)]
-        parent_ids = [i for i, c in enumerate(columns) if c in set(parents)]
-        if not child_ids or not parent_ids:
+    for kind, columns in _carriers({c: known[c] for c in is_child | is_parent}).items():
+        if not (is_child.intersection(columns) and is_parent.intersection(columns)):
             continue
-        sizes = folded.select(F.col("child").alias("parent"), F.col("n_child").alias("n_parent"))
-        hits = _set_bits(parent_ids, len(columns))
-        pairs = (
-            folded.filter(F.col("child").isin(child_ids))
-            .selectExpr("child", "n_child", f"explode({hits}) AS parent")
-            .join(sizes, "parent")
-            .selectExpr(f"{names}[child] AS c", f"{names}[parent] AS p", "n_child", "n_parent")
-        )
+        rows = [(i, t, c, (t, c) in is_child, (t, c) in is_parent) for i, (t, c) in enumerate(columns)]
+        listed = spark.createDataFrame(rows, "i int, t string, c string, is_child boolean, is_parent boolean")
+        pairs = _included(masks(_values(frames, columns, kind), len(columns)), listed)
+        named = {role: listed.selectExpr(f"i AS {role}", f"t AS {role}_table", f"c AS {role}_column") for role in ("child", "parent")}
         results.append(
-            pairs.filter(F.col("c.table") != F.col("p.table")).select(
-                F.col("c.table").alias("child_table"),
-                F.col("c.column").alias("child_column"),
-                F.col("p.table").alias("parent_table"),
-                F.col("p.column").alias("parent_column"),
-                "n_child",
-                "n_parent",
+            lookup(lookup(pairs, named["child"], ["child"]), named["parent"], ["parent"]).select(
+                "child_table", "child_column", "parent_table", "parent_column", "n_child", "n_parent"
             )
         )
-    if not results:
-        spark = next(iter(frames.values())).sparkSession
-        return spark.createDataFrame(
-            [],
-            "child_table string, child_column string, parent_table string, "
-            "parent_column string, n_child bigint, n_parent bigint",
-        )
-    return reduce(lambda a, b: a.unionByName(b), results)
+    return _together(results) if results else spark.createDataFrame([], _PAIRS)
+
+
+def _answered(spark: SparkSession, found: DataFrame, asked: list[tuple[int, int, int]]) -> DataFrame:
+    """(pair, n_child, n_missing) of the asked (pair, child, parent), children with values only."""
+    pairs = spark.createDataFrame(asked, "pair int, child int, parent int")
+    by_child = pairs.groupBy("child").agg(F.collect_list(F.struct("pair", "parent")).alias("asked"))
+    held = f"shiftrightunsigned({_word('mask', f'parent DIV {WORD}')}, parent % {WORD}) & 1L"
+    return (
+        _members(found)
+        .join(by_child, "child")
+        .selectExpr("mask", "n", "inline(asked)")
+        .selectExpr("pair", "n", f"{held} = 0 AS missing")
+        .groupBy("pair")
+        .agg(F.sum("n").alias("n_child"), F.sum(F.expr("if(missing, n, 0L)")).alias("n_missing"))
+    )
 
 
 def missing_counts(frames: dict[str, DataFrame], pairs: list[tuple[Named, Named]]) -> DataFrame:
@@ -227,7 +250,7 @@ def missing_counts(frames: dict[str, DataFrame], pairs: list[tuple[Named, Named]
     pairs of a carrier are answered by one grouping of the values.
     """
     spark = next(iter(frames.values())).sparkSession
-    types = {(t, f.name): f.dataType for t, df in frames.items() for f in df.schema.fields}
+    types = _types(frames)
     asked: dict[str, list[int]] = {}
     rows = []
     for i, (c, p) in enumerate(pairs):
@@ -240,24 +263,14 @@ def missing_counts(frames: dict[str, DataFrame], pairs: list[tuple[Named, Named]
         rows,
         "pair int, child_table string, child_column string, parent_table string, parent_column string, reason string",
     )
-    results = []
+    results = [spark.createDataFrame([], "pair int, n_child bigint, n_missing bigint")]
     for kind, numbers in asked.items():
         columns = sorted({c for i in numbers for c in pairs[i]})
         index = {c: i for i, c in enumerate(columns)}
-        wanted = _by_table(columns)
-        values = long_values(_carried(frames, wanted, kind), wanted)[kind]
-        masks = value_masks(values, columns)
-        places = ", ".join(map(str, numbers))
-        results.append(
-            _answers(masks, len(columns), [(index[pairs[i][0]], index[pairs[i][1]]) for i in numbers])
-            .groupBy("pair")
-            .agg(F.count("*").alias("n_child"), F.count_if("missing").alias("n_missing"))
-            .withColumn("pair", F.expr(f"array({places})[pair]"))
-        )
-    empty = spark.createDataFrame([], "pair int, n_child bigint, n_missing bigint")
-    counted = reduce(lambda a, b: a.unionByName(b), results, empty)
+        found = masks(_values(frames, columns, kind), len(columns))
+        results.append(_answered(spark, found, [(i, index[pairs[i][0]], index[pairs[i][1]]) for i in numbers]))
     known = lambda n: F.when(F.col("reason").isNull(), F.coalesce(n, F.lit(0))).alias(n)
-    return named.join(counted, "pair", "left").select(
+    return named.join(_together(results), "pair", "left").select(
         "child_table", "child_column", "parent_table", "parent_column", known("n_child"), known("n_missing"), "reason"
     )
 

@@ -36,7 +36,7 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _comparable(f: T.StructField) -> str:
+def comparable(f: T.StructField) -> str:
     """The column as a value that can be grouped, in its carrier type; texts as ``_short``."""
     value = quoted(f.name)
     if isinstance(f.dataType, (T.MapType, T.VariantType)):
@@ -133,11 +133,11 @@ def long_values(
             if len(fields) == 1:
                 only = fields[0]
                 rows = df.selectExpr(
-                    name, f"{text_literal(only.name)} AS column_name", f"{_comparable(only)} AS value"
+                    name, f"{text_literal(only.name)} AS column_name", f"{comparable(only)} AS value"
                 )
             else:
                 pairs = ", ".join(
-                    f"struct({text_literal(f.name)} AS column_name, {_comparable(f)} AS value)"
+                    f"struct({text_literal(f.name)} AS column_name, {comparable(f)} AS value)"
                     for f in fields
                 )
                 rows = df.selectExpr(f"inline(array({pairs}))").selectExpr(

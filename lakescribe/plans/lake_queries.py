@@ -257,11 +257,38 @@ def _unique_columns(data, cols):
     return [(r.table_name, r.column_name) for r in found]
 
 
-@query("i7_all_inclusions", _inclusions_sql(INT_COLUMNS, "BIGINT"))
+# Keys of orders as exact and floating numbers of other types, some beyond what doubles can tell apart.
+_LARGE = "CAST(o_orderkey + 9007199254740992 AS bigint)"
+_TYPED = {
+    "typed": {
+        "wide": "CAST(o_orderkey AS decimal(38,0))",
+        "scaled": "CAST(o_orderkey AS decimal(20,2))",
+        "floating": "CAST(o_custkey AS double)",
+        "halves": "CAST(o_orderkey + 0.5 AS decimal(20,2))",
+        "large": _LARGE,
+    },
+    "rounded": {"large": f"CAST({_LARGE} AS double)", "halves": "CAST(o_orderkey + 0.5 AS double)"},
+}
+TYPED_COLUMNS = [(t, c) for t, columns in _TYPED.items() for c in columns]
+_TYPED_SQL = "WITH " + ", ".join(
+    f"{t} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM orders)" for t, columns in _TYPED.items()
+).replace(f"CAST({_LARGE} AS double)", f"CAST(CAST({_LARGE} AS double) AS hugeint)")
+
+
+def _with_typed(data):
+    return data | {t: data["orders"].selectExpr(*(f"{e} AS {c}" for c, e in columns.items())) for t, columns in _TYPED.items()}
+
+
+# DuckDB tells all these numbers apart as decimals of one digit after the point.
+@query(
+    "i7_all_inclusions",
+    _TYPED_SQL + ", " + _inclusions_sql(INT_COLUMNS + TYPED_COLUMNS, "DECIMAL(38,1)").strip().removeprefix("WITH "),
+)
 def all_inclusions(spark, sf_dir):
-    """Every integer column against every unique integer column of other tables."""
-    data = frames(spark, sf_dir)
-    return inclusion.inclusions(data, INT_COLUMNS, _unique_columns(data, INT_COLUMNS))
+    """Every integer column, and keys as decimals and floating numbers, against every unique one of other tables."""
+    data = _with_typed(frames(spark, sf_dir))
+    columns = INT_COLUMNS + TYPED_COLUMNS
+    return inclusion.inclusions(data, columns, _unique_columns(data, columns))
 
 
 FLOAT_COLUMNS = [(t, c) for t, _, c, k in listed() if _family(k) == "FLOAT"]
@@ -318,17 +345,26 @@ def _missing_sql(pairs) -> str:
     )
 
 
+_J9_TYPED = [
+    (("typed", "large"), ("rounded", "large")),
+    (("rounded", "large"), ("typed", "large")),
+    (("typed", "halves"), ("rounded", "halves")),
+    (("typed", "scaled"), ("typed", "wide")),
+    (("typed", "wide"), ("typed", "halves")),
+]
+
+
 @query(
     "j9_inclusion",
-    "WITH none AS (SELECT * FROM orders WHERE o_totalprice < 0) SELECT *, CAST(NULL AS VARCHAR) AS reason FROM ("
-    + _missing_sql(_J9)
+    _TYPED_SQL + ", none AS (SELECT * FROM orders WHERE o_totalprice < 0) SELECT *, CAST(NULL AS VARCHAR) AS reason FROM ("
+    + _missing_sql(_J9 + _J9_TYPED)
     + ") UNION ALL SELECT 'part', 'p_name', 'orders', 'o_orderkey', NULL, NULL, 'types cannot be compared'",
 )
 def missing(spark, sf_dir):
     """Pairs of equal and of different types, one with an empty child, and one that can't be compared."""
-    data = frames(spark, sf_dir)
+    data = _with_typed(frames(spark, sf_dir))
     data["none"] = data["orders"].filter("o_totalprice < 0")
-    return inclusion.missing_counts(data, [*_J9, _J9_APART])
+    return inclusion.missing_counts(data, [*_J9, *_J9_TYPED, _J9_APART])
 
 
 @query("j9_one_pair", _missing_sql(_J9[2:3]).replace("SELECT 'documents' AS child_table, 'doc_id' AS child_column, 'labels' AS parent_table, 'doc_id' AS parent_column, ", "SELECT "))
