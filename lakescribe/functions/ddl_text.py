@@ -14,12 +14,15 @@ NAME = r'(?:\[[^\]]+\]|"[^"]+"|`[^`]+`|\w+)'
 DOTTED = rf"(?:(?:{NAME}\s*\.\s*)?({NAME})\s*\.\s*)?({NAME})"
 
 _PIECE = r"[^(),]++|[(),]"
+# The same with groups of one or two levels left in the text around them.
+_BODY_PIECE = r"(?:[^(),]++|\((?:[^()]++|\([^()]*+\))*+\))++|[(),]"
 _TOKEN = r"'[^']*+(?:'|\z)|/\*[\s\S]*?(?:\*/|\z)|--[^\n]*+(?:\n|\z)|[^'/\-]++|[/\-]"
 
 # Inside literals the characters that steer later steps are swapped for private
 # ones of the same length, and swapped back in the statements handed out.
 _STEERING = ";,()\n"
 _PRIVATE = "\ue000\ue001\ue002\ue003\ue004"
+_CUT = "\ue005"
 
 # Patterns of the statements and keys that are read (fixed values).
 CREATE_TABLE = rf"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{DOTTED}\s*\("
@@ -190,25 +193,94 @@ def create_body(bare: Column) -> Column:
     return F.nullif(F.substr(rest, F.lit(1), size), F.lit(""))
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _running(items: Column, zero: Column, kind: str, step) -> Column:
+    """States of a fold after each of ``items``, a bound array.
+
+    Lists that grow are copied, so states are gathered in parts of about the
+    square root of their number, and the parts put together at the end.
+    """
+    size = F.size(items)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(size)).cast("int"))
+    firsts = F.when(size > 0, F.sequence(F.lit(1), size, width)).otherwise(F.array().cast("array<int>"))
+
+    def part_of(done: Column, first: Column) -> Column:
+        empty = F.struct(done["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("states"))
+
+        def one(own: Column, item: Column) -> Column:
+            return _bound(
+                step(own["state"], item),
+                lambda state: F.struct(state.alias("state"), F.array_append(own["states"], state).alias("states")),
+            )
+
+        return _bound(
+            F.aggregate(F.slice(items, first, width), empty, one),
+            lambda own: F.struct(own["state"].alias("state"), F.array_append(done["parts"], own["states"]).alias("parts")),
+        )
+
+    start = F.struct(zero.cast(kind).alias("state"), F.array().cast(f"array<array<{kind}>>").alias("parts"))
+    return F.flatten(F.aggregate(firsts, start, part_of)["parts"])
+
+
 def body_items(body: Column) -> Column:
-    """Items of a table body, cut at commas outside parentheses."""
-    start = F.struct(
-        F.lit(0).alias("depth"), F.lit("").alias("item"), F.array().cast("array<string>").alias("items")
-    )
+    """Items of a table body, cut at commas outside parentheses.
 
-    def step(state: Column, piece: Column) -> Column:
-        cut = (piece == ",") & (state["depth"] == 0)
-        return F.struct(
-            (state["depth"] + _deeper(piece)).alias("depth"),
-            F.when(cut, "").otherwise(F.concat(state["item"], piece)).alias("item"),
-            F.when(cut, F.array_append(state["items"], state["item"])).otherwise(state["items"]).alias("items"),
+    The depth is followed over all pieces once; the commas of depth 0 are then
+    swapped for a private character, and the text is split there.
+    """
+
+    def cut_up(pieces: Column) -> Column:
+        depths = _running(pieces, F.lit(0), "int", lambda depth, piece: depth + _deeper(piece))
+        marked = _bound(
+            depths,
+            lambda depth: F.transform(
+                pieces, lambda p, i: F.when((p == ",") & (F.get(depth, i) == 0), _CUT).otherwise(p)
+            ),
         )
+        return F.split(F.array_join(marked, ""), _CUT, -1)
+
+    items = _bound(F.regexp_extract_all(body, F.lit(_BODY_PIECE), F.lit(0)), cut_up)
+    return F.when(body.isNotNull(), F.filter(F.transform(items, lambda s: F.trim(s)), lambda s: s != ""))
+
+
+_ADDS = r"(?i)^(?:WITH\s+(?:NO)?CHECK\s+)?ADD\b"
+# Verbs of ALTER TABLE that end what an ADD began (fixed values).
+_OTHER_VERBS = r"(?i)^(?:ALTER|CHANGE|DISABLE|DROP|ENABLE|MODIFY|REBUILD|RENAME|SET|SWITCH|(?:NO)?CHECK\s+(?:ALL|CONSTRAINT))\b"
+
 
-    def listed(state: Column) -> Column:
-        return F.array_append(state["items"], state["item"])
+def added_items(rest: Column) -> Column:
+    """What an ALTER TABLE adds, one ``ADD ...`` per item, from the text behind the table's name.
+
+    An ADD goes on over commas until another verb takes its place, with or
+    without parentheses around what it adds.
+    """
+    opened = F.regexp_replace(F.trim(rest), r"(?is)^((?:WITH\s+(?:NO)?CHECK\s+)?ADD)\s*\((.*)\)\s*$", "$1 $2")
+
+    def told(items: Column) -> Column:
+        adding = _running(
+            items,
+            F.lit(False),
+            "boolean",
+            lambda before, item: F.when(item.rlike(_ADDS), True).when(item.rlike(_OTHER_VERBS), False).otherwise(before),
+        )
+        return _bound(
+            adding,
+            lambda adds: F.filter(
+                F.transform(
+                    items,
+                    lambda item, i: F.when(
+                        F.get(adds, i), F.concat(F.lit("ADD "), F.trim(F.regexp_replace(item, _ADDS, "")))
+                    ),
+                ),
+                lambda item: item.isNotNull(),
+            ),
+        )
 
-    items = F.transform(F.aggregate(_pieces(body), start, step, listed), lambda s: F.trim(s))
-    return F.filter(items, lambda s: s != "")
+    return F.when(rest.isNotNull(), _bound(body_items(opened), told))
 
 
 def column_item(item: Column) -> Column:
@@ -248,7 +320,7 @@ def name_list(text: Column) -> Column:
 
 
 def key_parts(text: Column, in_alter: bool) -> Column:
-    """Keys a constraint item or an ALTER adds.
+    """Keys a constraint item of a table body or an item that an ALTER adds declares.
 
     Array of (kind, columns, ref_schema, ref_table, ref_columns) with one entry
     per kind found.

@@ -186,25 +186,19 @@ def _range_summary(weights: np.ndarray, limit: int) -> tuple[list[int], list[int
     """
     n = len(weights)
     sums, nxt = _breaks(weights, limit)
-    left = np.zeros(n, dtype=np.int64)
-    opened = np.ones(n, dtype=np.int64)
-    for i in range(n - 1, -1, -1):
-        if nxt[i] >= n:
-            left[i] = sums[n] - sums[i]
-        else:
-            left[i] = left[nxt[i]]
-            opened[i] = opened[nxt[i]] + 1
+    # Doubling: from each item to the start of the last chunk, and the chunks opened on the way.
+    jump, last, opened = np.append(nxt, n), np.arange(n + 1), np.append(np.ones(n, dtype=np.int64), 0)
+    while (jump < n).any():
+        last = np.where(jump < n, last[jump], last)
+        opened = opened + opened[jump]
+        jump = jump[jump]
+    left = sums[n] - sums[last[:n]]
     reach = int(np.searchsorted(sums[1:], limit, side="right"))
-    thresholds, lefts, counts = [], [], []
-    for i in range(min(reach + 1, n)):
-        t = limit - int(sums[i + 1])
-        if lefts and lefts[-1] == left[i] and counts[-1] == opened[i]:
-            thresholds[-1] = t
-        else:
-            thresholds.append(t)
-            lefts.append(int(left[i]))
-            counts.append(int(opened[i]))
-    return thresholds, lefts, counts, int(sums[n])
+    end = min(reach + 1, n)
+    thresholds, lefts, counts = limit - sums[1 : end + 1], left[:end], opened[:end]
+    kept = np.ones(end, dtype=bool)  # the last of equal neighbours
+    kept[:-1] = (lefts[:-1] != lefts[1:]) | (counts[:-1] != counts[1:])
+    return thresholds[kept].tolist(), lefts[kept].tolist(), counts[kept].tolist(), int(sums[n])
 
 
 Summary = tuple[np.ndarray, np.ndarray, np.ndarray, int]
@@ -240,17 +234,14 @@ def _numbered(weights: np.ndarray, limit: int, chunk: int, fill: int, started: b
     n = len(weights)
     sums, nxt = _breaks(weights, limit)
     first = int(np.searchsorted(sums[1:], limit - fill, side="right")) if started else 0
-    numbers = np.full(n, chunk, dtype=np.int64)
-    at = first
-    if not started and n:
-        at, chunk = int(nxt[0]), chunk
-        numbers[:at] = chunk
-    while at < n:
-        chunk += 1
-        end = int(nxt[at])
-        numbers[at:end] = chunk
-        at = end
-    return numbers
+    # Doubling: the items that start a chunk are those reached from the first one.
+    starts, jump = np.zeros(n + 1, dtype=bool), np.append(nxt, n)
+    starts[first] = True
+    while (jump[:n] < n).any():
+        starts[jump[starts]] = True
+        jump = jump[jump]
+    starts[jump[starts]] = True
+    return chunk + np.cumsum(starts[:n]) - (0 if started else 1)
 
 
 def token_chunks(
@@ -277,15 +268,6 @@ def token_chunks(
     fields = [narrow.schema[k] for k in keys]
     result = T.StructType([*fields, T.StructField("tokens", T.LongType()), T.StructField("chunk_no", T.LongType())])
 
-    if not bounds:
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(order, kind="stable")
-            pdf["chunk_no"] = _numbered(pdf["tokens"].to_numpy(), limit, 0, 0, False)
-            return pdf[[*keys, "tokens", "chunk_no"]]
-
-        return ranged.groupBy(*group).applyInPandas(whole, result)
-
     group_fields = [narrow.schema[g] for g in group]
     summary_type = T.StructType(
         [

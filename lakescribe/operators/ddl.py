@@ -274,8 +274,10 @@ def key_rows(
     found = creates(stmts, default_schema)
     items = _items(last_creates(found)) if items is None else items
     inside = _keys(items.filter(~_is_column()), "item", False, default_schema)
-    alters = _alters(stmts, found, default_schema).withColumn("pos", F.lit(0))
-    return inside.unionByName(_keys(alters, "rest", True, default_schema))
+    alters = _alters(stmts, found, default_schema).select(
+        *TABLE, *SEQ, F.posexplode(D.added_items(F.col("rest"))).alias("pos", "item")
+    )
+    return inside.unionByName(_keys(alters, "item", True, default_schema))
 
 
 def catalog(

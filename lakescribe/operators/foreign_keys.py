@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakescribe import model
 from lakescribe.functions import scalars
-from lakescribe.operators.inclusion import missing_counts
+from lakescribe.operators.inclusion import inclusions
 from lakescribe.operators.keys import final_keys
 from lakescribe.operators.skew import lookup
 
@@ -83,8 +83,8 @@ def _children(columns: DataFrame) -> DataFrame:
 def name_pairs(columns: DataFrame) -> DataFrame:
     """Every (child, parent) pair of a lake whose names and type family agree.
 
-    Meant for the columns of a set of lake tables held in one driver map; for
-    fleets use ``best_parents``, which keeps one parent per child.
+    A name that k tables share gives k * k pairs: ``best_parents`` keeps one
+    parent per child, and ``confirmed`` asks the values before the names.
     """
     parents = _parents(columns)
     own = (F.col("parent_schema") == F.col("schema_name")) & (
@@ -134,16 +134,34 @@ def best_parents(columns: DataFrame) -> DataFrame:
     )
 
 
-def confirmed_by_data(pairs: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
-    """Pairs with their distinct child values and how many the parent lacks.
+def confirmed(columns: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
+    """Foreign keys of a lake: child columns whose values all lie in a key that their name asks for.
 
-    The pair list is a few names per lake column; the values are grouped once
-    for all pairs.
+    Names choose the columns to read, those that ask for any key and the keys
+    asked for; the driver holds one entry per such column, never a pair. The
+    values then find the pairs, and names are compared only for pairs whose
+    values agree: a key name that k tables share gives 2 * k columns, not k * k
+    pairs. Columns are child_table, child_column, parent_table, parent_column,
+    n_child and n_parent (distinct values). A child without values has no key.
     """
-    listed = [
-        ((r.table_name, r.column_name), (r.parent_table, r.parent_column)) for r in pairs.collect()
-    ]
-    return missing_counts(frames, listed)
+    named = ["system_name", "family", "rank", "token"]
+    children, parents = _children(columns), _parents(columns)
+    asking = children.join(parents.select(*named).distinct(), named, "left_semi")
+    asked = parents.join(children.select(*named).distinct(), named, "left_semi")
+    parent = [F.col("parent_table").alias("t"), F.col("parent_column").alias("c")]
+    wanted = asking.select(F.col("table_name").alias("t"), F.col("column_name").alias("c"), F.lit(True).alias("child")).unionByName(
+        asked.select(*parent, F.lit(False).alias("child"))
+    )
+    listed = [r for r in wanted.distinct().collect() if r.t in frames and r.c in frames[r.t].columns]
+    found = inclusions(frames, [(r.t, r.c) for r in listed if r.child], [(r.t, r.c) for r in listed if not r.child])
+    child_names = asking.select(F.col("table_name").alias("child_table"), F.col("column_name").alias("child_column"), *named)
+    parent_names = asked.select("parent_table", "parent_column", *named)
+    return (
+        found.join(child_names, ["child_table", "child_column"])
+        .join(parent_names, ["parent_table", "parent_column", *named], "left_semi")
+        .select(*found.columns)
+        .distinct()
+    )
 
 
 def complete(answers: DataFrame) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
+import time
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Fields a system that is already stored takes from the new extract; the others
@@ -78,16 +82,36 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.select(*out)
 
 
+def _hadoop(spark: SparkSession, directory: str):
+    """(file system, maker of paths) for a folder in whatever store Spark knows."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(directory).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _claims(spark: SparkSession, directory: str) -> list[tuple[int, str]]:
+    """(number, path) of all version files, oldest first, finished or not."""
+    fs, make = _hadoop(spark, directory)
+    if not fs.exists(make(directory)):
+        return []
+    names = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(make(directory))]
+    return sorted((int(n[1:9]), p) for n, p in names if re.fullmatch(r"v\d{8}\.version", n))
+
+
+def _folder(spark: SparkSession, directory: str, claim: str) -> str | None:
+    """Folder that a version file names; None while its writer hasn't written the name."""
+    fs, make = _hadoop(spark, directory)
+    held = fs.open(make(claim))
+    try:
+        name = bytes(held.readAllBytes()).decode()
+    finally:
+        held.close()
+    return os.path.join(directory, name.strip()) if name.endswith("\n") else None
+
+
 def versions(spark: SparkSession, directory: str) -> list[str]:
     """Folders of complete store versions, oldest first."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(directory)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    found = [s.getPath() for s in fs.listStatus(root)]
-    done = [p for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(p.toString() for p in done)
+    found = [_folder(spark, directory, claim) for _, claim in _claims(spark, directory)]
+    return [f for f in found if f is not None]
 
 
 def read_store(spark: SparkSession, directory: str) -> DataFrame:
@@ -96,12 +120,70 @@ def read_store(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.schema(STORE).parquet(found[-1]) if found else spark.createDataFrame([], STORE)
 
 
-def write_store(store: DataFrame, directory: str) -> str:
-    """Write a new version; readers see it once it is complete."""
-    number = len(versions(store.sparkSession, directory))
-    path = os.path.join(directory, f"v{number:08d}_{uuid.uuid4().hex[:6]}")
-    store.write.parquet(path)
-    return path
+def _claim(spark: SparkSession, directory: str, number: int, folder: str) -> bool:
+    """Make ``folder`` version ``number``; False where another writer has that number.
+
+    The file that names a version is created only if it is absent, which the
+    store decides: of two writers one gets the number. A local file system
+    decides it by a link, as Hadoop's client there looks first and creates then.
+    """
+    fs, make = _hadoop(spark, directory)
+    target = make(os.path.join(directory, f"v{number:08d}.version"))
+    if fs.getScheme() == "file":
+        path = target.toUri().getPath()
+        written = os.path.join(os.path.dirname(path), f".{folder}")
+        with open(written, "w") as out:
+            out.write(f"{folder}\n")
+        try:
+            os.link(written, path)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(written)
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as error:
+        if "AlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(f"{folder}\n".encode()))
+    out.close()
+    return True
+
+
+def update_store(
+    spark: SparkSession, directory: str, change: Callable[[DataFrame], DataFrame], attempts: int = 20
+) -> str:
+    """Write ``change(newest store)`` as the next version; its folder.
+
+    The rows are written first, into a folder of their own, and become a
+    version only if no other has come since the one they were made from.
+    Else ``change`` is applied again, to the newer store, so that no update is
+    lost; after ``attempts`` the update fails. Versions that writers left
+    without a name are passed over once they are a minute old.
+    """
+    fs, make = _hadoop(spark, directory)
+    for attempt in range(attempts):
+        claims = _claims(spark, directory)
+        newest = _folder(spark, directory, claims[-1][1]) if claims else None
+        if claims and newest is None:
+            age = time.time() - fs.getFileStatus(make(claims[-1][1])).getModificationTime() / 1000
+            if age < 60:  # its writer is about to name it
+                time.sleep(min(5, 0.1 * 2**attempt))
+                continue
+        base = spark.read.schema(STORE).parquet(newest) if newest else read_store(spark, directory)
+        folder = f"data-{uuid.uuid4().hex}"
+        change(base).write.parquet(os.path.join(directory, folder))
+        if _claim(spark, directory, claims[-1][0] + 1 if claims else 1, folder):
+            return os.path.join(directory, folder)
+        fs.delete(make(os.path.join(directory, folder)), True)
+    raise RuntimeError(f"{directory}: other writers took the next version {attempts} times")
+
+
+def upsert_store(spark: SparkSession, directory: str, new: DataFrame) -> str:
+    """Extracted systems into the store as its next version, whatever other writers add meanwhile."""
+    return update_store(spark, directory, lambda old: upsert(old, new))
 
 
 def find(

@@ -456,9 +456,7 @@ MEANT = (
 )
 def found_foreign_keys(spark, sf_dir):
     """Foreign keys of the lake: names agree and no child value is missing."""
-    pairs = foreign_keys.name_pairs(_with_keys(spark, sf_dir))
-    counted = foreign_keys.confirmed_by_data(pairs, frames(spark, sf_dir))
-    return counted.filter("n_child > 0 AND n_missing = 0").drop("n_missing", "reason")
+    return foreign_keys.confirmed(_with_keys(spark, sf_dir), frames(spark, sf_dir)).drop("n_parent")
 
 
 @query("j4_distinct_counts", f"SELECT l.table_name, l.column_name, l.data_type, distinct_count, null_count > 0 AS nullable FROM ({LISTED_SQL}) l JOIN ({COUNTS_SQL}) n ON l.table_name = n.table_name AND l.column_name = n.column_name")

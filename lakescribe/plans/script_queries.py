@@ -224,6 +224,35 @@ def paired_keys(spark, sf_dir):
     )
 
 
+@query(
+    "d19_several_keys",
+    sql(
+        "SELECT 't' || k AS table_name, v.kind, v.c AS child, 's' || (k % 4) || v.p AS parent FROM t CROSS JOIN (VALUES "
+        "('FK', 'a', '.p.x'), ('FK', 'b', '.q.y'), ('FK', 'c', '.q.z'), ('UQ', 'd', NULL), ('PK', 'e', NULL)) v(kind, c, p)"
+    ),
+)
+def several_keys(spark, sf_dir):
+    """One ALTER adds five keys in four constraints, and drops a column between them."""
+    k, schema = F.col("k").cast("string"), F.concat(F.lit("s"), (F.col("k") % 4).cast("string"))
+    made = script_corpus.scripts(spark, sf_dir).select(
+        "system_name",
+        "path",
+        F.concat(
+            F.lit("CREATE TABLE t"), k, F.lit(" (a INT, b INT, c INT, d INT, e INT); ALTER TABLE t"), k,
+            F.lit(" ADD CONSTRAINT f1 FOREIGN KEY (a) REFERENCES "), schema,
+            F.lit(".p (x), CONSTRAINT f2 FOREIGN KEY (b, [c]) REFERENCES "), schema,
+            F.lit(".q (y, z), UNIQUE (d), DROP COLUMN old, ADD PRIMARY KEY (e)"),
+        ).alias("text"),
+    )
+    ref = F.col("references")
+    return ddl.key_rows(ddl.written(ddl.statements(made))).select(
+        "table_name",
+        "kind",
+        F.col("column_name").alias("child"),
+        F.when(ref.isNotNull(), F.concat_ws(".", ref["schema"], ref["table"], ref["column"])).alias("parent"),
+    )
+
+
 @query(
     "d20_catalogue",
     sql("SELECT schema_name, table_name, count(*) AS n_columns, count(*) FILTER (primary_key) AS n_pk, count(*) FILTER (foreign_key) AS n_fk FROM sc GROUP BY ALL"),

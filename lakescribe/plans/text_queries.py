@@ -666,9 +666,8 @@ def upsert(spark, sf_dir):
 def read_store(spark, sf_dir):
     """Two versions written one after the other; the newest is read."""
     directory = shared_dir(spark, "store")
-    first = store.read_store(spark, directory)
-    store.write_store(store.upsert(first, _store(spark, sf_dir, False)), directory)
-    store.write_store(store.upsert(store.read_store(spark, directory), _store(spark, sf_dir, True)), directory)
+    for fresh in (False, True):
+        store.upsert_store(spark, directory, _store(spark, sf_dir, fresh))
     return store.read_store(spark, directory)
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +160,27 @@ def test_is_constraint(spark, item, constraint):
 )
 def test_clean_name(spark, name, clean):
     assert one(spark, D.clean_name(F.lit(name))) == clean
+
+
+def test_many_items_are_cut_in_linear_time(spark):
+    body = ", ".join(f"c{i} DECIMAL(10, {i % 9}) DEFAULT (f(a, b))" for i in range(40_000))
+    df = spark.createDataFrame([(body,), ("a INT",), ("",), (None,), ("a (1, 2, b",), ("a), b, c",), (",,a,,(,),",), ("a (b, (c, (d, (e, f), g)), h), i, j (k",)], "body string").repartition(1)
+    items = df.select(D.body_items(F.col("body")).alias("i"))
+    items.filter(F.size("i") > 3).count()
+    start = time.perf_counter()
+    found = [r.i for r in items.collect()]
+    assert time.perf_counter() - start < 2
+    assert found[0] == body.split(", c")[0:1] + [f"c{x}" for x in body.split(", c")[1:]]
+    assert found[1:] == [["a INT"], [], None, ["a (1, 2, b"], ["a), b, c"], ["a", "(,)"], ["a (b, (c, (d, (e, f), g)), h)", "i", "j (k"]]
+
+
+def test_items_an_alter_adds(spark):
+    for text, items in {
+        " ADD PRIMARY KEY (a)": ["ADD PRIMARY KEY (a)"],
+        "WITH NOCHECK ADD CONSTRAINT x UNIQUE (a, b), FOREIGN KEY (c) REFERENCES d (e)": [
+            "ADD CONSTRAINT x UNIQUE (a, b)", "ADD FOREIGN KEY (c) REFERENCES d (e)"],
+        "DROP COLUMN a, b, ADD c INT, UNIQUE (c), ALTER COLUMN d INT, e": ["ADD c INT", "ADD UNIQUE (c)"],
+        "ADD (a INT, CHECK (a > 0), UNIQUE (a))": ["ADD a INT", "ADD CHECK (a > 0)", "ADD UNIQUE (a)"],
+        "": [],
+    }.items():
+        assert one(spark, D.added_items(F.lit(text))) == items, text

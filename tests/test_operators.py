@@ -2,6 +2,7 @@ import json
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -561,3 +562,104 @@ def test_bigquery_target_in_another_dataset(spark):
     }
     found = assemble.assemble(dialects.dialect_parts("bigquery", dumps))[2].collect()
     assert [(r.table_name, r.column_name, r.ref_schema, r.ref_table, r.ref_column) for r in found] == [("c", "p_id", "e", "p", "id")]
+
+
+def stored_row(spark, name, metadata):
+    return spark.createDataFrame([(name, "o", "u", "s", "2024", metadata)], store.STORE)
+
+
+def test_two_writers_of_a_store(spark, tmp_path):
+    directory = str(tmp_path / "store")
+    store.upsert_store(spark, directory, stored_row(spark, "a", "1"))
+    met = []
+
+    def slow(old):
+        """Another writer is done between this one's reading and its writing, twice."""
+        if len(met) < 2:
+            met.append(1)
+            store.upsert_store(spark, directory, stored_row(spark, f"other{len(met)}", "x"))
+        return store.upsert(old, stored_row(spark, "b", "2"))
+
+    store.update_store(spark, directory, slow)
+    assert {r.system_name for r in store.read_store(spark, directory).collect()} == {"a", "b", "other1", "other2"}
+    assert len(store.versions(spark, directory)) == 4
+    folders = [p for p in (tmp_path / "store").iterdir() if p.is_dir()]
+    assert len(folders) == 4  # what lost its number is gone
+    assert not store._claim(spark, directory, 4, "data-x")
+
+    def always_late(old):
+        store._claim(spark, directory, 5, "data-z")
+        return old
+
+    with pytest.raises(RuntimeError):
+        store.update_store(spark, directory, always_late, attempts=1)
+
+
+def test_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    directory = str(tmp_path / "store")
+    names = [f"s{i}" for i in range(5)]
+    with ThreadPoolExecutor(5) as pool:
+        list(pool.map(lambda n: store.upsert_store(spark, directory, stored_row(spark, n, n)), names))
+    assert {r.system_name for r in store.read_store(spark, directory).collect()} == set(names)
+
+
+def test_keys_of_one_alter(spark):
+    texts = [
+        "CREATE TABLE t (a INT, b INT, c INT, d INT); ALTER TABLE t ADD CONSTRAINT f1 FOREIGN KEY (a) REFERENCES p (x), "
+        "CONSTRAINT f2 FOREIGN KEY (b, c) REFERENCES s.q (y, z), UNIQUE (d), DROP CONSTRAINT old, ADD PRIMARY KEY (d)",
+        "CREATE TABLE u (a INT, b INT); ALTER TABLE u ADD (CONSTRAINT k PRIMARY KEY (a), CONSTRAINT f FOREIGN KEY (b) REFERENCES p (x))",
+        "CREATE TABLE v (a INT, b INT); ALTER TABLE v WITH CHECK ADD CONSTRAINT f FOREIGN KEY (a) REFERENCES p (x); "
+        "ALTER TABLE v DROP CONSTRAINT PRIMARY KEY (b), FOREIGN KEY (b) REFERENCES p (x)",
+    ]
+    made = spark.createDataFrame([("x", f"{i}.sql", t) for i, t in enumerate(texts)], "system_name string, path string, text string")
+    got = ddl.key_rows(ddl.written(ddl.statements(made)))
+    ref = F.col("references")
+    found = {tuple(r) for r in got.select("table_name", "kind", "column_name", F.concat_ws(".", ref["schema"], ref["table"], ref["column"])).collect()}
+    assert found == {
+        ("t", "FK", "a", "dbo.p.x"), ("t", "FK", "b", "s.q.y"), ("t", "FK", "c", "s.q.z"), ("t", "UQ", "d", ""), ("t", "PK", "d", ""),
+        ("u", "PK", "a", ""), ("u", "FK", "b", "dbo.p.x"), ("v", "FK", "a", "dbo.p.x"),
+    }
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 10_000])
+def test_ranges_summed_up_like_a_loop(limit):
+    rng = random.Random(limit)
+    for n in (1, 2, 5, 300):
+        weights = np.array([rng.choice([0, 1, 3, 9, 60]) for _ in range(n)], dtype=np.int64)
+
+        def walk(fill, started):
+            chunk, numbers = 0, []
+            for w in weights:
+                if started and fill + w > limit:
+                    chunk, fill = chunk + 1, 0
+                fill, started = fill + w, True
+                numbers.append(chunk)
+            return numbers, fill, chunk
+
+        thresholds, lefts, counts, total = batches._range_summary(weights, limit)
+        summary = np.array(thresholds), np.array(lefts), np.array(counts), total
+        for fill in range(0, min(limit, 70) + 1):
+            numbers, left, opened = walk(fill, True)
+            assert tuple(int(x[0]) for x in batches._left_by(np.array([fill]), summary, limit)) == (left, opened)
+            assert batches._numbered(weights, limit, 0, fill, True).tolist() == numbers
+        assert batches._numbered(weights, limit, 5, 0, False).tolist() == [c + 5 for c in walk(0, False)[0]]
+
+
+def test_a_key_name_that_many_tables_share(spark):
+    """40 tables whose keys are all called ``shared``: the values say which of the 1,560 pairs are foreign keys."""
+    frames, rows, held = {}, [], {}
+    for i in range(40):
+        own = range(i, i + 10) if i % 4 else range(0, 60)
+        held[f"t{i}"] = set(own)
+        frames[f"t{i}"] = spark.createDataFrame([(v, v) for v in own], "shared int, other_no int")
+        rows += [("x", "s", f"t{i}", c, o, "INTEGER", c == "shared") for o, c in enumerate(("shared", "other_no"), 1)]
+    columns = model.conform(
+        spark.createDataFrame(rows, "system_name string, schema_name string, table_name string, column_name string, ordinal int, data_type string, is_primary_key boolean"),
+        model.COLUMNS,
+    ).withColumn("primary_key", F.col("column_name") == "shared")
+    got = foreign_keys.confirmed(columns, frames)
+    expected = {(c, p) for c in held for p in held if c != p and held[c] <= held[p]}
+    assert {(r.child_table, r.parent_table) for r in got.collect()} == expected
+    assert {(r.child_column, r.parent_column) for r in got.collect()} == {("shared", "shared")}
