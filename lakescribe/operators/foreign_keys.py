@@ -9,6 +9,7 @@ from lakescribe.functions import scalars
 from lakescribe.operators.inclusion import inclusions
 from lakescribe.operators.keys import final_keys
 from lakescribe.operators.skew import lookup
+from lakescribe.session import materialized
 
 KEY, TABLE = model.COLUMN_KEY, model.TABLE_KEY
 SEQUENCE = "sequence"
@@ -144,6 +145,7 @@ def confirmed(columns: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
     pairs. Columns are child_table, child_column, parent_table, parent_column,
     n_child and n_parent (distinct values). A child without values has no key.
     """
+    columns = materialized(columns, "columns")  # asked several times, and often just measured
     named = ["system_name", "family", "rank", "token"]
     children, parents = _children(columns), _parents(columns)
     asking = children.join(parents.select(*named).distinct(), named, "left_semi")

@@ -35,37 +35,54 @@ def _is_number(kind: T.DataType) -> bool:
     return carrier(kind) in ("bigint", "double") or isinstance(kind, T.DecimalType)
 
 
+def _tiny_form(text: str) -> str:
+    """Sign, digits without outer zeros, and the power of ten behind them, from a number as it is printed."""
+    mantissa = f"substring_index(ltrim('-', {text}), 'E', 1)"
+    digits = f"ltrim('0', replace({mantissa}, '.', ''))"
+    power = f"coalesce(try_cast(if(instr({text}, 'E') > 0, substring_index({text}, 'E', -1), '0') AS int), 0)"
+    behind = f"if(instr({mantissa}, '.') > 0, length({mantissa}) - instr({mantissa}, '.'), 0)"
+    return (
+        f"concat(if(startswith({text}, '-'), '-', ''), rtrim('0', {digits}), 'e', "
+        f"{power} - {behind} + length({digits}) - length(rtrim('0', {digits})))"
+    )
+
+
 def number_form(value: str, kind: T.DataType) -> str:
-    """SQL of a number as text: sign, digits without outer zeros, and the power of ten behind them.
+    """SQL of a number as text: its plain decimal digits, without zeros that end a fraction.
 
     Equal numbers have one form in whatever type they come, at any size. A
-    floating number below 2**53 stands for the decimal it is printed as, which
-    reads back as it; a larger one, which has no fraction, for its exact value. All zeros are ``0``; infinities and NaN have forms of their own.
+    floating number with a fraction stands for the decimal it is printed as,
+    which reads back as it; one without for its exact value. Numbers nearer to
+    0 than a millionth are written as digits and a power of ten; all zeros are
+    ``0``; floating numbers from 10**38 on, infinities and NaN, which no exact
+    number equals, are as they are printed.
     """
-    if carrier(kind) == "double":
-        x = f"CAST({value} AS double)"
-        # Floating numbers from 2**53 on are whole; two exact halves of 63 bits hold them up to 10**38.
-        high = f"floor({x} / 9223372036854775808D)"
-        exact = (
-            f"CAST(CAST({high} AS decimal(19,0)) * 9223372036854775808BD "
-            f"+ CAST(CAST({x} - {high} * 9223372036854775808D AS bigint) AS decimal(20,0)) AS string)"
-        )
-        text = f"CASE WHEN abs({x}) >= 9007199254740992D AND abs({x}) < 1e38D THEN {exact} ELSE CAST({x} AS string) END"
-    else:
+    trimmed = "rtrim('.', rtrim('0', CAST({} AS string)))".format
+    if isinstance(kind, T.DecimalType) and kind.scale:
         text = f"CAST({value} AS string)"
-    parts = f"named_struct('s', {text})"
-    parts = (
-        f"transform(array({parts}), p -> named_struct('s', p.s, 'm', substring_index(ltrim('-', p.s), 'E', 1), "
-        "'e', if(instr(p.s, 'E') > 0, int(try_cast(substring_index(p.s, 'E', -1) AS int)), 0)))"
-    )
-    parts = (
-        f"transform({parts}, p -> named_struct('s', p.s, 'd', ltrim('0', replace(p.m, '.', '')), "
-        "'e', p.e - if(instr(p.m, '.') > 0, length(p.m) - instr(p.m, '.'), 0)))"
+        return (
+            f"CASE WHEN CAST({value} AS double) = 0D THEN '0' "
+            f"WHEN instr({text}, 'E') > 0 OR startswith(ltrim('-', {text}), '0.000000') THEN {_tiny_form(text)} "
+            f"ELSE {trimmed(value)} END"
+        )
+    if carrier(kind) != "double":
+        return f"CAST({value} AS string)"
+    x = f"CAST({value} AS double)"
+    text = f"CAST({x} AS string)"
+    # Two exact halves of 63 bits hold the whole numbers that a bigint doesn't.
+    high = f"floor({x} / 9223372036854775808D)"
+    halves = (
+        f"CAST({high} AS decimal(19,0)) * 9223372036854775808BD "
+        f"+ CAST(CAST({x} - {high} * 9223372036854775808D AS bigint) AS decimal(20,0))"
     )
     return (
-        f"transform({parts}, p -> CASE WHEN p.s IN ('NaN', 'Infinity', '-Infinity') THEN p.s WHEN rtrim('0', p.d) = '' THEN '0' "
-        "ELSE concat(if(startswith(p.s, '-'), '-', ''), rtrim('0', p.d), 'e', "
-        "p.e + length(p.d) - length(rtrim('0', p.d))) END)[0]"
+        f"CASE WHEN abs({x}) < 9223372036854775808D AND {x} = floor({x}) THEN CAST(CAST({x} AS bigint) AS string) "
+        f"WHEN NOT abs({x}) < 1e38D THEN {text} "
+        f"WHEN abs({x}) >= 9223372036854775808D THEN CAST({halves} AS string) "
+        f"WHEN abs({x}) >= 1e7D THEN {trimmed(f'CAST({text} AS decimal(38,18))')} "
+        f"WHEN abs({x}) >= 0.001D THEN {text} "
+        f"WHEN abs({x}) >= 0.000001D THEN {trimmed(f'CAST({text} AS decimal(38,30))')} "
+        f"ELSE {_tiny_form(text)} END"
     )
 
 
@@ -109,10 +126,10 @@ def _together(parts: list[DataFrame]) -> DataFrame:
     return parts[0]
 
 
-def _values(frames: dict[str, DataFrame], columns: list[Named], kind: str) -> DataFrame:
-    """(i, value): values of the columns with their numbers, in one scan per table; nulls left out."""
+def _values(frames: dict[str, DataFrame], columns: list[tuple[int, Named]], kind: str) -> DataFrame:
+    """(i, value): values of the numbered columns, in one scan per table; nulls left out."""
     by_table: dict[str, list[str]] = {}
-    for i, (table, column) in enumerate(columns):
+    for i, (table, column) in columns:
         field = frames[table].schema[column]
         value = comparable(field)
         if kind == NUMBER:
@@ -124,8 +141,8 @@ def _values(frames: dict[str, DataFrame], columns: list[Named], kind: str) -> Da
     return _together(parts).filter("value IS NOT NULL")
 
 
-def masks(values: DataFrame, n: int) -> DataFrame:
-    """(mask, n): the distinct masks of ``values`` (i, value) over ``n`` columns and the values that have them, written.
+def masks(values: DataFrame, one_word: bool = False) -> DataFrame:
+    """(mask, n): the distinct masks of ``values`` (i, value) and the number of values that have them.
 
     A mask is the sorted list of the words that aren't empty. Repeats fold
     before either shuffle; a value's row has as many words as its columns fill.
@@ -134,11 +151,24 @@ def masks(values: DataFrame, n: int) -> DataFrame:
         F.expr(f"bit_or(shiftleft(1L, i % {WORD}))").alias("b")
     )
     one = F.struct("w", "b")
-    if n <= WORD:  # a value has one word, so there is nothing to put together
+    if one_word:  # all columns are in the same one, so there is nothing to put together
         per_value = words.select(F.array(one).alias("mask"))
     else:
         per_value = words.groupBy("value").agg(F.array_sort(F.collect_list(one)).alias("mask")).select("mask")
-    return materialized(per_value.groupBy("mask").agg(F.count("*").alias("n")), "masks")
+    return per_value.groupBy("mask").agg(F.count("*").alias("n"))
+
+
+def _all_masks(frames: dict[str, DataFrame], columns: list[tuple[str, Named]]) -> DataFrame:
+    """Masks over columns (carrier, name), numbered by their place; values of different carriers never meet."""
+    by_kind: dict[str, list[tuple[int, Named]]] = {}
+    for i, (kind, column) in enumerate(columns):
+        by_kind.setdefault(kind, []).append((i, column))
+    return _together(
+        [
+            masks(_values(frames, own, kind), len({i // WORD for i, _ in own}) == 1)
+            for kind, own in by_kind.items()
+        ]
+    )
 
 
 def _bits(mask: str) -> str:
@@ -169,9 +199,8 @@ def _included(found: DataFrame, listed: DataFrame) -> DataFrame:
     """Pairs (child, parent) of numbers from ``listed`` (i, t, is_child, is_parent) with their distinct values."""
     members = _members(found)
     spread = F.expr("aggregate(mask, 0L, (s, m) -> s + bit_count(m.b))")
-    known = materialized(
-        members.groupBy("child").agg(F.sum("n").alias("n"), F.min(F.struct(spread.alias("size"), "mask")).alias("rarest")),
-        "columns",
+    known = members.groupBy("child").agg(
+        F.sum("n").alias("n"), F.min(F.struct(spread.alias("size"), "mask")).alias("rarest")
     )
     asked = lookup(known, listed.select(F.col("i").alias("child"), "t", "is_child"), ["child"]).filter("is_child")
     sizes = lookup(known.select(F.col("child").alias("i"), F.col("n").alias("n_parent")), listed, ["i"]).filter("is_parent")
@@ -182,7 +211,6 @@ def _included(found: DataFrame, listed: DataFrame) -> DataFrame:
         .filter("t <> parent_t AND n_parent >= n_child")
         .select("child", "parent", "n_child", "n_parent")
     )
-    may = materialized(may, "candidates")
     words = may.groupBy("child", F.expr(f"parent DIV {WORD}").cast("int").alias("w")).agg(
         F.expr(f"bit_or(shiftleft(1L, parent % {WORD}))").alias("b")
     )
@@ -210,20 +238,21 @@ def inclusions(
     spark = next(iter(frames.values())).sparkSession
     known = _types(frames)
     is_child, is_parent = set(children), set(parents)
-    results = []
-    for kind, columns in _carriers({c: known[c] for c in is_child | is_parent}).items():
-        if not (is_child.intersection(columns) and is_parent.intersection(columns)):
-            continue
-        rows = [(i, t, c, (t, c) in is_child, (t, c) in is_parent) for i, (t, c) in enumerate(columns)]
-        listed = spark.createDataFrame(rows, "i int, t string, c string, is_child boolean, is_parent boolean")
-        pairs = _included(masks(_values(frames, columns, kind), len(columns)), listed)
-        named = {role: listed.selectExpr(f"i AS {role}", f"t AS {role}_table", f"c AS {role}_column") for role in ("child", "parent")}
-        results.append(
-            lookup(lookup(pairs, named["child"], ["child"]), named["parent"], ["parent"]).select(
-                "child_table", "child_column", "parent_table", "parent_column", "n_child", "n_parent"
-            )
-        )
-    return _together(results) if results else spark.createDataFrame([], _PAIRS)
+    columns = [
+        (kind, c)
+        for kind, own in _carriers({c: known[c] for c in is_child | is_parent}).items()
+        if is_child.intersection(own) and is_parent.intersection(own)
+        for c in own
+    ]
+    if not columns:
+        return spark.createDataFrame([], _PAIRS)
+    rows = [(i, *c, c in is_child, c in is_parent) for i, (_, c) in enumerate(columns)]
+    listed = spark.createDataFrame(rows, "i int, t string, c string, is_child boolean, is_parent boolean")
+    pairs = _included(materialized(_all_masks(frames, columns), "masks"), listed)
+    named = {role: listed.selectExpr(f"i AS {role}", f"t AS {role}_table", f"c AS {role}_column") for role in ("child", "parent")}
+    return lookup(lookup(pairs, named["child"], ["child"]), named["parent"], ["parent"]).select(
+        "child_table", "child_column", "parent_table", "parent_column", "n_child", "n_parent"
+    )
 
 
 def _answered(spark: SparkSession, found: DataFrame, asked: list[tuple[int, int, int]]) -> DataFrame:
@@ -251,26 +280,25 @@ def missing_counts(frames: dict[str, DataFrame], pairs: list[tuple[Named, Named]
     """
     spark = next(iter(frames.values())).sparkSession
     types = _types(frames)
-    asked: dict[str, list[int]] = {}
+    asked: list[tuple[int, int, int]] = []
+    index: dict[tuple[str, Named], int] = {}
     rows = []
     for i, (c, p) in enumerate(pairs):
         kind = common_carrier(types[c], types[p]) if c in types and p in types else None
         reason = None if kind else "types cannot be compared" if c in types and p in types else "no such column"
         rows.append((i, *c, *p, reason))
         if kind:
-            asked.setdefault(kind, []).append(i)
+            asked.append((i, *(index.setdefault((kind, column), len(index)) for column in (c, p))))
     named = spark.createDataFrame(
         rows,
         "pair int, child_table string, child_column string, parent_table string, parent_column string, reason string",
     )
-    results = [spark.createDataFrame([], "pair int, n_child bigint, n_missing bigint")]
-    for kind, numbers in asked.items():
-        columns = sorted({c for i in numbers for c in pairs[i]})
-        index = {c: i for i, c in enumerate(columns)}
-        found = masks(_values(frames, columns, kind), len(columns))
-        results.append(_answered(spark, found, [(i, index[pairs[i][0]], index[pairs[i][1]]) for i in numbers]))
+    if asked:
+        counted = _answered(spark, _all_masks(frames, list(index)), asked)
+    else:
+        counted = spark.createDataFrame([], "pair int, n_child bigint, n_missing bigint")
     known = lambda n: F.when(F.col("reason").isNull(), F.coalesce(n, F.lit(0))).alias(n)
-    return named.join(_together(results), "pair", "left").select(
+    return named.join(counted, "pair", "left").select(
         "child_table", "child_column", "parent_table", "parent_column", known("n_child"), known("n_missing"), "reason"
     )
 

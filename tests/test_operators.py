@@ -10,6 +10,7 @@ from lakescribe import model
 from lakescribe.operators import (
     assemble, batches, ddl, enrich, foreign_keys, graph, inclusion, keys, normalize, ordering, profile, relate, search, skew, stats, store,
 )
+from lakescribe.session import materialized
 from lakescribe.sources import dialects, documents
 
 KEY = model.TABLE_KEY
@@ -168,14 +169,18 @@ def test_inclusion_of_unlike_types(spark):
 
 
 def plain_number(v):
-    """Sign, digits and exponent of a number as the shortest decimal that means it, by Python's own decimals."""
-    if isinstance(v, float) and (v != v or v in (float("inf"), float("-inf"))):
-        return "NaN" if v != v else "Infinity" if v > 0 else "-Infinity"
-    exact = Decimal(v) if not isinstance(v, float) or (abs(v) >= 2**53 and abs(v) < 1e38) else Decimal(repr(v))
-    sign, digits, exponent = exact.as_tuple()
-    text = "".join(map(str, digits)).lstrip("0")
-    short = text.rstrip("0")
-    return f"{'-' if sign else ''}{short}e{exponent + len(text) - len(short)}" if short else "0"
+    """Plain digits of a number, or digits and a power of ten below a millionth, by Python's own decimals."""
+    if isinstance(v, float) and not abs(v) < 1e38:
+        return "NaN" if v != v else ("-" if v < 0 else "") + {float("inf"): "Infinity"}.get(abs(v)) if abs(v) == float("inf") else repr(v).replace("e+", ".0E")
+    exact = Decimal(repr(v)) if isinstance(v, float) and v != int(v) else Decimal(v)
+    if exact and abs(exact) < Decimal("0.000001"):
+        sign, digits, exponent = exact.as_tuple()
+        text = "".join(map(str, digits)).lstrip("0")
+        short = text.rstrip("0")
+        return f"{'-' if sign else ''}{short}e{exponent + len(text) - len(short)}"
+    text = format(exact, "f")
+    text = text.rstrip("0").rstrip(".") if "." in text else text
+    return "0" if exact == 0 else text
 
 
 NUMBERS = {
@@ -183,7 +188,7 @@ NUMBERS = {
     "decimal(38,0)": [Decimal(x) for x in ("0", "1", "10", "9007199254740993", "9" * 38, "-1" + "0" * 37, "9223372036854775808")],
     "decimal(38,37)": [Decimal(x) for x in ("0", "1", "0.5", "-0.1", "1e-37", "-9.9999999999999999999999999999999999999")],
     "decimal(20,2)": [Decimal(x) for x in ("1.00", "1.50", "-0.10", "100.00", "0.05", "999999999999999999.99")],
-    "double": [0.0, -0.0, 1.0, 0.5, 0.1, -0.1, 1e22, 1e23, 1e37, 1e38, 9007199254740992.0, 9007199254740994.0, 1e-7, 2.5e-300, 1.7976931348623157e308,
+    "double": [0.0, -0.0, 1.0, 0.5, 0.1, -0.1, 1e22, 1e23, 1e37, 1e38, 12345678.9012345, 0.00012345678901234567, 9007199254740992.0, 9007199254740994.0, 1e-7, 2.5e-300, 1e-37,
                9223372036854775808.0, -9223372036854775808.0, 4611686018427387904.0, 1.5e16, 123456789.125, 0.05, 120.0, float("nan"), float("inf"), float("-inf")],
     "float": [0.0, 0.5, 0.25, 100.0, 16777216.0],
 }
@@ -209,7 +214,7 @@ def test_numbers_of_all_types_meet_exactly(spark):
     frames |= {"one": spark.sql("SELECT 1 AS v, 9007199254740993L AS large"), "many": spark.sql("SELECT CAST(1 AS decimal(5,1)) AS v, 9007199254740992D AS large")}
     names = [(t, f) for t, df in frames.items() for f in df.columns]
     values = {f"t{i}": set(map(plain_number, v)) for i, v in enumerate(NUMBERS.values())}
-    values = {(t, c): values.get(t) or {"v": {"1e0"}, "large": {"9007199254740993e0" if t == "one" else "9007199254740992e0"}}[c] for t, c in names}
+    values = {(t, c): values.get(t) or {"v": {"1"}, "large": {"9007199254740993" if t == "one" else "9007199254740992"}}[c] for t, c in names}
     expected = {(c, p) for c in names for p in names if c[0] != p[0] and values[c] <= values[p]}
     got = inclusion.inclusions(frames, names, names).collect()
     assert {((r.child_table, r.child_column), (r.parent_table, r.parent_column)) for r in got} == expected
@@ -227,7 +232,7 @@ def test_masks_carry_their_own_columns_only(spark):
     for i in range(0, n, 400):
         held[i] = {0, 1}
     rows = [(i, v) for i, values in held.items() for v in values]
-    found = inclusion.masks(spark.createDataFrame(rows, "i int, value int"), n)
+    found = materialized(inclusion.masks(spark.createDataFrame(rows, "i int, value int")), "test")
     assert found.agg(F.sum("n")).first()[0] == len({v for _, v in rows})
     owners = {}
     for i, v in rows:
