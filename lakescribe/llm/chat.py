@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lakescribe.session import materialized
 
 #: A line that announces a quote (a fixed value).
-ANNOUNCES = r"(?i)^on .{1,200} wrote:$"
+ANNOUNCES = r"(?i)^on .+ wrote:$"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -132,11 +132,13 @@ def conversations(messages: DataFrame, columns: dict[str, Column] | None = None)
     rows get equal results. An empty table gives no rows.
     """
     columns = columns or {"role": F.col("role"), "text": F.col("own")}
-    read = parsed(messages)
+    # Texts are taken apart once; what is written has digests and the wanted columns, no quotes.
+    read = parsed(messages).select("conv_id", "turn", "print", "passages", F.struct(*(e.alias(n) for n, e in columns.items())).alias("own"))
+    read = materialized(read, "parsed")
     found = materialized(threads(linked(read)), "threads").toDF(
         "c", "t", "p", "parent_turn", "n_quotes", "n_linked", "root_turn", "depth"
     )
-    own = read.select("conv_id", "turn", "print", *(e.alias(n) for n, e in columns.items()))
+    own = read.select("conv_id", "turn", "print", "own.*")
     same = (
         F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & (F.col("print") == F.col("p"))
     )

@@ -89,18 +89,20 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, _fields(http), payload
 
 
-def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary for the records of one archive; None where they are too few or too small for one."""
-    total, step = sum(map(len, records)), 1
-    if total > SAMPLE_BYTES:
-        step = -(-total // SAMPLE_BYTES)
-    sample = [r[: 128 << 10] for r in records[::step]]
-    if len(sample) < 16:
-        return None
+def train(records: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary for the records of one archive, from evenly spaced ones of them.
+
+    Where they are too few or too small to train one, the bytes of the sample
+    are the dictionary as they are, so that every archive has one.
+    """
+    step = -(-sum(map(len, records)) // SAMPLE_BYTES) or 1
+    sample = records[::step]
+    size = sum(map(len, sample))
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, sample)) // 4), sample, k=256, d=8)
-    except zstandard.ZstdError:
-        return None
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, size // 4), sample, k=256, d=8)
+    except (zstandard.ZstdError, ValueError):
+        raw = b"".join(sample)[-DICTIONARY_BYTES:]
+        return zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -110,13 +112,12 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
 def write_archive(path: str, records: list[bytes], level: int = 3) -> int:
     """Write one archive; its bytes."""
     trained = train(records)
-    size = 0
     store, name = _store(path)
-    with store.open_output_stream(name) as out:
-        if trained is not None:
-            packed = zstandard.ZstdCompressor(level=level).compress(trained.as_bytes())
-            size += out.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed))) or 0
-            out.write(packed)
+    # Left to itself the library packs what goes to a name like this once more.
+    with store.open_output_stream(name, compression=None) as out:
+        packed = zstandard.ZstdCompressor(level=level).compress(trained.as_bytes())
+        out.write(struct.pack("<II", DICTIONARY_MAGIC, len(packed)))
+        out.write(packed)
         compressor = zstandard.ZstdCompressor(level=level, dict_data=trained, write_checksum=True)
         for one in records:
             out.write(compressor.compress(one))
@@ -126,13 +127,12 @@ def write_archive(path: str, records: list[bytes], level: int = 3) -> int:
 def read_archive(path: str) -> Iterator[bytes]:
     """The records of an archive, one by one."""
     store, name = _store(path)
-    with store.open_input_stream(name) as data:
-        held = data.read(8)
-        trained = None
-        if len(held) == 8 and struct.unpack("<I", held[:4])[0] == DICTIONARY_MAGIC:
-            packed = data.read(struct.unpack("<I", held[4:])[0])
-            trained = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(packed))
-            held = b""
+    with store.open_input_stream(name, compression=None) as data:
+        magic, size = struct.unpack("<II", data.read(8))
+        if magic != DICTIONARY_MAGIC:
+            raise ValueError(f"{path} doesn't begin with a dictionary")
+        trained = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(data.read(size)))
+        held = b""
         decompressor = zstandard.ZstdDecompressor(dict_data=trained)
         while held or (held := data.read(READ_BYTES)):
             frame, parts = decompressor.decompressobj(), []

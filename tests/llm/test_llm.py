@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from compare import connection, difference
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -215,11 +216,38 @@ def test_warc_round_trip(spark, tmp_path):
     assert limit == {"response"}
 
 
-def test_warc_dictionary_comes_first(tmp_path):
-    records = [warc.record(i, "u", f"<html><body>some page of words {i}".encode() * 40, None, "d") for i in range(300)]
-    warc.write_archive(str(tmp_path / "a"), records)
-    assert (tmp_path / "a").read_bytes()[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little")
-    assert list(warc.read_archive(str(tmp_path / "a"))) == records
+@pytest.mark.parametrize("n", [1, 3, 300])
+def test_warc_dictionary_comes_first(tmp_path, n):
+    path = tmp_path / "a.warc.zst"
+    records = [warc.record(i, "u", f"<html><body>some page of words {i}".encode() * 40, None, "d") for i in range(n)]
+    assert warc.write_archive(str(path), records) == path.stat().st_size
+    assert path.read_bytes()[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little")
+    assert list(warc.read_archive(str(path))) == records
+
+
+def test_warc_records_are_read_by_themselves(spark, tmp_path):
+    """Files as they lie on disk: the dictionary first, then frames that zstandard alone opens at their places."""
+    rows = [(i, f"http://h/{i}", f"<p>page {i} {'words of it ' * (i % 50)}</p>") for i in range(90)]
+    archives = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"))
+    pages = {}
+    for archive in archives.collect():
+        with open(archive.path, "rb") as file:
+            data = file.read()
+        assert len(data) == archive.bytes and data[:4] == bytes.fromhex("5d2a4d18")
+        size = int.from_bytes(data[4:8], "little")
+        known = zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(data[8 : 8 + size]))
+        places, at = [], 8 + size
+        while at < len(data):
+            places.append(at)
+            frame = zstandard.ZstdDecompressor(dict_data=known).decompressobj()
+            frame.decompress(data[at:])
+            at = len(data) - len(frame.unused_data)
+        assert len(places) == archive.records
+        for at in reversed(places):  # in any order, each by itself
+            one = zstandard.ZstdDecompressor(dict_data=known).decompressobj().decompress(data[at:])
+            fields, http, payload = warc.parse(one)
+            pages[int(fields["WARC-Record-ID"].split(":")[-1].rstrip(">"))] = payload.decode()
+    assert pages == {i: h for i, _, h in rows}
 
 
 def test_contained_items(spark, docs):
@@ -241,7 +269,7 @@ def test_sketch_never_misses():
 def test_quotes(spark):
     rows = [
         (1, 0, "Hello there,\nhow are you?\n\nSecond thought."),
-        (1, 1, "On Monday, A wrote:\n> Hello there, how\n> are you?\n\nFine."),
+        (1, 1, f"On Monday, {'A ' * 400}wrote:\n> Hello there, how\n> are you?\n\nFine."),
         (1, 2, "> > second   Thought.\n> fine.\nGood\n>> unknown words"),
         (1, 3, "> later words"),
         (1, 4, "later words"),
