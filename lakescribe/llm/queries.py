@@ -45,9 +45,11 @@ def op2_packing(spark, sf_dir):
       UNION ALL
       SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') FROM benchmark
-    ), sh AS (
-      SELECT DISTINCT side, id, array_to_string(w[i : i + 4], ' ') AS s
-      FROM (SELECT side, id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM cut WHERE len(w) > 0)
+    ), widths AS (SELECT DISTINCT least(len(w), 5) AS k FROM cut WHERE side = 'i' AND len(w) > 0),
+    sh AS (
+      SELECT DISTINCT side, id, array_to_string(w[i : i + k - 1], ' ') AS s
+      FROM (SELECT side, id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM cut, widths
+            WHERE side = 'd' OR k = least(len(w), 5))
     ), size AS (SELECT id, count(*) AS n FROM sh WHERE side = 'i' GROUP BY id)
     SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_shared, any_value(n) AS n_shingles,
            count(*) / any_value(n) AS containment

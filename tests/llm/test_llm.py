@@ -1,6 +1,7 @@
 """Operators of lakescribe.llm against plain versions, and on awkward rows."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -257,7 +258,38 @@ def test_contained_items(spark, docs):
     too_far = item.replace("six", "6")
     rows = [(1, f"w {item.upper()}! {'more ' * 500}"), (2, near_enough), (3, too_far), (4, "a, B."), (5, "x a b y z v"), (6, None), (7, "")]
     found = got(decontaminate.contained(docs(rows), items), "doc_id", "item_id", "n_shared", "n_shingles")
-    assert found == [(1, 1, 8, 8)] * 2 + [(2, 1, 7, 8)] * 2 + [(4, 2, 1, 1)]
+    assert found == [(1, 1, 8, 8)] * 2 + [(2, 1, 7, 8)] * 2 + [(4, 2, 1, 1), (5, 2, 1, 1)]
+
+
+@pytest.mark.parametrize("share", [0.8, 0.5])
+def test_items_of_all_sizes_in_long_documents(spark, docs, share):
+    """Every item of 1 to 40 words, whole or in part, in documents of up to 30,000 words, as plain sets say."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    items = [(n, " ".join(rng.choices(words, k=n))) for n in [*range(1, 9), 15, 16, 31, 40]] + [(90, "what is gravity"), (90, "naïve é")]
+    rows = []
+    for i in range(25):
+        text = rng.choices([f"v{j}" for j in range(500)], k=rng.choice([0, 3, 50, 2000]))
+        for _ in range(rng.randint(0, 3)):
+            part = rng.choice(items)[1].split()
+            cut = rng.choice([0, 0, 1, len(part) // 4])
+            at = rng.randint(0, len(text))
+            text[at:at] = [w.upper() for w in part[cut:]]
+        rows.append((i, rng.choice([" ", ", ", "\n"]).join(text)))
+    rows += [(50, "v " * 30_000 + items[-3][1] + " v" * 5), (51, "What IS gravity?" + " x" * 800), rows[0], (None, rows[1][1])]
+    expected = []
+    for doc, text in rows:
+        own = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text.lower())
+        for item, wanted in items:
+            gram = wanted.split()
+            k = min(5, len(gram))
+            sought = {tuple(gram[i : i + k]) for i in range(len(gram) - k + 1)}
+            shared = len(sought & {tuple(own[i : i + k]) for i in range(len(own) - k + 1)})
+            if shared >= share * len(sought):
+                expected.append((doc, item, shared, len(sought)))
+    found = decontaminate.contained(docs(rows), spark.createDataFrame(items, "item_id long, text string"), 5, share)
+    assert got(found, "doc_id", "item_id", "n_shared", "n_shingles") == sorted(expected, key=repr)
+    assert {90, 1, 40} <= {e[1] for e in expected}
 
 
 def test_sketch_never_misses():
