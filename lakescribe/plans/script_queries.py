@@ -10,7 +10,7 @@ from lakescribe.operators.ordering import row_numbers
 from lakescribe.plans import script_corpus
 from lakescribe.plans.registry import query
 from lakescribe.session import shared_dir
-from lakescribe.sources import scripts as script_source
+from lakescribe.sources import lake, scripts as script_source
 
 
 def sql(body: str) -> str:
@@ -80,6 +80,72 @@ def batch_lines(spark, sf_dir):
     )
 
 
+# Scripts made of the documents, so that every row has a text of its own to get right.
+
+
+def _documents(spark, sf_dir):
+    return lake.frames(spark, sf_dir, ["documents"])["documents"].select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _told(text) -> list:
+    return ["doc_id", F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256")]
+
+
+def _told_sql(text: str) -> str:
+    return f"SELECT doc_id, CAST(length({text}) AS BIGINT) AS n_chars, sha256({text}) AS text_sha256 FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)"
+
+
+@query("d1_decoded_texts", _told_sql(r"regexp_replace('-- ' || doc_id || chr(10) || x, '\r\n?', chr(10), 'g')"))
+def decoded_texts(spark, sf_dir):
+    """Documents as scripts in UTF-16 with and without a mark, UTF-8 with and without one."""
+    which, text = F.col("doc_id") % 4, F.concat(F.lit("-- "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text"))
+    content = (
+        F.when(which == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
+        .when(which == 1, F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE")))
+        .when(which == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+        .otherwise(F.encode(text, "UTF-8"))
+    )
+    made = _documents(spark, sf_dir).withColumns(
+        {"system_name": F.lit("x"), "path": F.col("doc_id").cast("string"), "content": content}
+    )
+    found = script_source.decode_scripts(made.select("system_name", "path", "content"))
+    return found.withColumn("doc_id", F.col("path").cast("long")).select(*_told(F.col("text")))
+
+
+@query("d2_line_end_texts", _told_sql("replace(replace(x, chr(13), chr(10)), '.', '.' || chr(10)) || chr(10) || doc_id"))
+def line_end_texts(spark, sf_dir):
+    """Sentences end in a pair of line ends, and the text in a single old one."""
+    given = F.concat(F.replace("text", F.lit("."), F.lit(".\r\n")), F.lit("\r"), F.col("doc_id").cast("string"))
+    return _documents(spark, sf_dir).select(*_told(D.unix_lines(given)))
+
+
+_LITERAL_SQL = "replace(x, chr(39), chr(39) || chr(39))"
+
+
+@query(
+    "d3_stripped_texts",
+    _told_sql(f"'SELECT ' || chr(39) || {_LITERAL_SQL} || ' -- /* ' || chr(39) || ', ' || doc_id || ' ' || chr(10) || ' AS n '"),
+)
+def stripped_texts(spark, sf_dir):
+    """Documents as literals with what looks like comments, followed by comments with what looks like literals."""
+    number = F.col("doc_id").cast("string")
+    given = F.concat(
+        F.lit("SELECT '"), F.replace("text", F.lit("'"), F.lit("''")), F.lit(" -- /* ', "), number, F.lit(" -- it's "), number,
+        F.lit("\n/* 'one' -- "), number, F.lit(" */AS n "),
+    )
+    return _documents(spark, sf_dir).select(*_told(D.strip_comments(given)))
+
+
+@query(
+    "d4_batched_texts",
+    _told_sql("replace(x, chr(10), ' ') || chr(10) || ';' || chr(10) || doc_id || ' go' || chr(10) || ';' || chr(10) || 'gone'"),
+)
+def batched_texts(spark, sf_dir):
+    """Lines that hold nothing but GO, and others with more."""
+    given = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\nGO\n"), F.col("doc_id").cast("string"), F.lit(" go\n \tgo \ngone"))
+    return _documents(spark, sf_dir).select(*_told(D.batch_separators(given)))
+
+
 @query("d5_statements", sql(f"SELECT {_K} AS path, 3 + CAST({_HAS_FK} AS INTEGER) AS n_statements, true AS insert_whole FROM t"))
 def statements(spark, sf_dir):
     return (
