@@ -33,13 +33,16 @@ def trigram_counts(text: str | None) -> np.ndarray:
     """Counts of the hashed trigrams of a whole text; only letters count, other runs are one blank."""
     counts = np.zeros(BUCKETS, np.int64)
     text = text or ""
+    carried = " "
     for start in range(0, len(text), PART_CHARS):
-        # two characters before the part, so that no trigram is lost or counted twice
-        part = _OTHER.sub(" ", text[max(0, start - 2) : start + PART_CHARS].lower())
-        if start == 0:
-            part = " " + part
+        part = _OTHER.sub(" ", text[start : start + PART_CHARS].lower())
         if start + PART_CHARS >= len(text):
             part += " "
+        if carried.endswith(" "):  # a run of other characters may go on over the cut
+            part = part.removeprefix(" ")
+        part = carried + part
+        # the last two characters begin trigrams that the next part ends
+        carried = part[-2:]
         chars = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         if len(chars) >= 3:
             grams = (chars[:-2] << np.uint64(42)) ^ (chars[1:-1] << np.uint64(21)) ^ chars[2:]

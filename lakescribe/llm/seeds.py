@@ -40,6 +40,10 @@ PART_UNITS = 1 << 20
 SLICE_BYTES = 1 << 17
 #: Segments that a resolver takes at once, at least; all of one seed go together.
 RESOLVED_ROWS = 40_000
+#: Windows of a run at most, so that a mask holds a bit for each; longer runs become several.
+RUN_WINDOWS = 62
+#: Bytes of texts per bucket of seeds, and buckets that a task answers.
+BUCKET_BYTES, TASK_BUCKETS = 16 << 20, 4
 
 SEGMENT = "key int, place int, segment binary, ord long, slot long, segment_id long, mask long, often boolean"
 _SEGMENT = [f.split()[0] for f in SEGMENT.split(", ")]
@@ -128,7 +132,10 @@ def windows(texts: Texts, plan: Windows) -> Iterator[tuple[np.ndarray, ...]]:
 
 
 def runs(texts: Texts, plan: Windows) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows with one seed: (text, seed hash, first window, last window, seed place, id of the run)."""
+    """Runs of windows with one seed: (text, seed hash, first window, last window, seed place, id of the run).
+
+    A run of more than ``RUN_WINDOWS`` windows comes as several, one after the other, each with the seed.
+    """
     for units, grams, at, text, place, a in windows(texts, plan):
         if not len(at):
             continue
@@ -136,6 +143,13 @@ def runs(texts: Texts, plan: Windows) -> Iterator[tuple[np.ndarray, ...]]:
         begin = np.flatnonzero(new)
         first, seed = at[begin], place[begin]
         last = at[np.r_[begin[1:], len(at)] - 1]
+        if plan.width > RUN_WINDOWS:
+            pieces = (last - first) // RUN_WINDOWS + 1
+            which = np.repeat(np.arange(len(begin)), pieces)
+            nth = np.arange(len(which)) - (np.cumsum(pieces) - pieces)[which]
+            begin, seed = begin[which], seed[which]
+            first = first[which] + nth * RUN_WINDOWS
+            last = np.minimum(last[which], first + RUN_WINDOWS - 1)
         content = tx.run_hash(tx.prefix_sums(units), first, last + plan.window)
         shape = ((last - first) * plan.window + (seed - first)).astype(np.uint64)
         ids = tx.mix(content + tx.mix(shape + np.uint64(1))).view(np.int64)
@@ -176,14 +190,19 @@ def _seed_ids(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((bucket << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))).view(np.int64)
 
 
-def shared_seeds(texts: DataFrame, plan: Windows, frequent_documents: int) -> DataFrame:
+def bucket_count(texts: DataFrame) -> int:
+    """Buckets for the seeds of ``texts``, so many that a task holds those of some MB however large the table."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(TASK_BUCKETS * partitions, -(-size // BUCKET_BYTES))
+
+
+def shared_seeds(texts: DataFrame, plan: Windows, frequent_documents: int, buckets: int) -> DataFrame:
     """(slot, seed, seen): the seeds that each document shares with another.
 
     Rows with a null slot count documents: with a seed, of one that more than
     ``frequent_documents`` have; without, of all shared seeds of a bucket.
     """
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
     names = ["bucket", "lower", "slots", "times", "shared", "owners"]
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +302,7 @@ def shared_seeds(texts: DataFrame, plan: Windows, frequent_documents: int) -> Da
 
     schema = "bucket int, lower binary, slots binary, times binary, shared binary, owners binary"
     packed = texts.select("slot", "text").mapInArrow(send, schema)
-    return packed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(
+    return packed.repartition(-(-buckets // TASK_BUCKETS), "bucket").sortWithinPartitions("bucket").mapInArrow(
         answer, "slot long, seed long, seen long"
     )
 
@@ -350,8 +369,8 @@ def segments(joined: DataFrame, plan: Windows, frequent: frozenset[int], buckets
                     held, size = {}, 0
         yield from flush()
 
-    partitions = int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.selectExpr(ORD, "slot", "print", "text", "seeds").mapInArrow(cut, SEGMENT).repartition(partitions, "key")
+    cut_up = joined.selectExpr(ORD, "slot", "print", "text", "seeds").mapInArrow(cut, SEGMENT)
+    return cut_up.repartition(-(-buckets // TASK_BUCKETS), "key")
 
 
 def first_owners(
@@ -509,14 +528,13 @@ def without_repeats(docs: DataFrame, plan: Windows, classes: Classes, frequent_d
     shared seeds' occurrences have it, so the tasks know 100,000 at most.
     """
     texts = keyed(docs)
-    spark = docs.sparkSession
     whole = copies(texts, plan)
-    found = materialized(shared_seeds(texts, plan, frequent_documents), "seeds")
+    buckets = bucket_count(texts)
+    found = materialized(shared_seeds(texts, plan, frequent_documents, buckets), "seeds")
     counts = found.filter("slot is null")
     total = counts.filter("seed is null").agg(F.sum("seen")).first()[0] or 0
     usual = counts.filter(F.col("seen") > max(frequent_documents, total // 100_000)).select("seed").dropna().collect()
     frequent = frozenset(r.seed for r in usual)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     seeds = (
         found.filter("slot is not null").select("slot", "seed", F.lit(None).cast("long").alias("copy"))
         .unionByName(whole.select("slot", F.lit(None).cast("long").alias("seed"), F.col("print").alias("copy")))

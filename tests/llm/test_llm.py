@@ -23,6 +23,7 @@ from lakescribe.llm import (
     near,
     packing,
     repeats,
+    seeds,
     suffixes,
     token_counts,
     tokens,
@@ -71,7 +72,7 @@ def got(df, *columns):
 
 
 @pytest.mark.parametrize("often", [4096, 2])
-@pytest.mark.parametrize("window", [13, 4])
+@pytest.mark.parametrize("window", [13, 4, 80])
 def test_repeated_words(docs, window, often):
     found = repeats.remove_repeats(docs(ROWS), window, often)
     expected = [(d, n, gone, spans, " ".join(kept)) for d, n, gone, spans, kept in brute.repeats(ROWS, window, brute.WORD.findall)]
@@ -79,10 +80,27 @@ def test_repeated_words(docs, window, often):
 
 
 @pytest.mark.parametrize("often", [4096, 2])
-def test_repeated_bytes(docs, often):
-    found = suffixes.remove_repeats(docs(ROWS), 50, often)
+@pytest.mark.parametrize("window", [50, 100, 300])
+def test_repeated_bytes(docs, window, often):
+    found = suffixes.remove_repeats(docs(ROWS), window, often)
     rows = [(r.doc_id, r.n_units, sum(s.end - s.start for s in r.spans), len(r.spans), tuple(r.kept)) for r in found.collect()]
-    assert sorted(rows, key=repr) == brute.repeats(ROWS, 50, lambda t: list(t.encode()))
+    assert sorted(rows, key=repr) == brute.repeats(ROWS, window, lambda t: list(t.encode()))
+
+
+def test_long_runs_in_long_texts(docs, monkeypatch):
+    # one passage of 900 words inside texts that differ, over the edges of parts and buckets
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(900)]
+    rows = []
+    for i in range(8):
+        own = [f"d{i}w{rng.randint(0, 3000)}" for _ in range(2000)]
+        at, a = rng.randint(0, 2000), rng.randint(0, 300)
+        rows.append((i, " ".join(own[:at] + passage[a : a + 500 + 20 * i] + own[at:])))
+    monkeypatch.setattr(seeds, "BUCKET_BYTES", 1000)
+    found = repeats.remove_repeats(docs(rows), 200)
+    expected = [(d, n, gone, spans, " ".join(kept)) for d, n, gone, spans, kept in brute.repeats(rows, 200, brute.WORD.findall)]
+    assert sum(e[2] for e in expected) > 3000
+    assert got(found, "doc_id", "n_units", F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"), F.size("spans"), "kept") == sorted(expected, key=repr)
 
 
 def test_suffix_order():
@@ -146,10 +164,12 @@ def test_language(spark, docs):
 
 
 def test_trigrams_of_long_texts(monkeypatch):
-    text = "some words of a rather long text " * 50
-    whole = language.trigram_counts(text)
-    monkeypatch.setattr(language, "PART_CHARS", 100)
-    assert np.abs(language.trigram_counts(text) - whole).sum() <= 2 * len(text) / 100
+    rng = random.Random(5)
+    texts = ["some words of a rather long text " * 50, "", " ", "a", *("".join(rng.choices("abcé  .12\n中", k=300)) for _ in range(20))]
+    whole = [language.trigram_counts(t) for t in texts]
+    for chars in (1, 2, 7, 100):
+        monkeypatch.setattr(language, "PART_CHARS", chars)
+        assert all((language.trigram_counts(t) == w).all() for t, w in zip(texts, whole))
 
 
 def test_cut_texts_have_the_same_ids():
