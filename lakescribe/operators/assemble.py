@@ -77,6 +77,26 @@ def assemble(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFra
     return tables, model.conform(columns, model.COLUMNS), parts["foreign"]
 
 
+def with_known_flags(columns: DataFrame, status: DataFrame) -> DataFrame:
+    """Flags of columns only where they are known.
+
+    Where a system's part couldn't be read (``dialects.part_status``), its flag
+    is null instead of false, unless a part that was read in pieces has the key.
+    """
+    flags = {"primary": "primary_key", "unique": "unique", "foreign": "foreign_key"}
+    closed = (
+        status.filter(F.col("status") == "unreadable")
+        .groupBy("system_name")
+        .agg(F.collect_set("part").alias("_closed"))  # at most one entry per kind of part
+    )
+    joined = lookup(columns, closed, ["system_name"])
+    known = {
+        flag: F.when(F.col(flag) | ~F.coalesce(F.array_contains("_closed", part), F.lit(False)), F.col(flag))
+        for part, flag in flags.items()
+    }
+    return joined.withColumns(known).select(*columns.columns)
+
+
 def table_documents(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """One row per table with its columns nested in ordinal order.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Sketches of 2^11 registers have a standard error of 2.3 percent. An estimate must
 # reach the given share of the row count before a column is counted exactly; the
@@ -216,3 +216,59 @@ def is_composite_key(df: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if(F.col("n") > 1).alias("repeated_keys"),
         F.count_if(~complete).alias("incomplete_keys"),
     ).withColumn("is_key", (F.col("repeated_keys") == 0) & (F.col("incomplete_keys") == 0))
+
+
+def sketch_states(
+    df: DataFrame, table_name: str, snapshot: Column | None = None, log2_registers: int = SKETCH_LOG2_REGISTERS
+) -> DataFrame:
+    """The distinct values of every column as a state that other snapshots are merged with.
+
+    One row per snapshot and column: rows, nulls and a sketch of at most 2 KB,
+    from one scan. Without ``snapshot`` all rows are one. Snapshots without
+    rows have no state. States are kept in a table; a new part of a lake table
+    adds its own, and nothing is read again.
+    """
+    fields = list(enumerate(df.schema.fields))
+    label = F.lit("all") if snapshot is None else snapshot.cast("string")
+    one = df.groupBy(label.alias("_snapshot")).agg(
+        F.expr("count(*) AS n"),
+        *[F.expr(f"count({quoted(f.name)}) AS n{i}") for i, f in fields],
+        *[F.expr(f"hll_sketch_agg({_sketchable(f)}, {log2_registers}) AS s{i}") for i, f in fields],
+    )
+    lines = ", ".join(
+        f"struct({text_literal(f.name)} AS column_name, {i + 1} AS ordinal, n AS row_count, "
+        f"n - n{i} AS null_count, s{i} AS sketch)"
+        for i, f in fields
+    )
+    return one.selectExpr("_snapshot AS snapshot", f"inline(array({lines}))").selectExpr(
+        f"{text_literal(table_name)} AS table_name", "*"
+    )
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """One row per column over all its snapshots: a value that several of them hold counts once.
+
+    Rows and nulls are added, so snapshots are parts without common rows. A
+    snapshot given twice is taken once, the later one of equal names being
+    any. Tasks merge sketches before the shuffle.
+    """
+    key = ["table_name", "column_name"]
+    once = states.dropDuplicates([*key, "snapshot"])
+    return once.groupBy(*key).agg(
+        F.min("ordinal").alias("ordinal"),
+        F.sum("row_count").alias("row_count"),
+        F.sum("null_count").alias("null_count"),
+        F.expr("hll_sketch_estimate(hll_union_agg(sketch, true))").alias("distinct_count"),
+    )
+
+
+def distinct_dump(merged: DataFrame, system_name: str, schema_name: str, upper: bool = False) -> DataFrame:
+    """Merged states as the dump ``distinct`` of a dialect that keeps no such statistics; ``upper`` folds names."""
+    fold = F.upper if upper else F.col
+    return merged.select(
+        F.lit(system_name).alias("system_name"),
+        F.lit(schema_name.upper() if upper else schema_name).alias("schema_name"),
+        fold("table_name").alias("table_name"),
+        fold("column_name").alias("column_name"),
+        F.col("distinct_count").cast("double").alias("n_distinct"),
+    )

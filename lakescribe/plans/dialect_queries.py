@@ -482,3 +482,66 @@ def assembled_columns(spark, sf_dir):
         "table_name", "ordinal", "primary_key", F.col("unique").alias("is_unique"), "foreign_key",
         F.col("references.column").alias("ref_column"), "distinct_count",
     )
+
+
+# Three systems with the same tables: one shows its keys, one has none, one doesn't let them be read.
+SYSTEMS_SQL = "(VALUES ('open'), ('bare'), ('closed')) s(system_name)"
+
+
+def _three_systems(dumps: dict[str, DataFrame], keys: list[str]) -> dict[str, DataFrame]:
+    names = F.explode(F.array(*[F.lit(n) for n in ("open", "bare", "closed")]))
+    return {
+        n: df.withColumn("system_name", F.lit("open") if n.lower() in keys else names) for n, df in dumps.items()
+    }
+
+
+def _closed_views(spark, views: list[str]) -> DataFrame:
+    return spark.createDataFrame([("closed", v, "access denied") for v in views], "system_name string, dump string, message string")
+
+
+_KEY_COUNTS = "".join(
+    f" UNION ALL SELECT '{part}', (SELECT count(*) FROM c WHERE {test})"
+    for part, test in (("primary", "pk"), ("unique", "is_unique"), ("foreign", "ref_table IS NOT NULL"))
+)
+
+
+@query(
+    "a11_missing_views",
+    sql(
+        "SELECT system_name, part, CASE WHEN part = 'distinct' OR system_name = 'closed' AND keyed THEN 'unreadable' "
+        "WHEN keyed AND system_name = 'bare' THEN 'empty' ELSE 'read' END AS status, "
+        "CASE WHEN part = 'distinct' THEN 'no dump distinct' WHEN system_name = 'closed' AND keyed THEN 'table_constraints: access denied' END AS message, "
+        "CASE WHEN keyed AND system_name <> 'open' THEN 0 ELSE n END AS n_rows FROM (SELECT *, part IN ('primary', 'unique', 'foreign') AS keyed "
+        f"FROM {SYSTEMS_SQL} CROSS JOIN (SELECT 'tables' AS part, (SELECT count(*) FROM t WHERE table_type <> 'VIEW') AS n UNION ALL "
+        f"SELECT 'columns', (SELECT count(*) FROM c) UNION ALL SELECT 'distinct', 0{_KEY_COUNTS}))"
+    ),
+)
+def missing_views(spark, sf_dir):
+    """What could be read of three BigQuery systems, part by part."""
+    views = ["table_constraints", "key_column_usage"]
+    dumps = _three_systems(bigquery_dumps(spark, sf_dir), [*views, "constraint_column_usage"])
+    parts = dialects.dialect_parts("bigquery", dumps)
+    return dialects.part_status("bigquery", dumps, parts, _closed_views(spark, views[:1]))
+
+
+@query(
+    "a19_unknown_keys",
+    sql(
+        "SELECT system_name, table_name, count(*) FILTER (system_name = 'open' AND pk) AS n_primary, "
+        "count(*) FILTER (system_name = 'closed') AS n_unknown, count(*) FILTER (system_name = 'open' AND is_unique) AS n_unique "
+        f"FROM (SELECT upper(c.table_name) AS table_name, pk, is_unique FROM c JOIN t USING (table_name) WHERE table_type = 'BASE TABLE') CROSS JOIN {SYSTEMS_SQL} GROUP BY ALL"
+    ),
+)
+def unknown_keys(spark, sf_dir):
+    """Keys of three Snowflake systems; those that couldn't be read are unknown, not absent."""
+    views = ["primary_keys", "unique_keys", "imported_keys"]
+    dumps = _three_systems(snowflake_dumps(spark, sf_dir), views)
+    parts = dialects.dialect_parts("snowflake", dumps)
+    status = dialects.part_status("snowflake", dumps, parts, _closed_views(spark, views[:1]))
+    _, cols, _ = assemble.assemble(parts)
+    known = assemble.with_known_flags(cols, status)
+    return known.groupBy("system_name", "table_name").agg(
+        F.count_if("primary_key").alias("n_primary"),
+        F.count_if(F.col("primary_key").isNull()).alias("n_unknown"),
+        F.count_if("unique").alias("n_unique"),
+    )

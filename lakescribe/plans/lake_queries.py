@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+from functools import partial, reduce
 
 from pyspark.sql import functions as F
 
-from lakescribe.operators import foreign_keys, inclusion, keys, profile
+from lakescribe.operators import assemble, foreign_keys, inclusion, keys, profile
 from lakescribe.plans.registry import query
-from lakescribe.sources import lake
+from lakescribe.session import materialized
+from lakescribe.sources import dialects, lake
 
 # The lake's tables and their columns with carrier family (fixed values).
 TABLES = (
@@ -472,3 +474,53 @@ def column_catalogue(spark, sf_dir):
             "table_name", "column_name", "data_type", "distinct_count", (F.col("null_count") > 0).alias("nullable")
         )
     )
+
+
+# Distinct counts up to this are exact in a sketch; larger ones are compared within a tenth.
+_SMALL = 150
+
+
+def _lake_dumps(db_type: str, listed, merged) -> dict:
+    """The lake as a dialect without statistics of its own; distinct counts come from merged states."""
+    volumes = merged.groupBy("table_name").agg(F.max("row_count").alias("n"))
+    if db_type == "bigquery":
+        return {
+            "tables": volumes.selectExpr("'lake' AS system_name", "'lake' AS dataset_id", "table_name AS table_id", "'TABLE' AS table_type", "n AS num_rows", "CAST(NULL AS bigint) AS num_bytes"),
+            "fields": listed.selectExpr("system_name", "schema_name AS dataset_id", "table_name AS table_id", "ordinal AS position", "column_name AS name", "data_type AS field_type", "'NULLABLE' AS mode"),
+            "distinct": profile.distinct_dump(merged, "lake", "lake"),
+        }
+    return {
+        "tables": volumes.selectExpr("'lake' AS system_name", "'LAKE' AS table_schema", "upper(table_name) AS table_name", "'BASE TABLE' AS table_type", "n AS row_count", "CAST(NULL AS bigint) AS bytes"),
+        "columns": listed.selectExpr("system_name", "'LAKE' AS table_schema", "upper(table_name) AS table_name", "ordinal AS ordinal_position", "upper(column_name) AS column_name", "data_type", "'YES' AS is_nullable"),
+        "distinct": profile.distinct_dump(merged, "lake", "lake", upper=True),
+    }
+
+
+def _snapshot_columns(spark, sf_dir, db_type: str):
+    """Columns put together from two snapshots of every table, each row in one of them."""
+    data = frames(spark, sf_dir)
+    half = {t: F.pmod(F.xxhash64(F.col(profile.quoted(df.columns[0]))), F.lit(2)) for t, df in data.items()}
+    states = reduce(
+        lambda a, b: a.unionByName(b), [profile.sketch_states(df, t, half[t]) for t, df in data.items()]
+    )
+    merged = materialized(profile.merged_states(states), "states")
+    dumps = _lake_dumps(db_type, lake.lake_columns(data), merged)
+    _, cols, _ = assemble.assemble(dialects.dialect_parts(db_type, dumps))
+    exact = profile.exact_distinct(data).select(
+        F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name"), F.col("distinct_count").alias("exact")
+    )
+    names = cols.withColumns({"table_name": F.lower("table_name"), "column_name": F.lower("column_name")})
+    off = F.abs(F.col("distinct_count") - F.col("exact"))
+    return names.join(exact, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "ordinal", "data_type",
+        F.when(F.col("exact") <= _SMALL, F.col("distinct_count")).alias("small_count"),
+        F.when(off <= F.col("exact") * 0.1, F.col("exact")).alias("near_count"),
+    )
+
+
+for _db in ("bigquery", "snowflake"):
+    query(
+        f"j4_{_db}_columns",
+        f"SELECT l.table_name, l.column_name, l.ordinal, l.data_type, CASE WHEN distinct_count <= {_SMALL} THEN distinct_count END AS small_count, "
+        f"distinct_count AS near_count FROM ({LISTED_SQL}) l JOIN ({COUNTS_SQL}) n ON l.table_name = n.table_name AND l.column_name = n.column_name",
+    )(partial(_snapshot_columns, db_type=_db))

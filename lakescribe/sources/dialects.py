@@ -451,6 +451,74 @@ DIALECTS: dict[str, Callable[..., Dumps]] = {
     "sqlserver": sqlserver,
 }
 
+# The dumps each part is made of, by dialect (fixed values).
+_CONSTRAINTS = ["table_constraints", "key_column_usage"]
+NEEDS: dict[str, dict[str, list[str]]] = {
+    "postgres": {
+        "tables": ["pg_class", "pg_namespace"], "columns": ["columns"], "primary": _CONSTRAINTS, "unique": _CONSTRAINTS,
+        "foreign": [*_CONSTRAINTS, "referential_constraints"], "distinct": ["pg_stats"],
+    },
+    "bigquery": {
+        "tables": ["tables"], "columns": ["fields"], "primary": _CONSTRAINTS, "unique": _CONSTRAINTS,
+        "foreign": _CONSTRAINTS, "distinct": ["distinct"],
+    },
+    "oracle": {
+        "tables": ["all_tables", "dba_segments"], "columns": ["all_tab_cols"], "primary": ["all_constraints", "all_cons_columns"],
+        "unique": ["all_constraints", "all_cons_columns"], "foreign": ["all_constraints", "all_cons_columns"],
+        "distinct": ["all_tab_col_statistics"],
+    },
+    "snowflake": {
+        "tables": ["tables"], "columns": ["columns"], "primary": ["primary_keys"], "unique": ["unique_keys"],
+        "foreign": ["imported_keys"], "distinct": ["distinct"],
+    },
+    "sqlserver": {
+        "tables": ["tables"], "columns": ["columns"], "primary": _CONSTRAINTS, "unique": _CONSTRAINTS,
+        "foreign": [*_CONSTRAINTS, "referential_constraints"], "distinct": ["distinct"],
+    },
+}
+NEEDS["postgresql"] = NEEDS["postgres"]
+
+
+def part_status(db_type: str, dumps: Dumps, parts: Dumps, unreadable: DataFrame | None = None) -> DataFrame:
+    """(system_name, part, status, n_rows, message) of every system and part.
+
+    ``status`` is ``read``, ``empty`` (readable, but without rows) or
+    ``unreadable``: a dump that the part needs wasn't given, or ``unreadable``
+    (system_name, dump, message) says that the system didn't let it be read.
+    Parts that were partly read keep their rows; ``n_rows`` counts them.
+    """
+    needs = NEEDS[db_type]
+    given = {name.lower(): _lowered(df) for name, df in dumps.items()}
+    absent = {p: [f"no dump {n}" for n in names if n not in given] for p, names in needs.items()}
+    listed = F.array(
+        *[F.struct(F.lit(p).alias("part"), F.lit(m[0] if m else None).cast("string").alias("_absent")) for p, m in absent.items()]
+    )
+    systems = given[needs["tables"][0]].select("system_name").distinct()
+    rows = systems.select("system_name", F.inline(listed))
+    counted = reduce(
+        lambda a, b: a.unionByName(b),
+        [parts[p].groupBy("system_name", F.lit(p).alias("part")).agg(F.count("*").alias("n_rows")) for p in needs],
+    )
+    found = rows.join(counted, ["system_name", "part"], "left")
+    message = F.col("_absent")
+    if unreadable is not None:
+        users = F.create_map(
+            *[x for n in sorted({n for names in needs.values() for n in names})
+              for x in (F.lit(n), F.array(*[F.lit(p) for p in needs if n in needs[p]]))]
+        )
+        told = _lowered(unreadable).select(
+            "system_name", "dump", "message", F.explode(F.element_at(users, F.lower("dump"))).alias("part")
+        )
+        told = told.groupBy("system_name", "part").agg(
+            F.min(F.concat_ws(": ", F.lower("dump"), "message")).alias("_told")
+        )
+        found = found.join(told, ["system_name", "part"], "left")
+        message = F.coalesce("_told", "_absent")
+    n = F.coalesce("n_rows", F.lit(0))
+    status = F.when(message.isNotNull(), "unreadable").when(n == 0, "empty").otherwise("read")
+    return found.select("system_name", "part", status.alias("status"), n.alias("n_rows"), message.alias("message"))
+
+
 # Schema taken when the request names none (fixed values).
 DEFAULT_SCHEMAS = {"postgres": "public", "sqlserver": "dbo"}
 

@@ -668,3 +668,43 @@ def test_a_key_name_that_many_tables_share(spark):
     expected = {(c, p) for c in held for p in held if c != p and held[c] <= held[p]}
     assert {(r.child_table, r.parent_table) for r in got.collect()} == expected
     assert {(r.child_column, r.parent_column) for r in got.collect()} == {("shared", "shared")}
+
+
+def test_snapshots_are_merged(spark):
+    first = spark.createDataFrame([(i, None if i % 4 else "x", {"k": i}) for i in range(100)], "a long, b string, m map<string, int>")
+    later = spark.createDataFrame([(i, "y", None) for i in range(60, 160)], "a long, b string, m map<string, int>")
+    states = profile.sketch_states(first, "t", F.lit("one")).unionByName(profile.sketch_states(later, "t", F.lit("two")))
+    again = states.unionByName(profile.sketch_states(later, "t", F.lit("two")))
+    nothing = profile.sketch_states(first.limit(0), "t", F.lit("three"))
+    for kept in (states, again, states.unionByName(nothing)):
+        found = {r.column_name: (r.ordinal, r.row_count, r.null_count, r.distinct_count) for r in profile.merged_states(kept).collect()}
+        assert found == {"a": (1, 200, 0, 160), "b": (2, 200, 75, 2), "m": (3, 200, 100, 100)}
+    # the same from one scan, a state per part of the table
+    both = profile.sketch_states(first.unionByName(later), "t", F.col("a") < 60)
+    assert {r.row_count for r in both.collect()} == {60, 140}
+    assert {r.column_name: r.distinct_count for r in profile.merged_states(both).collect()} == {"a": 160, "b": 2, "m": 100}
+    assert nothing.count() == profile.merged_states(nothing).count() == 0
+
+
+def test_unreadable_parts_are_not_absent_keys(spark):
+    dumps = {
+        "TABLES": spark.createDataFrame([(s, "D", "T", "BASE TABLE", 3, 9) for s in ("a", "b")], "system_name string, table_schema string, table_name string, table_type string, row_count long, bytes long"),
+        "COLUMNS": spark.createDataFrame([(s, "D", "T", "C", "INT", "YES", 1) for s in ("a", "b")], "system_name string, table_schema string, table_name string, column_name string, data_type string, is_nullable string, ordinal_position int"),
+        "PRIMARY_KEYS": spark.createDataFrame([], dialects.KEY_SCHEMA),
+        "UNIQUE_KEYS": spark.createDataFrame([("a", "D", "T", "C")], dialects.KEY_SCHEMA),
+    }
+    told = spark.createDataFrame([("b", "Primary_Keys", "denied"), ("b", "unique_keys", None)], "system_name string, dump string, message string")
+    parts = dialects.dialect_parts("snowflake", dumps)
+    status = dialects.part_status("snowflake", dumps, parts, told)
+    found = {(r.system_name, r.part): (r.status, r.n_rows, r.message) for r in status.collect()}
+    assert found == {
+        ("a", "tables"): ("read", 1, None), ("a", "columns"): ("read", 1, None), ("a", "primary"): ("empty", 0, None),
+        ("a", "unique"): ("read", 1, None), ("a", "foreign"): ("unreadable", 0, "no dump imported_keys"),
+        ("a", "distinct"): ("unreadable", 0, "no dump distinct"),
+        ("b", "tables"): ("read", 1, None), ("b", "columns"): ("read", 1, None), ("b", "primary"): ("unreadable", 0, "primary_keys: denied"),
+        ("b", "unique"): ("unreadable", 0, "unique_keys"), ("b", "foreign"): ("unreadable", 0, "no dump imported_keys"),
+        ("b", "distinct"): ("unreadable", 0, "no dump distinct"),
+    }
+    cols = assemble.with_known_flags(assemble.assemble(parts)[1], status)
+    flags = {r.system_name: (r.primary_key, r.unique, r.foreign_key) for r in cols.collect()}
+    assert flags == {"a": (False, True, None), "b": (None, None, None)}
