@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lakescribe.operators.ordering import row_numbers
+from lakescribe.operators.ordering import ROWS_PER_RANGE, range_bounds, range_of, row_numbers
 
 TABLE = ["system_name", "schema_name", "table_name"]
 ORDER = TABLE
 DEEP_PAGE = 100_000
+#: The column of a page index that names a row's range.
+RANGE = "range_of_index"
 
 
 def holds(c: Column | str, q: str) -> Column:
@@ -79,6 +82,48 @@ def numbered_pages(df: DataFrame, group: list[str], order: list[str], size: int
     return numbered.withColumn("page", F.ceil(F.col("position") / size).cast("int"))
 
 
+def write_page_index(
+    df: DataFrame, path: str, order: list[str] = ORDER, rows_per_range: int = ROWS_PER_RANGE
+) -> None:
+    """Store ``df`` in ranges of ``order``, with the place of each range's first row.
+
+    ``path`` must not exist. The keys in ``order`` must tell rows apart. A
+    range is a folder of its own, written by one task from about
+    ``rows_per_range`` rows, so no task holds more however large the catalogue.
+    """
+    ranged = df.withColumn(RANGE, range_of(df, order, range_bounds(df, order, rows_per_range)))
+    rows = os.path.join(path, "rows")
+    ranged.repartition(RANGE).sortWithinPartitions(RANGE, *order).write.partitionBy(RANGE).parquet(rows)
+    ranged.limit(0).write.parquet(os.path.join(path, "shape"))  # an empty catalogue has pages too, without rows
+    counted = df.sparkSession.read.schema(ranged.schema).parquet(rows).groupBy(F.col(RANGE).cast("long").alias(RANGE)).agg(F.count("*").alias("n"))
+    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).write.parquet(os.path.join(path, "ranges"))
+
+
+def indexed_page(
+    spark: SparkSession, path: str, number: int = 1, size: int = 20, order: list[str] = ORDER
+) -> DataFrame:
+    """One page of a stored index, sorted; only the ranges that it touches are read, however deep it is.
+
+    The driver reads the numbers of those ranges, at most one per row of the
+    page. A page behind the last has no rows.
+    """
+    if size < 1 or number < 1:
+        raise ValueError("page number and page size must be at least 1")
+    start = (number - 1) * size
+    touched = (
+        spark.read.parquet(os.path.join(path, "ranges"))
+        .filter((F.col("before") < start + size) & (F.col("before") + F.col("n") > start))
+        .select(RANGE, "before")
+        .collect()
+    )
+    shape = spark.read.parquet(os.path.join(path, "shape")).schema
+    stored = spark.read.schema(shape).parquet(os.path.join(path, "rows"))
+    found = stored.filter(F.col(RANGE).isin([r[RANGE] for r in touched])).drop(RANGE)
+    skipped = start - min((r["before"] for r in touched), default=start)
+    return found.orderBy(*order).offset(skipped).limit(size)
+
+
 def page_totals(df: DataFrame, size: int = 20) -> DataFrame:
     """One row: number of matches and of pages."""
     if size < 1:

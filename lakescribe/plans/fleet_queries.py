@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lakescribe import model
@@ -9,7 +11,7 @@ from lakescribe.functions import scalars
 from lakescribe.operators import assemble, graph, normalize, ordering, relate, search, stats
 from lakescribe.plans import fleet
 from lakescribe.plans.registry import query
-from lakescribe.session import materialized
+from lakescribe.session import materialized, shared_dir
 
 KEY = ["system_name", "schema_name", "table_name"]
 
@@ -179,6 +181,28 @@ def all_pages(spark, sf_dir):
     )
 
 
+# First, middle and deep pages of the columns, and one behind the last (fixed values).
+_INDEXED = (1, 137, 1501, 10_000_000)
+
+
+@query(
+    "l2_indexed_pages",
+    sql(
+        "SELECT page, schema_name, table_name, ordinal, column_name FROM (SELECT *, CAST(ceil(row_number() OVER (ORDER BY schema_name, table_name, ordinal) / 10) AS INTEGER) AS page FROM c) "
+        f"WHERE page IN {_INDEXED}"
+    ),
+)
+def indexed_pages(spark, sf_dir):
+    """Pages of all columns from a stored index, each from the ranges that it touches."""
+    order = ["schema_name", "table_name", "ordinal"]
+    path = shared_dir(spark, "pages")
+    search.write_page_index(fleet.flat_columns(spark, sf_dir), path, order, rows_per_range=5000)
+    pages = [
+        search.indexed_page(spark, path, n, 10, order).select(F.lit(n).alias("page"), *order, "column_name") for n in _INDEXED
+    ]
+    return reduce(lambda a, b: a.unionByName(b), pages)
+
+
 @query("l3_preview", sql("SELECT table_name FROM t ORDER BY schema_name, table_name LIMIT 30"))
 def preview(spark, sf_dir):
     rows = assemble.summary(*flat(spark, sf_dir))

@@ -708,3 +708,24 @@ def test_unreadable_parts_are_not_absent_keys(spark):
     cols = assemble.with_known_flags(assemble.assemble(parts)[1], status)
     flags = {r.system_name: (r.primary_key, r.unique, r.foreign_key) for r in cols.collect()}
     assert flags == {"a": (False, True, None), "b": (None, None, None)}
+
+
+@pytest.mark.parametrize("rows_per_range", [7, 1000])
+def test_pages_of_a_stored_index(spark, tmp_path, rows_per_range):
+    rows = [(None if i == 40 else f"s{i % 3}", f"t{i // 2:03d}", i) for i in range(101)]
+    df = spark.createDataFrame(rows, "schema_name string, table_name string, v int")
+    order = ["schema_name", "table_name", "v"]
+    search.write_page_index(df, str(tmp_path / "i"), order, rows_per_range)
+    expected = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    for number, size in [(1, 10), (3, 7), (11, 10), (12, 10), (1, 500), (101, 1)]:
+        found = search.indexed_page(spark, str(tmp_path / "i"), number, size, order)
+        assert found.columns == df.columns
+        assert [tuple(r) for r in found.collect()] == expected[(number - 1) * size : number * size]
+    with pytest.raises(ValueError):
+        search.indexed_page(spark, str(tmp_path / "i"), 0)
+
+
+def test_index_of_no_rows(spark, tmp_path):
+    empty = spark.createDataFrame([], "system_name string, schema_name string, table_name string")
+    search.write_page_index(empty, str(tmp_path / "i"))
+    assert search.indexed_page(spark, str(tmp_path / "i")).collect() == []
