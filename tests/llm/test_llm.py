@@ -217,6 +217,47 @@ def test_packing(docs, capacity):
     assert filled >= 0.93 * capacity * (len(sequences) - 4)
 
 
+@pytest.mark.parametrize("longest, whole", [(1024, 0.95), (300, 0.95), (40_000, 1.0)])
+def test_packing_keeps_documents_whole(longest, whole):
+    rng = random.Random(longest)
+    texts = [np.arange(rng.randint(1, longest), dtype=np.uint32) for _ in range(3000)]
+    worker = packing._Worker(1024, 0)
+    for i, ids in enumerate(texts):
+        worker.add(i, ids)
+        assert len(worker.waiting) <= 2 * packing.WAITING + 1
+        assert worker.reserved < (packing.RESERVE + 1) * 1024
+    worker.finish()
+    pieces, filled = defaultdict(list), defaultdict(int)
+    for doc_id, start, length, _, total, sequence, offset, _ in worker.rows:
+        assert offset == filled[sequence] and total == len(texts[doc_id])
+        filled[sequence] += length
+        pieces[doc_id].append((start, length))
+    for i, ids in enumerate(texts):
+        at = 0
+        for start, length in sorted(pieces[i]):
+            assert start == at and length
+            at += length
+        assert at == len(ids)
+    fit = [i for i, ids in enumerate(texts) if len(ids) <= 1024]
+    assert sum(len(pieces[i]) == 1 for i in fit) >= whole * len(fit)
+    assert max(filled.values()) <= 1024 and sum(filled.values()) >= 0.98 * 1024 * len(filled)
+
+
+def test_packing_of_the_documents(spark, sf_dir):
+    found = QUERIES["op2_packing"](spark, sf_dir).cache()
+    fit = found.filter("doc_tokens <= 1024").groupBy("doc_id").agg(F.count("*").alias("n"))
+    assert fit.agg(F.avg((F.col("n") == 1).cast("double"))).first()[0] >= 0.9
+    n, filled = found.agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+    assert filled >= 0.97 * 1024 * n
+
+
+def test_ids_of_both_libraries(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    library = Tokenizer.from_file(JSON)
+    for text, own in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert np.array_equal(tokens.ids(text, JSON, RANKS), np.array(own.ids, np.uint32))
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://h/{i}", f"<p>page {i % 7} {'x' * (i % 7)}</p>") for i in range(60)]
     rows += [(100, None, None), (101, "a\r\nb", ""), (None, "u", rows[0][2]), (3, "again", rows[3][2]), (102, "big", "é" * 300_000)]
