@@ -24,7 +24,7 @@ BUCKETS = 1 << 15
 PART_CHARS = 1 << 18
 UNKNOWN = "und"
 #: The columns of an answer.
-ANSWER = ("lang_pred", "score", "languages", "shares")
+ANSWER = ("lang_pred", "score", "languages", "shares", "explained")
 
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -120,15 +120,31 @@ def infer(model: np.ndarray, counts: np.ndarray, least: float, penalty: float) -
         chosen = chosen[keep] if keep.any() else chosen[[share.argmax()]]
 
 
+def explained(model: np.ndarray, counts: np.ndarray, chosen: np.ndarray, share: np.ndarray, penalty: float) -> bool:
+    """Whether languages tell a text's trigrams as well as even chances do.
+
+    Even chances of all buckets are a language of which nothing is known; to be
+    preferred, it has to pay the penalty of a language, so that a short text
+    isn't rejected for a few rare trigrams.
+    """
+    at = np.flatnonzero(counts)
+    seen = counts[at].astype(float)
+    gain = seen @ np.log(model[at][:, chosen] @ share) + seen.sum() * np.log(BUCKETS)
+    return bool(gain + penalty * np.log(seen.sum()) >= 0)
+
+
 def identify(
     docs: DataFrame, languages: list[str], model: np.ndarray, least: float = 0.02, penalty: float = 4.0
 ) -> DataFrame:
-    """``docs`` with lang_pred, score, languages and shares.
+    """``docs`` with lang_pred, score, languages, shares and explained.
 
     Only text is read for a prediction. Texts that are null or have no letter
     get ``und``, score 0 and empty lists, and so does everything where the
-    model knows no language. Columns of ``docs`` with those four names are
-    replaced. Ties go to the language first in the alphabet.
+    model knows no language. ``explained`` is false for texts without a letter
+    and for those that even chances tell better than the languages, such as
+    other scripts and random letters; where no language is known, nothing
+    speaks against a text with letters. Columns of ``docs`` with those five
+    names are replaced. Ties go to the language first in the alphabet.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in ANSWER]
@@ -139,22 +155,25 @@ def identify(
             rows = []
             for text in batch.column(batch.schema.get_field_index("text")):
                 text = text.as_py() or ""
-                if not languages or not any(map(str.isalpha, text)):
-                    rows.append((UNKNOWN, 0.0, [], []))
+                letters = any(map(str.isalpha, text))
+                if not languages or not letters:
+                    rows.append((UNKNOWN, 0.0, [], [], letters))
                     continue
-                chosen, share = infer(known, trigram_counts(text), least, penalty)
+                counts = trigram_counts(text)
+                chosen, share = infer(known, counts, least, penalty)
                 order = np.argsort(-share, kind="stable")
                 names = [languages[i] for i in chosen[order]]
-                rows.append((names[0], float(min(1.0, share.max())), names, share[order].tolist()))
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
+                rows.append((names[0], float(min(1.0, share.max())), names, share[order].tolist(),
+                             explained(known, counts, chosen, share, penalty)))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))],
                 [*kept, *ANSWER],
             )
 
     added = StructType().add("lang_pred", "string").add("score", "double")
-    added = added.add("languages", ArrayType(StringType())).add("shares", ArrayType(DoubleType()))
+    added = added.add("languages", ArrayType(StringType())).add("shares", ArrayType(DoubleType())).add("explained", "boolean")
     own = docs.select(*kept)
     return own.mapInArrow(predict, StructType(own.schema.fields + added.fields))
 

@@ -1,5 +1,7 @@
 """Operators of lakescribe.llm against plain versions, and on awkward rows."""
 
+import itertools
+import math
 import random
 import re
 import zlib
@@ -401,6 +403,57 @@ def test_same_rows_as_sql(spark, sf_dir, name):
     assert difference(QUERIES[name](spark, sf_dir), connection(sf_dir), ORACLES[name]) is None
 
 
+def test_languages_explain_texts(spark, sf_dir, docs):
+    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    known = language.train(labelled.filter(~language.held_out()))
+    # every document in a learned language is explained, also those held out
+    assert language.identify(labelled, *known).filter("not explained and length(text) > 0").count() == 0
+    rng = random.Random(3)
+    strange = ["Съешь ещё этих мягких французских булок да выпей чаю", "いろはにほへと ちりぬるを わかよたれそ つねならむ うゐのおくやま",
+               "".join(rng.choices("bcdfghjkmpqvwxyz    ", k=3000)), "12 34", "", None]
+    rows = list(enumerate(strange)) + [(10, "Von."), (None, "la")]
+    found = {r.doc_id: r.explained for r in language.identify(docs(rows), *known).collect()}
+    assert [found[i] for i in (*range(6), 10, None)] == [False] * 6 + [True] * 2
+    nothing = language.train(labelled.limit(0))
+    found = language.identify(docs([(1, "la"), (2, "12"), (3, None)]), *nothing)
+    assert got(found, "doc_id", "lang_pred", "explained") == [(1, "und", True), (2, "und", False), (3, "und", False)]
+
+
+def plain_mixture(model, seen, chosen, rounds=400):
+    """Proportions by loops over trigrams and languages, and the log likelihood."""
+    share = [1 / len(chosen)] * len(chosen)
+    for _ in range(rounds):
+        new = [0.0] * len(chosen)
+        for bucket, n in seen:
+            parts = [s * model[bucket, c] for s, c in zip(share, chosen)]
+            for i, part in enumerate(parts):
+                new[i] += n * part / sum(parts)
+        share = [x / sum(n for _, n in seen) for x in new]
+    fit = sum(n * math.log(sum(s * model[bucket, c] for s, c in zip(share, chosen))) for bucket, n in seen)
+    return share, fit
+
+
+def test_language_sets_against_all_subsets(spark, sf_dir):
+    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang is not null and length(text) between 40 and 700")
+    names, model = language.train(labelled)
+    texts = [r.text for r in labelled.orderBy("doc_id").limit(16).collect()]
+    texts += [a[:200] + " " + b[:200] for a, b in zip(texts[:8], texts[8:])]
+    for text in texts:
+        counts = language.trigram_counts(text)
+        seen = [(int(b), int(counts[b])) for b in np.flatnonzero(counts)]
+        price = 4.0 * math.log(sum(n for _, n in seen))
+        best = {}
+        for size in range(1, len(names) + 1):
+            for chosen in itertools.combinations(range(len(names)), size):
+                share, fit = plain_mixture(model, seen, chosen, 60)
+                best[chosen] = fit - price * size, share
+        chosen, share = language.infer(model, counts, 0.02, 4.0)
+        wanted = max(best, key=lambda c: best[c][0])
+        # the greedy choice reaches the best set of all
+        assert tuple(chosen) == wanted
+        assert np.abs(share - best[wanted][1]).max() < 0.02
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     found = QUERIES["op1_language"](spark, sf_dir).join(docs, "doc_id").filter("held_out and lang is not null")
