@@ -14,12 +14,12 @@ from lakescribe.session import materialized
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those without a letter go."""
+    """Documents in the languages learned: texts without a letter and those no mixture of languages explains go."""
     known = language.train(docs.filter(~language.held_out()))
     # columns named like those of the answer come through under another name
     own = {c: f"{c} of documents" for c in docs.columns if c in language.ANSWER}
     found = language.identify(docs.withColumnsRenamed(own), *known)
-    kept = found.filter(F.col("lang_pred") != language.UNKNOWN)
+    kept = found.filter("explained")
     return kept.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
