@@ -55,9 +55,9 @@ def format_size(size_bytes: Column | str) -> Column:
     return ladder.otherwise(text(len(SIZE_UNITS) - 1))
 
 
-def utc_stamp() -> Column:
-    """The start of the job in UTC as ``YYYY-MM-DDTHH:MM:SSZ``."""
-    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+def utc_stamp(at: Column | None = None) -> Column:
+    """A moment, or the start of the job, in UTC as ``YYYY-MM-DDTHH:MM:SSZ``."""
+    utc = F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone())
     return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 

@@ -11,7 +11,6 @@ from lakescribe.operators.skew import lookup
 
 KEY, TABLE = model.COLUMN_KEY, model.TABLE_KEY
 
-TABLES_PER_PART = 1000
 PREVIEW = 30
 
 
@@ -115,19 +114,21 @@ def table_documents(tables: DataFrame, columns: DataFrame) -> DataFrame:
 def documents(
     tables: DataFrame,
     columns: DataFrame,
-    tables_per_part: int = TABLES_PER_PART,
+    tables_per_part: int | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Nested documents, one per schema and part of ``tables_per_part`` tables.
+    """Nested documents, one per schema, whose tables are in the order of their names.
 
-    A schema of usual size has one part, which is then the whole document. The
-    part bounds the memory one row can take; no table is left out.
+    With ``tables_per_part``, a schema of more tables has several documents,
+    numbered by ``part``, which bounds the memory that one row takes; no table
+    is left out.
     """
-    numbered = row_numbers(
-        tables, ["system_name", "schema_name"], ["table_name"], "_n", rows_per_range
-    )
-    parted = numbered.withColumn("part", F.floor((F.col("_n") - 1) / tables_per_part).cast("int"))
-    rows = table_documents(parted.drop("_n"), columns)
+    if tables_per_part is None:
+        parted = tables.withColumn("part", F.lit(0))
+    else:
+        numbered = row_numbers(tables, ["system_name", "schema_name"], ["table_name"], "_n", rows_per_range)
+        parted = numbered.withColumn("part", F.floor((F.col("_n") - 1) / tables_per_part).cast("int")).drop("_n")
+    rows = table_documents(parted, columns)
     inner = [c for c in rows.columns if c not in ("system_name", "schema_name", "part", "table_name")]
     return rows.groupBy("system_name", "schema_name", "part").agg(
         F.sort_array(F.collect_list(F.struct("table_name", *inner))).alias("tables")

@@ -53,6 +53,19 @@ def save_documents(docs: DataFrame, directory: str, label: str) -> str:
     return path
 
 
+def save_each_document(docs: DataFrame, directory: str, label: str) -> str:
+    """Write every document into a file of its own and return the path of the run.
+
+    The file lies in a folder named after its system, schema and part, so tasks
+    write apart from each other and a reader finds one document by its path.
+    """
+    path = os.path.join(directory, run_name(label))
+    docs.select("system_name", "schema_name", "part", F.col("doc").alias("value")).write.partitionBy(
+        "system_name", "schema_name", "part"
+    ).text(path)
+    return path
+
+
 def saved_files(spark: SparkSession, path: str) -> DataFrame:
     """Name and size of every file of a run, from the listing alone."""
     return (

@@ -663,23 +663,30 @@ def distinct_edges(spark, sf_dir):
 # -- scalar functions on catalogue fields ----------------------------------------
 
 
+# The size of ``t`` in words: two digits at most, without zeros at their end.
+_UNIT = "CASE WHEN size_bytes < 1024 THEN 0 WHEN size_bytes < 1048576 THEN 1 WHEN size_bytes < 1073741824 THEN 2 ELSE 3 END"
+SIZE_SQL = (
+    f"CASE WHEN size_bytes IS NULL THEN '0B' ELSE regexp_replace(printf('%.2f', size_bytes / pow(1024, {_UNIT})), "
+    f"'\\.?0+$', '') || list_extract(['B', 'KB', 'MB', 'GB'], {_UNIT} + 1) END"
+)
+
+
 @query(
     "x1_format_size",
-    sql(
-        """SELECT table_name, CASE WHEN size_bytes IS NULL THEN '0B' ELSE
-  regexp_replace(printf('%.2f', size_bytes / pow(1024, u)), '\\.?0+$', '') || CASE u WHEN 0 THEN 'B' WHEN 1 THEN 'KB' WHEN 2 THEN 'MB' ELSE 'GB' END END AS size
-FROM (SELECT *, CASE WHEN size_bytes < 1024 THEN 0 WHEN size_bytes < 1048576 THEN 1 WHEN size_bytes < 1073741824 THEN 2 ELSE 3 END AS u FROM t)"""
-    ),
+    sql(f"SELECT table_name, {SIZE_SQL} AS size FROM t"),
 )
 def format_size(spark, sf_dir):
     return fleet.flat_tables(spark, sf_dir).select("table_name", "size")
 
 
-@query("x2_utc_stamp", sql("SELECT table_name, true AS is_stamp FROM t"))
+@query(
+    "x2_utc_stamp",
+    sql("SELECT table_name, strftime(make_timestamp((1000000000 + k * 86399) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM t"),
+)
 def utc_stamp(spark, sf_dir):
-    return fleet.flat_tables(spark, sf_dir).select(
-        "table_name", scalars.utc_stamp().rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$").alias("is_stamp")
-    )
+    """The stamp of a moment per table."""
+    at = F.timestamp_seconds(F.lit(1_000_000_000) + F.col("k") * 86_399)
+    return fleet.tables(spark, sf_dir).select("table_name", scalars.utc_stamp(at).alias("stamp"))
 
 
 @query("x3_row_totals", sql(f"SELECT table_name, {ROWS_TEXT.format('size_bytes')} AS total FROM t WHERE size_bytes IS NOT NULL"))

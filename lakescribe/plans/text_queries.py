@@ -18,7 +18,7 @@ from lakescribe.operators import (
     store,
 )
 from lakescribe.plans import fleet
-from lakescribe.plans.fleet_queries import flat, sql
+from lakescribe.plans.fleet_queries import SIZE_SQL, flat, sql
 from lakescribe.plans.registry import query
 from lakescribe.session import materialized, shared_dir
 from lakescribe.sources import documents as document_source
@@ -574,6 +574,51 @@ def documents(spark, sf_dir):
     )
 
 
+# Documents as JSON text, one per schema, made of the same fields in the same order.
+_DOCUMENT_SQL = f"""
+, nested AS (
+  SELECT system_name, schema_name, table_name, list({{'ordinal': ordinal, 'column_name': column_name, 'data_type': data_type,
+    'nullable': nullable, 'unique': is_unique, 'is_generated': false, 'primary_key': pk, 'foreign_key': fk, 'distinct_count': NULL,
+    'references': CASE WHEN ref_table IS NOT NULL THEN {{'schema': ref_schema, 'table': ref_table, 'column': ref_column}} END,
+    'description': NULL, 'inferred_pk': CASE WHEN inf_pk THEN true END, 'inferred_fk': CASE WHEN inf_fk THEN true END,
+    'inferred_fk_references': CASE WHEN inf_fk THEN {{'schema': 's' || (parent % 4), 'table': inf_table, 'column': 'ent' || parent || '_id'}} END
+  }} ORDER BY ordinal) AS columns FROM ca GROUP BY ALL
+),
+listed AS (
+  SELECT schema_name, list({{'table_name': table_name, 'table_type': table_type, 'row_count': row_count, 'size_bytes': size_bytes,
+    'size': {SIZE_SQL}, 'description': description, 'columns': coalesce(columns, [])}} ORDER BY table_name) AS tables
+  FROM t LEFT JOIN nested USING (system_name, schema_name, table_name) GROUP BY ALL
+),
+written AS (
+  SELECT schema_name, to_json({{'source': {{'db_type': 'derived', 'database': 'parts', 'schema': schema_name,
+    'extracted_at': '2024-05-06T07:08:09Z'}}, 'schemas': [{{'schema_name': schema_name, 'tables': tables}}]}})::VARCHAR AS doc FROM listed
+)
+"""
+
+
+@query("k1_document_texts", sql(_DOCUMENT_SQL + "SELECT schema_name, sha256(doc) AS doc_sha256 FROM written"))
+def document_texts(spark, sf_dir):
+    """The whole text of every document, by digest."""
+    t, c = flat(spark, sf_dir, True)
+    docs = store.document_json(assemble.documents(t, c), _systems(spark))
+    return docs.select("schema_name", F.sha2("doc", 256).alias("doc_sha256"))
+
+
+@query(
+    "k2_saved_documents",
+    sql(_DOCUMENT_SQL + "SELECT schema_name, 1 AS n_files, strlen(doc) + 1 AS size_bytes FROM written"),
+)
+def saved_documents(spark, sf_dir):
+    """A file per document, its size as the folder lists it: the text and one line end."""
+    t, c = flat(spark, sf_dir, True)
+    docs = store.document_json(assemble.documents(t, c), _systems(spark))
+    path = store.save_each_document(docs, shared_dir(spark, "documents"), "fleet")
+    schema = F.regexp_extract("saved_to", "/schema_name=([^/]+)/", 1).alias("schema_name")
+    return store.saved_files(spark, path).groupBy(schema).agg(
+        F.count("*").alias("n_files"), F.sum("size_bytes").alias("size_bytes")
+    )
+
+
 @query("k2_saved_files")
 def saved_files(spark, sf_dir):
     return store.saved_files(spark, _saved(spark, sf_dir)).select("filename", "size_bytes")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakescribe import model
+from lakescribe.functions import scalars
 from lakescribe.operators import (
     assemble, batches, ddl, enrich, foreign_keys, graph, inclusion, keys, normalize, ordering, profile, relate, search, skew, stats, store,
 )
@@ -132,6 +133,30 @@ def test_documents_in_parts_hold_all_tables(spark):
     assert sorted(r.n for r in docs.select(F.size("tables").alias("n")).collect()) == [5, 10, 10]
     first = docs.select(F.explode("tables").alias("t")).select(F.col("t.columns.ordinal").alias("o")).distinct().collect()
     assert [r.o for r in first] == [[1, 2]]
+    whole = assemble.documents(t, c).collect()
+    assert [(r.part, [x.table_name for x in r.tables]) for r in whole] == [(0, sorted(f"t{i}" for i in range(25)))]
+
+
+def test_every_document_has_a_file(spark, tmp_path):
+    rows = [("a", "s", 0, '{"x":1}'), ("a", "s", 1, '{"x":"é"}'), ("a/b c", "s=1", 0, "{}")]
+    docs = spark.createDataFrame(rows, "system_name string, schema_name string, part int, doc string").repartition(2)
+    path = store.save_each_document(docs, str(tmp_path), "run")
+    files = store.saved_files(spark, path).collect()
+    assert sorted(r.size_bytes for r in files) == sorted(len(r[3].encode()) + 1 for r in rows)
+    assert len({r.saved_to for r in files}) == 3
+    again = spark.read.text(path)
+    assert sorted(tuple(r) for r in again.select("system_name", "schema_name", "part", "value").collect()) == sorted(rows)
+
+
+def test_stamp_in_any_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "Asia/Kolkata", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            at = scalars.utc_stamp(F.timestamp_seconds(F.lit(1_700_000_000)))
+            assert spark.range(1).select(at).first()[0] == "2023-11-14T22:13:20Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_inclusion_against_brute_force(spark):
