@@ -102,8 +102,8 @@ def proportions(likelihood: np.ndarray, counts: np.ndarray, rounds: int = 40) ->
     return share, float(counts @ np.log(likelihood @ share))
 
 
-def infer(model: np.ndarray, counts: np.ndarray, least: float, penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """(languages of the best set, their proportions); the penalty holds per language and log of trigrams."""
+def infer(model: np.ndarray, counts: np.ndarray, least: float, penalty: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(languages of the best set, their proportions, the log likelihood); the penalty holds per language and log of trigrams."""
     at = np.flatnonzero(counts)
     seen, likelihood = counts[at].astype(float), model[at]
     price = penalty * np.log(seen.sum())
@@ -114,23 +114,21 @@ def infer(model: np.ndarray, counts: np.ndarray, least: float, penalty: float) -
         if best is None or fit >= best[0]:
             best = fit, chosen, share
         if len(chosen) == 1:
-            return best[1], best[2]
+            return best[1], best[2], best[0] + price * len(best[1])
         # the languages with hardly a share go together, else the one with the smallest
         keep = share >= max(least, share.min() * (1 + 1e-9))
         chosen = chosen[keep] if keep.any() else chosen[[share.argmax()]]
 
 
-def explained(model: np.ndarray, counts: np.ndarray, chosen: np.ndarray, share: np.ndarray, penalty: float) -> bool:
-    """Whether languages tell a text's trigrams as well as even chances do.
+def explained(counts: np.ndarray, fit: float, penalty: float) -> bool:
+    """Whether languages of log likelihood ``fit`` tell a text's trigrams as well as even chances do.
 
     Even chances of all buckets are a language of which nothing is known; to be
     preferred, it has to pay the penalty of a language, so that a short text
     isn't rejected for a few rare trigrams.
     """
-    at = np.flatnonzero(counts)
-    seen = counts[at].astype(float)
-    gain = seen @ np.log(model[at][:, chosen] @ share) + seen.sum() * np.log(BUCKETS)
-    return bool(gain + penalty * np.log(seen.sum()) >= 0)
+    total = counts.sum()
+    return bool(fit + total * np.log(BUCKETS) + penalty * np.log(total) >= 0)
 
 
 def identify(
@@ -160,11 +158,11 @@ def identify(
                     rows.append((UNKNOWN, 0.0, [], [], letters))
                     continue
                 counts = trigram_counts(text)
-                chosen, share = infer(known, counts, least, penalty)
+                chosen, share, fit = infer(known, counts, least, penalty)
                 order = np.argsort(-share, kind="stable")
                 names = [languages[i] for i in chosen[order]]
                 rows.append((names[0], float(min(1.0, share.max())), names, share[order].tolist(),
-                             explained(known, counts, chosen, share, penalty)))
+                             explained(counts, fit, penalty)))
             columns = list(zip(*rows)) or [()] * 5
             kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.bool_()]
             yield pa.RecordBatch.from_arrays(

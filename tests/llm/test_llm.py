@@ -447,11 +447,12 @@ def test_language_sets_against_all_subsets(spark, sf_dir):
             for chosen in itertools.combinations(range(len(names)), size):
                 share, fit = plain_mixture(model, seen, chosen, 60)
                 best[chosen] = fit - price * size, share
-        chosen, share = language.infer(model, counts, 0.02, 4.0)
+        chosen, share, fit = language.infer(model, counts, 0.02, 4.0)
         wanted = max(best, key=lambda c: best[c][0])
         # the greedy choice reaches the best set of all
         assert tuple(chosen) == wanted
         assert np.abs(share - best[wanted][1]).max() < 0.02
+        assert abs(fit - price * len(chosen) - best[wanted][0]) < 0.5
 
 
 def test_held_out_accuracy(spark, sf_dir):
