@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lakescribe import model
 from lakescribe.functions import scalars
 from lakescribe.operators.ordering import ROWS_PER_RANGE, row_numbers
-from lakescribe.operators.skew import lookup
+from lakescribe.operators.skew import grown, lookup
 
 KEY, TABLE = model.COLUMN_KEY, model.TABLE_KEY
 
@@ -23,12 +23,12 @@ def decoded_distinct(n_distinct: Column, row_count: Column) -> Column:
 
 def with_primary(columns: DataFrame, primary: DataFrame) -> DataFrame:
     keys = primary.select(*KEY).distinct().withColumn("primary_key", F.lit(True))
-    return columns.join(keys, KEY, "left").fillna(False, ["primary_key"])
+    return columns.join(grown(keys), KEY, "left").fillna(False, ["primary_key"])
 
 
 def with_unique(columns: DataFrame, unique: DataFrame) -> DataFrame:
     keys = unique.select(*KEY).distinct().withColumn("unique", F.lit(True))
-    return columns.join(keys, KEY, "left").fillna(False, ["unique"])
+    return columns.join(grown(keys), KEY, "left").fillna(False, ["unique"])
 
 
 def with_references(columns: DataFrame, foreign: DataFrame) -> DataFrame:
@@ -39,23 +39,23 @@ def with_references(columns: DataFrame, foreign: DataFrame) -> DataFrame:
         F.col("ref_column").alias("column"),
     )
     chosen = foreign.groupBy(*KEY).agg(F.min(target).alias("references"))
-    return columns.join(chosen, KEY, "left").withColumn(
+    return columns.join(grown(chosen), KEY, "left").withColumn(
         "foreign_key", F.col("references").isNotNull()
     )
 
 
 def with_distinct(columns: DataFrame, distinct: DataFrame) -> DataFrame:
     values = distinct.groupBy(*KEY).agg(F.max("n_distinct").alias("n_distinct"))
-    return columns.join(values, KEY, "left")
+    return columns.join(grown(values), KEY, "left")
 
 
 def of_known_tables(columns: DataFrame, tables: DataFrame) -> DataFrame:
     """Columns whose table is listed, with its row count."""
-    return lookup(columns, tables.select(*TABLE, "row_count"), TABLE, "inner")
+    return lookup(columns, grown(tables.select(*TABLE, "row_count")), TABLE, "inner")
 
 
 def with_volumes(tables: DataFrame, volumes: DataFrame) -> DataFrame:
-    return tables.join(volumes, TABLE, "left")
+    return tables.join(grown(volumes), TABLE, "left")
 
 
 def assemble(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -106,7 +106,7 @@ def table_documents(tables: DataFrame, columns: DataFrame) -> DataFrame:
     nested = columns.groupBy(*TABLE).agg(
         F.sort_array(F.collect_list(F.struct("ordinal", *[f for f in fields if f != "ordinal"]))).alias("columns")
     )
-    joined = tables.join(nested, TABLE, "left")
+    joined = tables.join(grown(nested), TABLE, "left")
     empty = F.array().cast(nested.schema["columns"].dataType)
     return joined.withColumn("columns", F.coalesce("columns", empty))
 

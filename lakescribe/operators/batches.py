@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from lakescribe.functions import scalars
 from lakescribe.operators.ordering import ROWS_PER_RANGE, range_bounds, range_of, running
 from lakescribe.operators.search import first_columns
-from lakescribe.operators.skew import lookup
+from lakescribe.operators.skew import grown, lookup
 from lakescribe.session import materialized
 
 TABLE = ["system_name", "schema_name", "table_name"]
@@ -40,7 +40,7 @@ def adaptive_batches(
     """
     sized = (
         tables.select(*TABLE)
-        .join(widths, TABLE, "left")
+        .join(grown(widths), TABLE, "left")
         .withColumn("n_columns", F.coalesce("n_columns", F.lit(0)))
     )
     wide = F.col("n_columns") > SMALL_TABLE
@@ -75,7 +75,7 @@ def adaptive_batches(
         .otherwise(F.col("_all_wide") + F.col("_all_full"))
         .alias("_number"),
     )
-    numbered = grouped.join(small_numbers, ["system_name", "_group"], "left")
+    numbered = grouped.join(grown(small_numbers), ["system_name", "_group"], "left")
     return numbered.select(
         *TABLE,
         "n_columns",
@@ -132,8 +132,8 @@ def payloads(batches: DataFrame, columns: DataFrame) -> DataFrame:
     )
     table = F.struct("schema_name", "table_name", "primary_keys", "foreign_keys", "columns")
     return (
-        batches.join(keys, TABLE, "left")
-        .join(shape, TABLE, "left")
+        batches.join(grown(keys), TABLE, "left")
+        .join(grown(shape), TABLE, "left")
         .groupBy("system_name", "batch_no", F.coalesce("part", F.lit(0)).alias("part"))
         .agg(F.sort_array(F.collect_list(table)).alias("_tables"))
         .select(
@@ -335,7 +335,7 @@ def token_chunks(
         """``rows`` with the entry whose ``_range`` is their ``place``, in the same group."""
         entries = entries.withColumnsRenamed({k: f"_of_{k}" for k in (*group, "_range")})
         same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in group]
-        joined = rows.join(entries, [*same, F.col(place) == F.col("_of__range")])
+        joined = rows.join(grown(entries), [*same, F.col(place) == F.col("_of__range")])
         return joined.drop(*[f"_of_{k}" for k in (*group, "_range")])
 
     # Up the tree, then down: every task sees at most ``fan`` summaries.

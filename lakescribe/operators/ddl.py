@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lakescribe import model
 from lakescribe.functions import ddl_text as D
 from lakescribe.operators.ordering import range_bounds, running
-from lakescribe.operators.skew import lookup
+from lakescribe.operators.skew import grown, lookup
 from lakescribe.session import materialized
 
 SEQ = ["path", "stmt_idx"]
@@ -69,7 +69,7 @@ def reduction(scripts: DataFrame, stmts: DataFrame) -> DataFrame:
     share = (F.col("script_chars") - F.col("ddl_chars")) / F.col("script_chars") * 100
     return (
         scripts.select("system_name", "path", F.length("text").alias("script_chars"))
-        .join(kept, ["system_name", "path"], "left")
+        .join(grown(kept), ["system_name", "path"], "left")
         .fillna(0, ["ddl_chars"])
         .withColumn("reduction", F.when(F.col("script_chars") > 0, share).otherwise(0.0))
     )
@@ -114,7 +114,7 @@ def last_creates(found: DataFrame) -> DataFrame:
     last = found.groupBy(*TABLE).agg(F.max(F.struct(*SEQ)).alias("_s")).select(
         *TABLE, F.col("_s.path").alias("path"), F.col("_s.stmt_idx").alias("stmt_idx")
     )
-    return found.join(last, [*TABLE, *SEQ], "left_semi")
+    return found.join(grown(last), [*TABLE, *SEQ], "left_semi")
 
 
 def _items(latest: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _alters(stmts: DataFrame, found: DataFrame, default_schema: str) -> DataFram
         )
     )
     spans = found.groupBy(*TABLE).agg(F.min(seq).alias("_first"), F.max(seq).alias("_last"))
-    exact = lookup(asked, spans, TABLE)
+    exact = lookup(asked, grown(spans), TABLE)
     here = exact.filter(F.col("_first") < seq).filter(F.col("_last") < seq).drop("_first", "_last")
 
     elsewhere = exact.filter(F.col("_first").isNull() | ~(F.col("_first") < seq)).drop("_first", "_last")
@@ -224,7 +224,7 @@ def _alters(stmts: DataFrame, found: DataFrame, default_schema: str) -> DataFram
         placed.select(
             "system_name", F.col("_seen.schema_name").alias("schema_name"), "table_name", *SEQ, "rest"
         )
-        .join(spans, TABLE)
+        .join(grown(spans), TABLE)
         .filter(F.col("_last") < seq)
     )
     return here.unionByName(moved.drop("_first", "_last"))
@@ -306,7 +306,7 @@ def catalog(
         )
     )
     flag = lambda own, added: F.col(own) | F.coalesce(F.col(added), F.lit(False))
-    joined = cols.join(keys, [*TABLE, "_c"], "left")
+    joined = cols.join(grown(keys), [*TABLE, "_c"], "left")
     ordinal = F.col("pos") + 1
     columns = joined.withColumns(
         {
@@ -336,8 +336,8 @@ def unparsed(scripts: DataFrame, stmts: DataFrame, default_schema: str = "dbo")
     )
     return (
         scripts.select("system_name", "path")
-        .join(per_file, ["system_name", "path"], "left")
-        .join(with_ddl, ["system_name", "path"], "left")
+        .join(grown(per_file), ["system_name", "path"], "left")
+        .join(grown(with_ddl), ["system_name", "path"], "left")
         .select("system_name", "path", reason.alias("reason"))
         .filter(F.col("reason").isNotNull())
     )

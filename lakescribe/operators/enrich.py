@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakescribe.functions import json_text
+from lakescribe.operators.skew import grown
 
 TABLE = ["system_name", "schema_name", "table_name"]
 
@@ -63,8 +64,8 @@ def described_tables(tables: DataFrame, batches: DataFrame, parsed: DataFrame) -
         F.min(F.coalesce("table_description", F.lit(""))).alias("_d")
     )
     return (
-        tables.join(batches.select(*TABLE, "batch_no"), TABLE, "left")
-        .join(answers, ["system_name", "batch_no", "table_name"], "left")
+        tables.join(grown(batches.select(*TABLE, "batch_no")), TABLE, "left")
+        .join(grown(answers), ["system_name", "batch_no", "table_name"], "left")
         .withColumn("status", F.when(F.col("_d").isNull(), "missing").otherwise("described"))
         .withColumn("description", F.coalesce("_d", "description"))
         .drop("_d")
@@ -79,10 +80,10 @@ def described_columns(
         "_table", F.lit(True)
     )
     texts = answered_columns(parsed).withColumnRenamed("description", "_d")
-    own = columns.join(batches.select(*TABLE, "batch_no"), TABLE, "left")
+    own = columns.join(grown(batches.select(*TABLE, "batch_no")), TABLE, "left")
     return (
-        own.join(texts, ["system_name", "batch_no", "table_name", "column_name"], "left")
-        .join(answered, ["system_name", "batch_no", "table_name"], "left")
+        own.join(grown(texts), ["system_name", "batch_no", "table_name", "column_name"], "left")
+        .join(grown(answered), ["system_name", "batch_no", "table_name"], "left")
         .withColumn(
             "description",
             F.when(F.col("_table"), F.coalesce("_d", F.lit(""))).otherwise(F.col("description")),

@@ -8,7 +8,7 @@ from lakescribe import model
 from lakescribe.functions import scalars
 from lakescribe.operators.inclusion import inclusions
 from lakescribe.operators.keys import final_keys
-from lakescribe.operators.skew import lookup
+from lakescribe.operators.skew import grown, lookup
 from lakescribe.session import materialized
 
 KEY, TABLE = model.COLUMN_KEY, model.TABLE_KEY
@@ -93,7 +93,7 @@ def name_pairs(columns: DataFrame) -> DataFrame:
     )
     return (
         _children(columns)
-        .join(parents, ["system_name", "family", "rank", "token"])
+        .join(grown(parents), ["system_name", "family", "rank", "token"])
         .filter(~own)
         .select(*KEY, "parent_schema", "parent_table", "parent_column")
         .distinct()
@@ -117,8 +117,8 @@ def best_parents(columns: DataFrame) -> DataFrame:
         return kept.groupBy(*keys).agg(F.sort_array(F.collect_set(parent)).alias(name))
 
     asked = _children(columns).withColumn("parent_schema", F.col("schema_name"))
-    near = lookup(asked, two_first([*wide, "parent_schema"], "_near"), [*wide, "parent_schema"])
-    found = lookup(near.drop("parent_schema"), two_first(wide, "_far"), wide)
+    near = lookup(asked, grown(two_first([*wide, "parent_schema"], "_near")), [*wide, "parent_schema"])
+    found = lookup(near.drop("parent_schema"), grown(two_first(wide, "_far")), wide)
     options = F.filter(
         F.concat(
             F.coalesce("_near", F.array().cast(found.schema["_near"].dataType)),
@@ -148,8 +148,8 @@ def confirmed(columns: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
     columns = materialized(columns, "columns")  # asked several times, and often just measured
     named = ["system_name", "family", "rank", "token"]
     children, parents = _children(columns), _parents(columns)
-    asking = children.join(parents.select(*named).distinct(), named, "left_semi")
-    asked = parents.join(children.select(*named).distinct(), named, "left_semi")
+    asking = children.join(grown(parents.select(*named).distinct()), named, "left_semi")
+    asked = parents.join(grown(children.select(*named).distinct()), named, "left_semi")
     parent = [F.col("parent_table").alias("t"), F.col("parent_column").alias("c")]
     wanted = asking.select(F.col("table_name").alias("t"), F.col("column_name").alias("c"), F.lit(True).alias("child")).unionByName(
         asked.select(*parent, F.lit(False).alias("child"))
@@ -159,8 +159,8 @@ def confirmed(columns: DataFrame, frames: dict[str, DataFrame]) -> DataFrame:
     child_names = asking.select(F.col("table_name").alias("child_table"), F.col("column_name").alias("child_column"), *named)
     parent_names = asked.select("parent_table", "parent_column", *named)
     return (
-        found.join(child_names, ["child_table", "child_column"])
-        .join(parent_names, ["parent_table", "parent_column", *named], "left_semi")
+        found.join(grown(child_names), ["child_table", "child_column"])
+        .join(grown(parent_names), ["parent_table", "parent_column", *named], "left_semi")
         .select(*found.columns)
         .distinct()
     )
@@ -202,7 +202,7 @@ def validate(answers: DataFrame, columns: DataFrame, default_schema: str = "dbo"
         asked = answers.withColumns(lowered).select(*names)
         found = (
             asked.distinct()
-            .join(tables.toDF("system_name", f"_{role}_t", f"_{role}"), names[:2], "left")
+            .join(grown(tables.toDF("system_name", f"_{role}_t", f"_{role}")), names[:2], "left")
             .withColumns(
                 {
                     "schema_name": F.col(f"_{role}.schema_name"),
@@ -210,7 +210,7 @@ def validate(answers: DataFrame, columns: DataFrame, default_schema: str = "dbo"
                     "_c": F.col(f"_{role}_c"),
                 }
             )
-            .join(keys, ["system_name", "schema_name", "table_name", "_c"], "left")
+            .join(grown(keys), ["system_name", "schema_name", "table_name", "_c"], "left")
             .select(
                 *names,
                 f"_{role}",
@@ -218,7 +218,7 @@ def validate(answers: DataFrame, columns: DataFrame, default_schema: str = "dbo"
                 F.col("_pk").alias(f"_{role}_pk"),
             )
         )
-        return lookup(df.withColumns(lowered), found, names)
+        return lookup(df.withColumns(lowered), grown(found), names)
 
     checked = side(side(answers, "source"), "target")
     reason = (
@@ -258,7 +258,7 @@ def apply_foreign(columns: DataFrame, valid: DataFrame) -> DataFrame:
     free = ~F.col("foreign_key") & F.col("_ref").isNotNull()
     return (
         columns.drop("inferred_fk", "inferred_fk_references")
-        .join(chosen, KEY, "left")
+        .join(grown(chosen), KEY, "left")
         .withColumns(
             {
                 "inferred_fk": F.when(free, True),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lakescribe.operators.skew import lookup
+from lakescribe.operators.skew import grown, lookup
 
 TABLE = ["system_name", "schema_name", "table_name"]
 
@@ -92,13 +92,13 @@ def _touching(edges: DataFrame, near: DataFrame) -> DataFrame:
     target = ends.toDF("system_name", "target_schema", "target").withColumn("_tgt", F.lit(True))
     key = ["system_name", "target_schema", "target"]
     # a table has few outgoing edges, but any number of incoming ones
-    from_near = shown.join(source, ["system_name", "source_schema", "source"], "left")
-    return lookup(from_near, target, key).filter(F.col("_src") | F.col("_tgt"))
+    from_near = shown.join(grown(source), ["system_name", "source_schema", "source"], "left")
+    return lookup(from_near, grown(target), key).filter(F.col("_src") | F.col("_tgt"))
 
 
 def _shown_columns(columns: DataFrame, near: DataFrame, tables: DataFrame) -> DataFrame:
-    known = near.select(*TABLE).join(tables.select(*TABLE), TABLE, "left_semi")
-    return columns.join(known, TABLE, "left_semi").filter(F.col("column_name").isNotNull())
+    known = near.select(*TABLE).join(grown(tables.select(*TABLE)), TABLE, "left_semi")
+    return columns.join(grown(known), TABLE, "left_semi").filter(F.col("column_name").isNotNull())
 
 
 def detail_nodes(
@@ -124,13 +124,13 @@ def detail_nodes(
                 )
             ),
         )
-        .join(near, TABLE, "left_anti")
+        .join(grown(near), TABLE, "left_anti")
         .distinct()
         .withColumn("linked", F.lit(True))
     )
     table_nodes = (
         near.unionByName(far)
-        .join(tables.select(*TABLE, "table_type"), TABLE, "left")
+        .join(grown(tables.select(*TABLE, "table_type")), TABLE, "left")
         .select(
             "system_name",
             "schema_name",
@@ -161,10 +161,10 @@ def _flagged(touching: DataFrame, cols: DataFrame) -> DataFrame:
     source = own.toDF("system_name", "source_schema", "source", "source_column").withColumn("_sc", F.lit(True))
     target = own.toDF("system_name", "target_schema", "target", "target_column").withColumn("_tc", F.lit(True))
     with_source = touching.join(
-        source, ["system_name", "source_schema", "source", "source_column"], "left"
+        grown(source), ["system_name", "source_schema", "source", "source_column"], "left"
     )
     key = ["system_name", "target_schema", "target", "target_column"]
-    return lookup(with_source, target, key).withColumn(
+    return lookup(with_source, grown(target), key).withColumn(
         "_both", F.coalesce(F.col("_sc") & F.col("_tc"), F.lit(False))
     )
 

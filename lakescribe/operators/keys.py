@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lakescribe import model
 from lakescribe.functions import scalars
+from lakescribe.operators.skew import grown
 
 KEY, TABLE = model.COLUMN_KEY, model.TABLE_KEY
 
@@ -38,7 +39,7 @@ def score(columns: DataFrame, measured: DataFrame | None = None) -> DataFrame:
     if measured is not None:
         facts = measured.select("table_name", "column_name", "null_count", F.col("unique").alias("_u"))
         columns = (
-            columns.join(facts, ["table_name", "column_name"])
+            columns.join(grown(facts), ["table_name", "column_name"])
             .filter(F.col("_u") & (F.col("null_count") == 0))
             .withColumns({"_unique": F.lit(True), "_not_null": F.lit(True)})
         )
@@ -70,7 +71,7 @@ def best_per_table(scored: DataFrame) -> DataFrame:
 def without_primary(columns: DataFrame) -> DataFrame:
     """Columns of tables that have no native primary key."""
     keyed = columns.filter("primary_key").select(*TABLE).distinct()
-    return columns.join(keyed, TABLE, "left_anti")
+    return columns.join(grown(keyed), TABLE, "left_anti")
 
 
 def cleared(columns: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def apply_primary(columns: DataFrame, candidates: DataFrame) -> DataFrame:
     marks = candidates.select(*KEY).distinct().withColumn("_mark", F.lit(True))
     return (
         columns.drop("inferred_pk")
-        .join(marks, KEY, "left")
+        .join(grown(marks), KEY, "left")
         .withColumn("inferred_pk", F.when(F.col("_mark") & ~F.col("primary_key"), True))
         .drop("_mark")
     )

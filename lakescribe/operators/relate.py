@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakescribe.functions import scalars
-from lakescribe.operators.skew import lookup
+from lakescribe.operators.skew import grown, lookup
 
 TABLE = ["system_name", "schema_name", "table_name"]
 WORD = ["system_name", "kind", "scope", "token"]
@@ -44,7 +44,7 @@ def candidates(columns: DataFrame, pk_may_reference: bool = False) -> DataFrame:
 
 def keyed_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Tables with their first key column."""
-    return tables.select(*TABLE).join(first_keys(columns), TABLE, "left")
+    return tables.select(*TABLE).join(grown(first_keys(columns)), TABLE, "left")
 
 
 def dictionary(keyed: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def resolve(asked: DataFrame, keyed: DataFrame, ways: tuple[str, ...] = WAYS) ->
     own = asked.select(
         *TABLE, "column_name", "ordinal", "is_foreign_key", "inferred_fk", F.explode_outer(_asks(ways)).alias("ask")
     ).select(*TABLE, "column_name", "ordinal", "is_foreign_key", "inferred_fk", "ask.*")
-    answered = lookup(own, dictionary(keyed), WORD)
+    answered = lookup(own, grown(dictionary(keyed)), WORD)
     fit = F.filter(
         "options",
         lambda t: (F.col("kind") == "given")

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lakescribe.operators.ordering import ROWS_PER_RANGE, range_bounds, range_of, row_numbers
+from lakescribe.operators.skew import grown
 
 TABLE = ["system_name", "schema_name", "table_name"]
 ORDER = TABLE
@@ -30,7 +31,7 @@ def by_field_name(tables: DataFrame, columns: DataFrame, q: str) -> DataFrame:
     if not q:
         return tables
     hits = columns.filter(holds("column_name", q)).select(*TABLE).distinct()
-    return tables.join(hits, TABLE, "left_semi")
+    return tables.join(grown(hits), TABLE, "left_semi")
 
 
 def by_text(tables: DataFrame, columns: DataFrame, q: str) -> DataFrame:
@@ -44,7 +45,7 @@ def by_text(tables: DataFrame, columns: DataFrame, q: str) -> DataFrame:
         .withColumn("_hit", F.lit(True))
     )
     own = holds("table_name", q) | holds(F.coalesce("description", F.lit("")), q)
-    return tables.join(in_columns, TABLE, "left").filter(own | F.col("_hit")).drop("_hit")
+    return tables.join(grown(in_columns), TABLE, "left").filter(own | F.col("_hit")).drop("_hit")
 
 
 def by_type(tables: DataFrame, table_type: str) -> DataFrame:

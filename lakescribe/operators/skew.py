@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the catalogue: sorted and merged, never broadcast.
+
+    Spark estimates the size of derived rows from the files that they come
+    from, and knows nothing of lists that are exploded or texts that are put
+    together. Such an estimate may call millions of rows small enough to pass
+    whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join ``left`` with ``right``, which holds at most one row per key.
 
@@ -12,6 +23,7 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left")
     can have a hot key, null among them. The partitions of ``left`` that such a
     key makes large are split by adaptive execution, which reads the one row
     it needs of ``right`` with each part; counting the keys first would read
-    the input twice. ``right`` is broadcast only where its size was measured.
+    the input twice. A ``right`` that grows with the catalogue is handed in as
+    ``grown(right)``.
     """
     return left.join(right, on, how)

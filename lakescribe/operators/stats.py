@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lakescribe.functions import scalars
 from lakescribe.operators.graph import visible
+from lakescribe.operators.skew import grown
 
 TABLE = ["system_name", "schema_name", "table_name"]
 
@@ -32,7 +33,7 @@ def catalogue_totals(tables: DataFrame, columns: DataFrame) -> DataFrame:
         F.col("total_columns").cast("decimal(28,6)") / F.col("total_tables"), 1
     ).cast("double")
     return (
-        tables.join(per_table, TABLE, "left")
+        tables.join(grown(per_table), TABLE, "left")
         .groupBy("system_name")
         .agg(
             F.count("*").alias("total_tables"),
@@ -74,7 +75,7 @@ def stats(tables: DataFrame, columns: DataFrame, edges: DataFrame) -> DataFrame:
 def tiles(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """Tile figures of every table at once."""
     return (
-        tables.join(table_keys(columns), TABLE, "left")
+        tables.join(grown(table_keys(columns)), TABLE, "left")
         .fillna(0, ["n_columns", "n_pk", "n_fk"])
         .select(
             *TABLE,
@@ -127,8 +128,8 @@ def table_info(tables: DataFrame, columns: DataFrame, edges: DataFrame) -> DataF
         F.count_if(F.col("direction") == "inbound").alias("n_inbound"),
     )
     return (
-        tables.join(per_table, TABLE, "left")
-        .join(degree, TABLE, "left")
+        tables.join(grown(per_table), TABLE, "left")
+        .join(grown(degree), TABLE, "left")
         .fillna(0, ["n_columns", "n_outbound", "n_inbound"])
         .withColumn("description", scalars.shorten("description"))
     )

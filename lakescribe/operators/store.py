@@ -12,6 +12,8 @@ from datetime import datetime, timezone
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lakescribe.operators.skew import grown
+
 # Fields a system that is already stored takes from the new extract; the others
 # keep their first value (fixed values).
 REFRESHED = ("metadata", "added_at")
@@ -84,7 +86,7 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     is not touched.
     """
     o, n = old.alias("o"), new.alias("n")
-    joined = o.join(n, F.col("o.system_name") == F.col("n.system_name"), "full_outer")
+    joined = o.join(grown(n), F.col("o.system_name") == F.col("n.system_name"), "full_outer")
     known = F.col("o.system_name").isNotNull()
     out = [F.coalesce("o.system_name", "n.system_name").alias("system_name")]
     for name in KEPT:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lakescribe.functions import ddl_text as D
 from lakescribe.operators import batches, ddl
 from lakescribe.operators.ordering import row_numbers
+from lakescribe.operators.skew import grown
 from lakescribe.plans import script_corpus
 from lakescribe.plans.registry import query
 from lakescribe.session import shared_dir
@@ -44,7 +45,7 @@ def decode(spark, sf_dir):
     )
     return (
         script_source.decode_scripts(found)
-        .join(original, "path")
+        .join(grown(original), "path")
         .select("path", (F.col("text") == D.unix_lines(F.col("script"))).alias("same"))
     )
 
@@ -329,7 +330,7 @@ def catalogue(spark, sf_dir):
     per_table = columns.groupBy("schema_name", "table_name").agg(
         F.count("*").alias("n_columns"), F.count_if("primary_key").alias("n_pk"), F.count_if("foreign_key").alias("n_fk")
     )
-    return tables.select("schema_name", "table_name").join(per_table, ["schema_name", "table_name"])
+    return tables.select("schema_name", "table_name").join(grown(per_table), ["schema_name", "table_name"])
 
 
 @query(

@@ -17,6 +17,7 @@ from lakescribe.operators import (
     normalize,
     store,
 )
+from lakescribe.operators.skew import grown
 from lakescribe.plans import fleet
 from lakescribe.plans.fleet_queries import SIZE_SQL, flat, sql
 from lakescribe.plans.registry import query
@@ -294,7 +295,7 @@ def describe(spark, sf_dir):
     answers = materialized(batches.describe(batches.payloads(b, c), enrich.offline_answer), "answers")
     parsed = enrich.parse_answers(answers)
     state = answers.select("batch_no", "status")
-    return parsed.join(state, "batch_no").select(
+    return parsed.join(grown(state), "batch_no").select(
         "batch_no",
         "table_name",
         F.col("table_description").alias("description"),

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakescribe.functions.scalars import is_yes
-from lakescribe.operators.skew import lookup
+from lakescribe.operators.skew import grown, lookup
 
 Dumps = dict[str, DataFrame]
 
@@ -42,7 +42,7 @@ def _keys(constraints: DataFrame, usage: DataFrame, kind: str) -> DataFrame:
         "system_name", "constraint_name", F.col("table_schema"), "table_name"
     )
     return (
-        usage.join(named, ["system_name", "constraint_name", "table_schema", "table_name"], "left_semi")
+        usage.join(grown(named), ["system_name", "constraint_name", "table_schema", "table_name"], "left_semi")
         .select("system_name", F.col("table_schema").alias("schema_name"), "table_name", "column_name")
         .distinct()
     )
@@ -54,7 +54,7 @@ def _paired(usage: DataFrame, links: DataFrame) -> DataFrame:
     ``links`` holds (system_name, constraint_name, table_schema, target_name,
     target_schema) of each foreign key.
     """
-    child = usage.join(links, ["system_name", "constraint_name", "table_schema"]).select(
+    child = usage.join(grown(links), ["system_name", "constraint_name", "table_schema"]).select(
         "system_name",
         F.col("table_schema").alias("schema_name"),
         "table_name",
@@ -74,7 +74,7 @@ def _paired(usage: DataFrame, links: DataFrame) -> DataFrame:
     )
     # thousands of foreign keys may share one target key
     key = ["system_name", "target_name", "target_schema", "position"]
-    return lookup(child, target, key, "inner").select(
+    return lookup(child, grown(target), key, "inner").select(
         "system_name", "schema_name", "table_name", "column_name", "ref_schema", "ref_table", "ref_column"
     )
 
@@ -124,13 +124,13 @@ def postgres(d: Dumps, schema: str | None = None, tables=None, include_views=Fal
         .select("system_name", "constraint_name", "table_schema")
         .distinct()
         .join(
-            d["referential_constraints"].select(
+            grown(d["referential_constraints"].select(
                 "system_name",
                 "constraint_name",
                 F.col("constraint_schema").alias("table_schema"),
                 F.col("unique_constraint_name").alias("target_name"),
                 F.col("unique_constraint_schema").alias("target_schema"),
-            ),
+            )),
             ["system_name", "constraint_name", "table_schema"],
         )
     )
@@ -196,7 +196,7 @@ def bigquery(d: Dumps, schema: str | None = None, tables=None) -> Dumps:
             if "constraint_column_usage" in d:
                 # the table of the target key, which may be in another dataset
                 used = d["constraint_column_usage"].groupBy("system_name", F.col("constraint_name").alias("target_name"))
-                links = lookup(links, used.agg(F.min("table_schema").alias("_used")), ["system_name", "target_name"])
+                links = lookup(links, grown(used.agg(F.min("table_schema").alias("_used"))), ["system_name", "target_name"])
                 links = links.withColumn("target_schema", F.coalesce("target_schema", "_used")).drop("_used")
             links = links.withColumn("target_schema", F.coalesce("target_schema", "table_schema"))
             foreign = _paired(kcu, links)
@@ -224,7 +224,7 @@ def oracle(d: Dumps, schema: str | None = None, tables=None) -> Dumps:
         d["all_tables"]
         .filter((F.col("temporary") == "N") & _within("owner", schema, str.upper))
         .filter(_listed("table_name", tables, str.upper))
-        .join(segments, ["system_name", "owner", "table_name"], "left")
+        .join(grown(segments), ["system_name", "owner", "table_name"], "left")
         .select(
             "system_name",
             F.col("owner").alias("schema_name"),
@@ -255,7 +255,7 @@ def oracle(d: Dumps, schema: str | None = None, tables=None) -> Dumps:
     def keys(kind: str) -> DataFrame:
         named = constraints.filter(F.col("constraint_type") == kind)
         return (
-            members.join(named.select("system_name", "owner", "constraint_name"),
+            members.join(grown(named.select("system_name", "owner", "constraint_name")),
                          ["system_name", "owner", "constraint_name"], "left_semi")
             .select("system_name", F.col("owner").alias("schema_name"), "table_name", "column_name")
             .distinct()
@@ -361,19 +361,19 @@ def sqlserver_volumes(d: Dumps) -> DataFrame:
     partition with several units counts its rows once.
     """
     index = d["sys_indexes"].filter(F.col("index_id") <= 1).select("system_name", "object_id", "index_id")
-    parts = d["sys_partitions"].join(index, ["system_name", "object_id", "index_id"])
+    parts = d["sys_partitions"].join(grown(index), ["system_name", "object_id", "index_id"])
     rows = parts.groupBy("system_name", "object_id").agg(F.sum("rows").cast("bigint").alias("row_count"))
     pages = (
         d["sys_allocation_units"]
         .withColumnRenamed("container_id", "partition_id")
-        .join(parts.select("system_name", "partition_id", "object_id"), ["system_name", "partition_id"])
+        .join(grown(parts.select("system_name", "partition_id", "object_id")), ["system_name", "partition_id"])
         .groupBy("system_name", "object_id")
         .agg((F.sum("total_pages") * 8192).cast("bigint").alias("size_bytes"))
     )
     named = _named_objects(d)
     return (
-        named.join(rows, ["system_name", "object_id"], "left")
-        .join(pages, ["system_name", "object_id"], "left")
+        named.join(grown(rows), ["system_name", "object_id"], "left")
+        .join(grown(pages), ["system_name", "object_id"], "left")
         .select("system_name", "schema_name", "table_name", "row_count", "size_bytes")
     )
 
@@ -383,13 +383,13 @@ def sqlserver_leading_statistics(d: Dumps) -> DataFrame:
     lead = d["sys_stats_columns"].filter(F.col("stats_column_id") == 1)
     return (
         d["sys_stats"]
-        .join(d["sys_stats_properties"], ["system_name", "object_id", "stats_id"])
-        .join(lead.select("system_name", "object_id", "stats_id", "column_id"),
+        .join(grown(d["sys_stats_properties"]), ["system_name", "object_id", "stats_id"])
+        .join(grown(lead.select("system_name", "object_id", "stats_id", "column_id")),
               ["system_name", "object_id", "stats_id"])
-        .join(d["sys_columns"].select("system_name", "object_id", "column_id",
-                                      F.col("name").alias("column_name")),
+        .join(grown(d["sys_columns"].select("system_name", "object_id", "column_id",
+                                      F.col("name").alias("column_name"))),
               ["system_name", "object_id", "column_id"])
-        .join(_named_objects(d), ["system_name", "object_id"])
+        .join(grown(_named_objects(d)), ["system_name", "object_id"])
         .groupBy("system_name", "schema_name", "table_name", "column_name")
         .agg(F.max("rows").cast("bigint").alias("stat_rows"))
     )
@@ -402,7 +402,7 @@ def sqlserver(d: Dumps, schema: str | None = "dbo", tables=None) -> Dumps:
         .filter(here & listed & (F.col("table_type") == "BASE TABLE"))
         .filter((F.col("table_name") != "sysdiagrams") & ~F.col("table_name").startswith("#"))
         .select("system_name", F.col("table_schema").alias("schema_name"), "table_name", "table_type")
-        .join(sqlserver_volumes(d), ["system_name", "schema_name", "table_name"], "left")
+        .join(grown(sqlserver_volumes(d)), ["system_name", "schema_name", "table_name"], "left")
     )
     cols = d["columns"].filter(here & listed).select(
         "system_name",
@@ -422,13 +422,13 @@ def sqlserver(d: Dumps, schema: str | None = "dbo", tables=None) -> Dumps:
         constraints.filter(F.col("constraint_type") == "FOREIGN KEY")
         .select("system_name", "constraint_name", "table_schema")
         .join(
-            d["referential_constraints"].select(
+            grown(d["referential_constraints"].select(
                 "system_name",
                 "constraint_name",
                 F.col("constraint_schema").alias("table_schema"),
                 F.col("unique_constraint_name").alias("target_name"),
                 F.col("unique_constraint_schema").alias("target_schema"),
-            ),
+            )),
             ["system_name", "constraint_name", "table_schema"],
         )
     )
