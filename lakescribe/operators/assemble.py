@@ -121,7 +121,8 @@ def documents(
 
     With ``tables_per_part``, a schema of more tables has several documents,
     numbered by ``part``, which bounds the memory that one row takes; no table
-    is left out.
+    is left out. A whole schema without a bound is one row: for large ones see
+    ``document_tables``.
     """
     if tables_per_part is None:
         parted = tables.withColumn("part", F.lit(0))
@@ -135,6 +136,22 @@ def documents(
     )
 
 
+def document_tables(
+    tables: DataFrame, columns: DataFrame, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """The tables of whole documents, one row each: (system_name, schema_name, part, place, table).
+
+    ``place`` counts from 1 in the order that ``documents`` has, so that a
+    document of any size can be written without ever being one row.
+    """
+    inner = [c for c in tables.columns if c not in TABLE]
+    numbered = row_numbers(tables, ["system_name", "schema_name"], ["table_name", *inner], "place", rows_per_range)
+    rows = table_documents(numbered, columns)
+    return rows.select(
+        "system_name", "schema_name", F.lit(0).alias("part"), "place", F.struct("table_name", *inner, "columns").alias("table")
+    )
+
+
 def summary(tables: DataFrame, columns: DataFrame, preview: int = PREVIEW) -> DataFrame:
     """Table and column totals per system and the first names of its tables."""
     totals = tables.groupBy("system_name").agg(F.count("*").alias("total_tables"))

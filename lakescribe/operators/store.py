@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,6 +21,9 @@ from lakescribe.operators.skew import grown
 REFRESHED = ("metadata", "added_at")
 KEPT = ("owner_name", "user_id", "source_type")
 
+# What tells documents apart.
+DOCUMENT = ("system_name", "schema_name", "part")
+
 STORE = (
     "system_name string, owner_name string, user_id string, source_type string, "
     "added_at string, metadata string"
@@ -48,6 +53,60 @@ def document_json(docs: DataFrame, systems: DataFrame) -> DataFrame:
     )
 
 
+def document_pieces(rows: DataFrame, systems: DataFrame) -> DataFrame:
+    """(system_name, schema_name, part, place, piece): the texts of ``document_json`` in pieces.
+
+    ``rows`` are those of ``assemble.document_tables``. A document is its
+    pieces in the order of ``place``: every table is one, the first has the
+    document's head before it, and the tail comes last.
+    """
+    whole = {"ignoreNullFields": "false"}
+    unclosed = lambda text: F.substr(text, F.lit(1), F.length(text) - 1)
+    source = F.struct("db_type", "database", F.col("schema_name").alias("schema"), "extracted_at").alias("source")
+    head = F.concat(
+        unclosed(F.to_json(F.struct(source), whole)), F.lit(',"schemas":['),
+        unclosed(F.to_json(F.struct("schema_name"), whole)), F.lit(',"tables":['),
+    )
+    table = F.to_json("table", whole)
+    entry = lambda place, text: F.struct(place.alias("place"), text.alias("piece"))
+    pieces = F.when(
+        F.col("place") == 1,
+        F.array(entry(F.col("place"), F.concat(head, table)), entry(F.lit(2**63 - 1), F.lit("]}]}"))),
+    ).otherwise(F.array(entry(F.col("place"), F.concat(F.lit(","), table))))
+    return rows.join(systems, "system_name", "left").select(*DOCUMENT, F.inline(pieces))
+
+
+def _in_order(pieces: DataFrame) -> DataFrame:
+    """Pieces with those of a document one after the other, sorted on disk where they are many."""
+    return pieces.repartition(*DOCUMENT).sortWithinPartitions(*DOCUMENT, "place")
+
+
+def document_digests(pieces: DataFrame) -> DataFrame:
+    """(system_name, schema_name, part, doc_sha256) of documents in pieces.
+
+    A digest takes a text from its start to its end, so one task reads a
+    document, piece by piece; it holds a batch of pieces at a time.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, digest = None, None
+        for pdf in batches:
+            done = []
+            for *own, piece in pdf.itertuples(index=False, name=None):
+                own = [None if pd.isna(x) else x for x in own]
+                if own != key:
+                    if digest is not None:
+                        done.append([*key, digest.hexdigest()])
+                    key, digest = own, hashlib.sha256()
+                digest.update(piece.encode())
+            yield pd.DataFrame(done, columns=[*DOCUMENT, "doc_sha256"])
+        if digest is not None:
+            yield pd.DataFrame([[*key, digest.hexdigest()]], columns=[*DOCUMENT, "doc_sha256"])
+
+    kinds = "system_name string, schema_name string, part int, doc_sha256 string"
+    return _in_order(pieces).select(*DOCUMENT, "piece").mapInPandas(run, kinds)
+
+
 def save_documents(docs: DataFrame, directory: str, label: str) -> str:
     """Write one document per line into a new folder and return its path."""
     path = os.path.join(directory, run_name(label))

@@ -543,9 +543,13 @@ def _systems(spark):
     )
 
 
+# Tables of a document that is read as one row again; schemas of more have several documents.
+TABLES_PER_PART = 500
+
+
 def _saved(spark, sf_dir) -> str:
     t, c = flat(spark, sf_dir, True)
-    docs = store.document_json(assemble.documents(t, c), _systems(spark))
+    docs = store.document_json(assemble.documents(t, c, TABLES_PER_PART), _systems(spark))
     return store.save_documents(docs, shared_dir(spark, "documents"), "fleet")
 
 
@@ -568,7 +572,7 @@ def nested_tables(spark, sf_dir):
 
 @query("k1_documents", sql("SELECT schema_name, count(*) AS n_tables, min(table_name) AS first_table FROM t GROUP BY ALL"))
 def documents(spark, sf_dir):
-    docs = assemble.documents(*flat(spark, sf_dir))
+    docs = assemble.documents(*flat(spark, sf_dir), TABLES_PER_PART)
     first = F.get("tables", 0)["table_name"]
     return docs.groupBy("schema_name").agg(
         F.sum(F.size("tables")).alias("n_tables"), F.min(first).alias("first_table")
@@ -600,9 +604,8 @@ written AS (
 @query("k1_document_texts", sql(_DOCUMENT_SQL + "SELECT schema_name, sha256(doc) AS doc_sha256 FROM written"))
 def document_texts(spark, sf_dir):
     """The whole text of every document, by digest."""
-    t, c = flat(spark, sf_dir, True)
-    docs = store.document_json(assemble.documents(t, c), _systems(spark))
-    return docs.select("schema_name", F.sha2("doc", 256).alias("doc_sha256"))
+    pieces = store.document_pieces(assemble.document_tables(*flat(spark, sf_dir, True)), _systems(spark))
+    return store.document_digests(pieces).select("schema_name", "doc_sha256")
 
 
 @query(
@@ -663,7 +666,7 @@ def flatten_documents(spark, sf_dir):
 def export_normalised(spark, sf_dir):
     """The normal form written as a document and read again."""
     t, c = flat(spark, sf_dir, True)
-    docs = store.document_json(assemble.documents(t, normalize.normal_form(c)), _systems(spark))
+    docs = store.document_json(assemble.documents(t, normalize.normal_form(c), TABLES_PER_PART), _systems(spark))
     path = store.save_documents(docs, shared_dir(spark, "export"), "fleet")
     found = document_source.document_lines(spark, path).withColumn("system_name", F.lit("fleet"))
     cols = normalize.normalize_columns(document_source.raw_columns(document_source.raw_tables(found)))

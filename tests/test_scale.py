@@ -1,11 +1,13 @@
 """What must not grow with the catalogue: broadcasts, rows of documents, work per script."""
 
+import hashlib
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from lakescribe.plans import QUERIES
+from lakescribe.operators import assemble, store
+from lakescribe.plans import QUERIES, fleet, text_queries
 
 
 @pytest.fixture(scope="module")
@@ -30,3 +32,29 @@ def test_no_catalogue_passes_through_the_driver(spark, fleet_dir, name):
     # lists of schemas may be broadcast, nothing else
     sent = [line for line in plan.split("\n") if "BroadcastHashJoin" in line and "schema_id" not in line and "relnamespace" not in line]
     assert "SortMergeJoin" in plan and not sent
+
+
+def _texts(tables, columns, systems):
+    docs = store.document_json(assemble.documents(tables, columns), systems)
+    return {(r.system_name, r.schema_name): r.doc for r in docs.collect()}
+
+
+def test_documents_in_pieces_are_the_whole_texts(spark, fleet_dir):
+    t = fleet.flat_tables(spark, fleet_dir)
+    t = t.unionByName(t.filter("table_name like '%7'"))  # tables of one name
+    c, systems = fleet.flat_columns(spark, fleet_dir, True), text_queries._systems(spark)
+    whole = _texts(t, c, systems)
+    pieces = store.document_pieces(assemble.document_tables(t, c, rows_per_range=7), systems)
+    longest = pieces.agg(F.max(F.length("piece"))).first()[0]
+    assert longest < min(map(len, whole.values())) / 2  # a row is a table, whatever the schema
+    got = {(r.system_name, r.schema_name): r.doc_sha256 for r in store.document_digests(pieces.repartition(5, "piece")).collect()}
+    assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in whole.items()}
+
+
+def test_saved_documents_have_bounded_rows(spark, fleet_dir, monkeypatch):
+    monkeypatch.setattr(text_queries, "TABLES_PER_PART", 3)
+    read = spark.read.text(text_queries._saved(spark, fleet_dir))
+    assert read.count() == 16  # four schemas of ten tables
+    assert QUERIES["f1_flatten_documents"](spark, fleet_dir).count() == 40
+    n = QUERIES["k1_documents"](spark, fleet_dir).collect()
+    assert sorted((r.schema_name, r.n_tables) for r in n) == [(f"s{i}", 10) for i in range(4)]
