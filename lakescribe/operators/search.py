@@ -119,8 +119,14 @@ def indexed_page(
         .collect()
     )
     shape = spark.read.parquet(os.path.join(path, "shape")).schema
-    stored = spark.read.schema(shape).parquet(os.path.join(path, "rows"))
-    found = stored.filter(F.col(RANGE).isin([r[RANGE] for r in touched])).drop(RANGE)
+    rows = os.path.join(path, "rows")
+    # folders by name: an index has one for every few thousand rows, and reading the whole would list them all
+    folders = [os.path.join(rows, f"{RANGE}={r[RANGE]}") for r in touched]
+    if folders:
+        stored = spark.read.schema(shape).option("basePath", rows).parquet(*folders)
+    else:
+        stored = spark.read.schema(shape).parquet(os.path.join(path, "shape"))
+    found = stored.drop(RANGE)
     skipped = start - min((r["before"] for r in touched), default=start)
     return found.orderBy(*order).offset(skipped).limit(size)
 
