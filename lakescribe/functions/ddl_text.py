@@ -16,6 +16,8 @@ DOTTED = rf"(?:(?:{NAME}\s*\.\s*)?({NAME})\s*\.\s*)?({NAME})"
 _PIECE = r"[^(),]++|[(),]"
 # The same with groups of one or two levels left in the text around them.
 _BODY_PIECE = r"(?:[^(),]++|\((?:[^()]++|\([^()]*+\))*+\))++|[(),]"
+# Text up to the parenthesis that closes it, with groups of one or two levels in it.
+_FLAT_BODY = r"^(?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+"
 _TOKEN = r"'[^']*+(?:'|\z)|/\*[\s\S]*?(?:\*/|\z)|--[^\n]*+(?:\n|\z)|[^'/\-]++|[/\-]"
 
 # Inside literals the characters that steer later steps are swapped for private
@@ -174,13 +176,17 @@ def _deeper(piece: Column) -> Column:
     return F.when(piece == "(", 1).when(piece == ")", -1).otherwise(0)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def create_body(bare: Column) -> Column:
     """Text between the parentheses of CREATE TABLE, nested to any depth.
 
     A body that is never closed goes to the end of the statement; an empty one
     is null.
     """
-    rest = part(bare, rf"{CREATE_TABLE}([\s\S]*+)", 3)
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"))
 
     def step(state: Column, piece: Column) -> Column:
@@ -189,13 +195,17 @@ def create_body(bare: Column) -> Column:
         closed = F.struct(F.lit(-1).alias("depth"), state["size"].alias("size"))
         return F.when((state["depth"] < 0) | (depth < 0), closed).otherwise(inside)
 
-    size = F.aggregate(_pieces(rest), start, step, lambda state: state["size"])
-    return F.nullif(F.substr(rest, F.lit(1), size), F.lit(""))
+    def inside_of(rest: Column) -> Column:
+        def checked(flat: Column) -> Column:
+            # what follows closes the body, ends the text, or is nested deeper than the pattern looks
+            deeper = F.substr(rest, F.length(flat) + 1, F.lit(1)) == "("
+            size = F.aggregate(_pieces(rest), start, step, lambda state: state["size"])
+            return F.when(deeper, F.substr(rest, F.lit(1), size)).otherwise(flat)
 
+        return _bound(F.regexp_extract(rest, _FLAT_BODY, 0), checked)
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
+    whole = _bound(part(bare, rf"{CREATE_TABLE}([\s\S]*+)", 3), inside_of)
+    return _bound(whole, lambda body: F.when(body != "", body))
 
 
 def _running(items: Column, zero: Column, kind: str, step) -> Column:
@@ -229,8 +239,10 @@ def _running(items: Column, zero: Column, kind: str, step) -> Column:
 def body_items(body: Column) -> Column:
     """Items of a table body, cut at commas outside parentheses.
 
-    The depth is followed over all pieces once; the commas of depth 0 are then
-    swapped for a private character, and the text is split there.
+    Groups of one or two levels stay in the pieces, so most bodies have nothing
+    else to follow. Else the depth is followed over all pieces once; the commas
+    of depth 0 are then swapped for a private character, and the text is split
+    there.
     """
 
     def cut_up(pieces: Column) -> Column:
@@ -241,10 +253,15 @@ def body_items(body: Column) -> Column:
                 pieces, lambda p, i: F.when((p == ",") & (F.get(depth, i) == 0), _CUT).otherwise(p)
             ),
         )
-        return F.split(F.array_join(marked, ""), _CUT, -1)
+        nested = F.array_contains(pieces, "(") | F.array_contains(pieces, ")")
+        split = F.split(F.array_join(marked, ""), _CUT, -1)
+        return F.when(nested, split).otherwise(F.filter(pieces, lambda p: p != ","))
+
+    def listed(text: Column) -> Column:
+        items = _bound(F.regexp_extract_all(text, F.lit(_BODY_PIECE), F.lit(0)), cut_up)
+        return F.when(text.isNotNull(), F.filter(F.transform(items, lambda s: F.trim(s)), lambda s: s != ""))
 
-    items = _bound(F.regexp_extract_all(body, F.lit(_BODY_PIECE), F.lit(0)), cut_up)
-    return F.when(body.isNotNull(), F.filter(F.transform(items, lambda s: F.trim(s)), lambda s: s != ""))
+    return _bound(body, listed)
 
 
 _ADDS = r"(?i)^(?:WITH\s+(?:NO)?CHECK\s+)?ADD\b"

@@ -6,7 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lakescribe.operators import assemble, store
+from lakescribe.functions import ddl_text as D
+from lakescribe.operators import assemble, search, store
 from lakescribe.plans import QUERIES, fleet, text_queries
 
 
@@ -58,3 +59,38 @@ def test_saved_documents_have_bounded_rows(spark, fleet_dir, monkeypatch):
     assert QUERIES["f1_flatten_documents"](spark, fleet_dir).count() == 40
     n = QUERIES["k1_documents"](spark, fleet_dir).collect()
     assert sorted((r.schema_name, r.n_tables) for r in n) == [(f"s{i}", 10) for i in range(4)]
+
+
+def test_bodies_of_any_nesting(spark):
+    """Flat bodies take a short way; it gives what the count of parentheses gives."""
+    bodies = ["a INT, b DECIMAL(10, 2), CHECK ((a) > (b))", "a INT, CHECK (((a, (b))), c INT), d", "a INT, (b, c", "", " ,a,, b ,", "a) , b"]
+    rest = {"a) , b": "a"}
+    rows = spark.createDataFrame([(i, f"CREATE TABLE t ({b}) ON [x](y)") for i, b in enumerate(bodies)], "i int, bare string")
+    got = {r.i: r.items for r in rows.select("i", D.body_items(D.create_body(F.col("bare"))).alias("items")).collect()}
+    expected = {}
+    for i, body in enumerate(bodies):
+        text, depth, items, one = f"{rest.get(body, body)}) ON [x](y)", 0, [], ""
+        for x in text:
+            depth += (x == "(") - (x == ")")
+            if depth < 0:
+                break
+            if x == "," and depth == 0:
+                items.append(one)
+                one = ""
+            else:
+                one += x
+        expected[i] = [x.strip() for x in [*items, one] if x.strip()] if body else None
+    assert got == expected
+    plan = rows.select(D.body_items(D.create_body(F.col("bare"))).alias("i"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CREATE") == 1  # the statement is searched once
+
+
+def test_a_page_lists_only_the_ranges_it_touches(spark, tmp_path):
+    df = spark.range(100).withColumn("v", F.col("id") * 2)
+    search.write_page_index(df, str(tmp_path / "i"), ["id"], rows_per_range=10)
+    page = search.indexed_page(spark, str(tmp_path / "i"), 7, 5, ["id"])
+    assert [tuple(r) for r in page.collect()] == [(i, 2 * i) for i in range(30, 35)]
+    assert len(page.inputFiles()) <= 2
+    folders = {os.path.basename(os.path.dirname(f)) for f in page.inputFiles()}
+    relation = page._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation()
+    assert folders and relation.location().rootPaths().size() == len(folders)
