@@ -15,6 +15,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakescribe.operators.skew import grown
+from lakescribe.session import materialized
 
 # Fields a system that is already stored takes from the new extract; the others
 # keep their first value (fixed values).
@@ -127,6 +128,30 @@ def save_each_document(docs: DataFrame, directory: str, label: str) -> str:
     return path
 
 
+def save_each_document_in_pieces(pieces: DataFrame, directory: str, label: str) -> str:
+    """``save_each_document`` of the rows of ``document_pieces``: a file per document, which is never one row.
+
+    One task writes a file, piece by piece, in the order of ``place``; pieces
+    that don't fit its memory are sorted on disk. Spark's writer ends every row
+    with a separator, so the closing brace that ends every piece is the
+    separator. A line end would need a row of its own, so it stands before the
+    text instead of behind it: the size is that of the text and one line end.
+    """
+    path = os.path.join(directory, run_name(label))
+    # Spark's writer sorts anew, without the places, where a folder's name may be null or is known to be a constant
+    stored = materialized(pieces.select(*DOCUMENT, "place", "piece"), "pieces")
+    named = stored.withColumns({f"_no_{c}": F.col(c).isNull() for c in DOCUMENT[:2]}).withColumns(
+        {c: F.coalesce(c, F.lit("")) for c in DOCUMENT[:2]}
+    )
+    ordered = named.repartition(*DOCUMENT).sortWithinPartitions(*DOCUMENT, *[f"_no_{c}" for c in DOCUMENT[:2]], "place")
+    unclosed = F.substr("piece", F.lit(1), F.length("piece") - 1)
+    line_end = F.when(F.col("place") == 1, "\n").otherwise("")
+    ordered.select(*DOCUMENT, F.concat(line_end, unclosed).alias("value")).write.partitionBy(*DOCUMENT).option(
+        "lineSep", "}"
+    ).text(path)
+    return path
+
+
 def saved_files(spark: SparkSession, path: str) -> DataFrame:
     """Name and size of every file of a run, from the listing alone."""
     return (

@@ -614,9 +614,8 @@ def document_texts(spark, sf_dir):
 )
 def saved_documents(spark, sf_dir):
     """A file per document, its size as the folder lists it: the text and one line end."""
-    t, c = flat(spark, sf_dir, True)
-    docs = store.document_json(assemble.documents(t, c), _systems(spark))
-    path = store.save_each_document(docs, shared_dir(spark, "documents"), "fleet")
+    pieces = store.document_pieces(assemble.document_tables(*flat(spark, sf_dir, True)), _systems(spark))
+    path = store.save_each_document_in_pieces(pieces, shared_dir(spark, "documents"), "fleet")
     schema = F.regexp_extract("saved_to", "/schema_name=([^/]+)/", 1).alias("schema_name")
     return store.saved_files(spark, path).groupBy(schema).agg(
         F.count("*").alias("n_files"), F.sum("size_bytes").alias("size_bytes")

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakescribe.functions import ddl_text as D
-from lakescribe.operators import assemble, search, store
-from lakescribe.plans import QUERIES, fleet, text_queries
+from lakescribe.operators import assemble, ddl, search, store
+from lakescribe.plans import QUERIES, fleet, script_queries, text_queries
 
 
 @pytest.fixture(scope="module")
@@ -52,6 +52,23 @@ def test_documents_in_pieces_are_the_whole_texts(spark, fleet_dir):
     assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in whole.items()}
 
 
+def test_files_of_documents_in_pieces(spark, fleet_dir, tmp_path):
+    """Files have the whole texts, also of schemas without a name, though no row does."""
+    t, c = fleet.flat_tables(spark, fleet_dir), fleet.flat_columns(spark, fleet_dir, True)
+    for schema, name in (("s1", None), ("s2", "")):
+        t, c = [df.withColumn("schema_name", F.when(F.col("schema_name") == schema, name).otherwise(F.col("schema_name"))) for df in (t, c)]
+    systems = text_queries._systems(spark)
+    rows = assemble.document_tables(t, c, rows_per_range=7)
+    pieces = store.document_pieces(rows, systems).repartition(5, "piece")
+    path = store.save_each_document_in_pieces(pieces, str(tmp_path), "run")
+    files = {r.saved_to: r.size_bytes for r in store.saved_files(spark, path).collect()}
+    got = sorted(r.value for r in spark.read.text(path).collect() if r.value)
+    expected = [r.doc for r in store.document_pieces(rows, systems).groupBy("schema_name").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"]), "").alias("doc")).collect()]
+    assert got == sorted(expected) and len(got) == 4 and len(files) == 3
+    assert sum(files.values()) == sum(len(text.encode()) + 1 for text in got)
+
+
 def test_saved_documents_have_bounded_rows(spark, fleet_dir, monkeypatch):
     monkeypatch.setattr(text_queries, "TABLES_PER_PART", 3)
     read = spark.read.text(text_queries._saved(spark, fleet_dir))
@@ -94,3 +111,33 @@ def test_a_page_lists_only_the_ranges_it_touches(spark, tmp_path):
     folders = {os.path.basename(os.path.dirname(f)) for f in page.inputFiles()}
     relation = page._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation()
     assert folders and relation.location().rootPaths().size() == len(folders)
+
+
+def test_facts_of_statements_are_read_once(spark, fleet_dir):
+    """Keys, columns and chunks come from written tables, not from scripts or statements parsed again."""
+    found = script_queries.stored(spark, fleet_dir)
+    _, columns = ddl.catalog(found, "dbo", ddl.written_items(found))
+    plan = columns._jdf.queryExecution().optimizedPlan().toString()
+    assert "CREATE" not in plan and "^ALTER" not in plan
+    chunks = QUERIES["w2_statement_chunks"](spark, fleet_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in chunks.lower() and "p_partkey" not in chunks
+
+
+def test_patterns_stay_cheap(spark):
+    """No class of all characters over a whole body, and what is rare is looked for before it is matched."""
+    row = spark.createDataFrame([("CREATE TABLE a (b INT)", "INT REFERENCES [x].[y] (z)")], "bare string, rest string")
+    plan = row.select(D.create_body(F.col("bare")))._jdf.queryExecution().analyzed().toString()
+    assert r"[\s\S]*+" not in plan
+    got = row.select(D.inline_reference(F.col("rest"), "dbo").alias("r")).first().r
+    assert tuple(got) == ("x", "y", "z")
+
+
+def test_white_space_of_unicode(spark):
+    """Blanks of any kind are trimmed and made one, in texts with and without other characters beyond ASCII."""
+    white = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000"
+    rows = [(0, f"{white}a {white} b{white};;{white}"), (1, "\ta\r\n  b \x1cc\n"), (2, "é\u200b a")]
+    df = spark.createDataFrame(rows, "i int, text string")
+    got = {r.i: (r.s, r.b) for r in df.select("i", D.statements_of(F.col("text")).alias("s"), D.without_literals(F.col("text")).alias("b")).collect()}
+    assert got[0] == ([f"a {white} b"], "a b ;;")
+    assert got[1] == (["a\r\n  b \x1cc"], "a b \x1cc")
+    assert got[2] == (["é\u200b a"], "é\u200b a")
