@@ -389,7 +389,8 @@ def last_create(spark, sf_dir):
 )
 def statement_chunks(spark, sf_dir):
     """DDL of seven large files in chunks of fifteen."""
-    kept = stmts(spark, sf_dir).filter("is_ddl").select(
+    # written first: rows are numbered over several passes
+    kept = stored(spark, sf_dir).filter("is_ddl").select(
         "system_name",
         F.concat(F.lit("f"), (F.col("path").cast("bigint") % 7).cast("string")).alias("path"),
         F.col("path").alias("script"),
