@@ -26,6 +26,9 @@ _STEERING = ";,()\n"
 _PRIVATE = "\ue000\ue001\ue002\ue003\ue004"
 _CUT = "\ue005"
 
+# All of Unicode's white space.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Patterns of the statements and keys that are read (fixed values).
 CREATE_TABLE = rf"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{DOTTED}\s*\("
 ALTER_TABLE = rf"(?i)^ALTER\s+TABLE\s+{DOTTED}"
@@ -103,7 +106,9 @@ def masked_script(text: Column) -> Column:
 
 
 def unmasked(text: Column) -> Column:
-    return F.translate(text, _PRIVATE, _STEERING)
+    for private, steering in zip(_PRIVATE, _STEERING):  # a search for bytes, where ``translate`` looks up every character
+        text = F.replace(text, F.lit(private), F.lit(steering))
+    return text
 
 
 def batch_separators(text: Column) -> Column:
@@ -114,14 +119,19 @@ def batch_separators(text: Column) -> Column:
 def statements_of(masked: Column) -> Column:
     """Array of the non-empty statements of a masked script."""
     pieces = F.split(masked, ";", -1)
-    trimmed = F.transform(pieces, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    trimmed = F.transform(pieces, lambda s: F.trim(s, F.lit(_WHITE)))
     return F.filter(trimmed, lambda s: s != "")
 
 
 def without_literals(masked: Column) -> Column:
     """One-line text in which every literal is empty, for matching keywords."""
     bare = F.regexp_replace(masked, r"'[^']*+(?:'|\z)", "''")
-    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+
+    def one_line(text: Column) -> Column:
+        ascii_only = F.octet_length(text) == F.length(text)  # Unicode's classes are matched several times as slowly
+        return F.when(ascii_only, F.regexp_replace(text, r"\s++", " ")).otherwise(F.regexp_replace(text, r"(?U)\s++", " "))
+
+    return F.trim(one_line(bare))
 
 
 def statement_kind(bare: Column) -> Column:
@@ -157,9 +167,9 @@ def used_database(bare: Column) -> Column:
 
 def clean_name(name: Column) -> Column:
     """An identifier without quotes and without a trailing ASC / DESC."""
+    # each step holds the one before once: what is matched in a list is worked out as often as it is written
     s = F.trim(F.regexp_replace(F.trim(name), r"(?i)\s+(?:ASC|DESC)\s*$", ""))
-    quoted = F.regexp_extract(s, r'^(?:\[([^\]]+)\]|"([^"]+)"|`([^`]+)`)', 0)
-    return F.when(quoted != "", F.substr(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(s)
+    return F.regexp_replace(s, r'(?s)^(?:\[([^\]]+)\]|"([^"]+)"|`([^`]+)`).*$', "$1$2$3")
 
 
 def part(text: Column, pattern: str, group: int) -> Column:
@@ -204,7 +214,8 @@ def create_body(bare: Column) -> Column:
 
         return _bound(F.regexp_extract(rest, _FLAT_BODY, 0), checked)
 
-    whole = _bound(part(bare, rf"{CREATE_TABLE}([\s\S]*+)", 3), inside_of)
+    # a dot for any character is a plain loop; a class of all characters is matched twenty times as slowly
+    whole = _bound(part(bare, rf"{CREATE_TABLE}(?s:(.*+))", 3), inside_of)
     return _bound(whole, lambda body: F.when(body != "", body))
 
 
@@ -325,13 +336,34 @@ def column_rest(item: Column) -> Column:
 
 def base_type(rest: Column) -> Column:
     """Declared type without its size, in upper case."""
-    flat = F.translate(rest, "[]", "")
-    several = part(flat, rf"(?i)^(?:{_LONG_TYPES})\b", 0)
-    first = clean_name(F.regexp_extract(flat, r"^([^\s(]+)", 1))
-    name = F.upper(F.regexp_replace(F.coalesce(several, F.nullif(first, F.lit(""))), r"\s+", " "))
+    bracketed = rest.contains("[") | rest.contains("]")
+    flat = F.when(bracketed, F.translate(rest, "[]", "")).otherwise(rest)
+    first = F.regexp_extract(flat, rf"(?i)^(?:(?:{_LONG_TYPES})\b|[^\s(]+)", 0)
+    unquoted = F.regexp_replace(first, r'(?s)^(?:"([^"]+)"|`([^`]+)`).*$', "$1$2")
+    name = F.nullif(F.upper(F.regexp_replace(unquoted, r"\s+", " ")), F.lit(""))
     return F.coalesce(name, F.lit("UNKNOWN"))
 
 
+def inline_reference(rest: Column, default_schema: str) -> Column:
+    """(schema, table, column) that a column's definition refers to, null where it refers to none.
+
+    Few columns refer to others. Their names are read in a list of what was
+    matched, empty for the rest, so that it costs those next to nothing and
+    the code for all facts of a column stays small enough to be compiled.
+    """
+    refers = F.when(F.upper(rest).contains("REFERENCES"), F.regexp_extract(rest, rf"(?i){REFERENCES}", 0))
+    name = lambda held, group: clean_name(F.regexp_extract(held, rf"(?i){REFERENCES}", group))
+    found = F.transform(
+        F.filter(F.array(refers), lambda held: held != ""),
+        lambda held: F.struct(
+            F.when(F.regexp_extract(held, rf"(?i){REFERENCES}", 1) == "", default_schema).otherwise(name(held, 1)).alias("schema"),
+            name(held, 2).alias("table"),
+            name(held, 3).alias("column"),
+        ),
+    )
+    return F.get(found, 0)
+
+
 def name_list(text: Column) -> Column:
     return F.transform(F.split(text, ","), clean_name)
 

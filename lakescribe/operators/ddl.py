@@ -134,7 +134,6 @@ def _is_column() -> Column:
 
 def _columns(items: DataFrame, default_schema: str) -> DataFrame:
     rest = F.col("_rest")
-    target = D.clean_name(D.part(rest, rf"(?i){D.REFERENCES}", 2))
     has = lambda words: rest.rlike(rf"(?i)\b{words}\b")
     return items.filter(_is_column()).select(
         *TABLE,
@@ -146,16 +145,7 @@ def _columns(items: DataFrame, default_schema: str) -> DataFrame:
         has("UNIQUE").alias("unique"),
         has("IDENTITY").alias("is_generated"),
         has(r"PRIMARY\s+KEY").alias("primary_key"),
-        F.when(
-            target.isNotNull(),
-            F.struct(
-                F.coalesce(
-                    D.clean_name(D.part(rest, rf"(?i){D.REFERENCES}", 1)), F.lit(default_schema)
-                ).alias("schema"),
-                target.alias("table"),
-                D.clean_name(D.part(rest, rf"(?i){D.REFERENCES}", 3)).alias("column"),
-            ),
-        ).alias("references"),
+        D.inline_reference(rest, default_schema).alias("references"),
     )
 
 
@@ -168,7 +158,7 @@ def _alters(stmts: DataFrame, found: DataFrame, default_schema: str) -> DataFram
     """
     bare = F.col("bare")
     seq = F.struct(*SEQ)
-    asked = (
+    asked = materialized(
         stmts.filter(F.col("kind") == "alter")
         .withColumn("table_name", D.clean_name(D.part(bare, D.ALTER_TABLE, 2)))
         .filter(F.col("table_name").isNotNull())
@@ -180,7 +170,8 @@ def _alters(stmts: DataFrame, found: DataFrame, default_schema: str) -> DataFram
             "table_name",
             *SEQ,
             F.regexp_replace(bare, D.ALTER_TABLE, "").alias("rest"),
-        )
+        ),
+        "alters",
     )
     spans = found.groupBy(*TABLE).agg(F.min(seq).alias("_first"), F.max(seq).alias("_last"))
     exact = lookup(asked, grown(spans), TABLE)
@@ -274,7 +265,9 @@ def key_rows(
     found = creates(stmts, default_schema)
     items = _items(last_creates(found)) if items is None else items
     inside = _keys(items.filter(~_is_column()), "item", False, default_schema)
-    alters = _alters(stmts, found, default_schema).select(
+    # which table a statement makes is asked five times, and read from its text once
+    heads = materialized(found.drop("bare"), "creates")
+    alters = _alters(stmts, heads, default_schema).select(
         *TABLE, *SEQ, F.posexplode(D.added_items(F.col("rest"))).alias("pos", "item")
     )
     return inside.unionByName(_keys(alters, "item", True, default_schema))
