@@ -43,17 +43,22 @@ def normalize_tables(raw: DataFrame) -> DataFrame:
 
 
 def _fields(raw: DataFrame) -> DataFrame:
-    """Columns of both shapes as one set of VARIANT fields; other shapes go."""
+    """Columns of both shapes as one set of VARIANT fields; other shapes go.
+
+    The shape is read where rows are generated, not in a filter: Spark moves a
+    filter below the step that parses the text, and then parses it twice.
+    """
     v = F.col("raw")
-    shaped = raw.withColumn("_kind", json_text.variant_kind(v)).filter(
-        F.col("_kind").isin("OBJECT", "ARRAY")
-    )
-    is_array = F.col("_kind") == "ARRAY"
     items = _get(v, "$", "array<variant>")
-    width = F.size(items)
+    is_object = _get(v, "$", "struct<column_name: variant>").isNotNull()
+    shaped = raw.select(
+        "*", F.inline(F.when(items.isNotNull() | is_object, F.array(F.struct(items.alias("_items")))))
+    )
+    is_array = F.col("_items").isNotNull()
+    width = F.size("_items")
 
     def at(i: int) -> Column:
-        return F.when(is_array & (width > i), F.get(items, i))
+        return F.when(is_array & (width > i), F.get("_items", i))
 
     def named(name: str) -> Column:
         if name in POSITIONS:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakescribe.functions import ddl_text as D
-from lakescribe.operators import assemble, ddl, search, store
+from lakescribe.operators import assemble, ddl, normalize, search, store
 from lakescribe.plans import QUERIES, fleet, script_queries, text_queries
 
 
@@ -141,3 +141,14 @@ def test_white_space_of_unicode(spark):
     assert got[0] == ([f"a {white} b"], "a b ;;")
     assert got[1] == (["a\r\n  b \x1cc"], "a b \x1cc")
     assert got[2] == (["é\u200b a"], "é\u200b a")
+
+
+def test_loose_columns_are_parsed_once(spark, fleet_dir):
+    """Rows of other shapes go without a filter that Spark would move below the parser."""
+    for name in ("n2_column_shapes", "n4_reference_fields"):
+        plan = QUERIES[name](spark, fleet_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1 and "SchemaOfVariant" not in plan
+    texts = ['{"column_name":"a"}', "{}", '["b","INT"]', "[]", '"[1]"', "7", "true", "null", None]
+    rows = spark.createDataFrame([("s", "x", "t", i, v) for i, v in enumerate(texts)], "system_name string, schema_name string, table_name string, seq int, j string")
+    got = normalize.normalize_columns(rows.withColumn("raw", F.parse_json("j")).drop("j")).select("ordinal", "column_name", "data_type")
+    assert sorted(map(tuple, got.collect())) == [(1, "a", None), (2, None, None), (3, "b", "INT"), (4, None, None)]
