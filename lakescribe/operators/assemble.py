@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lakescribe import model
 from lakescribe.functions import scalars
 from lakescribe.operators.ordering import ROWS_PER_RANGE, row_numbers
-from lakescribe.operators.skew import grown, lookup
+from lakescribe.operators.skew import grown, hashed, lookup
 
 KEY, TABLE = model.COLUMN_KEY, model.TABLE_KEY
 
@@ -23,12 +23,12 @@ def decoded_distinct(n_distinct: Column, row_count: Column) -> Column:
 
 def with_primary(columns: DataFrame, primary: DataFrame) -> DataFrame:
     keys = primary.select(*KEY).distinct().withColumn("primary_key", F.lit(True))
-    return columns.join(grown(keys), KEY, "left").fillna(False, ["primary_key"])
+    return columns.join(hashed(keys), KEY, "left").fillna(False, ["primary_key"])
 
 
 def with_unique(columns: DataFrame, unique: DataFrame) -> DataFrame:
     keys = unique.select(*KEY).distinct().withColumn("unique", F.lit(True))
-    return columns.join(grown(keys), KEY, "left").fillna(False, ["unique"])
+    return columns.join(hashed(keys), KEY, "left").fillna(False, ["unique"])
 
 
 def with_references(columns: DataFrame, foreign: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def with_references(columns: DataFrame, foreign: DataFrame) -> DataFrame:
         F.col("ref_column").alias("column"),
     )
     chosen = foreign.groupBy(*KEY).agg(F.min(target).alias("references"))
-    return columns.join(grown(chosen), KEY, "left").withColumn(
+    return columns.join(hashed(chosen), KEY, "left").withColumn(
         "foreign_key", F.col("references").isNotNull()
     )
 
@@ -51,7 +51,7 @@ def with_distinct(columns: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def of_known_tables(columns: DataFrame, tables: DataFrame) -> DataFrame:
     """Columns whose table is listed, with its row count."""
-    return lookup(columns, grown(tables.select(*TABLE, "row_count")), TABLE, "inner")
+    return lookup(columns, hashed(tables.select(*TABLE, "row_count")), TABLE, "inner")
 
 
 def with_volumes(tables: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -62,6 +62,8 @@ def assemble(parts: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFra
     """Tables, columns and all foreign keys from the parts of a source.
 
     The four look-ups share one key, so the columns are shuffled once for them.
+    Few columns are keys, and a table has many columns: those sides are hashed,
+    so that columns aren't sorted for them. Statistics may be as many as columns.
     """
     tables = model.conform(
         parts["tables"].withColumn("size", scalars.format_size("size_bytes")), model.TABLES
@@ -88,7 +90,8 @@ def with_known_flags(columns: DataFrame, status: DataFrame) -> DataFrame:
         .groupBy("system_name")
         .agg(F.collect_set("part").alias("_closed"))  # at most one entry per kind of part
     )
-    joined = lookup(columns, closed, ["system_name"])
+    # one row per system that is closed; a shuffle would gather a system's columns in one task
+    joined = lookup(columns, F.broadcast(closed), ["system_name"])
     known = {
         flag: F.when(F.col(flag) | ~F.coalesce(F.array_contains("_closed", part), F.lit(False)), F.col(flag))
         for part, flag in flags.items()

@@ -16,6 +16,15 @@ def grown(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join with few rows for each of the other side's many: never broadcast, and hashed.
+
+    A task holds its share of ``df`` in memory, and rows of the other side
+    pass by; a merge would sort them, which takes memory for them all.
+    """
+    return df.hint("shuffle_hash")
+
+
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join ``left`` with ``right``, which holds at most one row per key.
 

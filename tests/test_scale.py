@@ -152,3 +152,11 @@ def test_loose_columns_are_parsed_once(spark, fleet_dir):
     rows = spark.createDataFrame([("s", "x", "t", i, v) for i, v in enumerate(texts)], "system_name string, schema_name string, table_name string, seq int, j string")
     got = normalize.normalize_columns(rows.withColumn("raw", F.parse_json("j")).drop("j")).select("ordinal", "column_name", "data_type")
     assert sorted(map(tuple, got.collect())) == [(1, "a", None), (2, None, None), (3, "b", "INT"), (4, None, None)]
+
+
+def test_columns_are_not_sorted_for_their_keys(spark, fleet_dir):
+    """Keys and tables are hashed, and the few systems sent along: no task sorts columns or gathers those of a system."""
+    plan = QUERIES["a19_unknown_keys"](spark, fleet_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+    joins = [line.lstrip(" :+-") for line in plan if "Join [" in line]
+    assert joins[0].startswith("BroadcastHashJoin [system_name")
+    assert len(joins[1:5]) == 4 and all(j.startswith("ShuffledHashJoin") and "BuildRight" in j for j in joins[1:5])
