@@ -7,12 +7,17 @@ the pieces that stop with it. The counts of three and two words follow in the
 same way from the nodes. Edges of equal weight that follow each other without
 a branch are compacted to one path.
 
-Three scans of the texts: the first counts words, and pairs of neighbours in a
+Four scans of the texts: the first counts words, and pairs of neighbours in a
 table of buckets of fixed size; the second counts triples of possibly frequent
-pairs in the same way; the third makes edges only where pairs and triples can
-be frequent, and ends a run of words where they can't. A bucket counts at
-least what each of its members does, so no frequent phrase is lost, and the
-counts of frequent phrases are exact at every size.
+pairs in the same way, the third runs of four; the last makes edges only where
+all of these can be frequent, and ends a run of words where they can't. A
+bucket counts at least what each of its members does, so no frequent phrase is
+lost, and the counts of frequent phrases are exact at every size.
+
+A phrase can't score more than 1000 * words / count of its first or last word,
+so phrases that begin or end with a common word are out of reach of the best.
+Two and three words that are all common are counted only for languages whose
+best turn out not to be that good, by a scan of their texts alone.
 """
 
 from __future__ import annotations
@@ -40,6 +45,9 @@ RANGE_BITS = 12
 #: Distinct words or phrases, and buckets, that a task holds before it passes its counts on.
 HELD, HELD_BUCKETS = 300_000, 1_000_000
 
+#: Times ``least``: words that occur up to so often are looked at first.
+RARE = 20
+
 #: Parts of a language that are ranked by themselves before the best of all are.
 SALTS = 256
 
@@ -104,6 +112,18 @@ def _triples(pairs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(pairs[:-1] & pairs[1:])
 
 
+def _frequent(hashes: np.ndarray, at: np.ndarray, m: int, bits: np.ndarray) -> np.ndarray:
+    """Whether m possibly frequent words begin at a word; of the places ``at`` alone."""
+    out = np.zeros(len(hashes) + 2, bool)
+    out[at[_possible(bits, _buckets(hashes, at, m))]] = True
+    return out
+
+
+def _fours(triples: np.ndarray) -> np.ndarray:
+    """Places of four words that are two possibly frequent triples."""
+    return np.flatnonzero(triples[:-1] & triples[1:])
+
+
 def _counted(lang: str, held: Counter) -> pa.RecordBatch:
     n = len(held)
     return pa.RecordBatch.from_arrays(
@@ -198,6 +218,38 @@ def triples(docs: DataFrame, pair_bits: np.ndarray) -> DataFrame:
     return _texts(docs).mapInArrow(scan, _SCHEMA)
 
 
+def fours(docs: DataFrame, pair_bits: np.ndarray, triple_bits: np.ndarray) -> DataFrame:
+    """Counts of runs of four words by bucket, where both triples may be frequent."""
+    shared = docs.sparkSession.sparkContext.broadcast((pair_bits, triple_bits))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+        for batch in batches:
+            for lang, column in _by_lang(batch):
+                for _, data, offsets in T.slices(column, 1 << 20):
+                    _, _, hashes, follows = _words(data, offsets, lang)
+                    three = _frequent(hashes, _triples(_pairs(hashes, follows, shared.value[0])), 3, shared.value[1])
+                    yield from held.add(_buckets(hashes, _fours(three), 4))
+        yield held.out()
+
+    return _texts(docs).mapInArrow(scan, _SCHEMA)
+
+
+def _word_buckets(words: DataFrame) -> np.ndarray:
+    """Bits of the buckets of the words (lang, phrase)."""
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
+        for batch in batches:
+            for lang, column in _by_lang(batch):
+                for _, data, offsets in T.slices(column, 1 << 20):
+                    hashes = _words(data, offsets, lang)[2]
+                    yield from held.add(_buckets(hashes, np.arange(len(hashes)), 1))
+        yield held.out()
+
+    return _frequent_buckets(words.select("lang", "phrase").mapInArrow(mark, _SCHEMA), 1)
+
+
 def all_buckets() -> np.ndarray:
     """The filter that holds nothing back."""
     return np.full((1 << BUCKET_BITS) // 8, 255, np.uint8)
@@ -236,28 +288,56 @@ def _frequent_buckets(scanned: DataFrame, least: int) -> np.ndarray:
 
 
 def _runs(
-    data: np.ndarray, offsets: np.ndarray, lang: str, pair_bits: np.ndarray, triple_bits: np.ndarray
+    data: np.ndarray,
+    offsets: np.ndarray,
+    lang: str,
+    pair_bits: np.ndarray,
+    triple_bits: np.ndarray,
+    four_bits: np.ndarray | None,
+    rare_bits: np.ndarray | None,
 ) -> Iterator[list[bytes]]:
-    """For every run of possibly frequent pairs the longest phrases from each of its words that may be frequent."""
+    """For every run of possibly frequent pairs the longest phrases from each of its words that may be frequent.
+
+    Two or three words of which none is rare are left out.
+    """
     starts, ends, hashes, follows = _words(data, offsets, lang)
     pairs = _pairs(hashes, follows, pair_bits)
-    on = np.zeros(len(pairs) + LONGEST, bool)
-    at = _triples(pairs)
-    on[at[_possible(triple_bits, _buckets(hashes, at, 3))]] = True
-    reach, further = np.full(len(pairs), 2), np.ones(len(pairs), bool)
-    for i in range(LONGEST - 2):
-        further &= on[i : i + len(pairs)]
-        reach += further
+    n = len(pairs)
+    three = _frequent(hashes, _triples(pairs), 3, triple_bits)
+    at = _fours(three)
+    four = np.zeros(n + 2, bool)
+    four[at] = True
+    if four_bits is not None:
+        four = _frequent(hashes, at, 4, four_bits)
+    reach = 2 + three[:n] + four[:n] + (four[:n] & four[1 : n + 1])
+    if rare_bits is not None:
+        within = pairs.copy()
+        within[1:] |= pairs[:-1]
+        within = np.flatnonzero(within)
+        rare = np.zeros(n + 2, bool)
+        rare[within] = _possible(rare_bits, _buckets(hashes, within, 1))
+        reach[~(rare[:n] | rare[1 : n + 1] | (reach == 3) & rare[2:] | (reach > 3))] = 0
     edge = np.diff(np.concatenate([[False], pairs, [False]]).astype(np.int8))
     text = data.tobytes().translate(_FOLD)
     for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
-        words = text[starts[a] : ends[b]].split()
-        yield [b" ".join(words[i : i + n]) for i, n in enumerate(reach[a:b].tolist())]
-
-
-def grams(docs: DataFrame, pair_bits: np.ndarray, triple_bits: np.ndarray) -> DataFrame:
-    """(lang, phrase, m, n): the edges of five words, and the two to four words that end a run, with their counts."""
-    shared = docs.sparkSession.sparkContext.broadcast((pair_bits, triple_bits))
+        if reach[a:b].any():
+            words = text[starts[a] : ends[b]].split()
+            yield [b" ".join(words[i : i + n]) for i, n in enumerate(reach[a:b].tolist()) if n]
+
+
+def grams(
+    docs: DataFrame,
+    pair_bits: np.ndarray,
+    triple_bits: np.ndarray,
+    four_bits: np.ndarray | None = None,
+    rare_bits: np.ndarray | None = None,
+) -> DataFrame:
+    """(lang, phrase, m, n): the edges of five words, and the two to four words that end a run, with their counts.
+
+    With ``rare_bits``, runs of two and three words need one whose bucket is set;
+    the counts of phrases that hold such a word, and of four and five words, are whole.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((pair_bits, triple_bits, four_bits, rare_bits))
     names = ["lang", "phrase", "m", "n"]
 
     def batch(lang: str, held: Counter) -> pa.RecordBatch:
@@ -378,6 +458,11 @@ def collocations(docs: DataFrame, least: int = 100, percent: int = 100, best: in
     then a, both falling, then phrase), phrase, a, l, r, n, score, and
     path_words: words of the unary path of a phrase of five words, else null.
     An empty table gives no rows.
+
+    Phrases between words that occur up to ``RARE * least`` times are ranked
+    first. Where the last of the best scores more than any other phrase could,
+    that is the result; a language whose last doesn't, or that has fewer, is
+    ranked again with all words that can matter then.
     """
     scanned = materialized(_texts(docs).mapInArrow(_scan, _SCHEMA), "scan")
     words = materialized(
@@ -386,10 +471,47 @@ def collocations(docs: DataFrame, least: int = 100, percent: int = 100, best: in
         ),
         "words",
     )
-    totals = words.groupBy("lang").agg(F.sum("n").alias("all_words"))
     pair_bits = _frequent_buckets(scanned, least)
     triple_bits = _frequent_buckets(triples(docs, pair_bits), least)
-    edges = materialized(grams(docs, pair_bits, triple_bits), "edges")
+    four_bits = _frequent_buckets(fours(docs, pair_bits, triple_bits), least)
+    bits = pair_bits, triple_bits, four_bits
+    totals = words.groupBy("lang").agg(F.sum("n").alias("all_words"), F.max("n").alias("top"))
+    totals = materialized(totals.withColumn("most", F.lit(RARE * least).cast("long")), "totals")
+    found = materialized(_ranked(docs, words, totals, bits, least, percent, best), "found")
+    # Of n words, a phrase whose first or last word occurs c times scores 1000 * n / c at most.
+    lowest = found.filter(F.col("rank") == best).select("lang", "score")
+    reached = lookup(totals, lowest, ["lang"]).withColumn("needed", F.expr("1000 * all_words div nullif(score, 0)"))
+    again = materialized(
+        reached.filter("top > most AND (needed IS NULL OR needed > most)")
+        .select("lang", "all_words", F.col("needed").alias("most")),
+        "totals",
+    )
+    if again.isEmpty():
+        return found
+    own = F.broadcast(again.select("lang"))
+    more = _ranked(_texts(docs).join(own, "lang", "left_semi"), words, again, bits, least, percent, best)
+    return found.join(own, "lang", "left_anti").unionByName(more)
+
+
+def _ranked(
+    docs: DataFrame,
+    words: DataFrame,
+    totals: DataFrame,
+    bits: tuple[np.ndarray, np.ndarray, np.ndarray],
+    least: int,
+    percent: int,
+    best: int,
+) -> DataFrame:
+    """The best of the phrases whose first and last words occur ``most`` times or less, null for any.
+
+    ``totals`` has a row (lang, all_words, most) for every language of ``docs``.
+    Parts of such a phrase, and what is longer by a word, hold its first or last
+    word, so they are counted whole; other phrases of two and three words may not be.
+    """
+    known = words.filter(F.col("n") >= least)
+    rare = known.join(F.broadcast(totals.select("lang", "most")), "lang").filter("most IS NULL OR n <= most")
+    rare = materialized(rare.select("lang", "phrase"), "words")
+    edges = materialized(grams(docs, *bits, _word_buckets(rare)), "edges")
     levels = flows(edges)
     on_paths = paths(levels, least)
     frequent = {m: levels[m].filter(F.col("n") >= least) for m in levels}
@@ -409,19 +531,21 @@ def collocations(docs: DataFrame, least: int = 100, percent: int = 100, best: in
         .filter(F.col("longer").isNull() | (100 * F.col("longer") < percent * F.col("a")))
         .select("lang", "phrase", "m", "a")
     )
-    cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m") - 1))).withColumns(
+    for place in (1, -1):
+        candidates = candidates.withColumn("end", F.substring_index("phrase", " ", place))
+        candidates = lookup(candidates, rare.select("lang", F.col("phrase").alias("end")), ["lang", "end"], "left_semi")
+    cuts = candidates.drop("end").withColumn("k", F.explode(F.sequence(F.lit(1), F.col("m") - 1))).withColumns(
         {
             "head": F.expr("substring_index(phrase, ' ', k)"),
             "rest": F.expr("substring_index(phrase, ' ', k - m)"),
         }
     )
-    known = words.filter(F.col("n") >= least)
     for m in range(2, LONGEST):
         known = known.unionByName(frequent[m])
     known = materialized(known, "counts")
     cuts = lookup(cuts, known.select("lang", F.col("phrase").alias("head"), F.col("n").alias("l")), ["lang", "head"])
     cuts = lookup(cuts, known.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
-    cuts = lookup(cuts, totals.withColumnRenamed("all_words", "n"), ["lang"])
+    cuts = lookup(cuts, totals.select("lang", F.col("all_words").alias("n")), ["lang"])
     scored = (
         cuts.withColumn("score", score())
         .groupBy("lang", "phrase", "a", "n")

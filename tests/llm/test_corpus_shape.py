@@ -283,6 +283,30 @@ def test_collocations_of_a_long_text(spark):
     assert sorted(tuple(r) for r in got.select(*columns).collect()) == plain_phrases(rows, 100, 100, 2000)
 
 
+@pytest.mark.parametrize("times", [1, 3, 1000])
+def test_collocations_ranked_again(spark, monkeypatch, times):
+    # 1: no language is settled by its rarest words alone; 3: some are; 1000: all are
+    monkeypatch.setattr(phrases, "RARE", times)
+    rows = made_prose(7)
+    got = phrases.collocations(prose(spark, rows), 10, 100, 8)
+    columns = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == plain_phrases(rows, 10, 100, 8)
+
+
+def test_pairs_of_common_words_are_not_handed_on(spark, monkeypatch):
+    """Words that meet by chance make frequent pairs by the square of their number; none can be among the best."""
+    rng = random.Random(3)
+    common = [f"w{i}" for i in range(30)]
+    rows = [(" ".join(rng.choices(common, k=75)), "en") for _ in range(100)]
+    rows += [(f"r{i}a r{i}b", "en") for i in range(10) for _ in range(6)]
+    handed, grams = [], phrases.grams
+    monkeypatch.setattr(phrases, "grams", lambda *a: handed.append(grams(*a)) or handed[-1])
+    got = phrases.collocations(prose(spark, rows), 3, 100, 5)
+    columns = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == plain_phrases(rows, 3, 100, 5)
+    assert [h.count() < 100 for h in handed] == [True]
+
+
 def test_paths_of_phrases(spark):
     text = "p one two three four five six seven q. z one two three four five six seven y."
     rows = [(text, "en")] * 3 + [("one two three four five other", "en"), ("five six seven u v w t. five six seven u v w t", "de")]
