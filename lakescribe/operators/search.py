@@ -7,12 +7,14 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lakescribe.operators.ordering import ROWS_PER_RANGE, range_bounds, range_of, row_numbers
+from lakescribe.operators.ordering import ROWS_PER_RANGE, row_numbers
 from lakescribe.operators.skew import grown
 
 TABLE = ["system_name", "schema_name", "table_name"]
 ORDER = TABLE
 DEEP_PAGE = 100_000
+#: Rows of a file of a page index, about; a file holds several ranges.
+ROWS_PER_FILE = 100_000
 #: The column of a page index that names a row's range.
 RANGE = "range_of_index"
 
@@ -88,16 +90,25 @@ def write_page_index(
 ) -> None:
     """Store ``df`` in ranges of ``order``, with the place of each range's first row.
 
-    ``path`` must not exist. The keys in ``order`` must tell rows apart. A
-    range is a folder of its own, written by one task from about
-    ``rows_per_range`` rows, so no task holds more however large the catalogue.
+    ``path`` must not exist. The keys in ``order`` must tell rows apart. Rows
+    are sorted into files of about ``ROWS_PER_FILE``, or ``rows_per_range`` if
+    that is more, each written by one task; so no task holds more however large
+    the catalogue. Every ``rows_per_range`` rows of a file are a range, which
+    has pages of its own in the file, and readers find them by their numbers.
     """
-    ranged = df.withColumn(RANGE, range_of(df, order, range_bounds(df, order, rows_per_range)))
+    files = max(1, -(-df.count() // max(rows_per_range, ROWS_PER_FILE)))
+    # the row's place, with the partition's number above the lowest 33 bits
+    place = df.repartitionByRange(files, *order).sortWithinPartitions(*order).withColumn(RANGE, F.monotonically_increasing_id())
+    in_file = F.col(RANGE).bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = place.withColumn(RANGE, F.col(RANGE) - in_file + F.floor(in_file / rows_per_range))
     rows = os.path.join(path, "rows")
-    ranged.repartition(RANGE).sortWithinPartitions(RANGE, *order).write.partitionBy(RANGE).parquet(rows)
-    ranged.limit(0).write.parquet(os.path.join(path, "shape"))  # an empty catalogue has pages too, without rows
-    counted = df.sparkSession.read.schema(ranged.schema).parquet(rows).groupBy(F.col(RANGE).cast("long").alias(RANGE)).agg(F.count("*").alias("n"))
-    before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ranged.write.option("parquet.page.row.count.limit", min(rows_per_range, 20_000)).parquet(rows)
+    df.withColumn(RANGE, F.lit(0).cast("long")).limit(0).write.parquet(os.path.join(path, "shape"))  # an empty catalogue has pages too, without rows
+    counted = (
+        df.sparkSession.read.schema(ranged.schema).parquet(rows)
+        .groupBy(RANGE, F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n"))
+    )
+    before = Window.orderBy(RANGE, "file").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).write.parquet(os.path.join(path, "ranges"))
 
 
@@ -115,18 +126,15 @@ def indexed_page(
     touched = (
         spark.read.parquet(os.path.join(path, "ranges"))
         .filter((F.col("before") < start + size) & (F.col("before") + F.col("n") > start))
-        .select(RANGE, "before")
+        .select(RANGE, "file", "before")
         .collect()
     )
     shape = spark.read.parquet(os.path.join(path, "shape")).schema
-    rows = os.path.join(path, "rows")
-    # folders by name: an index has one for every few thousand rows, and reading the whole would list them all
-    folders = [os.path.join(rows, f"{RANGE}={r[RANGE]}") for r in touched]
-    if folders:
-        stored = spark.read.schema(shape).option("basePath", rows).parquet(*folders)
-    else:
-        stored = spark.read.schema(shape).parquet(os.path.join(path, "shape"))
-    found = stored.drop(RANGE)
+    # files by name: reading the whole folder would list them all
+    files = sorted({os.path.join(path, "rows", r["file"]) for r in touched}) or [os.path.join(path, "shape")]
+    numbers = [r[RANGE] for r in touched]
+    first, last = min(numbers, default=0), max(numbers, default=0)
+    found = spark.read.schema(shape).parquet(*files).filter(F.col(RANGE).between(first, last)).drop(RANGE)
     skipped = start - min((r["before"] for r in touched), default=start)
     return found.orderBy(*order).offset(skipped).limit(size)
 

@@ -113,6 +113,23 @@ def test_a_page_lists_only_the_ranges_it_touches(spark, tmp_path):
     assert folders and relation.location().rootPaths().size() == len(folders)
 
 
+def test_an_index_has_few_files_of_many_ranges(spark, tmp_path, monkeypatch):
+    """Files don't grow with the ranges, and of a file only the pages of the ranges touched are read."""
+    df = spark.range(3000).select(F.when(F.col("id") != 5, (F.col("id") * 7919) % 3000).alias("id"), F.lit("x").alias("v"))
+    search.write_page_index(df, str(tmp_path / "one"), ["id"], rows_per_range=50)
+    monkeypatch.setattr(search, "ROWS_PER_FILE", 500, raising=False)
+    search.write_page_index(df, str(tmp_path / "some"), ["id"], rows_per_range=50)
+    written = {n: [f for _, _, fs in os.walk(tmp_path / n / "rows") for f in fs if f.endswith(".parquet")] for n in ("one", "some")}
+    assert len(written["one"]) == 1 and 2 <= len(written["some"]) <= 6
+    expected = sorted(((r.id, r.v) for r in df.collect()), key=lambda r: -1 if r[0] is None else r[0])
+    for name in written:
+        for number, size in [(1, 10), (7, 60), (43, 70), (2, 2000), (9, 500)]:
+            page = search.indexed_page(spark, str(tmp_path / name), number, size, ["id"])
+            assert [tuple(r) for r in page.collect()] == expected[(number - 1) * size : number * size]
+            scan = page._jdf.queryExecution().executedPlan().collectLeaves().head()
+            assert scan.metrics().apply("numOutputRows").value() <= size + 100
+
+
 def test_facts_of_statements_are_read_once(spark, fleet_dir):
     """Keys, columns and chunks come from written tables, not from scripts or statements parsed again."""
     found = script_queries.stored(spark, fleet_dir)
