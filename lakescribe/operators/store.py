@@ -22,6 +22,9 @@ from lakescribe.session import materialized
 REFRESHED = ("metadata", "added_at")
 KEPT = ("owner_name", "user_id", "source_type")
 
+# Documents of a compressed file, so that readers have files enough to share.
+DOCUMENTS_PER_FILE = 16
+
 # What tells documents apart.
 DOCUMENT = ("system_name", "schema_name", "part")
 
@@ -108,10 +111,17 @@ def document_digests(pieces: DataFrame) -> DataFrame:
     return _in_order(pieces).select(*DOCUMENT, "piece").mapInPandas(run, kinds)
 
 
-def save_documents(docs: DataFrame, directory: str, label: str) -> str:
-    """Write one document per line into a new folder and return its path."""
+def save_documents(docs: DataFrame, directory: str, label: str, compression: str = "none") -> str:
+    """Write one document per line into a new folder and return its path.
+
+    A compressed file is read by one task from its start to its end, so it
+    holds ``DOCUMENTS_PER_FILE`` at most.
+    """
     path = os.path.join(directory, run_name(label))
-    docs.select(F.col("doc").alias("value")).write.text(path)
+    lines = docs.select(F.col("doc").alias("value")).write.option("compression", compression)
+    if compression != "none":
+        lines = lines.option("maxRecordsPerFile", DOCUMENTS_PER_FILE)
+    lines.text(path)
     return path
 
 

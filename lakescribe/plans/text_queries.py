@@ -666,7 +666,7 @@ def export_normalised(spark, sf_dir):
     """The normal form written as a document and read again."""
     t, c = flat(spark, sf_dir, True)
     docs = store.document_json(assemble.documents(t, normalize.normal_form(c), TABLES_PER_PART), _systems(spark))
-    path = store.save_documents(docs, shared_dir(spark, "export"), "fleet")
+    path = store.save_documents(docs, shared_dir(spark, "export"), "fleet", "gzip")
     found = document_source.document_lines(spark, path).withColumn("system_name", F.lit("fleet"))
     cols = normalize.normalize_columns(document_source.raw_columns(document_source.raw_tables(found)))
     return cols.groupBy("table_name").agg(

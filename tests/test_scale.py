@@ -102,6 +102,20 @@ def test_bodies_of_any_nesting(spark):
     assert plan.count("CREATE") == 1  # the statement is searched once
 
 
+def test_an_export_is_whole_and_compressed(spark, fleet_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_queries, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    monkeypatch.setattr(text_queries, "TABLES_PER_PART", 1)
+    monkeypatch.setattr(store, "DOCUMENTS_PER_FILE", 4, raising=False)
+    found = {r.table_name: (r.n_columns, r.n_pk) for r in QUERIES["k6_export_normalised"](spark, fleet_dir).collect()}
+    expected = fleet.flat_columns(spark, fleet_dir).groupBy("table_name").agg(F.count("*").alias("n"), F.count_if("primary_key").alias("p"))
+    assert found == {r.table_name: (r.n, r.p) for r in expected.collect()} and len(found) == 40
+    (path,) = (tmp_path / "export").iterdir()
+    lines = spark.read.text(str(path))
+    assert lines.count() == 40  # a document per table here
+    files = store.saved_files(spark, str(path)).collect()
+    assert len(files) >= 10 and sum(r.size_bytes for r in files) < lines.agg(F.sum(F.octet_length("value"))).first()[0] / 2
+
+
 def test_a_page_lists_only_the_ranges_it_touches(spark, tmp_path):
     df = spark.range(100).withColumn("v", F.col("id") * 2)
     search.write_page_index(df, str(tmp_path / "i"), ["id"], rows_per_range=10)
