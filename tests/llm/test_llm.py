@@ -4,12 +4,14 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from compare import connection, difference
@@ -31,7 +33,9 @@ from lakescribe.llm import (
     tokens,
     warc,
 )
+from lakescribe.llm import text as tx
 from lakescribe.llm.queries import ORACLES, QUERIES
+from lakescribe.session import materialized
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -89,6 +93,62 @@ def test_repeated_bytes(docs, window, often):
     assert sorted(rows, key=repr) == brute.repeats(ROWS, window, lambda t: list(t.encode()))
 
 
+def test_windows_of_frequent_seeds_in_unlike_texts(docs, monkeypatch):
+    """Only windows around long frequent strings become rows, not those that share a frequent seed and no more."""
+    rng = random.Random(5)
+    own = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    # the string of a seed's length with the smallest hash is the seed of all windows that hold it
+    seed = min((own(16) for _ in range(5000)), key=lambda x: tx.gram_hash(tx.byte_values(np.frombuffer(x.encode(), np.uint8)), 16)[0])
+    around = own(30), own(30)
+    grouped, asked = seeds.grouped, []
+    monkeypatch.setattr(seeds, "grouped", lambda found, plan: asked.append(found.count()) or grouped(found, plan))
+    for left, right, some in (("", "", False), (*around, True)):
+        rows = [(i, own(60) + left + seed + right + own(60)) for i in range(40)] + [(50, own(60) + around[0] + seed + own(20))]
+        found = suffixes.remove_repeats(docs(rows), 50, 8)
+        result = [(r.doc_id, r.n_units, sum(s.end - s.start for s in r.spans), len(r.spans), tuple(r.kept)) for r in found.collect()]
+        assert sorted(result, key=repr) == brute.repeats(rows, 50, lambda t: list(t.encode()))
+        assert (asked.pop() > 0) == some
+
+
+def test_packed_segments_come_back_whole():
+    rng = random.Random(3)
+    rows = []
+    for i in range(3000):
+        place, n = rng.choice([(-1, 62), (rng.randint(0, 34), rng.randint(1, 35))])
+        content = b"" if place < 0 else bytes(rng.choices(b"etaoin", k=n + 49))
+        slot = rng.randint(-(2**63), 2**63 - 1)
+        key = 0 if place < 0 else rng.randint(0, 2**32 - 1)
+        rows.append((key, place, content, rng.choice([slot, 2**63 - 1]), slot, rng.randint(-(2**63), 2**63 - 1), n, place >= 0 and rng.random() < 0.2))
+    blocks = list(seeds.packed(rows, 40, 7))
+    assert len({(b[0], b[5]) for b in blocks}) == len(blocks) and {b[0] for b in blocks} == set(range(40))
+    names = [f.split()[0] for f in seeds.PACKED.split(", ")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blocks), [pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.bool_()])], names)
+    back = [(bucket, r) for bucket, found in seeds.unpacked(batch) for r in found.to_pylist()]
+    expected = [
+        (k, 0, None, o, s, i, (1 << n) - 1, False) if place < 0 else (k, place, c, o, s, i, n, often) for k, place, c, o, s, i, n, often in rows
+    ]
+    assert sorted((tuple(r.values()) for _, r in back), key=repr) == sorted(expected, key=repr)
+    # a key has one bucket, and those of a bucket are in order, but for rows that belong to none
+    usual = [(b, r["key"]) for b, r in back if r["segment"] is not None and not r["often"]]
+    assert usual == sorted(usual) and len({k for _, k in usual}) == len(set(usual))
+    # small keys, as seeds have them, are spread as well
+    low = [(i * 1000, 0, b"x" * 50, i, i, i, 1, False) for i in range(4000)]
+    assert max(n for _, n, *_ in seeds.packed(low, 40, 0)) < 300
+    assert sum(len(b[2]) + len(b[3]) + len(b[4]) for b in blocks) < sum(found.nbytes for _, found in seeds.unpacked(batch)) / 2
+
+
+def test_shuffles_go_with_what_was_made_of_them(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(f) for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if "shuffle_" in str(f)}
+    before = files()
+    found = materialized(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 3).alias("k")).count(), "cleaned")
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert sorted(r["count"] for r in found.collect()) == [333, 333, 334]
+
+
 def test_long_runs_in_long_texts(docs, monkeypatch):
     # one passage of 900 words inside texts that differ, over the edges of parts and buckets
     rng = random.Random(11)
